@@ -7,6 +7,7 @@ and that BPE would leave standing beside the last token of what precedes it. Wor
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -23,6 +24,7 @@ SPACE = regex.compile(r"\s+")
 CONTROL = regex.compile(r"[\x1c-\x1f]")
 #: Stands for the end-of-word suffix inside this module, so that a word end is one letter.
 MARK = "\n"
+NEVER = 1 << 60
 
 
 def byte_letters() -> list[str]:
@@ -52,6 +54,7 @@ class Vocabulary:
         self.whole = {t for t in self.of if self.merge(self.symbols(t)) == [t]}
         self.suffixes = {t[i:] for t in self.whole for i in range(len(t))}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.ends: dict[str, tuple] = {}
 
     def symbols(self, token: str) -> list[str]:
         out = list(token)
@@ -63,19 +66,40 @@ class Vocabulary:
         """Plain BPE: the lowest-ranked pair, leftmost first, until none is left."""
         parts = list(parts)
         while len(parts) > 1:
-            rank, at = min((self.ranks.get((parts[i], parts[i + 1]), 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
+            rank, at = min((self.ranks.get((parts[i], parts[i + 1]), NEVER), i) for i in range(len(parts) - 1))
+            if rank == NEVER:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def edges(self, token: str) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
+        """The pieces at the token's left and right end while it is merged, each with the rank of the merge that ends it."""
+        if token not in self.ends:
+            parts, left, right = self.symbols(token), [], []
+            while len(parts) > 1:
+                rank, at = min((self.ranks.get((parts[i], parts[i + 1]), NEVER), i) for i in range(len(parts) - 1))
+                if at == 0:
+                    left.append((parts[0], rank))
+                if at == len(parts) - 2:
+                    right.append((parts[-1], rank))
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.ends[token] = ([*left, (parts[0], NEVER)], [*right, (parts[0], NEVER)])
+        return self.ends[token]
+
     def stand(self, left: str, right: str) -> bool:
-        """Whether BPE leaves the two tokens as they are side by side."""
+        """Whether BPE leaves the two tokens as they are side by side.
+
+        Ranks rise while BPE merges, as a merge's parts are made by earlier ones. So the two tokens grow together if some
+        piece at the left one's end and some piece at the right one's start have a merge of lower rank than what ends
+        either piece (of equal rank: if it stands further left).
+        """
         key = (left, right)
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= 1 << 20:
+            if len(self.pairs) >= 1 << 19:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merge(self.symbols(left) + self.symbols(right)) == [left, right]
+            rank = self.ranks.get
+            starts = self.edges(right)[0]
+            known = self.pairs[key] = not any((r := rank((a, b))) is not None and r < ea and r <= eb for a, ea in self.edges(left)[1] for b, eb in starts)
         return known
 
 
@@ -144,10 +168,12 @@ class Recent:
         """The keys without a value; those of the older generation move to the younger one."""
         if len(self.young) + len(keys) > self.most:
             self.young, self.old = {}, self.young
-        new = keys - self.young.keys()
-        for k in (found := new & self.old.keys()):
-            self.young[k] = self.old.pop(k)
-        return [k for k in new if k not in found]
+        young, old = self.young, self.old
+        new = [k for k in keys if k not in young]
+        for k in new:
+            if k in old:
+                young[k] = old.pop(k)
+        return [k for k in new if k not in young]
 
 
 class Encoder:
@@ -157,7 +183,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.v = vocabulary(path)
-        self.words, self.chunks = Recent(1 << 19), Recent(1 << 18)
+        self.words, self.chunks = Recent(1 << 19), Recent(1 << 19)
 
     def split(self, text: str) -> list[str]:
         # str.split() also splits at U+001C to U+001F, which are not white space to the tokenizer.
@@ -175,6 +201,14 @@ class Encoder:
         return ["".join([letters[b] for b in w.encode("utf-8", "surrogatepass")]) for w in self.v.pattern.findall(low)]
 
     def learn(self, chunks: set[str]) -> None:
+        # Hundreds of thousands of small tuples stay: without a pause the collector walks them all again and again.
+        gc.disable()
+        try:
+            self._learn(chunks)
+        finally:
+            gc.enable()
+
+    def _learn(self, chunks: set[str]) -> None:
         new = self.chunks.lacks(chunks)
         spelled = [self.spell(c) for c in new]
         lacking = self.words.lacks({w for words in spelled for w in words})
@@ -194,7 +228,10 @@ class Encoder:
         self.learn({c for doc in docs for p in doc if isinstance(p, list) for c in p})
         value, out = self.chunks.young.__getitem__, []
         for doc in docs:
-            pairs = [x for p in doc for x in (map(value, p) if isinstance(p, list) else [(pack("<I", v.specials[p]), p)])]
+            if len(doc) == 1:
+                pairs = list(map(value, doc[0]))
+            else:
+                pairs = [x for p in doc for x in (map(value, p) if isinstance(p, list) else [(pack("<I", v.specials[p]), p)])]
             out.append((b"".join([a for a, _ in pairs]), " ".join([b for _, b in pairs if b])))
         return out
 

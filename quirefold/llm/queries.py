@@ -1,9 +1,12 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from quirefold.llm import bpe, fingerprints, jaccard_join, mixing, pii, topk
+from quirefold.llm import bpe, fingerprints, html_extract, jaccard_join, language_id, mixing, pii, topk, toxicity
 
 QUERIES = {
+    "op1_language_id": language_id.op1,
+    "op2_toxicity": toxicity.op2,
     "op3_jaccard_join": jaccard_join.op3,
+    "op4_html_extraction": html_extract.op4,
     "op5_bpe": bpe.op5,
     "op6_fingerprints": fingerprints.op6,
     "op7_mixing": mixing.op7,
