@@ -171,10 +171,15 @@ def _linked(texts: DataFrame, similarity: float, recall: float, n: int) -> DataF
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents without those that have a near copy of smaller doc_id in their class: one row of each class stays."""
-    classes = jaccard_classes(docs, similarity).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("k"), "class_id").distinct()
-    keep = classes.groupBy("k").agg(F.min("class_id").alias("class_id")).where("k = class_id").select("k")
-    kept = docs.join(keep, docs.doc_id == keep.k, "left_semi").dropDuplicates(["doc_id"])
+    """One row of each class: the one whose doc_id is the class's smallest; columns stay as they are.
+
+    Rows that share a doc_id stay or go together, and of those that stay one of each text is kept. Rows without a doc_id
+    stay, as nothing names them.
+    """
+    classes = cut(jaccard_classes(docs, similarity).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("k"), "class_id"))
+    kept = docs.join(classes.where("k = class_id").distinct(), docs.doc_id == F.col("k"), "left_semi")
+    if not classes.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quirefold.llm.common import map_arrow
+from quirefold.llm.common import bound_batches, map_arrow
 
 #: Kinds in the order in which they are listed.
 BASE = ("email", "ip", "card", "phone")
@@ -157,6 +159,25 @@ def masked(text: str | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
+def mask_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs with masked texts, and n_chars, where docs has it, as the new text's length. No shuffle."""
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [masked(t) for t in batch.column(at).to_pylist()]
+            cols = list(batch.columns)
+            cols[at] = pa.array(texts, batch.schema.field(at).type)
+            if "n_chars" in names:
+                i = names.index("n_chars")
+                cols[i] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(i).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+    bound_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     def run(c: dict[str, list]) -> dict[str, list]:
         out = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")} | {"doc_id": c["doc_id"]}

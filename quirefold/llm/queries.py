@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from quirefold.llm import bpe, fingerprints, html_extract, jaccard_join, language_id, mixing, pii, topk, toxicity
+from quirefold.llm import bpe, fingerprints, html_extract, jaccard_join, language_id, mixing, pii, substring_dedup, topk, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_fingerprints": fingerprints.op6,
     "op7_mixing": mixing.op7,
     "op8_personal_data": pii.op8,
+    "op9_substring_dedup": substring_dedup.op9,
     "op10_top_k": topk.op10,
 }
 ORACLES = {"op7_mixing": mixing.OP7_SQL, "op10_top_k": topk.OP10_SQL}
