@@ -14,7 +14,7 @@ FORMATS = ("yyyy-MM-dd", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy/M/d")
 
 
 def of_parts(y: Column, m: Column, d: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
 
 
 def first_date(text: Column) -> Column:
@@ -25,7 +25,7 @@ def first_date(text: Column) -> Column:
 
 def date_key(text: Column) -> Column:
     """The date of a whole text in the first format that parses."""
-    return F.coalesce(*(F.try_to_date(F.trim(text), F.lit(f)) for f in FORMATS))
+    return F.coalesce(*(F.try_to_date(F.trim(text), f) for f in FORMATS))
 
 
 def short_year(text: Column) -> Column:

@@ -16,9 +16,9 @@ def harmonic(p: Column, r: Column, digits: int = 6) -> Column:
     return F.when(p + r > 0, F.bround(2 * p * r / (p + r), digits)).otherwise(F.lit(0.0))
 
 
-def nearest_rank(value: Column, q: float, digits: int = 3) -> Column:
-    """The value at place ceil(q * n)."""
-    return F.bround(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value._jc.toString()})"), digits)
+def nearest_rank(name: str, q: float, digits: int = 3) -> Column:
+    """The value of the named column at place ceil(q * n); nulls do not count."""
+    return F.bround(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{name}`)"), digits)
 
 
 def clamp(x: Column) -> Column:
