@@ -176,9 +176,10 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Rows that share a doc_id stay or go together, and of those that stay one of each text is kept. Rows without a doc_id
     stay, as nothing names them.
     """
-    classes = cut(jaccard_classes(docs, similarity).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("k"), "class_id"))
-    kept = docs.join(classes.where("k = class_id").distinct(), docs.doc_id == F.col("k"), "left_semi")
-    if not classes.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+    classes = cut(jaccard_classes(docs, similarity).where("doc_id IS NOT NULL").select("doc_id", "class_id"))
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
+    kept = rows.join(classes.where("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi").select("row.*")
+    if not classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id IS NULL"))
 

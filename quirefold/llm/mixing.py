@@ -11,7 +11,7 @@ from quirefold.llm.common import cut
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
 #: Seeds tried for the Bernoulli copies of each source; the one whose total comes closest to the target is used.
-SEEDS = 16
+SEEDS = 64
 BROADCAST_SOURCES = 10_000
 
 

@@ -94,7 +94,11 @@ def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _dense(*cols: np.ndarray) -> np.ndarray:
     """Numbers that order rows of the columns as the columns do."""
     bits = [int(c.max(initial=0)).bit_length() for c in cols]
+    if sum(bits) > 62:
+        cols = tuple(np.unique(c, return_inverse=True)[1] for c in cols)
+        bits = [int(c.max(initial=0)).bit_length() for c in cols]
     while len(cols) > 1 and sum(bits) > 62:
+        # Each column has at most 2 ** 31 values here, so a pair fits.
         pair = np.unique((cols[0].astype(np.uint64) << np.uint64(bits[1])) | cols[1].astype(np.uint64), return_inverse=True)[1]
         cols, bits = (pair, *cols[2:]), [int(pair.max(initial=0)).bit_length(), *bits[2:]]
     out = cols[0].astype(np.uint64)

@@ -28,7 +28,7 @@ LEET = {
     "*": "aeiou", "@": "a", "$": "s", "!": "i", "|": "il", "(": "c", "<": "c", "+": "t", "€": "e", "£": "l", "¡": "i", "§": "s",
 }
 #: Natural logarithms of what the channel does to a letter.
-KEEP, SWAP, NOISE, AROUND, REPEAT, DOUBLE = -0.05, -1.5, -4.0, -0.5, -0.4, -3.0
+KEEP, SWAP, NOISE, AFTER, REPEAT, DOUBLE = -0.05, -1.5, -4.0, -0.5, -0.4, -3.0
 
 #: The language model's alphabet: gap, a-z, the lower-case letters of Latin-1, and one place for every other letter.
 ALPHABET = " abcdefghijklmnopqrstuvwxyz" + "".join(c for c in map(chr, range(0xDF, 0x100)) if c.isalpha())
@@ -108,7 +108,7 @@ class CharModel:
 class Decoder:
     """Restores one obfuscated stretch: the most probable letters behind it, by Viterbi over its lattice.
 
-    A sign is a letter that it may stand for, or noise and dropped, at little cost around the letters; a letter is itself; a letter after the same letter may
+    A sign is a letter that it may stand for, or noise and dropped, at little cost after the letters; a letter is itself; a letter after the same letter may
     be a mere repetition; a gap between single letters is dropped. States are the last two letters that were kept.
     """
 
@@ -122,7 +122,7 @@ class Decoder:
         # (letter before last, last letter, place of the sign before): (score, letters as a linked list)
         beam: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
         for place, c in enumerate(stretch):
-            drop = KEEP if c.isspace() else AROUND if place not in inner or not (c in LEET or c.isdigit()) else NOISE
+            drop = KEEP if c.isspace() else AFTER if place not in inner or not (c in LEET or c.isdigit()) else NOISE
             nxt: dict[tuple[int, int, str], tuple[float, tuple | None]] = {}
             options = [(c, KEEP)] if c.isalpha() else [(x, SWAP) for x in LEET.get(c, "")]
             for (a, b, seen), (s, path) in beam.items():
@@ -148,9 +148,8 @@ class Decoder:
 
 
 def _inside(stretch: str) -> tuple[int, int]:
-    """From the first letter to behind the last."""
-    at = [i for i, c in enumerate(stretch) if c.isalpha()]
-    return (at[0], at[-1] + 1) if at else (0, 0)
+    """From the start to behind the last letter; signs after that are mostly marks of their own."""
+    return 0, max((i + 1 for i, c in enumerate(stretch) if c.isalpha()), default=0)
 
 
 def features_of(word: str) -> list[str]:
