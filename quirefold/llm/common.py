@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 32 << 20
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 17
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 
@@ -39,6 +39,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def keyed_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id, text) of all rows, and (key, text) of all documents: key orders the documents. It is doc_id itself unless that is null or repeated somewhere.
+
+    Then rows of equal doc_id and text are one document, and different texts of a doc_id are documents in order of text.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    odd = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    if odd.isEmpty():  # reads doc_id alone
+        keyed = ids.withColumn("key", F.col("doc_id"))
+        return keyed, keyed
+    mark = F.xxhash64("text")
+    order = ids.groupBy("doc_id", mark.alias("mark")).agg(F.min("text").alias("text")).orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    keys = cut(order.select("doc_id", "mark", F.monotonically_increasing_id().alias("key"))).withColumnRenamed("doc_id", "k_id")
+    keyed = ids.withColumn("m", mark).join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("m") == F.col("mark"))).select("key", "doc_id", "text")
+    return keyed, keyed.dropDuplicates(["key"])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -139,28 +156,35 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+#: Rows for each partition of a table of links that a round writes.
+LINKS_EACH = 20_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node of the undirected edges; nodes must be random keys such as hashes.
 
     Contraction: each node hands its edges to its smallest neighbour, so edges shrink by a factor each round; the
-    rounds' maps are then followed back. All state stays in distributed tables cut in the checkpoint folder.
+    rounds' maps are then followed back. All state stays in distributed tables cut in the checkpoint folder, in as many
+    partitions as their rows call for.
     """
+    few = lambda df, n: df.coalesce(max(1, min(partitions(df.sparkSession), -(-n // LINKS_EACH))))
     e = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     maps: list[DataFrame] = []
-    while not e.isEmpty():
+    while n := e.count():
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+        up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
+        up = cut(few(up, n))
         maps.append(up)
         e = (
             e.join(up, e.a == up.node).select(F.col("root").alias("a"), "b")
             .join(up.select(F.col("node").alias("n2"), F.col("root").alias("r2")), F.col("b") == F.col("n2"))
             .select("a", F.col("r2").alias("b")).where("a <> b").distinct()
-        )
-        e = cut(e)
+        )
+        e = cut(few(e, n))
     if not maps:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = maps[0]
     for up in maps[1:]:
         nxt = up.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
         out = out.join(nxt, out.root == nxt.n2, "left").select("node", F.coalesce("r2", "root").alias("root"))
-    return cut(out) if len(maps) > 1 else out
+    return out

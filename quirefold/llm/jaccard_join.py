@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import SHINGLE_WORDS, SIMILARITY, MinHash, band_keys, banding, bound_batches, components, cut, map_arrow, partitions, set_key, shingles
+from quirefold.llm.common import SHINGLE_WORDS, SIMILARITY, MinHash, band_keys, banding, bound_batches, components, cut, keyed_rows, map_arrow, partitions, set_key, shingles
 
 RECALL = 0.999
 #: Rows of a band: so many that pairs well below the similarity seldom meet; the number of bands follows from the recall.
@@ -29,19 +29,25 @@ def _minhash(k: int) -> MinHash:
     return MinHash(k)
 
 
-def sketch(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, node, bands): node is the key of the n-gram set, bands its band hashes; both null for a text without words."""
+#: Odd, so that multiplying keys by it (mod 2 ** 64) keeps them apart and puts them in an order that has nothing to do with theirs.
+ODD = 0x9E3779B97F4A7C15
+
+
+def sketch(keyed: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n: int = SHINGLE_WORDS) -> DataFrame:
+    """(key, node, doc_id, set, bands) of (key, doc_id, text) rows: node is the key in scattered order, set the key of the n-gram
+    set, bands its band hashes; the last two are null for a text without words."""
     bands, rows = banding(similarity, recall, ROWS)
 
     def run(c: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"doc_id": c["doc_id"], "node": [], "bands": []}
+        out: dict[str, list] = {"key": c["key"], "doc_id": c["doc_id"], "set": [], "bands": []}
+        out["node"] = [(k * ODD + (1 << 63)) % (1 << 64) - (1 << 63) for k in c["key"]]
         for text in c["text"]:
             grams = shingles(text, n)
-            out["node"].append(set_key(grams) if len(grams) else None)
+            out["set"].append(set_key(grams) if len(grams) else None)
             out["bands"].append(band_keys(_minhash(bands * rows)(grams), bands, rows) if len(grams) else None)
         return out
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, node binary, bands array<long>")
+    return map_arrow(keyed.select("key", "doc_id", "text"), run, "key long, node long, doc_id long, set binary, bands array<long>")
 
 
 def _links(sets: list[np.ndarray], bands: np.ndarray, side: np.ndarray, weight: np.ndarray, similarity: float, cross: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +105,7 @@ def _verify(similarity: float):
         def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             a, b, n = unit(rows)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], names=["a", "b", "links"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "links"])
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
@@ -120,25 +126,29 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     one n-gram; null and blank texts are classes of their own without links; repeated rows count as copies of each other.
     """
     bound_batches(docs.sparkSession)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sk = cut(sketch(ids, similarity, recall, n))
-    nodes = sk.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    keyed = sk.where("node IS NOT NULL").select("node", F.explode("bands").alias("band"))
-    buckets = keyed.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("band", "hub")
-    edges = keyed.join(buckets, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    keyed, _ = keyed_rows(docs)
+    sk = cut(sketch(keyed, similarity, recall, n))
+    some = sk.where("set IS NOT NULL")
+    sets = some.groupBy("set").agg(F.min("node").alias("first"), F.min_by("key", "node").alias("rep_key"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    of = some.select("node", "set").join(sets.select("set", "first"), "set").select("node", "first")
+    banded = some.select("node", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("band", "hub")
+    edges = banded.join(buckets, "band").where("node <> hub").select("node", "hub").distinct()
+    edges = edges.join(of, "node").select(F.col("first").alias("a"), "hub").join(of.select(F.col("node").alias("hub"), F.col("first").alias("b")), "hub").select("a", "b")
     comp = components(edges)
     sizes = comp.groupBy("root").agg(F.count("*").alias("n"))
-    members = comp.join(sizes, "root").join(nodes, "node").select("node", "root", "copies", F.col("rep").alias("rep_id"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    texts = ids.join(members, ids.doc_id.eqNullSafe(members.rep_id)).select("node", "root", "copies", "blocks", "text")
+    members = comp.join(sizes, "root").join(sets.select(F.col("first").alias("node"), "rep_key", "copies"), "node")
+    members = members.select("node", "root", "copies", "rep_key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    texts = keyed.join(members, F.col("key") == F.col("rep_key")).select("node", "root", "copies", "blocks", "text")
     found = cut(_linked(texts, similarity, recall, n))
     links = found.groupBy("a").agg(F.sum("links").alias("others"))
     classes = components(found.where("a <> b").select("a", "b"))
-    named = nodes.join(links, nodes.node == links.a, "left").join(classes.withColumnRenamed("node", "c"), F.col("node") == F.col("c"), "left")
-    named = named.select("node", "rep", "copies", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("root", "node").alias("root"))
+    named = sets.join(links, F.col("first") == F.col("a"), "left").join(classes, F.col("first") == F.col("node"), "left")
+    named = named.select("set", "rep", "copies", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("root", "first").alias("root"))
     ends = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = named.join(ends, "root").select(F.col("node").alias("n_node"), "class_id", "others", "copies")
+    named = named.join(ends, "root").select("set", "class_id", "others", "copies")
     own = F.col("copies").isNull()
-    return sk.select("doc_id", "node").join(named, F.col("node") == F.col("n_node"), "left").select(
+    return sk.select("doc_id", "set").join(named, "set", "left").select(
         "doc_id",
         F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(own, F.lit(0)).otherwise(F.col("others") + F.col("copies") - 1).cast("long").alias("n_links"),
@@ -154,20 +164,18 @@ def _linked(texts: DataFrame, similarity: float, recall: float, n: int) -> DataF
         out: dict[str, list] = {k: [] for k in ("root", "node", "bands", "grams", "copies", "blocks", "block")}
         for i, text in enumerate(c["text"]):
             grams = shingles(text, n)
-            # The id may have stood for another text too.
-            if len(grams) and set_key(grams) == c["node"][i]:
-                for k in ("root", "node", "copies", "blocks"):
-                    out[k].append(c[k][i])
-                out["bands"].append(band_keys(_minhash(bands * rows)(grams), bands, rows))
-                out["grams"].append(grams.tobytes())
-                out["block"].append(int.from_bytes(c["node"][i][:4], "little") % c["blocks"][i])
+            for k in ("root", "node", "copies", "blocks"):
+                out[k].append(c[k][i])
+            out["bands"].append(band_keys(_minhash(bands * rows)(grams), bands, rows))
+            out["grams"].append(grams.tobytes())
+            out["block"].append((c["node"][i] >> 7) % c["blocks"][i])
         return out
 
-    sized = map_arrow(texts, sets, "root binary, node binary, bands array<long>, grams binary, copies long, blocks int, block int")
+    sized = map_arrow(texts, sets, "root long, node long, bands array<long>, grams binary, copies long, blocks int, block int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = sized.withColumn("other", other).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "bands", "grams", "block", "copies")
     dealt = dealt.repartition(partitions(texts.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return dealt.mapInArrow(_verify(similarity), "a binary, b binary, links long")
+    return dealt.mapInArrow(_verify(similarity), "a long, b long, links long")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quirefold.llm.common import _scramble, bound_batches, cut, partitions
+from quirefold.llm.common import _scramble, bound_batches, cut, keyed_rows, partitions
 
 LENGTH = 100
 K = 32
@@ -224,23 +224,6 @@ def _strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["string", "key", "lo"])
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, doc_id, text) of all rows, and (key, text) of all documents: key orders the documents. It is doc_id itself unless that is null or repeated somewhere.
-
-    Then rows of equal doc_id and text are one document, and different texts of a doc_id are documents in order of text.
-    """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    odd = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
-    if odd.isEmpty():  # reads doc_id alone
-        keyed = ids.withColumn("key", F.col("doc_id"))
-        return keyed, keyed
-    mark = F.xxhash64("text")
-    order = ids.groupBy("doc_id", mark.alias("mark")).agg(F.min("text").alias("text")).orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    keys = cut(order.select("doc_id", "mark", F.monotonically_increasing_id().alias("key"))).withColumnRenamed("doc_id", "k_id")
-    keyed = ids.withColumn("m", mark).join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("m") == F.col("mark"))).select("key", "doc_id", "text")
-    return keyed, keyed.dropDuplicates(["key"])
-
-
 def repeated_ranges(keyed: DataFrame) -> DataFrame:
     """(key, lo, hi): every start of a LENGTH-byte string of (key, text) rows that also starts earlier lies in such a range."""
     spark = keyed.sparkSession
@@ -281,7 +264,7 @@ def spans(ranges: list, n: int) -> list[tuple[int, int]]:
 
 def dedup_substrings(docs: DataFrame, fn, ddl: str, schema: pa.Schema) -> DataFrame:
     """fn(doc_id, raw bytes, removed runs) -> row, for every row of docs."""
-    keyed, distinct = _keyed(docs)
+    keyed, distinct = keyed_rows(docs)
     ranges = repeated_ranges(distinct).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")).withColumnRenamed("key", "r_key")
     rows = keyed.join(ranges, F.col("key") == F.col("r_key"), "left").select("doc_id", "text", "ranges")
 
