@@ -54,3 +54,21 @@ def decimal_token(text: Column) -> Column:
 def half_step(v: Column) -> Column:
     """Whether a score lies in [0, 9] on a step of one half."""
     return v.between(0, 9) & (v * 2 == F.floor(v * 2))
+
+
+def salary(text: Column) -> Column:
+    """Whole amount of a salary text: with a unit of a million or a thousand a decimal times the unit, else the digits of the first number."""
+    low = F.lower(text)
+    token = F.regexp_extract(low, r"([0-9]+(?:[.,][0-9]+)*)", 1)
+    unit = F.when(low.rlike("triệu|trieu|million"), 1_000_000).when(low.rlike("nghìn|ngàn|nghin|thousand"), 1_000)
+    amount = F.when(unit.isNotNull(), decimal_token(token) * unit).otherwise(F.regexp_replace(token, "[^0-9]", "").try_cast("decimal(38,6)"))
+    return F.when(amount == F.floor(amount), amount.try_cast("long"))
+
+
+def years(text: Column) -> Column:
+    """Years of experience; months count twelfths where both are named."""
+    low = F.lower(text)
+    months = F.regexp_extract(low, r"([0-9]+)\s*(?:tháng|month)", 1).try_cast("int")
+    both = low.rlike("năm|year") & months.isNotNull()
+    n = F.regexp_extract(low, r"([0-9]+(?:[.,][0-9]+)*)", 1)
+    return F.bround(decimal_token(n).cast("double") + F.when(both, months / 12).otherwise(0.0), 6)

@@ -101,3 +101,70 @@ def declared_status(declared: Column, detected: Column, mapping: dict[str, str],
         .when(declared == mapped, "CONFIRMED")
         .otherwise("MISMATCH")
     )
+
+
+#: Titled document types (fixed values): (type, term, weight); a weight of 5 or more is a title's.
+TITLE_RULES = [
+    ("HR_DECISION", "quyet dinh nhan su", 6.0),
+    ("HR_DECISION", "giam doc cong ty quyet dinh", 3.0),
+    ("HR_DECISION", "bo nhiem", 1.5),
+    ("HR_DECISION", "dieu chuyen", 1.5),
+    ("HR_DECISION", "hieu luc tu ngay", 1.5),
+    ("LEAVE_REQUEST", "don xin nghi phep", 6.0),
+    ("LEAVE_REQUEST", "thoi gian nghi", 2.5),
+    ("LEAVE_REQUEST", "so ngay nghi", 2.0),
+    ("LEAVE_REQUEST", "nguoi lam don", 1.5),
+    ("LEAVE_REQUEST", "ly do", 1.0),
+    ("EMPLOYEE_INFORMATION_FORM", "phieu thong tin nhan vien", 6.0),
+    ("EMPLOYEE_INFORMATION_FORM", "dia chi lien he", 2.0),
+    ("EMPLOYEE_INFORMATION_FORM", "ma nhan vien", 1.0),
+    ("EMPLOYEE_INFORMATION_FORM", "phong ban", 1.0),
+    ("EMPLOYEE_INFORMATION_FORM", "ngay sinh", 1.0),
+]
+GENERIC = "GENERIC_DOCUMENT"
+
+
+def _begins(lines: Column, term: str) -> Column:
+    return F.exists(lines, lambda x: (x == term) | x.startswith(f"{term} "))
+
+
+def classify_titled(docs: DataFrame, rules: list[tuple[str, str, float]] = TITLE_RULES, text: str = "text", blocks: int = 6, title: float = 5.0, least: float = 2.5) -> DataFrame:
+    """Adds document_type, confidence and accepted. A title's weight counts a fifth unless one of the first lines begins with the term.
+
+    Below `least` the type is generic at 0.55; else confidence is 0.6 + 0.035 * score + 0.025 * margin, at most 0.99, accepted
+    from 0.8. Equal scores go by type name.
+    """
+    lines = F.filter(F.split(folded_lines(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda x: F.trim(x) != "")
+    lines = F.transform(lines, lambda x: F.trim(x))
+    whole, head = F.array_join(lines, "\n"), F.slice(lines, 1, blocks)
+    found = []
+    for kind in sorted({k for k, _, _ in rules}):
+        score = F.lit(0.0)
+        for k, term, w in rules:
+            if k == kind:
+                heads = _begins(head, term)
+                score += F.when(~whole.contains(term), 0.0).when(F.lit(w < title) | heads, w).otherwise(w * 0.2)
+        found.append(F.struct((-score).alias("negative"), F.lit(kind).alias("type")))
+    rows = docs.withColumn("_ranked", F.array_sort(F.array(*found)))
+    best, second = -F.get("_ranked", F.lit(0))["negative"], F.coalesce(-F.get("_ranked", F.lit(1))["negative"], F.lit(0.0))
+    known = best >= least
+    confidence = F.when(known, F.bround(F.least(F.lit(0.99), 0.6 + best * 0.035 + (best - second) * 0.025), 6)).otherwise(F.lit(0.55))
+    return rows.withColumns({"document_type": F.when(known, F.get("_ranked", F.lit(0))["type"]).otherwise(F.lit(GENERIC)), "confidence": confidence, "accepted": confidence >= 0.8}).drop("_ranked")
+
+
+def page_mode(native_chars: Column, scan_chars: Column, similarity: Column) -> Column:
+    """empty, scan, native or hybrid of a page, by the characters of its native and recognized text and their likeness."""
+    return F.when(native_chars < 20, F.when(scan_chars > 0, "scan").otherwise("empty")).when((scan_chars < 20) | (similarity >= 0.72), "native").otherwise("hybrid")
+
+
+def document_modes(pages: DataFrame, key: str, mode: str = "mode") -> DataFrame:
+    """(key, document_mode): EMPTY, NATIVE or SCAN if all filled pages are so, else HYBRID."""
+    some = F.collect_set(F.when(F.col(mode) != "empty", F.col(mode)))
+    kind = F.when(F.size(some) == 0, "EMPTY").when((F.size(some) == 1) & (F.get(some, F.lit(0)) != "hybrid"), F.upper(F.get(some, F.lit(0)))).otherwise("HYBRID")
+    return pages.groupBy(key).agg(kind.alias("document_mode"))
+
+
+def reading_scope(source_format: Column, declared: Column, allowed: list[str]) -> Column:
+    """NATIVE_ONLY for formats that carry text, else whether the declared type may be recognized."""
+    scans = source_format.isin("IMAGE", "PDF_SCAN")
+    return F.when(~scans, "NATIVE_ONLY").when(F.coalesce(F.upper(F.trim(declared)).isin(*allowed), F.lit(False)), "OCR_ALLOWED").otherwise("UNSUPPORTED_NO_OCR")

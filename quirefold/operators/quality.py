@@ -118,3 +118,16 @@ def overtime_errors(rows: DataFrame) -> DataFrame:
         ((c("start_date") <= c("end_date")) & (F.abs(days * c("hours_per_day") - c("total_hours")) > 0.01), "TOTAL_OVERTIME_HOURS_CONFLICT"),
     ]
     return rows.withColumn("errors", F.array_compact(F.array(*(F.when(F.coalesce(x, F.lit(False)), code) for x, code in rules))))
+
+
+def reading_quality(lines: DataFrame, by: list[str], identity: Column, least: float = 0.8) -> DataFrame:
+    """(by, lines, low_ratio, critical, corrections, status): PASS, REVIEW or FAIL of documents by the confidences of their lines.
+
+    An identity document fails if over a tenth of its lines are below `least`; any document needs review at over a fifth, with a
+    line below 0.5, or with three corrections. Without lines the ratio is 1.
+    """
+    scored = F.count("confidence")
+    ratio = F.coalesce(F.count_if(F.col("confidence") < least) / F.nullif(scored, F.lit(0)), F.lit(1.0))
+    critical, fixes = F.count_if(F.col("confidence") < 0.5), F.count_if("corrected")
+    status = F.when(F.bool_or(identity) & (ratio > 0.1), "FAIL").when((ratio > 0.2) | (critical > 0) | (fixes >= 3), "REVIEW").otherwise("PASS")
+    return lines.groupBy(*by).agg(scored.alias("lines"), F.bround(ratio, 6).alias("low_ratio"), critical.alias("critical"), fixes.alias("corrections"), status.alias("status"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import dates, numbers
 from quirefold.operators import classify, quality
-from quirefold.plans.documents import CLASSIFIED, classified
+from quirefold.plans.documents import CLASSIFIED, LINES, classified
 from quirefold.plans.registry import query, table
 
 INPUTS = """SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'PASS' WHEN 'O' THEN 'REVIEW_REQUIRED' ELSE 'REJECTED' END AS status, o_orderkey % 2 = 0 AS review, o_orderkey % 11 = 0 AS sensitive, o_orderkey % 13 = 0 AS critical,
@@ -115,3 +115,57 @@ def decimal_token(spark, sf_dir):
     comma = F.replace(v.cast("string"), F.lit("."), F.lit(","))
     thousands = F.regexp_replace(F.floor(v).cast("string"), "([0-9])([0-9]{3})$", "$1.$2")
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), numbers.decimal_token(comma).cast("double").alias("from_comma"), numbers.decimal_token(thousands).cast("double").alias("from_thousands"))
+
+
+TITLES = [("ARTICLE", "the", 6.0), ("ARTICLE", "tion", 1.5), ("NOTE", "is", 6.0), ("NOTE", "and", 1.0), ("BRIEF", "des", 6.0), ("BRIEF", "que", 2.0), *classify.TITLE_RULES]
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, seq, trim(regexp_replace(strip_accents(lower(replace(text, 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g')) AS f FROM ({LINES})), m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM l WHERE f <> ''),
+r(type, term, weight) AS (VALUES {', '.join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in TITLES)}),
+h AS (SELECT doc_id, type, term, weight, bool_or(n <= 6 AND (f = term OR starts_with(f, term || ' '))) AS head FROM m JOIN r ON position(term IN f) > 0 GROUP BY ALL),
+s AS (SELECT doc_id, type, sum(CASE WHEN weight < 5 OR head THEN weight ELSE weight * 0.2::DOUBLE END) AS score FROM h GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, type) AS rn FROM s),
+p AS (SELECT d.doc_id, max(CASE WHEN rn = 1 THEN type END) AS type, coalesce(max(CASE WHEN rn = 1 THEN score END), 0) AS b, coalesce(max(CASE WHEN rn = 2 THEN score END), 0) AS c FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id)
+SELECT doc_id, CASE WHEN b >= 2.5 THEN type ELSE 'GENERIC_DOCUMENT' END AS document_type, CASE WHEN b >= 2.5 THEN round_even(least(0.99::DOUBLE, 0.6 + b * 0.035 + (b - c) * 0.025), 4) ELSE 0.55 END AS confidence FROM p"""
+)
+def titled_classify(spark, sf_dir):
+    return classify.classify_titled(table(spark, sf_dir, "documents"), TITLES).select("doc_id", "document_type", F.bround("confidence", 4).alias("confidence"))
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey AS doc, CASE WHEN l_quantity < 20 THEN CASE WHEN l_linenumber % 3 > 0 THEN 'scan' ELSE 'empty' END WHEN l_linenumber * 7 < 20 OR l_discount * 10 >= 0.72 THEN 'native' ELSE 'hybrid' END AS mode FROM lineitem)
+SELECT doc, CASE WHEN count(*) FILTER (mode <> 'empty') = 0 THEN 'EMPTY' WHEN count(DISTINCT mode) FILTER (mode <> 'empty') = 1 AND max(mode) FILTER (mode <> 'empty') <> 'hybrid' THEN upper(max(mode) FILTER (mode <> 'empty')) ELSE 'HYBRID' END AS document_mode FROM p GROUP BY doc"""
+)
+def ingestion_modes(spark, sf_dir):
+    scan = F.when(F.col("l_quantity") < 20, F.col("l_linenumber") % 3).otherwise(F.col("l_linenumber") * 7)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), classify.page_mode(F.col("l_quantity"), scan, F.col("l_discount") * 10).alias("mode"))
+    return classify.document_modes(rows, "doc")
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'NATIVE_ONLY' WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'OCR_ALLOWED' ELSE 'UNSUPPORTED_NO_OCR' END AS scope FROM orders")
+def reading_scope(spark, sf_dir):
+    kind = F.when(F.col("o_orderstatus") == "F", "DOCX").when(F.col("o_orderstatus") == "O", "IMAGE").otherwise("PDF_SCAN")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), classify.reading_scope(kind, F.lower("o_orderpriority"), ["1-URGENT", "2-HIGH"]).alias("scope"))
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey AS doc, 1 - l_discount * 6 AS confidence, l_tax > 0.06 AS corrected, l_orderkey % 3 = 0 AS identity FROM lineitem), s AS (SELECT doc, count(*) AS lines, count(*) FILTER (confidence < 0.8) / count(*)::DOUBLE AS r, count(*) FILTER (confidence < 0.5) AS critical, count(*) FILTER (corrected) AS corrections, bool_or(identity) AS i FROM l GROUP BY doc)
+SELECT doc, lines, round_even(r, 6) AS low_ratio, critical, corrections, CASE WHEN i AND r > 0.1 THEN 'FAIL' WHEN r > 0.2 OR critical > 0 OR corrections >= 3 THEN 'REVIEW' ELSE 'PASS' END AS status FROM s"""
+)
+def reading_quality(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), (1 - F.col("l_discount") * 6).alias("confidence"), (F.col("l_tax") > 0.06).alias("corrected"))
+    return quality.reading_quality(rows, ["doc"], F.col("doc") % 3 == 0)
+
+
+@query("SELECT p_partkey, p_size * 1500000 AS from_millions, p_size * 1000 AS from_thousands, p_size * 1000 + 500 AS from_digits, round_even(p_size + (p_partkey % 12) / 12.0::DOUBLE, 6) AS years FROM (SELECT p_partkey, p_size::BIGINT AS p_size FROM part)")
+def salaries(spark, sf_dir):
+    s = F.col("p_size").cast("long")
+    text = lambda c: c.cast("string")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        numbers.salary(F.concat(F.replace(text((s * F.lit(1.5)).cast("decimal(10,1)")), F.lit("."), F.lit(",")), F.lit(" triệu"))).alias("from_millions"),
+        numbers.salary(F.concat(text(s), F.lit(" nghìn"))).alias("from_thousands"),
+        numbers.salary(F.concat(text(s), F.lit(".500 VND"))).alias("from_digits"),
+        numbers.years(F.concat(text(s), F.lit(" năm "), text(F.col("p_partkey") % 12), F.lit(" tháng"))).alias("years"),
+    )
