@@ -39,21 +39,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def keyed_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, doc_id, text) of all rows, and (key, text) of all documents: key orders the documents. It is doc_id itself unless that is null or repeated somewhere.
+def keyed_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """(key, doc_id, text) of all rows, the same of all documents, and whether key is doc_id: key orders the documents. It is doc_id itself unless that is null or repeated somewhere.
 
     Then rows of equal doc_id and text are one document, and different texts of a doc_id are documents in order of text.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     odd = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
     if odd.isEmpty():  # reads doc_id alone
-        keyed = ids.withColumn("key", F.col("doc_id"))
-        return keyed, keyed
+        keyed = ids.where("doc_id IS NOT NULL").withColumn("key", F.col("doc_id"))
+        return keyed, keyed, True
     mark = F.xxhash64("text")
     order = ids.groupBy("doc_id", mark.alias("mark")).agg(F.min("text").alias("text")).orderBy(F.col("doc_id").asc_nulls_first(), "text")
     keys = cut(order.select("doc_id", "mark", F.monotonically_increasing_id().alias("key"))).withColumnRenamed("doc_id", "k_id")
     keyed = ids.withColumn("m", mark).join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("m") == F.col("mark"))).select("key", "doc_id", "text")
-    return keyed, keyed.dropDuplicates(["key"])
+    return keyed, keyed.dropDuplicates(["key"]), False
 
 
 def partitions(spark: SparkSession) -> int:

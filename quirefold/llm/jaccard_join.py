@@ -126,15 +126,14 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     one n-gram; null and blank texts are classes of their own without links; repeated rows count as copies of each other.
     """
     bound_batches(docs.sparkSession)
-    keyed, _ = keyed_rows(docs)
+    keyed, _, _ = keyed_rows(docs)
     sk = cut(sketch(keyed, similarity, recall, n))
     some = sk.where("set IS NOT NULL")
     sets = some.groupBy("set").agg(F.min("node").alias("first"), F.min_by("key", "node").alias("rep_key"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    of = some.select("node", "set").join(sets.select("set", "first"), "set").select("node", "first")
-    banded = some.select("node", F.explode("bands").alias("band"))
+    # Only one row of each set goes on; that join is by node, so copies do not meet in a task.
+    banded = some.select("node", "bands").join(sets.select(F.col("first").alias("node")), "node", "left_semi").select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("band", "hub")
-    edges = banded.join(buckets, "band").where("node <> hub").select("node", "hub").distinct()
-    edges = edges.join(of, "node").select(F.col("first").alias("a"), "hub").join(of.select(F.col("node").alias("hub"), F.col("first").alias("b")), "hub").select("a", "b")
+    edges = banded.join(buckets, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     comp = components(edges)
     sizes = comp.groupBy("root").agg(F.count("*").alias("n"))
     members = comp.join(sizes, "root").join(sets.select(F.col("first").alias("node"), "rep_key", "copies"), "node")

@@ -31,7 +31,6 @@ MASK = np.uint64((1 << 20) - 1)
 CHUNK = 900_000
 #: An anchor with more different surroundings than this is compared string by string instead, dealt out by the strings' hashes.
 MOST = 20_000
-BROADCAST_REQUESTS = 400_000
 
 
 def gram_hashes(b: np.ndarray) -> np.ndarray:
@@ -239,9 +238,7 @@ def repeated_ranges(keyed: DataFrame) -> DataFrame:
     whole = kept.where("anchor IS NULL").select("key", F.shiftright("at", 14).alias("lo"), (F.shiftright("at", 14) + F.col("at").bitwiseAND(127)).alias("hi"))
     asked = kept.where("anchor IS NOT NULL")
     wanted = asked.groupBy("key").agg(F.collect_list(F.struct("anchor", "at", "many")).alias("wanted"))
-    if asked.count() <= BROADCAST_REQUESTS:
-        wanted = F.broadcast(wanted)
-    found = keyed.select("key", "text").join(wanted, "key").select("key", "text", "wanted").mapInArrow(_bytes, "anchor long, key long, at long, bytes binary, many boolean")
+    found = keyed.select("text", "key").join(wanted, "key").select("key", "text", "wanted").mapInArrow(_bytes, "anchor long, key long, at long, bytes binary, many boolean")
     some = found.where("NOT many").select("anchor", "key", "at", "bytes").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_out, "key long, lo long, hi long")
     out = whole.union(some)
     if not asked.where("many").isEmpty():
@@ -264,9 +261,10 @@ def spans(ranges: list, n: int) -> list[tuple[int, int]]:
 
 def dedup_substrings(docs: DataFrame, fn, ddl: str, schema: pa.Schema) -> DataFrame:
     """fn(doc_id, raw bytes, removed runs) -> row, for every row of docs."""
-    keyed, distinct = keyed_rows(docs)
+    keyed, distinct, plain = keyed_rows(docs)
     ranges = repeated_ranges(distinct).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")).withColumnRenamed("key", "r_key")
-    rows = keyed.join(ranges, F.col("key") == F.col("r_key"), "left").select("doc_id", "text", "ranges")
+    # Where key is doc_id, both joins read the same (key, text) rows by key, so that the texts are shuffled once.
+    rows = keyed.join(ranges, F.col("key") == F.col("r_key"), "left").select(F.col("key" if plain else "doc_id").alias("doc_id"), "text", "ranges")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -451,8 +451,7 @@ def test_repeats_equal_brute_force(spark, monkeypatch, most):
     assert got == brute_removed(list(enumerate(texts)))
 
 
-def test_repeats_in_shuffled_joins_and_pieces(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "BROADCAST_REQUESTS", 0)
+def test_repeats_across_pieces(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "PIECE", 64)
     texts = repeating_texts()
     got = {r.doc_id: bytes(r.kept) for r in substring_dedup.without_repeats(table(spark, texts)).collect()}
