@@ -12,7 +12,7 @@ import hashlib
 import json
 import unicodedata
 from functools import lru_cache
-from struct import pack
+from struct import pack, unpack
 
 import numpy as np
 import regex
@@ -95,7 +95,7 @@ class Vocabulary:
         """
         key = (left, right)
         if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) >= 1 << 19:
+            if len(self.pairs) >= 1 << 17:
                 self.pairs.clear()
             rank = self.ranks.get
             starts = self.edges(right)[0]
@@ -182,8 +182,12 @@ class Encoder:
     TEXTS = 256
 
     def __init__(self, path: str):
-        self.v = vocabulary(path)
-        self.words, self.chunks = Recent(1 << 19), Recent(1 << 19)
+        self.path, self.v = path, vocabulary(path)
+        self.words, self.chunks = Recent(1 << 18), Recent(1 << 18)
+
+    def forget(self) -> None:
+        """Frees the lookup tables: a Python worker lives on for other operators' tasks."""
+        self.__init__(self.path)
 
     def split(self, text: str) -> list[str]:
         # str.split() also splits at U+001C to U+001F, which are not white space to the tokenizer.
@@ -214,10 +218,10 @@ class Encoder:
         lacking = self.words.lacks({w for words in spelled for w in words})
         of, table, known = self.v.of, self.v.tokens, self.words.young
         for w, tokens in Trie(self.v).encode(lacking).items():
-            known[w] = tuple(of[t][0] for t in tokens)
+            known[w] = pack(f"<{len(tokens)}I", *[of[t][0] for t in tokens])
         for c, words in zip(new, spelled, strict=True):
-            ids = [i for w in words for i in known[w]]
-            self.chunks.young[c] = (pack(f"<{len(ids)}I", *ids), " ".join([table[i] for i in ids]))
+            raw = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+            self.chunks.young[c] = (raw, " ".join([table[i] for i in unpack(f"<{len(raw) // 4}I", raw)]))
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
@@ -267,7 +271,7 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
             out["ids"].append(raw)
         return out
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids)
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids, lambda: encoder(path).forget())
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,12 +57,17 @@ def keyed_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     return keyed, keyed.dropDuplicates(["key"]), False
 
 
+def on_disk(df: DataFrame) -> DataFrame:
+    """Keeps df on the executors' disks until unpersist(); what a lost executor held is computed again from df's own plan."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
-    """mapInArrow over columns as Python lists; fn maps one batch's columns to the output columns."""
+def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, done: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow over columns as Python lists; fn maps one batch's columns to the output columns, done runs after a partition's last one."""
     bound_batches(df.sparkSession)
     names, kinds = zip(*((x.split()[0], x.split()[1]) for x in schema.split(", ")), strict=True)
     arrow = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64())}
@@ -71,6 +77,8 @@ def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
             if batch.num_rows:
                 out = fn({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], arrow[k]) for n, k in zip(names, kinds, strict=True)], names=list(names))
+        if done:
+            done()
 
     return df.mapInArrow(run, schema)
 
@@ -160,15 +168,16 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 LINKS_EACH = 20_000
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", most: int | None = None) -> DataFrame:
     """(node, root) of every node of the undirected edges; nodes must be random keys such as hashes.
 
     Contraction: each node hands its edges to its smallest neighbour, so edges shrink by a factor each round; the
     rounds' maps are then followed back. All state stays in distributed tables cut in the checkpoint folder, in as many
-    partitions as their rows call for.
+    partitions as their rows call for. most: a bound of the number of nodes, if one is known.
     """
     few = lambda df, n: df.coalesce(max(1, min(partitions(df.sparkSession), -(-n // LINKS_EACH))))
-    e = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
+    e = cut(few(e, most) if most else e)
     maps: list[DataFrame] = []
     while n := e.count():
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import SHINGLE_WORDS, SIMILARITY, MinHash, band_keys, banding, bound_batches, components, cut, keyed_rows, map_arrow, partitions, set_key, shingles
+from quirefold.llm.common import SHINGLE_WORDS, SIMILARITY, MinHash, band_keys, banding, bound_batches, components, cut, keyed_rows, map_arrow, on_disk, partitions, set_key, shingles
 
 RECALL = 0.999
 #: Rows of a band: so many that pairs well below the similarity seldom meet; the number of bands follows from the recall.
 ROWS = 8
 BLOCK = 192
+#: Rows of the result for each partition.
+ROWS_EACH = 50_000
 
 
 @lru_cache(maxsize=8)
@@ -127,32 +129,37 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     """
     bound_batches(docs.sparkSession)
     keyed, _, _ = keyed_rows(docs)
-    sk = cut(sketch(keyed, similarity, recall, n))
+    sk = on_disk(sketch(keyed, similarity, recall, n))
+    rows = sk.count()
     some = sk.where("set IS NOT NULL")
     sets = some.groupBy("set").agg(F.min("node").alias("first"), F.min_by("key", "node").alias("rep_key"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     # Only one row of each set goes on; that join is by node, so copies do not meet in a task.
     banded = some.select("node", "bands").join(sets.select(F.col("first").alias("node")), "node", "left_semi").select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("band", "hub")
     edges = banded.join(buckets, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    comp = components(edges)
+    comp = components(edges, most=rows)
     sizes = comp.groupBy("root").agg(F.count("*").alias("n"))
     members = comp.join(sizes, "root").join(sets.select(F.col("first").alias("node"), "rep_key", "copies"), "node")
     members = members.select("node", "root", "copies", "rep_key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     texts = keyed.join(members, F.col("key") == F.col("rep_key")).select("node", "root", "copies", "blocks", "text")
-    found = cut(_linked(texts, similarity, recall, n))
+    found = on_disk(_linked(texts, similarity, recall, n))
     links = found.groupBy("a").agg(F.sum("links").alias("others"))
-    classes = components(found.where("a <> b").select("a", "b"))
+    classes = components(found.where("a <> b").select("a", "b"), most=rows)
     named = sets.join(links, F.col("first") == F.col("a"), "left").join(classes, F.col("first") == F.col("node"), "left")
     named = named.select("set", "rep", "copies", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("root", "first").alias("root"))
     ends = named.groupBy("root").agg(F.min("rep").alias("class_id"))
     named = named.join(ends, "root").select("set", "class_id", "others", "copies")
     own = F.col("copies").isNull()
-    return sk.select("doc_id", "set").join(named, "set", "left").select(
+    out = sk.select("doc_id", "set").join(named, "set", "left").select(
         "doc_id",
         F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(own, F.lit(0)).otherwise(F.col("others") + F.col("copies") - 1).cast("long").alias("n_links"),
         F.when(own, F.lit(0)).otherwise(F.col("copies") - 1).cast("long").alias("n_copies"),
     )
+    out = cut(out.coalesce(max(1, min(partitions(docs.sparkSession), -(-rows // ROWS_EACH)))))
+    sk.unpersist()
+    found.unpersist()
+    return out
 
 
 def _linked(texts: DataFrame, similarity: float, recall: float, n: int) -> DataFrame:
@@ -183,7 +190,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Rows that share a doc_id stay or go together, and of those that stay one of each text is kept. Rows without a doc_id
     stay, as nothing names them.
     """
-    classes = cut(jaccard_classes(docs, similarity).where("doc_id IS NOT NULL").select("doc_id", "class_id"))
+    classes = jaccard_classes(docs, similarity).where("doc_id IS NOT NULL").select("doc_id", "class_id")
     rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
     kept = rows.join(classes.where("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi").select("row.*")
     if not classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quirefold.llm.common import cut
+from quirefold.llm.common import cut, on_disk
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
@@ -61,13 +61,13 @@ def mix_plan(docs: DataFrame, weights: DataFrame | None = None, max_repeats: int
     else:
         w = weights.select(F.col("source").alias("w_source"), "weight")
         sums = sums.join(w, F.col("source").eqNullSafe(F.col("w_source"))).drop("w_source")
-    plan = cut(source_targets(sums, max_repeats).withColumnRenamed("source", "p_source"))
+    plan = cut(source_targets(sums, max_repeats).withColumnRenamed("source", "p_source").coalesce(1))
     joined = with_plan(docs.select("doc_id", "source", "size"), plan)
     took = lambda seed: F.col("size") * copies(F.lit(seed))
     totals = joined.groupBy("p_source").agg(F.first("target").alias("goal"), *(F.sum(took(k)).alias(f"t{k}") for k in range(seeds)))
     best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{k}") - F.col("goal")).alias("off"), F.lit(k).alias("seed")) for k in range(seeds))))["seed"]
     chosen = totals.select(F.col("p_source").alias("c_source"), best.alias("seed"))
-    return cut(plan.join(chosen, F.col("p_source").eqNullSafe(F.col("c_source"))).drop("c_source"))
+    return cut(plan.join(chosen, F.col("p_source").eqNullSafe(F.col("c_source"))).drop("c_source").coalesce(1))
 
 
 def with_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
@@ -88,13 +88,18 @@ def mix_sizes(docs: DataFrame, weights: DataFrame | None = None, max_repeats: in
     Null sources are one source; rows of the same doc_id draw alike; sources of size 0 have rate 0; an empty table gives
     an empty table.
     """
-    return with_plan(docs, mix_plan(docs, weights, max_repeats)).drop("p_source").withColumn("copies", copies(F.col("seed")))
+    return apply_plan(docs, mix_plan(docs, weights, max_repeats))
+
+
+def apply_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    return with_plan(docs, plan).drop("p_source").withColumn("copies", copies(F.col("seed")))
 
 
 def mix_documents(docs: DataFrame, weights: DataFrame | None = None, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """The mixed documents themselves, each row as often as it is taken, with the columns of docs. Null texts have size 0."""
-    slim = cut(docs.select("doc_id", "source", text_size(F.col("text")).alias("size")))
+    slim = on_disk(docs.select("doc_id", "source", text_size(F.col("text")).alias("size")))
     plan = mix_plan(slim, weights, max_repeats).select("p_source", "rate", "seed")
+    slim.unpersist()
     kept = docs.select("doc_id", "source", F.struct(*docs.columns).alias("row"))
     rows = with_plan(kept, plan).withColumn("copies", copies(F.col("seed"))).where("copies > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
@@ -102,8 +107,11 @@ def mix_documents(docs: DataFrame, weights: DataFrame | None = None, max_repeats
 
 def op7(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    slim = cut(docs.select("doc_id", "source", text_size(F.col("text")).alias("size")))
-    out = mix_sizes(slim)
+    sizes = docs.select("doc_id", "source", text_size(F.col("text")).alias("size"))
+    slim = on_disk(sizes)
+    plan = mix_plan(slim)
+    slim.unpersist()
+    out = apply_plan(sizes, plan)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
