@@ -1,25 +1,47 @@
-"""The pipeline's stages, one after the other, against the operators' brute-force twins."""
+"""The pipeline's stages, one after the other, against brute force."""
 
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from quirefold.llm import bpe, mixing, pii, toxicity
+from tests.llm.test_llm import brute_classes
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
+SF = "/root/testdata/sf0.001"
+
+
+def test_pipeline_against_brute_force(spark):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    stages = dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard_join", "personal_data", "mixing", "bpe"]
+
+    # A scorer in one process over all rows, with the fitted weights.
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    r = toxicity.Restorer(model.chars, set(model.names))
+    clean = {x.doc_id: x.text for x in docs.collect() if model.score(r.count(x.text)) < toxicity.THRESHOLD}
+    docs = stages["toxicity"](spark, docs, SF).cache()
+    assert docs.columns == columns and {x.doc_id: x.text for x in docs.collect()} == clean
+
+    first = {d for d, c, _ in brute_classes(list(clean.items())) if d == c}
+    docs = stages["jaccard_join"](spark, docs, SF).cache()
+    assert docs.columns == columns and sorted(x.doc_id for x in docs.collect()) == sorted(first)
+
+    docs = stages["personal_data"](spark, docs, SF).cache()
+    texts = {d: pii.masked(clean[d]) for d in first}
+    assert docs.columns == columns and {x.doc_id: (x.text, x.n_chars) for x in docs.collect()} == {d: (t, len(t)) for d, t in texts.items()}
 
+    sizes = {x.doc_id: (x.source, len([w for w in x.text.replace("\t", " ").replace("\n", " ").replace("\v", " ").replace("\f", " ").replace("\r", " ").split(" ") if w])) for x in docs.collect()}
+    slim = spark.createDataFrame([(d, s, n) for d, (s, n) in sizes.items()], "doc_id long, source string, size long")
+    want = Counter({x.doc_id: x.copies for x in mixing.mix_sizes(slim).collect() if x.copies})
+    docs = stages["mixing"](spark, docs, SF).cache()
+    assert docs.columns == columns and Counter(x.doc_id for x in docs.collect()) == want
 
-def test_pipeline_end_to_end(spark):
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    counts = []
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = Counter(r.doc_id for r in docs.collect())
-        docs = stage(spark, docs, sf).cache()
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
-        after = Counter(r.doc_id for r in docs.collect())
-        assert set(after) <= set(before)
-        counts.append((name, sum(after.values())))
-    assert counts[0][1] >= 0.9 * len(texts) * 0.9 and counts[1][1] < counts[0][1] and counts[2][1] == counts[1][1]
-    out = corpus_pipeline.run(spark, sf).collect()
-    assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in docs.collect())
-    assert all(r.n_tokens * 4 == len(r.ids) for r in out)
+    lib = Tokenizer.from_file(bpe.tokenizer_path())
+    ids = {d: np.array(lib.encode(texts[d], add_special_tokens=False).ids, "<u4").tobytes() for d in want}
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert Counter((x.doc_id, bytes(x.ids)) for x in got) == Counter({(d, ids[d]): n for d, n in want.items()})
