@@ -75,6 +75,8 @@ class Vocabulary:
     def edges(self, token: str) -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
         """The pieces at the token's left and right end while it is merged, each with the rank of the merge that ends it."""
         if token not in self.ends:
+            if len(self.ends) >= 1 << 14:
+                self.ends.clear()
             parts, left, right = self.symbols(token), [], []
             while len(parts) > 1:
                 rank, at = min((self.ranks.get((parts[i], parts[i + 1]), NEVER), i) for i in range(len(parts) - 1))
@@ -183,11 +185,13 @@ class Encoder:
 
     def __init__(self, path: str):
         self.path, self.v = path, vocabulary(path)
-        self.words, self.chunks = Recent(1 << 18), Recent(1 << 18)
+        self.words, self.chunks = Recent(1 << 18), Recent(1 << 17)
 
     def forget(self) -> None:
         """Frees the lookup tables: a Python worker lives on for other operators' tasks."""
-        self.__init__(self.path)
+        self.words, self.chunks = Recent(self.words.most), Recent(self.chunks.most)
+        self.v.pairs.clear()
+        self.v.ends.clear()
 
     def split(self, text: str) -> list[str]:
         # str.split() also splits at U+001C to U+001F, which are not white space to the tokenizer.

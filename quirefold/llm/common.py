@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -79,10 +81,18 @@ def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], arrow[k]) for n, k in zip(names, kinds, strict=True)], names=list(names))
         if done:
             done()
+        tidy()
 
     return df.mapInArrow(run, schema)
 
 
+def tidy() -> None:
+    """Hands freed memory back at a partition's end: Python workers live on, and what they hold adds up over stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordHash(dict):
     """Word to 64-bit hash; remembers a bounded number of words for the life of a Python worker."""
 

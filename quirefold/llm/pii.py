@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quirefold.llm.common import bound_batches, map_arrow
+from quirefold.llm.common import bound_batches, map_arrow, tidy
 
 #: Kinds in the order in which they are listed.
 BASE = ("email", "ip", "card", "phone")
@@ -173,6 +173,7 @@ def mask_documents(docs: DataFrame) -> DataFrame:
                 i = names.index("n_chars")
                 cols[i] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(i).type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+        tidy()
 
     bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import MEMO_WORDS, bound_batches, map_arrow
+from quirefold.llm.common import MEMO_WORDS, bound_batches, map_arrow, tidy
 from quirefold.llm.language_id import held_out
 
 #: Labelled documents that the scorer is fitted on, at about this number; and the features that it may use.
 SAMPLE = 12_000
 FEATURES = 600
 THRESHOLD = 0.3
+#: Features that a task counts before it hands on the sums.
+TALLY = 200_000
 RIDGE = 0.3
 
 #: Letters that a sign may stand for (fixed values).
@@ -97,6 +99,7 @@ class CharModel:
                 if held:
                     total += np.bincount(np.concatenate(held), minlength=WIDTH**3)
             at = np.flatnonzero(total)
+            tidy()
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
 
         rows = docs.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
@@ -254,6 +257,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     chars = CharModel.fit(docs)
     rows = labelled(docs, labels, sample)
 
+    def sums_of(n: Counter, bad: Counter) -> pa.RecordBatch:
+        names = list(n)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n[k] for k in names], pa.int64()), pa.array([bad[k] for k in names], pa.int64())], names=["feature", "n", "bad"])
+
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, bad = Counter(), Counter()
         restorer = Restorer(chars)
@@ -263,8 +270,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
                 n.update(found)
                 if toxic:
                     bad.update(found)
-        names = list(n)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n[k] for k in names], pa.int64()), pa.array([bad[k] for k in names], pa.int64())], names=["feature", "n", "bad"])
+                if len(n) > TALLY:
+                    yield sums_of(n, bad)
+                    n.clear(), bad.clear(), restorer.plain.clear()
+        yield sums_of(n, bad)
+        tidy()
 
     sums = rows.mapInArrow(tally, "feature string, n long, bad long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     sums = sums.cache()
@@ -306,6 +316,7 @@ def score_documents(docs: DataFrame, model: Scorer, threshold: float = THRESHOLD
         for batch in batches:
             scores = [m.score(restorer.count(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "score", "predicted"])
+        tidy()
 
     bound_batches(spark)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
@@ -322,6 +333,7 @@ def drop_toxic(docs: DataFrame, model: Scorer, threshold: float = THRESHOLD) ->
         for batch in batches:
             keep = [m.score(restorer.count(t)) < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        tidy()
 
     bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
