@@ -8,7 +8,8 @@ from quirefold.streaming import replay
 
 
 def events(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", "props")
+    # The table's times have no zone; they are read as UTC whatever the session's zone.
+    return table(spark, sf_dir, "events").select("event_id", F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z"))).alias("ts"), "user_id", "event_type", "value", "props")
 
 
 @query("SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events) WHERE rn = 1")
@@ -84,8 +85,8 @@ def event_gaps(spark, sf_dir):
 
 @query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS events, round_even(sum(value), 2) AS total FROM events GROUP BY ALL")
 def stream_daily_totals(spark, sf_dir):
-    out = replay.daily_totals(replay.read(spark, sf_dir, "events"))
-    return replay.collected(out, "complete").select("event_type", "day", "events", F.bround("total", 2).alias("total"))
+    out = replay.daily_totals(replay.read(spark, sf_dir, "events"), late=None)
+    return replay.collected(out, "complete").select("event_type", F.col("day").cast("timestamp_ntz").alias("day"), "events", F.bround("total", 2).alias("total"))
 
 
 @query("SELECT user_id, event_type, count(*) > 0 AS seen FROM events GROUP BY ALL")

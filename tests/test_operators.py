@@ -122,3 +122,15 @@ def test_corrections_need_the_current_hash(spark, tmp_path):
     stream = spark.readStream.schema("case_id string, base_hash string, new_hash string").parquet(str(tmp_path / "in"))
     out = replay.collected(replay.corrections(stream), "append").collect()
     assert sorted((r.version, r.outcome) for r in out) == [(1, "ACCEPTED"), (2, "ACCEPTED"), (2, "CONFLICT"), (2, "REPLAY")]
+
+
+def test_daily_totals_drop_late_rows(spark, tmp_path):
+    for i, (day, n) in enumerate([("2024-01-01", 2), ("2024-01-20", 1), ("2024-01-21", 1), ("2024-01-01", 5)]):
+        spark.sql(f"SELECT timestamp'{day} 10:00:00' AS ts, 'a' AS event_type, 1.0D AS value FROM range({n})").coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+    src = tmp_path / "src"
+    src.mkdir()
+    for i in range(4):
+        next((tmp_path / f"in{i}").glob("part-*")).rename(src / f"{i}.parquet")
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).parquet(str(src))
+    got = {r.day.isoformat()[:10]: r.events for r in replay.collected(replay.daily_totals(stream), "append").collect()}
+    assert got == {"2024-01-01": 2}
