@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import text as t
 from quirefold.functions.numbers import rate
-from quirefold.operators import matching, metrics
+from quirefold.operators import matching, metrics, observe
 from quirefold.plans.documents import CLASSIFIED, classified
 from quirefold.plans.registry import query, table
 
@@ -132,7 +132,7 @@ def wer_words(spark, sf_dir):
 
 @query()
 def der(spark, sf_dir):
-    lines = table(spark, sf_dir, "conversations").select("conv_id", F.substring_index("text", "\n", 1).alias("truth"))
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(observe.lines_of(F.col("text"))).alias("seq", "truth"))
     return metrics.text_errors(lines.withColumn("pred", t.without_marks(F.col("truth"))).withColumn("role", F.lit("all")), by=["role"])
 
 

@@ -1,6 +1,7 @@
 """Every registered query of the engine's own operators: it runs on the small tables and equals its SQL."""
 
 import math
+import unicodedata
 from collections import Counter
 
 import duckdb
@@ -52,3 +53,19 @@ def test_entry_runs(spark):
 
     assert e.entry(spark).limit(1).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_der_scores_every_line(spark, tmp_path):
+    texts = ["plain\nthé café\n\nÉtude  naïve", "ß đ\nà", None, "", "  \nfin"]
+    rows = [(i // 2, i % 2, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    lines = [" ".join(x.split()) for t in texts for x in (t or "").split("\n") if x.strip(" ")]
+    plain = [unicodedata.normalize("NFD", x) for x in lines]
+    plain = ["".join(c for c in x if unicodedata.category(c) != "Mn") for x in plain]
+    # Removing marks is letter by letter, so the edits are the letters that differ; the barred d is a mark that stays.
+    edits = sum(a != b for t, p in zip(lines, plain, strict=True) for a, b in zip(t, p, strict=True))
+    marks = edits + sum(t.count("đ") for t in lines)
+    exact = sum(t == p for t, p in zip(lines, plain, strict=True))
+    (got,) = registry.QUERIES["der"](spark, str(tmp_path)).collect()
+    want = {"role": "all", "cases": len(lines), "exact": round(exact / len(lines), 6), "exact_casefold": round(exact / len(lines), 6), "cer": round(edits / sum(map(len, lines)), 6), "der": round(edits / marks, 6)}
+    assert len(lines) == 6 and got.asDict() == want
