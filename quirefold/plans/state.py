@@ -97,7 +97,7 @@ def stream_once(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderpriority || '-' || lpad(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey)::VARCHAR, 4, '0') AS case_id FROM orders")
 def inventory_number(spark, sf_dir):
-    return governance.number_cases(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey").select("o_orderkey", "case_id")
+    return governance.number_cases(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey").select("o_orderkey", "case_id")
 
 
 @query("SELECT source, count(*) AS rows, 'sha256:' || sha256(string_agg(sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY source")

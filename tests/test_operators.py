@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import dates, numbers
 from quirefold.functions import text as t
-from quirefold.operators import classify, geometry, matching, metrics, observe, quality
+from quirefold.operators import classify, geometry, governance, matching, metrics, observe, quality
 from quirefold.streaming import replay
 
 
@@ -134,3 +134,21 @@ def test_daily_totals_drop_late_rows(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).parquet(str(src))
     got = {r.day.isoformat()[:10]: r.events for r in replay.collected(replay.daily_totals(stream), "append").collect()}
     assert got == {"2024-01-01": 2}
+
+
+def test_case_numbers_over_9999_are_not_cut(spark, monkeypatch):
+    monkeypatch.setattr(governance, "cut", lambda df, cut=governance.cut: blocks.append(cut(df)) or blocks[-1])
+    blocks = []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    category = F.when(F.col("id") % 7 == 0, "b").when(F.col("id") % 11 != 0, "a")
+    rows = spark.range(0, 25_000, 1, 5).select((F.col("id") * 7919 % 25_000).alias("k"), category.alias("c"))
+    want = {c: 0 for c in ("a", "b", None)}
+    try:
+        got = governance.number_cases(rows, "c", "k").orderBy("k").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 25_000 and blocks[0].where("c = 'a'").select("_block").distinct().count() > 1
+    for r in got:
+        want[r.c] += 1
+        assert r.case_id == (r.c and f"{r.c}-{want[r.c]:04d}")
+    assert want["a"] > 9999
