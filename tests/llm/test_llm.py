@@ -409,6 +409,32 @@ def test_personal_data_validators_and_awkward_rows(spark):
     assert pii.mask_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("iban", ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "FR1420041010050500013M02606", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"])
+@pytest.mark.parametrize("after", ["", ".", " Please pay", " Bitte", " BIC COBADEFF", " BIC", " I", " 7 days", " 2024 AND 12 MORE", "\nNext", " A1" * 40, " x", "é"])
+def test_iban_before_words_and_numbers(spark, iban, after):
+    for before in ("", "account ", "AB12 ", "NO12 CODE "):
+        text = f"{before}{iban}{after}"
+        got = [(s.start, s.end) for s in pii.find(text) if s.kind == "iban"]
+        assert got == [(len(before), len(before) + len(iban))], text
+        assert pii.masked(text) == f"{before}[iban]{after}"
+
+
+def test_iban_equals_every_start_and_end():
+    r = random.Random(7)
+    assert pii.find("GB82 WEST 1234 5698 7654 33 Please") == pii.find("GB82WEST12345698765432X") == pii.find("xGB82WEST12345698765432") == []
+    for _ in range(300):
+        text = " ".join(r.choice(["GB82", "WEST", "1234", "5698", "7654", "32", "DE89370400440532013000", "Pay", "QZ", "É1", "7"]) for _ in range(r.randrange(12)))
+        every = [(a, b) for a in range(len(text)) for b in range(a + 15, len(text) + 1) if re.fullmatch(r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]){11,30}", text[a:b]) and not re.match(r"[A-Za-z0-9]", text[b:]) and not re.search(r"[A-Za-z0-9]$", text[:a]) and pii.mod97(text[a:b])]
+        want, at = [], 0
+        for a in sorted({a for a, _ in every}):
+            if a >= at:
+                at = max((b for x, b in every if x == a), key=lambda b: (len(text[a:b].replace(" ", "")) == {"GB": 22, "DE": 22}.get(text[a : a + 2]), b))
+                want.append((a, at))
+        assert pii.ibans(text) == want, text
+    for long in ("AA11 " * 60_000, "AA11BB22CC33DD44 " * 20_000):
+        pii.ibans(long)
+
+
 # --- repeated strings -----------------------------------------------------------------------------------------
 
 
