@@ -43,6 +43,11 @@ SPACED = re.compile(r"(?<!\S)\S(?:[ ]\S){3,}(?!\S)")
 #: A stretch without white space is decoded if a sign or digit stands among or before its letters, or a letter stands three times.
 MIXED = re.compile(r"[^\W_]*[^\w\s,;:'’\"()\[\]-]+[^\W\d_]|[^\W\d_][\d_]|\d[^\W\d_]|([^\W\d_])\1\1|(?:[^\W\d_][\W_]){2}", re.I)
 
+#: Stretches that may hold obfuscation without such signs: letters told twice, hyphens between letters.
+DOUBLED = re.compile(r"([^\W\d_])\1|[^\W\d_]-+[^\W\d_]", re.I)
+#: What parts the pieces of a stretch: signs that stand for no letter.
+PARTS = re.compile(rf"(?:(?![{re.escape(''.join(LEET))}])[\W_])+")
+
 
 def _table() -> np.ndarray:
     out = np.zeros(0x110000, np.uint8)
@@ -169,10 +174,17 @@ class Restorer:
         self.plain: dict[str, tuple[str, ...]] = {}
 
     def words(self, chunk: str) -> list[str]:
-        """Words of a stretch; of an obfuscated one the most probable reading, and the one in which every sign is a letter."""
-        if not MIXED.search(chunk):
-            return WORD.findall(chunk.lower())
-        return [w for w in dict.fromkeys((self.decode(chunk), self.decode(chunk, noise=False))) if w]
+        """Words of a stretch as they stand; of one that may be obfuscated also the readings of the whole and of its pieces."""
+        plain = WORD.findall(chunk.lower())
+        if not MIXED.search(chunk) and not DOUBLED.search(chunk):
+            return plain
+        pieces = [p for p in PARTS.split(chunk) if MIXED.search(p) or DOUBLED.search(p)]
+        readings = dict.fromkeys(w for c in dict.fromkeys([chunk, *pieces]) for w in self.readings(c))
+        return plain + [w for w in readings if w and w not in plain]
+
+    def readings(self, stretch: str) -> list[str]:
+        """The most probable reading, and the one in which every sign that may be a letter is one."""
+        return [self.decode(stretch), self.decode(stretch, noise=False)] if any(c in LEET for c in stretch) else [self.decode(stretch)]
 
     def features(self, chunk: str) -> tuple[str, ...]:
         found = [f for w in self.words(chunk) for f in features_of(w)]

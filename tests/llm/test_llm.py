@@ -66,6 +66,14 @@ def test_restores_obfuscated_words(spark):
     assert r.restore("plain words, stay. as they are!") == "plain words, stay. as they are!"
 
 
+def test_plain_words_stay_beside_readings(spark):
+    docs = spark.createDataFrame([("the idiot and the moron said stupid things to a liar and a fool with trash",)] * 3 + [("people said other good things well in the garden",)] * 5, "text string")
+    r = toxicity.Restorer(toxicity.CharModel.fit(docs))
+    for seen, want in [("you.idiot", "idiot"), ("liar/idiot", "liar idiot"), ("fool—idiot", "fool idiot"), ("well...idiot", "idiot"), ("iddiioott", "idiot"), ("id-iot", "idiot"), ("SttuuPPiidd!", "stupid"), ("st-u-pid,", "stupid"), ("good/1d10t", "good idiot"), ("well...m0r0n", "moron")]:
+        assert set(want.split()) <= set(r.words(seen)), (seen, r.words(seen))
+    assert r.words("good")[0] == "good" and r.words("plain") == ["plain"] and r.words("...") == []
+
+
 def test_decoder_finds_the_best_path(spark):
     rng = np.random.default_rng(5)
     lm = toxicity.CharModel(rng.integers(0, 50, toxicity.WIDTH**3))
