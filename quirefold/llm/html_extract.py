@@ -17,8 +17,11 @@ from pyspark.sql.window import Window
 from quirefold.llm.common import cut, map_arrow
 
 BROADCAST_HOSTS = 50_000
-#: Paths of a host that its pages try, most votes first, before a page falls back on its own best container.
+#: Paths of a host that come with its pages, most votes first. A page that has none of them is joined with all votes of its host.
 PATHS = 16
+#: Choices of such pages that are broadcast; and the parts in which a host's paths are ranked first.
+BROADCAST_CHOICES = 20_000
+SALTS = 32
 
 #: Elements by what they mean for the extraction.
 DROPPED = frozenset("head script style noscript template nav footer aside form button select option textarea iframe object svg canvas audio video dialog menu label input".split())
@@ -215,24 +218,40 @@ def vote(page: str | None) -> str | None:
     return best(root).path if root.own else None
 
 
-def extract(page: str | None, paths: list[str] | None = None) -> str:
-    """Text at the first of the paths that the page has with any text, else of the page's own best container."""
-    if not page:
-        return ""
-    root, texts = parse(page)
-    weigh(root)
+def at_paths(root: Node) -> dict[str, list[Node]]:
+    """The elements with text of a weighed page that are part of the article, by path."""
     by: dict[str, list[Node]] = {}
     stack = [root]
     while stack:
         x = stack.pop()
         if not x.dropped:
-            if paths and x.own:
+            if x.own:
                 by.setdefault(x.path, []).append(x)
             stack += x.kids
+    return by
+
+
+def missed(page: str | None, paths: list[str]) -> list[str]:
+    """All paths of a page with text that has none of the given ones; else nothing."""
+    if not page:
+        return []
+    root, _ = parse(page)
+    weigh(root)
+    by = at_paths(root) if root.own else {}
+    return [] if any(p in by for p in paths) else list(by)
+
+
+def extract(page: str | None, paths: list[str] | None = None, rest: bool = False) -> str | None:
+    """Text at the first of the paths that the page has with any text, else of the page's own best container; rest: else None if the page has text."""
+    if not page:
+        return ""
+    root, texts = parse(page)
+    weigh(root)
+    by = at_paths(root) if paths else {}
     for path in paths or ():
         if path in by:
             return gather(sorted(by[path], key=lambda x: x.start), texts)
-    return gather([best(root)], texts)
+    return None if rest and root.own else gather([best(root)], texts)
 
 
 def host(url: Column) -> Column:
@@ -240,29 +259,60 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
 
 
-def host_paths(pages: DataFrame, most: int = PATHS) -> DataFrame:
-    """(host, paths): the paths of each host by votes, at most so many. Hot hosts are counted before the shuffle."""
+def host_votes(pages: DataFrame) -> DataFrame:
+    """(host, path, n): the votes of each host, all of them. Hot hosts are counted before the shuffle."""
     votes = map_arrow(pages.select(host(F.col("url")).alias("host"), "html"), lambda c: {"host": c["host"], "path": [vote(p) for p in c["html"]]}, "host string, path string")
-    counted = votes.where("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), F.desc(F.length("path")), "path"))
-    top = counted.withColumn("rank", rank).where(F.col("rank") <= most)
-    return top.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+    return votes.where("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("n"))
+
+
+def host_paths(votes: DataFrame, most: int = PATHS) -> DataFrame:
+    """(host, paths, more): the paths of each host by votes, so many of them, and whether it has more. Parts of a host are ranked first."""
+    order = [F.desc("n"), F.desc(F.length("path")), F.asc("path")]
+    salted = votes.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)))
+    part = F.row_number().over(Window.partitionBy("host", "salt").orderBy(*order))
+    # One more than wanted tells whether a host has more.
+    few = salted.withColumn("part", part).where(F.col("part") <= most + 1)
+    top = few.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(*order))).where(F.col("rank") <= most + 1)
+    listed = F.array_sort(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", "path"))))
+    return top.groupBy("host").agg(F.transform(listed, lambda x: x["path"]).alias("paths"), (F.max("rank") > most).alias("more"))
+
+
+def choices(pages: DataFrame, votes: DataFrame) -> DataFrame:
+    """(c_host, c_key, path) of the contents that have none of their host's listed paths: of their paths the one with most votes.
+
+    pages: (key, html, host, paths) of hosts with more paths than are listed. Equal contents of a host are one.
+    """
+    found = map_arrow(pages, lambda c: {"host": c["host"], "key": c["key"], "at": [missed(p, w) for p, w in zip(c["html"], c["paths"], strict=True)]}, "host string, key string, at array<string>")
+    at = found.where(F.size("at") > 0).select("host", "key", F.explode("at").alias("path")).distinct()
+    ranked = F.min(F.struct((-F.col("n")).alias("n"), (-F.length("path")).alias("size"), "path"))
+    return at.join(votes, ["host", "path"]).groupBy(F.col("host").alias("c_host"), F.col("key").alias("c_key")).agg(ranked["path"].alias("path"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page. Null html gives an empty text; repeated rows and null urls stay.
 
-    Pages without a host share one. The hosts' paths are broadcast if there are few hosts, else joined by shuffle.
+    Pages without a host share one. The hosts' paths are broadcast if there are few hosts, else joined by shuffle. The few pages that
+    have none of the listed paths of a host with more of them are extracted apart, at the path that a join with all votes finds.
     """
-    paths = cut(host_paths(pages)).withColumnRenamed("host", "p_host")
+    votes = cut(host_votes(pages))
+    paths = cut(host_paths(votes, PATHS)).withColumnRenamed("host", "p_host")
     small = F.broadcast(paths) if paths.count() <= BROADCAST_HOSTS else paths
-    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(small, F.col("host") == F.col("p_host"), "left").select("page_id", "url", "html", "paths")
+    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(small, F.col("host") == F.col("p_host"), "left")
 
     def run(c: dict[str, list]) -> dict[str, list]:
-        texts = [extract(p, w) for p, w in zip(c["html"], c["paths"], strict=True)]
-        return {"page_id": c["page_id"], "url": c["url"], "text": texts, "n_chars": [len(t) for t in texts]}
-
-    return map_arrow(rows, run, "page_id long, url string, text string, n_chars long")
+        texts = [extract(p, w, bool(m)) for p, w, m in zip(c["html"], c["paths"], c["more"], strict=True)]
+        return {"page_id": c["page_id"], "url": c["url"], "text": texts, "n_chars": [None if t is None else len(t) for t in texts]}
+
+    schema = "page_id long, url string, text string, n_chars long"
+    out = map_arrow(rows.select("page_id", "url", "html", "paths", "more"), run, schema)
+    if paths.where("more").isEmpty():
+        return out
+    wide = rows.where("more").withColumn("key", F.sha2("html", 256))
+    chosen = cut(choices(wide.select("key", "html", "host", "paths"), votes))
+    chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST_CHOICES else chosen
+    late = wide.join(chosen, (F.col("host") == F.col("c_host")) & (F.col("key") == F.col("c_key")))
+    late = late.select("page_id", "url", "html", F.array("path").alias("paths"), F.lit(False).alias("more"))
+    return out.where("text IS NOT NULL").unionByName(map_arrow(late, run, schema))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -242,6 +242,19 @@ def test_votes_decide_over_a_page_of_its_own(spark):
     assert got == ["article text here"] * 3 + ["tiny"]
 
 
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_votes_count_beyond_the_listed_paths(spark, monkeypatch, few):
+    monkeypatch.setattr(html_extract, "BROADCAST_CHOICES", few)
+    one = "<body><div class=t-{0}><p>{1}</p></div><div class=extra-{0}><p>{2}</p></div></body>"
+    names = [chr(97 + i) * 3 for i in range(24)]
+    rows = [("http://a.example", one.format(n, f"article of {n} here", "x")) for i, n in enumerate(names) for _ in range(30 - i)]
+    rows += [("http://a.example", one.format(n, "tiny", "much more text " * 20)) for n in names] * 2
+    rows += [("http://a.example", None), ("http://a.example", "<nav>menu</nav>"), ("http://b.example", one.format("zzz", "tiny", "much more text " * 20))]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(pages(spark, rows)).collect()}
+    want = [re.search(r"<p>(.*?)</p>", h)[1] for _, h in rows[:-3]] + ["", "", ("much more text " * 20).strip()]
+    assert [got[i] for i in range(len(rows))] == want and len(got) == len(rows)
+
+
 def test_extraction_equals_the_article_on_pages(spark):
     import html
 
