@@ -6,9 +6,12 @@ votes by host, and each page is then extracted again from the containers at its
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,13 +32,16 @@ RAW = frozenset("script style noscript template textarea title iframe svg".split
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("html body div section article main td center".split())
-CLOSES = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
+#: Open elements that an element ends, and those that bound the search for them.
+CLOSES = {"li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "html": ((), ()), "body": ((), ())}
+PARAGRAPH = (("p",), ())
+WALLS = CONTAINERS | DROPPED
 #: Words of class, id and role that mark what is not the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside rail complementary footer foot contentinfo masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending comment comments commentlist respond reply replies discussion disqus widget widgets pagination pager toolbar search skip copyright legal disclaimer".split())
 HEADS = frozenset("header heading head".split())
 OWN_HEADS = frozenset("post entry article story title main content page".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>|<[!?][^>]*>?", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>|<[!?][^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?(?=[\s/]|$)", re.I)
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 NUMBER = re.compile(r"[0-9]+")
@@ -46,11 +52,16 @@ SHARE = 0.6
 LINKED, LINKS = 0.8, 3
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
+    """An element; key is a hash of its path, chained from its parent's, so that deep trees stay small."""
+
     tag: str
-    path: str
+    step: str
+    key: bytes
     start: int
+    depth: int = 0
+    inside: bool = False
     dropped: bool = False
     up: Node | None = None
     kids: list[Node] = field(default_factory=list)
@@ -81,23 +92,57 @@ def marked(tag: str, attrs: dict[str, str], inside: bool) -> bool:
 
 def general(tag: str, attrs: dict[str, str]) -> str:
     """Tag and classes, in order of name, numbers in them generalised."""
-    names = sorted({NUMBER.sub("#", c) for c in attrs.get("class", "").split()})
-    return ".".join([tag, *names])
+    names = sorted({NUMBER.sub("#", c).replace("/", "|") for c in attrs.get("class", "").split()})
+    return ".".join([tag.replace("/", "|"), *names])
+
+
+def chained(key: bytes, step: str) -> bytes:
+    return hashlib.blake2b(key + step.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def path_of(node: Node) -> str:
+    """The path of an element, from the root."""
+    steps = []
+    while node.up is not None:
+        steps.append(node.step)
+        node = node.up
+    return "/".join(["", *reversed(steps)])
+
+
+@lru_cache(maxsize=4096)
+def key_of(path: str) -> bytes:
+    """The key of an element at a path."""
+    key = b""
+    for step in path.split("/")[1:]:
+        key = chained(key, step)
+    return key
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
     """The tree of block elements, and the stretches of text with their element and whether a block edge comes before."""
-    root = Node("", "", 0)
+    root = Node("", "", b"", 0)
     at, texts, done, edge, anchor, n = root, [], 0, True, 0, len(page)
+    # Depths of the open elements of each tag, and of those that bound searches: what is open is found without climbing.
+    chain, opened, walls = [root], defaultdict(list), []
     m = TOKEN.search(page)
 
-    def close(node: Node) -> None:
+    def close(depth: int) -> None:
         nonlocal at
-        while True:
-            at.end = len(texts)
-            last, at = at, at.up
-            if last is node:
-                return
+        while len(chain) > depth:
+            last = chain.pop()
+            last.end = len(texts)
+            opened[last.tag].pop()
+            if last.tag in WALLS:
+                walls.pop()
+        at = chain[-1]
+
+    def ended(tag: str) -> int:
+        """Depth of the innermost open element that the tag ends, 0 if none is in reach."""
+        ends, bounds = CLOSES.get(tag, PARAGRAPH)
+        last = lambda tags: max((opened[t][-1] for t in tags if opened[t]), default=0)
+        depth = max(last(ends), last(("p",)) if tag in BLOCKS else 0)
+        edge = max(last(bounds), walls[-1] if walls else 0)
+        return depth if depth > edge or depth == edge and chain[depth].tag in ends else 0
 
     def text(a: int, b: int) -> None:
         nonlocal edge
@@ -128,30 +173,25 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
         elif tag in BLOCKS or tag in DROPPED:
             edge, anchor = True, 0
             if m[1]:
-                x = at
-                while x is not root and x.tag != tag:
-                    x = x.up
-                if x is not root:
-                    close(x)
+                if opened[tag]:
+                    close(opened[tag][-1])
             elif tag not in VOID and not (m[3].endswith("/") and tag in DROPPED):
-                ends, bounds = CLOSES.get(tag, ("p", ())) if tag not in ("html", "body") else ("", ())
-                x = at
-                while x is not root and x.tag not in bounds and x.tag not in CONTAINERS | DROPPED:
-                    if x.tag in ends.split() or x.tag == "p" and tag in BLOCKS:
-                        close(x)
-                        break
-                    x = x.up
+                while depth := ended(tag):
+                    close(depth)
                 attrs = attributes(m[3])
-                inside = any(p.startswith(("article", "main")) for p in at.path.split("/"))
-                node = Node(tag, f"{at.path}/{general(tag, attrs)}", len(texts), at.dropped or marked(tag, attrs, inside), at)
+                step = general(tag, attrs)
+                node = Node(tag, step, chained(at.key, step), len(texts), len(chain), at.inside or tag in ("article", "main"), at.dropped or marked(tag, attrs, at.inside), at)
                 at.kids.append(node)
+                opened[tag].append(node.depth)
+                if tag in WALLS:
+                    walls.append(node.depth)
+                chain.append(node)
                 at = node
         elif tag in VOID:
             edge = edge or tag in ("br", "hr")
         m = TOKEN.search(page, done)
     text(done, n)
-    while at is not root:
-        close(at)
+    close(1)
     root.end = len(texts)
     return root, texts
 
@@ -215,30 +255,30 @@ def vote(page: str | None) -> str | None:
         return None
     root, _ = parse(page)
     weigh(root)
-    return best(root).path if root.own else None
+    return path_of(best(root)) if root.own else None
 
 
-def at_paths(root: Node) -> dict[str, list[Node]]:
-    """The elements with text of a weighed page that are part of the article, by path."""
-    by: dict[str, list[Node]] = {}
+def at_paths(root: Node) -> dict[bytes, list[Node]]:
+    """The elements with text of a weighed page that are part of the article, by the key of their path."""
+    by: dict[bytes, list[Node]] = {}
     stack = [root]
     while stack:
         x = stack.pop()
         if not x.dropped:
             if x.own:
-                by.setdefault(x.path, []).append(x)
+                by.setdefault(x.key, []).append(x)
             stack += x.kids
     return by
 
 
 def missed(page: str | None, paths: list[str]) -> list[str]:
-    """All paths of a page with text that has none of the given ones; else nothing."""
+    """The keys of all paths of a page with text that has none of the given ones; else nothing."""
     if not page:
         return []
     root, _ = parse(page)
     weigh(root)
     by = at_paths(root) if root.own else {}
-    return [] if any(p in by for p in paths) else list(by)
+    return [] if any(key_of(p) in by for p in paths) else [k.hex() for k in by]
 
 
 def extract(page: str | None, paths: list[str] | None = None, rest: bool = False) -> str | None:
@@ -249,8 +289,8 @@ def extract(page: str | None, paths: list[str] | None = None, rest: bool = False
     weigh(root)
     by = at_paths(root) if paths else {}
     for path in paths or ():
-        if path in by:
-            return gather(sorted(by[path], key=lambda x: x.start), texts)
+        if (key := key_of(path)) in by:
+            return gather(sorted(by[key], key=lambda x: x.start), texts)
     return None if rest and root.own else gather([best(root)], texts)
 
 
@@ -260,9 +300,14 @@ def host(url: Column) -> Column:
 
 
 def host_votes(pages: DataFrame) -> DataFrame:
-    """(host, path, n): the votes of each host, all of them. Hot hosts are counted before the shuffle."""
-    votes = map_arrow(pages.select(host(F.col("url")).alias("host"), "html"), lambda c: {"host": c["host"], "path": [vote(p) for p in c["html"]]}, "host string, path string")
-    return votes.where("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("n"))
+    """(host, key, path, n): the votes of each host, all of them, by path and its key. Hot hosts are counted before the shuffle."""
+
+    def run(c: dict[str, list]) -> dict[str, list]:
+        paths = [vote(p) for p in c["html"]]
+        return {"host": c["host"], "key": [None if p is None else key_of(p).hex() for p in paths], "path": paths}
+
+    votes = map_arrow(pages.select(host(F.col("url")).alias("host"), "html"), run, "host string, key string, path string")
+    return votes.where("path IS NOT NULL").groupBy("host", "key").agg(F.min("path").alias("path"), F.count("*").alias("n"))
 
 
 def host_paths(votes: DataFrame, most: int = PATHS) -> DataFrame:
@@ -283,9 +328,9 @@ def choices(pages: DataFrame, votes: DataFrame) -> DataFrame:
     pages: (key, html, host, paths) of hosts with more paths than are listed. Equal contents of a host are one.
     """
     found = map_arrow(pages, lambda c: {"host": c["host"], "key": c["key"], "at": [missed(p, w) for p, w in zip(c["html"], c["paths"], strict=True)]}, "host string, key string, at array<string>")
-    at = found.where(F.size("at") > 0).select("host", "key", F.explode("at").alias("path")).distinct()
+    at = found.where(F.size("at") > 0).select("host", F.col("key").alias("content"), F.explode("at").alias("key")).distinct()
     ranked = F.min(F.struct((-F.col("n")).alias("n"), (-F.length("path")).alias("size"), "path"))
-    return at.join(votes, ["host", "path"]).groupBy(F.col("host").alias("c_host"), F.col("key").alias("c_key")).agg(ranked["path"].alias("path"))
+    return at.join(votes, ["host", "key"]).groupBy(F.col("host").alias("c_host"), F.col("content").alias("c_key")).agg(ranked["path"].alias("path"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

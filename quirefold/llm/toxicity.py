@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +42,16 @@ OTHER = len(ALPHABET)
 WORD = re.compile(r"[^\W\d_]+")
 SPACED = re.compile(r"(?<!\S)\S(?:[ ]\S){3,}(?!\S)")
 #: A stretch without white space is decoded if a sign or digit stands among or before its letters, or a letter stands three times.
-MIXED = re.compile(r"[^\W_]*[^\w\s,;:'’\"()\[\]-]+[^\W\d_]|[^\W\d_][\d_]|\d[^\W\d_]|([^\W\d_])\1\1|(?:[^\W\d_][\W_]){2}", re.I)
+MIXED = re.compile(r"[^\w\s,;:'’\"()\[\]-][^\W\d_]|[^\W\d_][\d_]|\d[^\W\d_]|([^\W\d_])\1\1|(?:[^\W\d_][\W_]){2}", re.I)
 
 #: Stretches that may hold obfuscation without such signs: letters told twice, hyphens between letters.
 DOUBLED = re.compile(r"([^\W\d_])\1|[^\W\d_]-+[^\W\d_]", re.I)
 #: What parts the pieces of a stretch: signs that stand for no letter.
 PARTS = re.compile(rf"(?:(?![{re.escape(''.join(LEET))}])[\W_])+")
+SIGNS = frozenset(LEET)
+RUN = re.compile(r"(.)\1+", re.S)
+#: Signs that stand for no letter and change nothing at a stretch's ends.
+OUTER = ".,;:'’\"[]{}?-–—…_/\\«»“”„"
 
 
 def _table() -> np.ndarray:
@@ -126,6 +131,8 @@ class Decoder:
     def __call__(self, stretch: str, noise: bool = True) -> str:
         """The best path; noise: signs that may stand for a letter may be dropped all the same."""
         lm, stretch = self.lm, stretch.lower()
+        if SIGNS.isdisjoint(stretch):
+            return self.thinned("".join(filter(str.isalpha, stretch)))
         inner = range(*_inside(stretch))
         # (letter before last, last letter, place of the sign before): (score, letters as a linked list)
         beam: dict[tuple[int, int, str], tuple[float, tuple | None]] = {(0, 0, ""): (0.0, None)}
@@ -155,6 +162,28 @@ class Decoder:
         return "".join(out[::-1])
 
 
+    def thinned(self, letters: str) -> str:
+        """The best path of mere letters: how often each run of one letter is kept.
+
+        A run keeps at least one letter and the model looks back two, so no run's choice bears on another's, and the score is
+        linear in the number kept from two on: one, two or all are the only candidates.
+        """
+        lm = self.lm
+
+        def kept(m: re.Match) -> str:
+            x, n = m[1], m.end() - m.start()
+            q = PLACE.get(letters[m.start() - 1], OTHER) if m.start() else 0
+            r = PLACE.get(letters[m.end()], OTHER) if m.end() < len(letters) else 0
+            i = PLACE.get(x, OTHER)
+            first, last, more = lm[q][i][i], lm[i][i][r], KEEP + DOUBLE
+            one = (n - 1) * REPEAT + lm[q][i][r]
+            two = (n - 2) * REPEAT + more + first + last
+            every = (n - 1) * more + first + (n - 2) * lm[i][i][i] + last
+            return x if one >= max(two, every) else x * n if every > two else x * 2
+
+        return RUN.sub(kept, letters)
+
+
 def _inside(stretch: str) -> tuple[int, int]:
     """From the start to behind the last letter; signs after that are mostly marks of their own."""
     return 0, max((i + 1 for i, c in enumerate(stretch) if c.isalpha()), default=0)
@@ -165,17 +194,21 @@ def features_of(word: str) -> list[str]:
     return [f"={word}"] + [f"{n}{word[:n]}" for n in (5, 6) if len(word) > n]
 
 
-class Restorer:
-    """Features of whole texts after restoration; stretches met before in this Python worker are looked up."""
+class Restorer(dict):
+    """Features of whole texts after restoration; lower-case stretches met before in this task are looked up, up to a bound."""
 
     def __init__(self, model: CharModel, wanted: set[str] | None = None):
+        super().__init__()
         self.decode = Decoder(model)
         self.wanted = wanted
-        self.plain: dict[str, tuple[str, ...]] = {}
 
     def words(self, chunk: str) -> list[str]:
         """Words of a stretch as they stand; of one that may be obfuscated also the readings of the whole and of its pieces."""
-        plain = WORD.findall(chunk.lower())
+        chunk = chunk.lower()
+        if chunk.isalpha():
+            read = self.decode.thinned(chunk)
+            return [chunk] if read == chunk else [chunk, read]
+        plain = WORD.findall(chunk)
         if not MIXED.search(chunk) and not DOUBLED.search(chunk):
             return plain
         pieces = [p for p in PARTS.split(chunk) if MIXED.search(p) or DOUBLED.search(p)]
@@ -184,11 +217,21 @@ class Restorer:
 
     def readings(self, stretch: str) -> list[str]:
         """The most probable reading, and the one in which every sign that may be a letter is one."""
-        return [self.decode(stretch), self.decode(stretch, noise=False)] if any(c in LEET for c in stretch) else [self.decode(stretch)]
-
-    def features(self, chunk: str) -> tuple[str, ...]:
-        found = [f for w in self.words(chunk) for f in features_of(w)]
-        return tuple(found if self.wanted is None else [f for f in found if f in self.wanted])
+        return [self.decode(stretch)] if SIGNS.isdisjoint(stretch) else [self.decode(stretch), self.decode(stretch, noise=False)]
+
+    def __missing__(self, chunk: str) -> tuple[str, ...]:
+        """Wanted features of a lower-case stretch."""
+        core = chunk.strip(OUTER)
+        if core != chunk and core in self:
+            got = self[core]
+        else:
+            got = tuple(f for w in self.words(core) for f in features_of(w))
+            if self.wanted is not None:
+                got = tuple(f for f in got if f in self.wanted)
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[chunk] = got
+        return got
 
     def spaced(self, text: str) -> list[str]:
         """Features in restored runs of single letters, whose words have no known ends."""
@@ -203,13 +246,7 @@ class Restorer:
         """How often the text has each (wanted) feature."""
         if not text:
             return Counter()
-        known, chunks = self.plain, text.split()
-        if len(known) >= MEMO_WORDS:
-            known.clear()
-        for c in set(chunks):
-            if c not in known:
-                known[c] = self.features(c)
-        out = Counter(f for found in map(known.__getitem__, chunks) if found for f in found)
+        out = Counter(chain.from_iterable(filter(None, map(self.__getitem__, text.lower().split()))))
         if SPACED.search(text):
             out.update(self.spaced(text))
         return out
@@ -255,9 +292,10 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     n = known.count()
     part = min(1.0, sample / max(1, n))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(part * (1 << 20)))
-    chosen = chosen.groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("toxic")).limit(2 * sample)
-    # At most 2 * sample rows of two numbers.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("text", (F.col("toxic") == 1).cast("int").alias("toxic"))
+    chosen = chosen.groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("l_id"), "l_id").limit(2 * sample)
+    # At most 2 * sample rows of two numbers; rows that share a doc_id are one row, of the smallest of their texts.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), (F.max("toxic") == 1).cast("int").alias("toxic")).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Scorer:
@@ -284,7 +322,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
                     bad.update(found)
                 if len(n) > TALLY:
                     yield sums_of(n, bad)
-                    n.clear(), bad.clear(), restorer.plain.clear()
+                    n.clear(), bad.clear(), restorer.clear()
         yield sums_of(n, bad)
         tidy()
 
