@@ -128,11 +128,12 @@ def fit(train: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Cen
     def run(c: dict[str, list]) -> dict[str, list]:
         tf = [counts(t) for t in c["text"]]
         keep = [i for i, x in enumerate(tf) if x is not None]
-        return {"lang": [c["lang"][i] for i in keep], "tf": [tf[i].astype(np.float32).tobytes() for i in keep]}
+        return {"lang": [c["lang"][i] for i in keep], "mark": [c["mark"][i] for i in keep], "tf": [tf[i].astype(np.float32).tobytes() for i in keep]}
 
     df, n = document_frequencies(train)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    rows = map_arrow(chosen, run, "lang string, tf binary").limit(2 * max(sample, len(sizes))).collect()
+    # The bound bites only where many rows share a text; the smallest hashes are taken, so that a rerun learns the same.
+    rows = map_arrow(chosen.withColumn("mark", F.xxhash64("text", "lang")), run, "lang string, mark long, tf binary").orderBy("mark", "lang", "tf").limit(2 * max(sample, len(sizes))).collect()
     langs, of, centres, least = sorted({r.lang for r in rows}), [], [], []
     for i, lang in enumerate(langs):
         x = unit(np.stack([np.frombuffer(r.tf, np.float32) for r in rows if r.lang == lang]), idf)
