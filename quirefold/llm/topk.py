@@ -1,4 +1,8 @@
-"""Exact top-k search: term-at-a-time accumulation of integer inner products, block by block, then a merge."""
+"""Exact top-k search: term-at-a-time accumulation of integer inner products, block by block, then a merge.
+
+Each candidate is copied once a query block and each query once a candidate block, so blocks are as large as a task's memory
+allows; where there are too few pairs of blocks to keep the cluster busy, candidate blocks shrink.
+"""
 
 from __future__ import annotations
 
@@ -11,22 +15,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quirefold.llm.common import bound_batches, cut
+from quirefold.llm.common import bound_batches, cut, partitions
 
-CANDIDATE_ROWS = 8192
-QUERY_ROWS = 1024
+#: Most rows of a block, and the least that a candidate block shrinks to.
+CANDIDATE_ROWS = 1 << 15
+QUERY_ROWS = 1 << 15
+LEAST_ROWS = 2048
+#: Cells of the dense scores that a task holds at once.
+CELLS = 1 << 21
 
 
 def quantise(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """(vec_id, terms array<long>): floor(scale * x) of each component; rows that are null or hold a null or a non-finite component take no part.
+    """(vec_id, terms array<long>): floor(scale * x) of each component; vectors that are null or hold a null or a non-finite component take no part.
 
-    Rows that share a vec_id count once: the smallest of their vectors.
+    Every other row counts, also rows that share a vec_id or have none.
     """
     x = F.col("embedding")
     odd = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    rows = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull()).where(~odd)
+    rows = vectors.where(x.isNotNull()).where(~odd)
     terms = F.transform(x, lambda v: F.floor(v.cast("double") * F.lit(float(scale))).cast("long"))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), terms.alias("terms")).groupBy("vec_id").agg(F.min("terms").alias("terms"))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), terms.alias("terms"))
 
 
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -42,7 +50,7 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to smaller ids: partition selection, then a sort of what is left."""
+    """Places of the k highest scores, ties to smaller ids (none last): partition selection, then a sort of what is left."""
     if len(scores) > k:
         least = np.partition(scores, len(scores) - k)[len(scores) - k]
         places = np.flatnonzero(scores >= least)
@@ -59,17 +67,22 @@ def matrix(terms: Iterable) -> np.ndarray:
     return out
 
 
-def _pair(k: int, slice_rows: int = 256):
+def _pair(k: int):
     def search(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        c, ids = matrix(candidates["terms"]), candidates["vec_id"].to_numpy(np.int64)
-        for i in range(0, len(queries) if len(ids) else 0, slice_rows):
-            part = queries.iloc[i : i + slice_rows]
-            for qid, row in zip(part["vec_id"].to_numpy(np.int64), accumulate(matrix(part["terms"]), c), strict=True):
-                own = np.flatnonzero(ids == qid)
-                r, n = (np.delete(row, own), np.delete(ids, own)) if len(own) else (row, ids)
-                out += [(int(qid), int(n[p]), int(r[p])) for p in best(r, n, k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+        out: list[tuple] = []
+        # In this order a smaller place is a smaller id, none last, so places break ties; rows of one id stand apart by number.
+        some = len(queries) and len(candidates)
+        candidates = candidates.sort_values(["none", "c_id", "c_row"]) if some else pd.DataFrame({x: [] for x in ("c_id", "none", "c_row", "c_terms")})
+        c, places = matrix(candidates["c_terms"]), np.arange(len(candidates))
+        ids, none, rows = (candidates[x].to_numpy() for x in ("c_id", "none", "c_row"))
+        step = max(1, CELLS // max(1, len(rows)))
+        for i in range(0, len(queries) if len(rows) else 0, step):
+            part = queries.iloc[i : i + step]
+            for row, qid, scores in zip(part["row"].to_numpy(), part["vec_id"].to_numpy(), accumulate(matrix(part["terms"]), c), strict=True):
+                own = np.flatnonzero(rows == row)
+                s, at = (np.delete(scores, own), np.delete(places, own)) if len(own) else (scores, places)
+                out += [(row, qid, ids[p], none[p], rows[p], s[j]) for j in best(s, at, k) for p in (at[j],)]
+        return pd.DataFrame(out, columns=["row", "query_id", "id", "none", "at", "score"]).astype({"row": "int64", "query_id": "int64", "id": "int64", "none": "bool", "at": "int64", "score": "int64"})
 
     return search
 
@@ -77,21 +90,29 @@ def _pair(k: int, slice_rows: int = 256):
 def top_k(vectors: DataFrame, is_query: str, k: int = 10, candidate_rows: int = CANDIDATE_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k candidates of highest inner product for each query row of (vec_id, terms).
 
-    Rows are dealt to blocks by a hash of their id, so equal vectors do not share a block by design. Each task scores one
-    query block against one candidate block, both of bounded size, and keeps k rows a query; the merge ranks k rows a
-    block. A query is no candidate of its own. Fewer than k candidates: all. No queries or no rows: an empty result.
+    Rows are numbered once and dealt to blocks by a hash of the number, so rows that share an id or a vector do not share a
+    block. Each task scores one query block against one candidate block, both of bounded size, and keeps k rows a query; the
+    merge ranks k rows a block. A query row is no candidate of its own; other rows of its id are. Fewer than k candidates:
+    all. No queries or no rows: an empty result.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
-    v = cut(vectors)
-    n, q = v.agg(F.count("*"), F.count_if(F.expr(is_query))).first()
-    nc, nq = max(1, math.ceil((n or 0) / candidate_rows)), max(1, math.ceil((q or 0) / query_rows))
-    block = lambda m, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
+    # Ids without nulls, which pandas would turn into floating numbers.
+    v = cut(vectors.select(F.coalesce("vec_id", F.lit(0)).alias("vec_id"), F.col("vec_id").isNull().alias("none"), "terms", F.monotonically_increasing_id().alias("row")))
+    asking = F.expr(is_query) & ~F.col("none")
+    n, q = (x or 0 for x in v.agg(F.count("*"), F.count_if(asking)).first())
+    p = partitions(spark)
+    nq = max(1, math.ceil(q / query_rows))
+    nc = max(1, math.ceil(n / candidate_rows), min(math.ceil(n / LEAST_ROWS), math.ceil(p / nq)))
+    block = lambda m, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    cands = v.select("vec_id", "terms", block(nc, 1).alias("cb"), every(nq).alias("qb"))
-    asks = v.where(is_query).select("vec_id", "terms", block(nq, 2).alias("qb"), every(nc).alias("cb"))
-    found = asks.groupBy("cb", "qb").cogroup(cands.groupBy("cb", "qb")).applyInPandas(_pair(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
+    dealt = lambda df: df.repartition(max(1, min(p, nc * nq)), "cb", "qb").groupBy("cb", "qb")
+    # Columns of their own names: those that both sides share are lost in a cogroup of repartitioned frames.
+    cands = v.select(F.col("row").alias("c_row"), F.col("vec_id").alias("c_id"), "none", F.col("terms").alias("c_terms"), block(nc, 1).alias("cb"), every(nq).alias("qb"))
+    asks = v.where(asking).select("row", "vec_id", "terms", block(nq, 2).alias("qb"), every(nc).alias("cb"))
+    found = dealt(asks).cogroup(dealt(cands)).applyInPandas(_pair(k), "row long, query_id long, id long, none boolean, at long, score long")
+    found = found.withColumn("vec_id", F.when(~F.col("none"), F.col("id")))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "at"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -100,8 +121,8 @@ def op10(spark, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-WITH v AS (SELECT vec_id, min(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE))) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
-SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s) WHERE rank <= 10
 """

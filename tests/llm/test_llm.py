@@ -521,17 +521,19 @@ def test_top_k_equals_brute_force(spark):
     r = np.random.default_rng(8)
     rows = [(i, [float(x) if x > 0.2 else 0.0 for x in r.normal(size=6)]) for i in range(500)]
     rows += [(500 + i, rows[3][1]) for i in range(30)]
-    bad = [(1000, None), (1100, [None] * 6), (1200, [float("nan")] * 6), (1300, [float("inf")] + [0.0] * 5), (None, [1.0] * 6)]
+    bad = [(1000, None), (1100, [None] * 6), (1200, [float("nan")] * 6), (1300, [float("inf")] + [0.0] * 5), (None, [9.0] * 6)]
     v = topk.quantise(spark.createDataFrame(rows + bad + rows[:2], "vec_id long, embedding array<float>"))
-    q = {i: np.floor(1024 * np.array(x, np.float32).astype(float)).astype(int) for i, x in rows}
-    want = set()
-    for i in q:
-        if i % 100 == 0:
-            best = sorted(((-int(q[i] @ q[j]), j) for j in q if j != i))[:10]
-            want |= {(i, n, j, -s) for n, (s, j) in enumerate(best, 1)}
+    # Every row counts: also one without an id, and each of those that share one.
+    q = [(i, np.floor(1024 * np.array(x, np.float32).astype(float)).astype(int)) for i, x in [*rows, *rows[:2], (None, [9.0] * 6)]]
+    want = Counter()
+    for a, (i, x) in enumerate(q):
+        if i is not None and i % 100 == 0:
+            best = sorted((-int(x @ y), j is None, j or 0) for b, (j, y) in enumerate(q) if b != a)[:10]
+            want.update((i, n, None if none else j, -s) for n, (s, none, j) in enumerate(best, 1))
+    assert any(x[2] is None for x in want) and max(want.values()) == 2
     for blocks in ((8192, 1024), (64, 2)):
-        assert {tuple(x) for x in topk.top_k(v, "vec_id % 100 = 0", 10, *blocks).collect()} == want
-    assert topk.top_k(v.where("vec_id < 3"), "vec_id % 100 = 0", 10).count() == 2
+        assert Counter(tuple(x) for x in topk.top_k(v, "vec_id % 100 = 0", 10, *blocks).collect()) == want
+    assert topk.top_k(v.where("vec_id < 3"), "vec_id % 100 = 0", 10).count() == 2 * 4
     assert topk.top_k(v.limit(0), "vec_id % 100 = 0", 10).count() == 0
 
 
