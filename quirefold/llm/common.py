@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 BATCH_BYTES = 32 << 20
 MEMO_WORDS = 1 << 17
@@ -28,10 +29,12 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names; one of our own only where none is named, as in tests."""
+    """The checkpoint folder that the cluster names; one of our own only where none is named and all runs on this machine, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 
@@ -52,10 +55,13 @@ def keyed_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     if odd.isEmpty():  # reads doc_id alone
         keyed = ids.where("doc_id IS NOT NULL").withColumn("key", F.col("doc_id"))
         return keyed, keyed, True
-    mark = F.xxhash64("text")
-    order = ids.groupBy("doc_id", mark.alias("mark")).agg(F.min("text").alias("text")).orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    keys = cut(order.select("doc_id", "mark", F.monotonically_increasing_id().alias("key"))).withColumnRenamed("doc_id", "k_id")
-    keyed = ids.withColumn("m", mark).join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("m") == F.col("mark"))).select("key", "doc_id", "text")
+    # Only the ids that clash bring their texts into the order; all others are ordered by their ids alone.
+    mark = F.coalesce(F.sha2("text", 256), F.lit(""))
+    clash = odd.select(F.col("doc_id").alias("o_id"), F.lit(True).alias("clash"))
+    marked = ids.withColumn("mark", mark).join(clash, F.col("doc_id").eqNullSafe(F.col("o_id")), "left").drop("o_id")
+    order = marked.groupBy("doc_id", "mark").agg(F.min(F.when(F.col("clash"), F.col("text"))).alias("text")).orderBy(F.col("doc_id").asc_nulls_first(), "text", "mark")
+    keys = cut(order.select("doc_id", "mark", F.monotonically_increasing_id().alias("key"))).withColumnRenamed("doc_id", "k_id").withColumnRenamed("mark", "m")
+    keyed = marked.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("m") == F.col("mark"))).select("key", "doc_id", "text")
     return keyed, keyed.dropDuplicates(["key"]), False
 
 
@@ -174,8 +180,25 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-#: Rows for each partition of a table of links that a round writes.
+#: Rows for each partition of a table of links that a round writes; and the rows of a round's map that are broadcast.
 LINKS_EACH = 20_000
+BROADCAST_LINKS = 100_000
+
+
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds for each name the sum of its column over all rows before the row in an order without ties.
+
+    Rows are dealt to ranges of the order, each range starts behind the sums of the ranges before it, and the one window
+    over all holds a row a range: no task sees the whole table. The result is cut, so that all later reads agree.
+    """
+    dealt = cut(df.select("*", *(c.alias(f"_{n}") for n, c in sums.items())).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(F.col("_range").alias("_r")).agg(*(F.sum(f"_{n}").alias(f"_all_{n}") for n in sums))
+    starts = starts.select("_r", *(F.coalesce(F.sum(f"_all_{n}").over(before), F.lit(0)).alias(f"_start_{n}") for n in sums))
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumns({f"_in_{n}": F.coalesce(F.sum(f"_{n}").over(within), F.lit(0)) for n in sums})
+    placed = placed.join(F.broadcast(starts), F.col("_range") == F.col("_r"))  # a row a partition
+    return placed.select(*df.columns, *((F.col(f"_start_{n}") + F.col(f"_in_{n}")).alias(n) for n in sums))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int | None = None) -> DataFrame:
@@ -185,6 +208,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int | None =
     rounds' maps are then followed back. All state stays in distributed tables cut in the checkpoint folder, in as many
     partitions as their rows call for. most: a bound of the number of nodes, if one is known.
     """
+    # A round's map goes to every task while it is small, so that a hub's many links need not meet; beyond, AQE splits such a join.
+    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_LINKS else df
     few = lambda df, n: df.coalesce(max(1, min(partitions(df.sparkSession), -(-n // LINKS_EACH))))
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
     e = cut(few(e, most) if most else e)
@@ -195,8 +220,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int | None =
         up = cut(few(up, n))
         maps.append(up)
         e = (
-            e.join(up, e.a == up.node).select(F.col("root").alias("a"), "b")
-            .join(up.select(F.col("node").alias("n2"), F.col("root").alias("r2")), F.col("b") == F.col("n2"))
+            e.join(small(up, n), e.a == up.node).select(F.col("root").alias("a"), "b")
+            .join(small(up.select(F.col("node").alias("n2"), F.col("root").alias("r2")), n), F.col("b") == F.col("n2"))
             .select("a", F.col("r2").alias("b")).where("a <> b").distinct()
         )
         e = cut(few(e, n))

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quirefold.llm.common import cut, on_disk
+from quirefold.llm.common import cut, on_disk, running_sums
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
@@ -30,18 +29,16 @@ def source_targets(sources: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFr
 
     target = min(max_repeats * source_size, level * weight) with the one level at which the targets share the total,
     which is where resharing the excess by weight ends. Sources in ascending order of cap / weight fill up first, so the
-    level comes from running sums. The window runs over one row a source, not over documents.
+    level comes from running sums over one row a source, range by range: no task holds all sources.
     """
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    filled = order.rowsBetween(Window.unboundedPreceding, -1)
-    s = sources.withColumn("cap", F.lit(max_repeats) * F.col("source_size"))
-    every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumns({"total": F.sum("source_size").over(every), "all_weight": F.sum("weight").over(every)})
-    s = s.withColumns({"before": F.coalesce(F.sum("cap").over(filled), F.lit(0)), "left": F.col("all_weight") - F.coalesce(F.sum("weight").over(filled), F.lit(0))})
-    # The level if this source is the first that is not filled; the smallest that fits holds for all.
-    s = s.withColumn("level", (F.col("total") - F.col("before")) / F.col("left"))
-    s = s.withColumn("fits", F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level")))
-    s = s.withColumn("level", F.first("fits", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    order = [(F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last()]
+    s = running_sums(sources.withColumn("cap", F.lit(max_repeats) * F.col("source_size")), order, {"before": F.col("cap"), "passed": F.col("weight")})
+    s = s.crossJoin(F.broadcast(s.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("all_weight"))))  # one row
+    # The level if this source is the first that is not filled; the first that fits holds for all.
+    s = s.withColumn("level", (F.col("total") - F.col("before")) / (F.col("all_weight") - F.col("passed")))
+    place = F.struct((F.col("cap") / F.col("weight")).alias("ratio"), F.col("source").isNull().alias("last"), "source")
+    level = s.agg(F.min_by("level", F.when(F.col("level") * F.col("weight") <= F.col("cap"), place)).alias("level"))
+    s = s.drop("level").crossJoin(F.broadcast(level))  # one row
     s = s.withColumn("target", F.coalesce(F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")), F.lit(0.0)))
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(max_repeats)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     return s.select("source", "source_size", "weight", "target", rate.alias("rate"))
@@ -56,18 +53,18 @@ def mix_plan(docs: DataFrame, weights: DataFrame | None = None, max_repeats: int
     """
     sums = docs.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     if weights is None:
-        n = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-        sums = sums.withColumn("weight", ((n - 1) % 3 + 1).cast("long"))
+        place = running_sums(sums, [F.col("source").asc_nulls_last()], {"place": F.lit(1)})
+        sums = place.withColumn("weight", (F.col("place") % 3 + 1).cast("long")).drop("place")
     else:
         w = weights.select(F.col("source").alias("w_source"), "weight")
         sums = sums.join(w, F.col("source").eqNullSafe(F.col("w_source"))).drop("w_source")
-    plan = cut(source_targets(sums, max_repeats).withColumnRenamed("source", "p_source").coalesce(1))
+    plan = cut(source_targets(sums, max_repeats).withColumnRenamed("source", "p_source"))
     joined = with_plan(docs.select("doc_id", "source", "size"), plan)
     took = lambda seed: F.col("size") * copies(F.lit(seed))
     totals = joined.groupBy("p_source").agg(F.first("target").alias("goal"), *(F.sum(took(k)).alias(f"t{k}") for k in range(seeds)))
     best = F.array_min(F.array(*(F.struct(F.abs(F.col(f"t{k}") - F.col("goal")).alias("off"), F.lit(k).alias("seed")) for k in range(seeds))))["seed"]
     chosen = totals.select(F.col("p_source").alias("c_source"), best.alias("seed"))
-    return cut(plan.join(chosen, F.col("p_source").eqNullSafe(F.col("c_source"))).drop("c_source").coalesce(1))
+    return cut(plan.join(chosen, F.col("p_source").eqNullSafe(F.col("c_source"))).drop("c_source"))
 
 
 def with_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
