@@ -1,4 +1,7 @@
-"""Document fingerprints: MinHash signatures over word shingles, their bands joined in Spark, Jaccard verified."""
+"""Document fingerprints: MinHash signatures over word shingles, their bands joined in Spark, Jaccard verified.
+
+op6 itself needs each document's fingerprint and that of its neighbour only; `near_pairs` is the join over all documents.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import MinHash, SIMILARITY, bound_batches, cut, map_arrow, partitions, shingles
+from quirefold.llm.common import SIMILARITY, MinHash, band_keys, bound_batches, map_arrow, partitions, shingles
+from quirefold.llm.jaccard_join import jaccard_classes
 
 PERMUTATIONS = 128
-DIGITS = 4
+#: Bands of a fingerprint and their rows: a pair of similarity 0.8 shares one with a probability of 0.998.
+BANDS, ROWS = 21, 6
 #: Parts of the range of doc_id for each shuffle partition.
 RANGES_EACH = 4
 
@@ -67,12 +72,20 @@ def with_next(docs: DataFrame, fn, schema: pa.Schema, ddl: str) -> DataFrame:
         cuts = [None]
     real = [c for c in cuts if c is not None]
     offset = len(cuts) - len(real)
-    place = F.lit(0)
+    place, first = F.lit(0), F.lit(True)
     if real:
-        # Cuts ascend, so the number of cuts up to the id is its place among them.
-        place = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*map(F.lit, real)), lambda c: c <= F.col("doc_id"))) + F.lit(offset - 1))
-    starts = F.array(*(F.lit(c).cast("long") for c in real)) if real else F.array().cast("array<long>")
-    first = F.when(F.col("doc_id").isNull(), F.lit(True)).otherwise(F.array_contains(starts, F.col("doc_id")))
+        # Cuts ascend: the number of rows' first cuts up to the id names a row of cuts, and their number in that row the cut.
+        # So a row is compared with about twice the root of the number of cuts.
+        wide = int(len(real) ** 0.5) + 1
+        listed = lambda xs: f"array({', '.join(xs)})"
+        rows = F.expr(listed(listed(f"{c}L" if c > -(1 << 63) else "bigint(-9223372036854775808)" for c in real[i : i + wide]) for i in range(0, len(real), wide)))
+        up_to = lambda xs, key: F.size(F.filter(xs, lambda c: key(c) <= F.col("doc_id")))
+        row = up_to(rows, lambda c: c[0]) - 1
+        at = lambda r: F.get(rows, r)
+        found = once(row, lambda r: once(up_to(at(r), lambda c: c) - 1, lambda i: F.struct((r * wide + i + offset).alias("part"), (F.get(at(r), i) == F.col("doc_id")).alias("first"))))
+        place = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.col("_found.part"))
+        first = F.col("doc_id").isNull() | F.col("_found.first")
+        ids = ids.withColumn("_found", found)
     own = F.struct(place.alias("part"), F.lit(0).alias("ahead"))
     ahead = F.struct(F.when(place == 0, F.lit(len(cuts) - 1)).otherwise(place - 1).alias("part"), F.lit(1).alias("ahead"))
     dealt = ids.select("doc_id", "text", F.explode(F.when(first, F.array(own, ahead)).otherwise(F.array(own))).alias("at"))
@@ -96,11 +109,20 @@ def with_next(docs: DataFrame, fn, schema: pa.Schema, ddl: str) -> DataFrame:
     return dealt.mapInArrow(run, ddl)
 
 
+def fingerprint_bands(grams: np.ndarray) -> np.ndarray:
+    """Band hashes of a fingerprint's own values."""
+    return band_keys((_minhash()(grams) & np.uint32(0xFFFF)).astype(np.uint32), BANDS, ROWS)
+
+
 def near_pairs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row a document with its class of near-equal fingerprints and its links: bands joined in Spark, Jaccard verified on full shingle sets."""
-    from quirefold.llm.jaccard_join import jaccard_classes
+    """(doc_id, class_id, n_links, n_copies) of each document: the bands of the fingerprints are joined in Spark, and what
+    meets is verified by the Jaccard similarity of full shingle sets."""
+    return jaccard_classes(docs, similarity, bands_of=fingerprint_bands)
+
 
-    return jaccard_classes(docs, similarity)
+def once(x, fn):
+    """fn(x) with x computed once."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
 
 
 def _digest(doc_ids: list, texts: list, following: list) -> list[list]:

@@ -8,7 +8,7 @@ the pairs that share a band, and hands back a count for each node and a spanning
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,10 +35,18 @@ def _minhash(k: int) -> MinHash:
 ODD = 0x9E3779B97F4A7C15
 
 
-def sketch(keyed: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n: int = SHINGLE_WORDS) -> DataFrame:
+Bands = Callable[[np.ndarray], np.ndarray]
+
+
+def standard_bands(similarity: float = SIMILARITY, recall: float = RECALL) -> Bands:
+    """Band hashes of an n-gram set, in so many bands that a pair of that similarity meets with that probability."""
+    bands, rows = banding(similarity, recall, ROWS)
+    return lambda grams: band_keys(_minhash(bands * rows)(grams), bands, rows)
+
+
+def sketch(keyed: DataFrame, bands_of: Bands, n: int = SHINGLE_WORDS) -> DataFrame:
     """(key, node, doc_id, set, bands) of (key, doc_id, text) rows: node is the key in scattered order, set the key of the n-gram
     set, bands its band hashes; the last two are null for a text without words."""
-    bands, rows = banding(similarity, recall, ROWS)
 
     def run(c: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"key": c["key"], "doc_id": c["doc_id"], "set": [], "bands": []}
@@ -46,7 +54,7 @@ def sketch(keyed: DataFrame, similarity: float = SIMILARITY, recall: float = REC
         for text in c["text"]:
             grams = shingles(text, n)
             out["set"].append(set_key(grams) if len(grams) else None)
-            out["bands"].append(band_keys(_minhash(bands * rows)(grams), bands, rows) if len(grams) else None)
+            out["bands"].append(bands_of(grams) if len(grams) else None)
         return out
 
     return map_arrow(keyed.select("key", "doc_id", "text"), run, "key long, node long, doc_id long, set binary, bands array<long>")
@@ -120,16 +128,18 @@ def _verify(similarity: float):
     return run
 
 
-def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n: int = SHINGLE_WORDS) -> DataFrame:
+def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, n: int = SHINGLE_WORDS, bands_of: Bands | None = None) -> DataFrame:
     """(doc_id, class_id, n_links, n_copies), one row for each input row.
 
     class_id is the smallest doc_id among the documents that links connect; n_links counts the other rows whose n-gram sets
     have at least that similarity to the row's (n_copies of them have the very same set). Texts of fewer than n words are
-    one n-gram; null and blank texts are classes of their own without links; repeated rows count as copies of each other.
+    one n-gram; null and blank texts are classes of their own without links; repeated rows count as copies of each other; an
+    empty table gives an empty one, and other columns play no part. bands_of: other bands of an n-gram set than the standard.
     """
     bound_batches(docs.sparkSession)
+    bands_of = bands_of or standard_bands(similarity, recall)
     keyed, _, _ = keyed_rows(docs)
-    sk = on_disk(sketch(keyed, similarity, recall, n))
+    sk = on_disk(sketch(keyed, bands_of, n))
     rows = sk.count()
     some = sk.where("set IS NOT NULL")
     sets = some.groupBy("set").agg(F.min("node").alias("first"), F.min_by("key", "node").alias("rep_key"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -142,7 +152,7 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     members = comp.join(sizes, "root").join(sets.select(F.col("first").alias("node"), "rep_key", "copies"), "node")
     members = members.select("node", "root", "copies", "rep_key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     texts = keyed.join(members, F.col("key") == F.col("rep_key")).select("node", "root", "copies", "blocks", "text")
-    found = on_disk(_linked(texts, similarity, recall, n))
+    found = on_disk(_linked(texts, similarity, bands_of, n))
     links = found.groupBy("a").agg(F.sum("links").alias("others"))
     classes = components(found.where("a <> b").select("a", "b"), most=rows)
     named = sets.join(links, F.col("first") == F.col("a"), "left").join(classes, F.col("first") == F.col("node"), "left")
@@ -162,9 +172,8 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     return out
 
 
-def _linked(texts: DataFrame, similarity: float, recall: float, n: int) -> DataFrame:
+def _linked(texts: DataFrame, similarity: float, bands_of: Bands, n: int) -> DataFrame:
     """(a, b, links) of the nodes that have links, unit by unit: b connects a within the unit."""
-    bands, rows = banding(similarity, recall, ROWS)
 
     def sets(c: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("root", "node", "bands", "grams", "copies", "blocks", "block")}
@@ -172,7 +181,7 @@ def _linked(texts: DataFrame, similarity: float, recall: float, n: int) -> DataF
             grams = shingles(text, n)
             for k in ("root", "node", "copies", "blocks"):
                 out[k].append(c[k][i])
-            out["bands"].append(band_keys(_minhash(bands * rows)(grams), bands, rows))
+            out["bands"].append(bands_of(grams))
             out["grams"].append(grams.tobytes())
             out["block"].append((c["node"][i] >> 7) % c["blocks"][i])
         return out
