@@ -10,7 +10,7 @@ NUMERIC = r"(?<![0-9])([0-9]{1,2})\s*[/.\-]\s*([0-9]{1,2})\s*[/.\-]\s*([0-9]{4})
 NAMED = r"(?i)ngày\s*([0-9]{1,2})\s*tháng\s*([0-9]{1,2})\s*năm\s*([0-9]{4})"
 CLOCK = r"(?<![0-9])([01]?[0-9]|2[0-3])\s*[:hH]\s*([0-5][0-9])(?![0-9])"
 #: Whole-text formats in the order in which they are tried.
-FORMATS = ("yyyy-MM-dd", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy/M/d")
+FORMATS = ("yyyy-MM-dd", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/MMM/yyyy", "d MMMM yyyy", "d 'tháng' M 'năm' yyyy")
 
 
 def of_parts(y: Column, m: Column, d: Column) -> Column:
@@ -35,6 +35,43 @@ def short_year(text: Column) -> Column:
     return of_parts(F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y), F.regexp_extract(text, p, 2), F.regexp_extract(text, p, 1))
 
 
+def named_dates(text: Column) -> Column:
+    """All dates written out in Vietnamese, in order; days that do not exist are left out."""
+    each = F.regexp_extract_all(text, F.lit(f"({NAMED.removeprefix('(?i)')})".replace("ngày", "(?i)ngày", 1)), F.lit(1))
+    return F.filter(F.transform(each, lambda m: of_parts(*(F.regexp_extract(m, NAMED, i) for i in (3, 2, 1)))), lambda d: d.isNotNull())
+
+
+def typed_date(text: Column) -> Column:
+    """A date in ISO form or in figures, else three whole numbers of which the last has four digits."""
+    p = r"^\D*([0-9]{1,2})\D+([0-9]{1,2})\D+([0-9]{4})\D*$"
+    return F.coalesce(F.try_to_date(F.trim(text), "yyyy-MM-dd"), first_date(text), F.when(text.rlike(p), of_parts(*(F.regexp_extract(text, p, i) for i in (3, 2, 1)))))
+
+
+def duration_key(text: Column) -> Column:
+    """`qualifier|amount|unit` of a whole text that names years of experience; null else."""
+    t = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    p = r"^(?:(hơn|trên|ít\s+nhất)\s+)?(\d+(?:[.,]\d+)?)\s*(năm|nam|years|year)(?:\s+kinh\s+nghiệm)?$"
+    part = lambda i: F.regexp_extract(t, p, i)
+    return F.when(t.rlike(p), F.concat_ws("|", part(1), F.replace(part(2), F.lit(","), F.lit(".")), F.when(part(3).isin("năm", "nam"), "năm").otherwise("year")))
+
+
+#: A span of the day, and the days of a week's schedule (fixed values).
+SPAN = r"([01]?[0-9]|2[0-3])\s*(?:[:hH]|giờ)\s*([0-5][0-9])?\s*(?:-|–|đến)\s*([01]?[0-9]|2[0-3])\s*(?:[:hH]|giờ)\s*([0-5][0-9])?"
+WORK_DAYS = 5
+
+
+def weekly_hours(text: Column, days: int = WORK_DAYS) -> Column:
+    """Hours of a week of work days, each of the two spans of the day that the text names; null unless it names two."""
+    spans = F.regexp_extract_all(text, F.lit(f"({SPAN})"), F.lit(1))
+
+    def hours(s: Column) -> Column:
+        part = lambda i: F.coalesce(F.regexp_extract(s, SPAN, i).try_cast("int"), F.lit(0))
+        return (part(3) * 60 + part(4) - part(1) * 60 - part(2)) / F.lit(60.0)
+
+    total = F.aggregate(F.transform(F.slice(spans, 1, 2), hours), F.lit(0.0), lambda a, h: a + h)
+    return F.when(F.size(spans) >= 2, F.bround(total * days, 2))
+
+
 def minutes(text: Column) -> Column:
     """Minutes of the day of the first clock time; null without one."""
     h, m = (F.regexp_extract(text, CLOCK, i).try_cast("int") for i in (1, 2))

@@ -6,31 +6,93 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quirefold.functions.dates import date_key
-from quirefold.functions.numbers import decimal_token, rate
-from quirefold.functions.text import collapse, match_ratio, shared_tokens, tokens
-
-
-def match_status(truth: Column, pred: Column) -> Column:
-    """EXACT, CASE_INSENSITIVE, PARTIAL_80 (four fifths of the true tokens are there), MISMATCH or MISSING."""
-    t, p = collapse(truth), collapse(pred)
-    a, b = tokens(t), tokens(p)
-    return (
-        F.when(p.isNull() | (p == ""), "MISSING").when(t == p, "EXACT").when(F.lower(t) == F.lower(p), "CASE_INSENSITIVE")
-        .when(shared_tokens(a, b) >= 0.8 * F.size(a), "PARTIAL_80").otherwise("MISMATCH")
-    )
+from quirefold.functions.dates import date_key, duration_key
+from quirefold.functions.numbers import plain_number, rate
+from quirefold.functions.text import collapse, match_ratio, once, shared_tokens, tokens
+
+
+#: Least share of the true tokens for a soft match (fixed value).
+SOFT = 0.8
+
+
+def _pair(truth: Column, pred: Column) -> Column:
+    """Both sides composed and collapsed, their tokens, and how many they share."""
+    t, p = (collapse(F.coalesce(x, F.lit(""))) for x in (truth, pred))
+    return once(
+        F.struct(t.alias("t"), p.alias("p"), tokens(t).alias("a"), tokens(p).alias("b")),
+        lambda x: F.struct(x["t"].alias("t"), x["p"].alias("p"), F.size(x["a"]).alias("n"), F.size(x["b"]).alias("m"), shared_tokens(x["a"], x["b"]).alias("shared")),
+    )
+
+
+def _part(n: Column, d: Column) -> Column:
+    return n / F.greatest(F.lit(1), d)
+
+
+def match_fields(truth: Column, pred: Column, soft: Column) -> Column:
+    """struct<match_type, exact, matched, coverage, diagnosis>: equal text, else for soft fields equal but for case, or four fifths of the true tokens."""
+
+    def of(x: Column) -> Column:
+        cover = _part(x["shared"], x["n"])
+        none, absent, fold = x["t"] == "", x["p"] == "", F.lower(x["t"]) == F.lower(x["p"])
+        kind = (
+            F.when(x["t"] == x["p"], "EXACT").when(none, "EXTRA_PREDICTION").when(absent, "NOT_FOUND").when(~soft, "MISMATCH")
+            .when(fold, "CASE_INSENSITIVE").when(cover >= SOFT, "PARTIAL_80").otherwise("PARTIAL_BELOW_80")
+        )
+        why = F.element_at(F.create_map(*(F.lit(v) for kv in DIAGNOSES.items() for v in kv)), kind)
+        full = kind.isin("EXACT", "CASE_INSENSITIVE")
+        return F.struct(kind.alias("match_type"), (kind == "EXACT").alias("exact"), kind.isin("EXACT", "CASE_INSENSITIVE", "PARTIAL_80").alias("matched"), F.when(full, 1.0).when(kind.startswith("PARTIAL"), F.bround(cover, 6)).otherwise(0.0).alias("coverage"), why.alias("diagnosis"))
+
+    return once(_pair(truth, pred), of)
+
 
+#: Why a field does not match, by kind (fixed values).
+DIAGNOSES = {"EXTRA_PREDICTION": "PREDICTION_FOR_ABSENT_FIELD", "NOT_FOUND": "OCR_NOT_RECOGNIZED", "MISMATCH": "OCR_RECOGNIZED_PARSER_MISSED", "PARTIAL_BELOW_80": "PARTIAL_TEXT_BELOW_80"}
+#: Canonical forms and what they say of two texts that agree in them (fixed values).
+CANONICAL = {"date": "DATE_FORMAT_ONLY", "duration": "DURATION_LABEL_ONLY", "decimal": "DECIMAL_FORMAT_ONLY", "tokens": "CASE_PUNCTUATION_LAYOUT_ONLY"}
 
-def canonical_match(truth: Column, pred: Column) -> Column:
-    """RAW_EXACT, DATE, NUMBER or TOKENS of equal canonical values, SOFT for a token coverage of 0.8, MISMATCH or MISSING."""
-    t, p = collapse(truth), collapse(pred)
-    a, b = tokens(t), tokens(p)
-    return (
-        F.when(p.isNull() | (p == ""), "MISSING").when(t == p, "RAW_EXACT")
-        .when(date_key(t) == date_key(p), "DATE")
-        .when(decimal_token(t) == decimal_token(p), "NUMBER")
-        .when((F.size(a) > 0) & (a == b), "TOKENS")
-        .when((F.size(a) > 0) & (shared_tokens(a, b) >= 0.8 * F.size(a)), "SOFT").otherwise("MISMATCH")
+
+def canonical_fields(truth: Column, pred: Column, form: Column, soft: Column) -> Column:
+    """struct<match_type, exact, matched, coverage, precision, over_extraction, reason, diagnosis> by equal text, equal canonical form, or soft coverage.
+
+    form names the field's canonical form (date, duration, decimal, tokens) or is null.
+    """
+
+    def of(x: Column) -> Column:
+        keyed = lambda s: F.when(form == "date", date_key(s).cast("string")).when(form == "duration", duration_key(s)).when(form == "decimal", plain_number(s).cast("string")).when(form == "tokens", F.nullif(F.array_join(tokens(s), " "), F.lit("")))
+        same = F.coalesce(keyed(x["t"]) == keyed(x["p"]), F.lit(False))
+        cover, precision = F.bround(_part(x["shared"], x["n"]), 6), F.bround(_part(x["shared"], x["m"]), 6)
+        kind = (
+            F.when((x["t"] == "") & (x["p"] != ""), "EXTRA_PREDICTION").when(x["t"] == x["p"], "RAW_EXACT").when(x["p"] == "", "NOT_FOUND")
+            .when(same, "CANONICAL_EXACT").when(soft & (cover >= SOFT), "ACCEPTED_PARTIAL").otherwise("MISMATCH")
+        )
+        compared = soft & kind.isin("ACCEPTED_PARTIAL", "MISMATCH")
+        why = F.when(compared & (kind == "MISMATCH"), "PARTIAL_TEXT_BELOW_80").otherwise(F.element_at(F.create_map(*(F.lit(v) for kv in DIAGNOSES.items() for v in kv)), kind))
+        return F.struct(
+            kind.alias("match_type"), kind.isin("RAW_EXACT", "CANONICAL_EXACT").alias("exact"), kind.isin("RAW_EXACT", "CANONICAL_EXACT", "ACCEPTED_PARTIAL").alias("matched"),
+            F.when(compared, cover).when(kind.isin("RAW_EXACT", "CANONICAL_EXACT") & (x["t"] != ""), 1.0).otherwise(0.0).alias("coverage"), F.when(compared, precision).alias("precision"),
+            ((kind == "ACCEPTED_PARTIAL") & (precision < 1)).alias("over_extraction"), F.when(kind == "CANONICAL_EXACT", F.element_at(F.create_map(*(F.lit(v) for kv in CANONICAL.items() for v in kv)), form)).alias("reason"), why.alias("diagnosis"),
+        )
+
+    return once(_pair(truth, pred), of)
+
+
+def compared_file(fields: DataFrame, by: list[str]) -> DataFrame:
+    """(by, fields, compared, exact, accepted, mismatched, missing, unreviewed, decision) of fields (truth, pred, reviewed, form, soft).
+
+    PASS needs every field reviewed and none wrong; without fields it is HOLD.
+    """
+    m = canonical_fields(F.col("truth"), F.col("pred"), F.col("form"), F.col("soft"))
+    filled = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
+    status = (
+        F.when(~F.col("reviewed"), "NEEDS_REVIEW").when(filled("truth") & ~filled("pred"), "MISSING")
+        .when(F.col("m.exact"), "EXACT").when(F.col("m.matched"), "ACCEPTED").otherwise("MISMATCH")
+    )
+    rows = fields.withColumn("m", m).withColumn("s", status)
+    n = lambda s: F.count_if(F.col("s") == s)
+    good = (F.count("*") > 0) & (n("NEEDS_REVIEW") == 0) & (n("MISMATCH") + n("MISSING") == 0)
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("fields"), F.count_if(F.col("s") != "NEEDS_REVIEW").alias("compared"), n("EXACT").alias("exact"), n("ACCEPTED").alias("accepted"), n("MISMATCH").alias("mismatched"), n("MISSING").alias("missing"),
+        n("NEEDS_REVIEW").alias("unreviewed"), F.when(good, "PASS").otherwise("HOLD").alias("decision"),
     )
 
 
@@ -114,6 +176,31 @@ def conflicts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.countDistinct(F.col(value).cast("string")).alias("distinct_values")).where("distinct_values > 1")
 
 
+def fold_votes(choices: DataFrame, threshold: str, count: str = "votes") -> DataFrame:
+    """(threshold, votes): the choice that most documents made; of equals the smaller."""
+    n = choices.groupBy(threshold).agg(F.count("*").alias(count))
+    best = F.min(F.struct((-F.col(count)).alias("n"), F.col(threshold).alias("t")))
+    return n.agg(best["t"].alias(threshold), (-best["n"]).alias(count))
+
+
+def oracle(rows: DataFrame, left: str, right: str, truth: str, by: list[str] | None = None) -> DataFrame:
+    """Two readers: how often either is right, how often they agree strictly and but for case, and how often the agreed text is right.
+
+    Precision is over the agreements, at least one.
+    """
+    l, r, t = (collapse(F.coalesce(F.col(c), F.lit(""))) for c in (left, right, truth))  # noqa: E741
+    rows = rows.select(*(by or []), l.alias("l"), r.alias("r"), t.alias("t"))
+    filled = F.col("l") != ""
+    strict, loose = filled & (F.col("l") == F.col("r")), filled & (F.lower("l") == F.lower("r"))
+    some = lambda c: F.greatest(F.lit(1), F.count_if(c))
+    part = lambda a, b: F.bround(F.count_if(a) / b, 6)
+    n = F.greatest(F.lit(1), F.count("*"))
+    return rows.groupBy(*(by or [])).agg(
+        F.count("*").alias("cases"), part((F.col("l") == F.col("t")) | (F.col("r") == F.col("t")), n).alias("oracle"), part(strict, n).alias("strict_agreement"), part(loose, n).alias("casefold_agreement"),
+        part(strict & (F.col("l") == F.col("t")), some(strict)).alias("strict_precision"), part(loose & (F.lower("l") == F.lower("t")), some(loose)).alias("casefold_precision"),
+    )
+
+
 def agreement(rows: DataFrame, left: str, right: str, truth: str) -> DataFrame:
     """Coverage and precision of two readers' agreement on filled readings, and how often either is right."""
     filled = F.col(left) != ""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,12 +92,12 @@ def latency(rows: DataFrame, value: str, failed: Column, by: list[str] | None =
     return rows.groupBy(*(by or [])).agg(*aggs)
 
 
-def text_errors(pairs: DataFrame, truth: str = "truth", pred: str = "pred", by: list[str] | None = None, words: bool = False) -> DataFrame:
+def text_errors(pairs: DataFrame, truth: str = "truth", pred: str = "pred", by: list[str] | None = None, words: bool = False, fold: Callable[[Column], Column] = collapse) -> DataFrame:
     """Exactness, character and diacritic error rates of text pairs; a missing prediction counts as all deletions.
 
-    Spacing is folded first. The diacritic rate counts, row by row, the character edits that vanish when marks do.
+    Spacing is folded first, or what `fold` says: the corpus rates fold nothing. The diacritic rate counts, row by row, the character edits that vanish when marks do.
     """
-    t, p = collapse(F.coalesce(F.col(truth), F.lit(""))), collapse(F.coalesce(F.col(pred), F.lit("")))
+    t, p = fold(F.coalesce(F.col(truth), F.lit(""))), fold(F.coalesce(F.col(pred), F.lit("")))
     rows = pairs.select(*(by or []), t.alias("t"), p.alias("p"))
     rows = rows.withColumns(
         {
@@ -106,7 +108,7 @@ def text_errors(pairs: DataFrame, truth: str = "truth", pred: str = "pred", by:
         }
     )
     if words:
-        split = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+        split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
         rows = rows.withColumns({"word_edits": word_edits(split("t"), split("p")), "words": F.size(split("t"))})
     aggs = [
         F.count("*").alias("cases"),
@@ -128,17 +130,3 @@ def error_class(truth: Column, pred: Column) -> Column:
         .when(without_vietnamese_marks(t) == without_vietnamese_marks(p), "diacritic_only")
         .when(F.length(p) < F.length(t), "missing").when(F.length(p) > F.length(t), "extra").otherwise("substitution")
     )
-
-
-def promotion(base: dict[str, Column], new: dict[str, Column], rows: DataFrame, policy: dict[str, float]) -> DataFrame:
-    """(code, passed) of each check of a challenger against a baseline; the whole passes if all do."""
-    checks = {
-        "FIELD_EXACT_MATCH_IMPROVEMENT": new["exact_match"] - base["exact_match"] >= policy["exact_match_gain"],
-        "OCR_CER_NON_REGRESSION": new["cer"] <= base["cer"],
-        "READING_ORDER_NON_REGRESSION": new["reading_order"] >= base["reading_order"],
-        "NO_FALSE_PASS_INCREASE": new["false_pass_rate"] <= base["false_pass_rate"],
-        "LATENCY_SLO": new["p95"] <= policy["p95_ms"],
-        "REVIEW_EFFORT": new["review_rate"] <= base["review_rate"] + policy["review_rise"],
-        "FAILURE_RATE": new["failure_rate"] <= policy["failure_rate"],
-    }
-    return rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("code"), F.coalesce(v, F.lit(False)).alias("passed")) for k, v in checks.items()))).alias("c")).select("c.*")

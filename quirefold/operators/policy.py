@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quirefold.functions.numbers import clamp
-from quirefold.functions.text import casefold, collapse, without_vietnamese_marks
+from quirefold.functions.text import casefold, collapse, fold_key, once, without_vietnamese_marks
 
 
 def verified(primary: Column, verifier: Column) -> Column:
@@ -59,31 +59,50 @@ def error_shares(rows: DataFrame, by: str, kind: str) -> DataFrame:
     return n.withColumn("share", F.bround(F.col("n") / F.sum("n").over(Window.partitionBy(by)), 6))
 
 
-def corrected(text: Column, phrases: dict[str, str], least: float = 0.84, margin: float = 0.08) -> Column:
-    """A phrase of the dictionary (folded key to phrase) in place of a text that is it, or is like it and no other; else the text.
+#: Phrase correction (fixed values): least likeness, least lead over the second, least length of a text that is compared.
+LIKENESS, LEAD, COMPARED = 0.84, 0.08, 6
 
-    Texts with a digit or an at-sign stay; capitals and a small first letter are kept.
-    """
-    from difflib import SequenceMatcher
 
-    from quirefold.functions.text import fold_key
+def corrected(rows: DataFrame, text: str, phrases: dict[str, str], out: str = "corrected", least: float = LIKENESS, lead: float = LEAD, shortest: int = COMPARED) -> DataFrame:
+    """Adds the phrase of a dictionary (folded key to phrase) that a text is, or is clearly likest, in the text's own capitals; else the text.
 
-    keys = list(phrases)
+    A key can only reach a likeness r if its edit distance is at most (1 - r) times both lengths, so Spark rules most keys
+    out first, and only texts with a key left are compared in Python. Texts with a digit or an at-sign stay.
+    """
+    keys = F.array(*map(F.lit, phrases))
+    table = F.create_map(*(F.lit(x) for kv in phrases.items() for x in kv))
+    reach = 1 - (least - lead)
+
+    def choice(f: Column) -> Column:
+        close = F.filter(keys, lambda k: F.levenshtein(k, f) <= reach * (F.length(k) + F.length(f)))
+        worth = ~F.array_contains(keys, f) & (F.length(f) >= shortest)
+        return F.struct(f.alias("folded"), F.when(worth & (F.size(close) > 0), close).alias("close"))
+
+    t = F.col(text)
+    rows = rows.withColumn("_c", once(fold_key(t), choice)).withColumn("_r", likeness(F.col("_c.folded"), F.col("_c.close")))
+    ranked = F.array_sort(F.zip_with("_r", "_c.close", lambda r, k: F.struct((-r).alias("r"), k.alias("k"))))
+    pick = once(ranked, lambda x: F.when((-x[0]["r"] >= least) & (-x[0]["r"] + F.coalesce(F.get(x, F.lit(1))["r"], F.lit(0.0)) >= lead), x[0]["k"]))
+    rows = rows.withColumn("_k", F.when(~t.rlike("[0-9@]"), F.element_at(table, F.when(F.array_contains(keys, F.col("_c.folded")), F.col("_c.folded")).otherwise(pick))))
+    found, first = F.col("_k"), F.substring(t, 1, 1)
+    small = F.concat(F.lower(F.substring(found, 1, 1)), F.substr(found, F.lit(2)))
+    return rows.withColumn(out, F.coalesce(F.when(t == F.upper(t), F.upper(found)).when(first == F.lower(first), small).otherwise(found), t)).drop("_c", "_r", "_k")
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def likeness(text: pd.Series, keys: pd.Series) -> pd.Series:
+    """Match ratio of a text with each of its few keys; null where there are none."""
+    from difflib import SequenceMatcher
 
-    @F.pandas_udf(T.StringType())
-    def fuzzy(folded: pd.Series) -> pd.Series:
-        def nearest(x: str | None) -> str | None:
-            if not x:
-                return None
-            if x in phrases:
-                return phrases[x]
-            ranked = sorted(((SequenceMatcher(None, x, k).ratio(), k) for k in keys), reverse=True) if len(x) >= 6 else []
-            if ranked and ranked[0][0] >= least and ranked[0][0] - (ranked[1][0] if len(ranked) > 1 else 0.0) >= margin:
-                return phrases[ranked[0][1]]
-            return None
+    return pd.Series([None if ks is None else [SequenceMatcher(None, t, k).ratio() for k in ks] for t, ks in zip(text, keys, strict=True)], dtype=object)
 
-        return folded.map(nearest)
 
-    found = F.when(~text.rlike("[0-9@]"), fuzzy(fold_key(text)))
-    cased = F.when(text == F.upper(text), F.upper(found)).when(F.substring(text, 1, 1) == F.lower(F.substring(text, 1, 1)), F.concat(F.lower(F.substring(found, 1, 1)), F.substring(found, 2, 1 << 20))).otherwise(found)
-    return F.coalesce(cased, text)
+def mismatch_cause(expected: Column, predicted: Column, found: Column, signals: Column) -> Column:
+    """Why a field's text differs, in order: no value, only case or spacing, only marks, only punctuation, text missing or added, a first signal, else another reading."""
+    e, p = collapse(F.coalesce(expected, F.lit(""))), collapse(F.coalesce(predicted, F.lit("")))
+    bare = lambda x: F.regexp_replace(fold_key(x), " ", "")
+    return (
+        F.when(~found, "FIELD_NOT_PRESENT").when(e == p, "EXACT").when(p == "", "NOT_FOUND").when(casefold(e) == casefold(p), "CASE_ONLY")
+        .when(casefold(without_vietnamese_marks(e)) == casefold(without_vietnamese_marks(p)), "DIACRITICS_ONLY").when(bare(e) == bare(p), "PUNCTUATION_OR_SPACING_ONLY")
+        .when(bare(e).contains(bare(p)), "TRUNCATED").when(bare(p).contains(bare(e)), "OVER_EXTRACTED")
+        .otherwise(F.coalesce(F.upper(F.get(signals, F.lit(0))), F.lit("OTHER_READING")))
+    )

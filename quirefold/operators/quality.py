@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions.dates import inclusive_days, span_hours
+from quirefold.functions.text import once
 
 #: Cost of an issue by severity (fixed values).
 COSTS = {"INFO": 0.01, "WARNING": 0.06, "ERROR": 0.16}
@@ -26,12 +27,6 @@ DECISIONS = [
     ("PASS", False, False, False, False, True, 0.9, 1.0, False, "USER_REVIEW"),
     (None, None, False, False, False, True, 0.6, 0.9, None, "USER_REVIEW"),
 ]
-DECISION_SCHEMA = "status string, review boolean, sensitive boolean, critical boolean, inconsistent boolean, complete boolean, least double, most double, auto boolean, action string"
-
-
-def issues(*rules: tuple[Column, str, str]) -> Column:
-    """array<struct<code, severity>> of the rules (condition, code, severity) that hold, in their order."""
-    return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(s).alias("severity"))) for c, code, s in rules)))
 
 
 def score(confidence: Column, found: Column) -> Column:
@@ -41,6 +36,7 @@ def score(confidence: Column, found: Column) -> Column:
 
 
 def status(parse_failed: Column, points: Column, found: Column, reasons: Column) -> Column:
+    """REJECTED for a failed parse or an error at under 0.25 points, REVIEW_REQUIRED for any reason or issue, else PASS."""
     error = F.exists(found, lambda x: x["severity"] == "ERROR")
     return F.when(parse_failed | ((points < 0.25) & error), "REJECTED").when(reasons | (F.size(found) > 0), "REVIEW_REQUIRED").otherwise("PASS")
 
@@ -49,22 +45,101 @@ def field_status(invalid: Column, sensitive: Column, confidence: Column, least:
     return F.when(invalid, "INVALID").when(sensitive | (confidence < least), "NEEDS_REVIEW").otherwise("ACCEPTED")
 
 
-def gate(docs: DataFrame, least: float = 0.65) -> DataFrame:
-    """Adds issues, score, quality_status and review_required to rows of document_type, confidence, ambiguous, parse_status, has_extractor, missing (array) and conflicts (array)."""
-    failed, partial = F.col("parse_status").isin("FAILED", "REJECTED"), F.col("parse_status") == "PARTIAL"
-    unknown = F.col("document_type") == "UNKNOWN"
-    found = issues(
-        (failed, "PARSE_NOT_USABLE", "ERROR"),
-        (partial, "PARTIAL_PARSE", "WARNING"),
-        (unknown, "UNKNOWN_DOCUMENT_TYPE", "WARNING"),
-        (~unknown & (F.col("confidence") < least), "LOW_CLASSIFICATION_CONFIDENCE", "WARNING"),
-        (F.col("ambiguous"), "AMBIGUOUS_DOCUMENT_TYPE", "WARNING"),
-        (~F.col("has_extractor"), "NO_FIELD_EXTRACTOR", "WARNING"),
-    )
-    each = lambda names, code: F.transform(names, lambda _: F.struct(F.lit(code).alias("code"), F.lit("ERROR").alias("severity")))
-    rows = docs.withColumn("issues", F.concat(found, each(F.col("missing"), "REQUIRED_FIELD_MISSING"), each(F.col("conflicts"), "FIELD_CONFLICT")))
-    rows = rows.withColumn("score", score(F.col("confidence"), F.col("issues")))
-    rows = rows.withColumn("quality_status", status(failed, F.col("score"), F.col("issues"), F.lit(False)))
+#: Reasons for a review (fixed values), by what raises them.
+REASONS = {
+    "parse": "Parse result is not usable",
+    "partial": "Partial parse requires review",
+    "warnings": "Parser warnings require review",
+    "unknown": "Unknown document type",
+    "low_type": "Low classification confidence",
+    "ambiguous": "Ambiguous document type",
+    "extractor": "No approved extractor",
+    "missing": "Required fields are missing",
+    "conflict": "Conflicting field values require review",
+    "date": "Invalid dates require review",
+    "range": "Conflicting dates require review",
+    "sensitive": "Sensitive fields require human confirmation",
+    "low_field": "Low-confidence fields require review",
+}
+ISO = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+
+
+def _issue(code: Column, severity: str, field: Column | None = None) -> Column:
+    return F.struct(code.alias("code"), F.lit(severity).alias("severity"), (F.lit(None).cast("string") if field is None else field).alias("field"))
+
+
+def _checked(x: Column, required: dict[str, list[str]], least: float, least_field: float) -> Column:
+    """struct<issues, reasons, invalid> of struct<document_type, confidence, ambiguous, parse_status, warnings, has_extractor, fields>."""
+    fields = x["fields"]
+    named = lambda n: F.filter(fields, lambda f: f["name"] == n)
+    text = lambda f: F.coalesce(f["value"].cast("string"), F.lit("None"))
+    names = F.array_distinct(F.transform(fields, lambda f: f["name"]))
+    none = F.array().cast("array<string>")
+    wanted = F.coalesce(F.element_at(F.create_map(*(y for k, v in required.items() for y in (F.lit(k), F.array(*map(F.lit, v))))), x["document_type"]), none)
+    missing = F.array_sort(F.array_except(wanted, names))
+    conflicts = F.filter(names, lambda n: F.size(F.array_distinct(F.transform(named(n), text))) > 1)
+    first = lambda n: F.transform(F.slice(named(n), 1, 1), text)  # noqa: E731  (at most one value)
+    date = lambda n: F.get(F.transform(first(n), lambda v: F.when(v.rlike(ISO), F.try_to_date(v, "yyyy-MM-dd"))), F.lit(0))
+    dates = F.struct(*(F.struct((F.size(first(n)) > 0).alias("has"), date(n).alias("day")).alias(n) for n in ("start_date", "end_date")))
+
+    def of_parts(y: Column) -> Column:
+        d, failed = y["dates"], x["parse_status"].isin("FAILED", "REJECTED")
+        partial, unknown = x["parse_status"] == "PARTIAL", x["document_type"] == "UNKNOWN"
+        low = ~unknown & (x["confidence"] < least)
+        bad = [n for n in ("start_date", "end_date")]
+        wrong = {n: d[n]["has"] & d[n]["day"].isNull() for n in bad}
+        swapped = F.coalesce(d["end_date"]["day"] < d["start_date"]["day"], F.lit(False))
+        doubtful = F.filter(fields, lambda f: f["confidence"] < least_field)
+        one = lambda c, code, severity, field=None: F.when(F.coalesce(c, F.lit(False)), _issue(F.lit(code), severity, field))
+        each = lambda xs, code, severity: F.transform(xs, lambda n: _issue(F.lit(code), severity, n))
+        issues = F.concat(
+            F.array_compact(F.array(one(failed, "PARSE_NOT_USABLE", "ERROR"), one(partial, "PARTIAL_PARSE", "WARNING"))),
+            F.transform(x["warnings"], lambda w: _issue(F.concat(F.lit("PARSER_"), w), "WARNING")),
+            F.array_compact(F.array(
+                one(unknown, "UNKNOWN_DOCUMENT_TYPE", "WARNING"), one(low, "LOW_CLASSIFICATION_CONFIDENCE", "WARNING"),
+                one(x["ambiguous"], "AMBIGUOUS_DOCUMENT_TYPE", "WARNING"), one(~x["has_extractor"], "NO_FIELD_EXTRACTOR", "WARNING"),
+            )),
+            each(y["missing"], "REQUIRED_FIELD_MISSING", "ERROR"), each(y["conflicts"], "FIELD_CONFLICT", "ERROR"),
+            F.array_compact(F.array(*(one(wrong[n], "INVALID_DATE", "ERROR", F.lit(n)) for n in bad), one(swapped, "DATE_RANGE_CONFLICT", "ERROR"))),
+            F.transform(doubtful, lambda f: _issue(F.lit("LOW_FIELD_CONFIDENCE"), "WARNING", f["name"])),
+        )
+        raised = {
+            "parse": failed, "partial": partial, "warnings": F.size(x["warnings"]) > 0, "unknown": unknown, "low_type": low, "ambiguous": x["ambiguous"], "extractor": ~x["has_extractor"],
+            "missing": F.size(y["missing"]) > 0, "conflict": F.size(y["conflicts"]) > 0, "date": wrong["start_date"] | wrong["end_date"], "range": swapped,
+        }
+        said = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), REASONS[k]) for k, c in raised.items())))
+        # Each field adds its own reasons in turn; what is said already is not said again.
+        of_field = lambda f: F.array_compact(F.array(F.when(f["sensitive"], REASONS["sensitive"]), F.when(f["confidence"] < least_field, REASONS["low_field"])))
+        reasons = F.array_distinct(F.concat(said, F.flatten(F.transform(fields, of_field))))
+        spoilt = F.array_compact(F.array(*(F.when(wrong[n] | swapped, n) for n in bad)))
+        return F.struct(issues.alias("issues"), reasons.alias("reasons"), F.array_union(y["conflicts"], spoilt).alias("invalid"))
+
+    return once(F.struct(missing.alias("missing"), conflicts.alias("conflicts"), dates.alias("dates")), of_parts)
+
+
+def gate(docs: DataFrame, required: dict[str, list[str]], least: float = 0.65, least_field: float = 0.85) -> DataFrame:
+    """Adds issues, reasons, score, quality_status and review_required, and a status to each field.
+
+    Rows hold document_type, confidence, ambiguous, parse_status, warnings (array of codes), has_extractor and fields
+    (array<struct<name, value, confidence, sensitive>>, in order; nulls count as none). A field is INVALID if its name has
+    several values, or names a date that is none or lies before its start; else NEEDS_REVIEW if sensitive or below
+    `least_field`. Issues and reasons come in the order in which the rules stand; any of them calls for a review.
+    """
+    empty = F.filter(F.array(F.lit("")), lambda _: F.lit(False))
+    fields = F.coalesce(F.col("fields"), F.filter(F.col("fields"), lambda _: F.lit(False)), F.from_json(F.lit("[]"), docs.schema["fields"].dataType))
+    x = F.struct(*(F.col(c) for c in ("document_type", "confidence", "ambiguous", "parse_status", "has_extractor")), F.coalesce("warnings", empty).alias("warnings"), fields.alias("fields"))
+
+    def outcome(x: Column) -> Column:
+        def graded(y: Column) -> Column:
+            points, failed = score(x["confidence"], y["issues"]), x["parse_status"].isin("FAILED", "REJECTED")
+            done = F.transform(x["fields"], lambda f: f.withField("status", field_status(F.array_contains(y["invalid"], f["name"]), f["sensitive"], f["confidence"], least_field)))
+            level = once(points, lambda p: F.struct(p.alias("score"), status(failed, p, y["issues"], F.size(y["reasons"]) > 0).alias("status")))
+            return F.struct(done.alias("fields"), y["issues"].alias("issues"), y["reasons"].alias("reasons"), level.alias("level"))
+
+        return once(_checked(x, required, least, least_field), graded)
+
+    rows = docs.withColumn("_g", once(x, outcome))
+    rows = rows.select(*(c for c in docs.columns if c != "fields"), "_g.fields", "_g.issues", "_g.reasons", F.col("_g.level.score").alias("score"), F.col("_g.level.status").alias("quality_status"))
     return rows.withColumn("review_required", F.col("quality_status") != "PASS")
 
 
@@ -79,16 +154,20 @@ def route(rows: DataFrame) -> DataFrame:
     )
 
 
-def decide(spark: SparkSession, rows: DataFrame, key: str, table: list[tuple] = DECISIONS) -> DataFrame:
-    """(key, rule, action): the first row of the decision table that matches; null if none does. The table is a rule list of fixed size, so it is broadcast."""
-    names = ("status", "review", "sensitive", "critical", "inconsistent", "complete", "auto")
-    rules = spark.createDataFrame([(i, *r) for i, r in enumerate(table, 1)], "rule int, " + ", ".join(f"r_{x}" for x in DECISION_SCHEMA.split(", ")))
-    fits = reduce(lambda a, n: a & (F.col(f"r_{n}").isNull() | (F.col(f"r_{n}") == F.col(n))), names, F.lit(True))
-    fits &= F.col("r_least").isNull() | (F.col("confidence") >= F.col("r_least"))
-    fits &= F.col("r_most").isNull() | (F.col("confidence") < F.col("r_most")) | ((F.col("r_most") == 1) & (F.col("confidence") <= 1))
-    hits = rows.join(F.broadcast(rules), fits, "left")
-    first = F.min(F.struct("rule", "r_action"))
-    return hits.groupBy(key).agg(first["rule"].alias("rule"), first["r_action"].alias("action"))
+def decide(rows: DataFrame, table: list[tuple] = DECISIONS) -> DataFrame:
+    """Adds rule and action: the first row of the decision table that matches; null if none does. The table becomes one
+    ordered condition, so rows neither multiply nor move."""
+    names = ("status", "review", "sensitive", "critical", "inconsistent", "complete")
+
+    def fits(r: tuple) -> Column:
+        *exact, least, most, auto, _ = r
+        out = [F.col(n) == v for n, v in zip((*names, "auto"), (*exact, auto), strict=True) if v is not None]
+        out += [F.col("confidence") >= least] if least is not None else []
+        out += [F.col("confidence") <= most if most == 1 else F.col("confidence") < most] if most is not None else []
+        return reduce(lambda a, b: a & b, out, F.lit(True))
+
+    hit = F.coalesce(*(F.when(fits(r), F.struct(F.lit(i).alias("rule"), F.lit(r[-1]).alias("action"))) for i, r in enumerate(table, 1)))
+    return rows.withColumn("_hit", hit).select(*rows.columns, "_hit.*")
 
 
 def leave_errors(rows: DataFrame) -> DataFrame:

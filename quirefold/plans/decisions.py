@@ -34,26 +34,58 @@ h AS (SELECT k, rule, action FROM i JOIN r ON (s IS NULL OR s = status) AND (rv
 SELECT i.k, min(rule)::INT AS rule, arg_min(action, rule) AS action FROM i LEFT JOIN h USING (k) GROUP BY i.k"""
 )
 def route_dmn(spark, sf_dir):
-    return quality.decide(spark, inputs(spark, sf_dir), "k")
+    return quality.decide(inputs(spark, sf_dir)).select("k", "rule", "action")
+
+
+GATE_REQUIRED = {"en": ["value"], "fr": ["value", "start_date"], "de": ["end_date", "owner"]}
+_req = ", ".join(f"('{k}', '{n}')" for k, ns in GATE_REQUIRED.items() for n in ns)
 
 
 @query(
     f"""WITH {CLASSIFIED},
-g AS (SELECT doc_id, document_type, confidence, ambiguous, CASE WHEN n_chars < 300 THEN 'PARTIAL' WHEN n_chars > 20000 THEN 'FAILED' ELSE 'PARSED' END AS parse_status, document_type IN ('en', 'fr') AS ext, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS missing FROM cls JOIN documents USING (doc_id)),
-nn AS (SELECT *, (parse_status = 'FAILED')::INT + missing AS errors, (parse_status = 'PARTIAL')::INT + (document_type = 'UNKNOWN')::INT + (document_type <> 'UNKNOWN' AND confidence < 0.65)::INT + ambiguous::INT + (NOT ext)::INT AS warnings FROM g),
-ss AS (SELECT *, round_even(greatest(0, least(1, 0.4 + 0.6 * confidence - (0.06::DOUBLE * warnings + 0.16::DOUBLE * errors))), 4) AS score FROM nn)
-SELECT doc_id, (errors + warnings)::INT AS n_issues, score, CASE WHEN parse_status = 'FAILED' OR (score < 0.25 AND errors > 0) THEN 'REJECTED' WHEN errors + warnings > 0 THEN 'REVIEW_REQUIRED' ELSE 'PASS' END AS quality_status FROM ss"""
+g AS (SELECT doc_id, document_type, confidence, ambiguous, CASE WHEN n_chars < 300 THEN 'PARTIAL' WHEN n_chars > 20000 THEN 'FAILED' ELSE 'PARSED' END AS parse_status, document_type IN ('en', 'fr') AS ext, CASE WHEN doc_id % 8 = 0 THEN ['EMPTY_PAGE', 'FONT'] ELSE [] END AS warnings FROM cls JOIN documents USING (doc_id)),
+f AS (SELECT doc_id, unnest(list_filter([{{'pos': 0, 'name': CASE WHEN doc_id % 5 <> 0 THEN 'value' END, 'value': 'v' || doc_id % 3, 'conf': (doc_id % 10) / 10.0::DOUBLE, 'sens': doc_id % 4 = 0}}, {{'pos': 1, 'name': CASE WHEN doc_id % 7 = 0 THEN 'value' END, 'value': 'v0', 'conf': 0.9::DOUBLE, 'sens': false}},
+  {{'pos': 2, 'name': CASE WHEN doc_id % 11 <> 0 THEN 'start_date' END, 'value': CASE WHEN doc_id % 6 = 0 THEN 'soon' ELSE '2024-03-1' || doc_id % 9 END, 'conf': 0.96::DOUBLE, 'sens': false}}, {{'pos': 3, 'name': CASE WHEN doc_id % 2 = 0 THEN 'end_date' END, 'value': '2024-03-14', 'conf': 0.96::DOUBLE, 'sens': false}}], lambda x: x.name IS NOT NULL), recursive := true) FROM g),
+q(kind, name) AS (VALUES {_req}),
+d AS (SELECT doc_id, max(CASE WHEN name = 'start_date' THEN try_strptime(value, '%Y-%m-%d') END) AS s, max(CASE WHEN name = 'end_date' THEN try_strptime(value, '%Y-%m-%d') END) AS e, coalesce(bool_or(name = 'start_date' AND try_strptime(value, '%Y-%m-%d') IS NULL), false) AS bad FROM f GROUP BY doc_id),
+cf AS (SELECT doc_id, name, min(pos) AS pos FROM f GROUP BY doc_id, name HAVING count(DISTINCT value) > 1),
+i AS (
+  SELECT doc_id, 0 AS a, 0 AS b, CASE parse_status WHEN 'FAILED' THEN 'PARSE_NOT_USABLE' ELSE 'PARTIAL_PARSE' END AS code, CASE parse_status WHEN 'FAILED' THEN 'ERROR' ELSE 'WARNING' END AS sev, NULL AS name FROM g WHERE parse_status <> 'PARSED'
+  UNION ALL SELECT doc_id, 1, generate_subscripts(warnings, 1), 'PARSER_' || unnest(warnings), 'WARNING', NULL FROM g
+  UNION ALL SELECT doc_id, 2, 0, CASE WHEN document_type = 'UNKNOWN' THEN 'UNKNOWN_DOCUMENT_TYPE' ELSE 'LOW_CLASSIFICATION_CONFIDENCE' END, 'WARNING', NULL FROM g WHERE document_type = 'UNKNOWN' OR confidence < 0.65
+  UNION ALL SELECT doc_id, 3, 0, 'AMBIGUOUS_DOCUMENT_TYPE', 'WARNING', NULL FROM g WHERE ambiguous
+  UNION ALL SELECT doc_id, 4, 0, 'NO_FIELD_EXTRACTOR', 'WARNING', NULL FROM g WHERE NOT ext
+  UNION ALL SELECT doc_id, 5, row_number() OVER (PARTITION BY doc_id ORDER BY q.name), 'REQUIRED_FIELD_MISSING', 'ERROR', q.name FROM g JOIN q ON kind = document_type WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = g.doc_id AND f.name = q.name)
+  UNION ALL SELECT doc_id, 6, pos, 'FIELD_CONFLICT', 'ERROR', name FROM cf
+  UNION ALL SELECT doc_id, 7, 0, 'INVALID_DATE', 'ERROR', 'start_date' FROM d WHERE bad
+  UNION ALL SELECT doc_id, 8, 0, 'DATE_RANGE_CONFLICT', 'ERROR', NULL FROM d WHERE e < s
+  UNION ALL SELECT doc_id, 9, pos, 'LOW_FIELD_CONFIDENCE', 'WARNING', name FROM f WHERE conf < 0.85),
+nx AS (SELECT doc_id, string_agg(code || coalesce(':' || name, ''), ',' ORDER BY a, b) AS codes, count(*) FILTER (sev = 'ERROR') AS errors, count(*) FILTER (sev = 'WARNING') AS warns FROM i GROUP BY doc_id),
+st AS (SELECT f.doc_id, string_agg(f.name || '=' || CASE WHEN cf.name IS NOT NULL OR (f.name = 'start_date' AND bad) OR (f.name IN ('start_date', 'end_date') AND coalesce(e < s, false)) THEN 'INVALID' WHEN sens OR conf < 0.85 THEN 'NEEDS_REVIEW' ELSE 'ACCEPTED' END, ',' ORDER BY f.pos) AS statuses, bool_or(sens) AS sensitive FROM f LEFT JOIN cf USING (doc_id, name) JOIN d USING (doc_id) GROUP BY f.doc_id),
+ss AS (SELECT g.doc_id, coalesce(codes, '') AS issues, coalesce(statuses, '') AS statuses, coalesce(errors, 0) AS errors, parse_status, (codes IS NOT NULL OR coalesce(sensitive, false)) AS review, round_even(greatest(0, least(1, 0.4 + 0.6 * confidence - (0.06::DOUBLE * coalesce(warns, 0) + 0.16::DOUBLE * coalesce(errors, 0)))), 4) AS score FROM g LEFT JOIN nx USING (doc_id) LEFT JOIN st USING (doc_id))
+SELECT doc_id, issues, statuses, score, CASE WHEN parse_status = 'FAILED' OR (score < 0.25 AND errors > 0) THEN 'REJECTED' WHEN review THEN 'REVIEW_REQUIRED' ELSE 'PASS' END AS quality_status FROM ss"""
 )
 def quality_gate(spark, sf_dir):
+    k = F.col("doc_id")
+    field = lambda c, name, value, conf, sens: F.when(c, F.struct(F.lit(name).alias("name"), value.alias("value"), conf.cast("double").alias("confidence"), sens.alias("sensitive")))
+    fields = F.array_compact(F.array(
+        field(k % 5 != 0, "value", F.concat(F.lit("v"), (k % 3).cast("string")), (k % 10) / F.lit(10.0), k % 4 == 0),
+        field(k % 7 == 0, "value", F.lit("v0"), F.lit(0.9), F.lit(False)),
+        field(k % 11 != 0, "start_date", F.when(k % 6 == 0, "soon").otherwise(F.concat(F.lit("2024-03-1"), (k % 9).cast("string"))), F.lit(0.96), F.lit(False)),
+        field(k % 2 == 0, "end_date", F.lit("2024-03-14"), F.lit(0.96), F.lit(False)),
+    ))
     rows = classified(spark, sf_dir).withColumns(
         {
             "parse_status": F.when(F.col("n_chars") < 300, "PARTIAL").when(F.col("n_chars") > 20000, "FAILED").otherwise("PARSED"),
             "has_extractor": F.col("document_type").isin("en", "fr"),
-            "missing": F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("value"))).otherwise(F.array().cast("array<string>")),
-            "conflicts": F.array().cast("array<string>"),
+            "warnings": F.when(k % 8 == 0, F.array(F.lit("EMPTY_PAGE"), F.lit("FONT"))),
+            "fields": fields,
         }
     )
-    return quality.gate(rows).select("doc_id", F.size("issues").alias("n_issues"), "score", "quality_status")
+    out = quality.gate(rows, GATE_REQUIRED)
+    codes = F.transform("issues", lambda x: F.concat(x["code"], F.coalesce(F.concat(F.lit(":"), x["field"]), F.lit(""))))
+    statuses = F.transform("fields", lambda f: F.concat(f["name"], F.lit("="), f["status"]))
+    return out.select("doc_id", F.array_join(codes, ",").alias("issues"), F.array_join(statuses, ",").alias("statuses"), "score", "quality_status")
 
 
 ACCEPTED = ["CV", "CERTIFICATE", "EMPLOYMENT_CONTRACT"]
@@ -118,19 +150,65 @@ def decimal_token(spark, sf_dir):
 
 
 TITLES = [("ARTICLE", "the", 6.0), ("ARTICLE", "tion", 1.5), ("NOTE", "is", 6.0), ("NOTE", "and", 1.0), ("BRIEF", "des", 6.0), ("BRIEF", "que", 2.0), *classify.TITLE_RULES]
+FAMILY_TITLES = [("NOTE", "is", 7.0), ("NOTE", "and", 1.0), ("BRIEF", "des", 7.0), ("BRIEF", "que", 2.0), *classify.FAMILY_RULES]
+KEYED = f"trim(regexp_replace(replace(strip_accents(lower(replace(text, 'ß', 'ss'))), 'đ', 'd'), '[^a-z0-9]+', ' ', 'g'))"
+_values = lambda rules: ", ".join(f"('{a}', '{b}', {c}::DOUBLE, {i})" for i, (a, b, c) in enumerate(rules))
+
+
+def titled_sql(name: str, rules: list, blocks: int, bonus: float, order: str, evidence: int, untitled: str) -> str:
+    """CTEs that end in {name}(doc_id, type, b, c, terms): the best type, its score, the second's and the terms found."""
+    return f"""{name}_m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM keyed WHERE f <> ''),
+{name}_x AS (SELECT doc_id, string_agg(f, ' ' ORDER BY seq) AS flat, chr(10) || coalesce(string_agg(f, chr(10) ORDER BY seq) FILTER (n <= {blocks}), '') || chr(10) AS head FROM {name}_m GROUP BY doc_id),
+{name}_r(type, term, weight, place) AS (VALUES {_values(rules)}),
+{name}_h AS (SELECT doc_id, type, term, weight, place, position(chr(10) || term || ' ' IN head) > 0 OR position(chr(10) || term || chr(10) IN head) > 0 AS heads, head FROM {name}_x JOIN {name}_r ON position(term IN flat) > 0),
+{name}_s AS (SELECT doc_id, type, min(place) AS place, sum(CASE WHEN weight < 5 OR heads THEN weight ELSE weight * 0.2::DOUBLE END + CASE WHEN heads THEN {bonus}::DOUBLE ELSE 0 END) AS raw, list(term ORDER BY place)[1:{evidence}] AS terms, any_value(head) AS head FROM {name}_h GROUP BY doc_id, type),
+{name}_t AS (SELECT *, {untitled} AS score FROM {name}_s),
+{name}_k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, {order}) AS rn FROM {name}_t),
+{name} AS (SELECT d.doc_id, max(CASE WHEN rn = 1 THEN type END) AS type, coalesce(max(CASE WHEN rn = 1 THEN score END), 0) AS b, coalesce(max(CASE WHEN rn = 2 THEN score END), 0) AS c, any_value(CASE WHEN rn = 1 THEN terms END) AS terms FROM documents d LEFT JOIN {name}_k USING (doc_id) GROUP BY d.doc_id)"""
+
+
+TITLED = f"""keyed AS (SELECT doc_id, seq, {KEYED} AS f FROM ({LINES})),
+{titled_sql('p', TITLES, 6, 0.0, 'place', 6, "CASE WHEN type = 'EMPLOYEE_INFORMATION_FORM' AND position(chr(10) || 'phieu thong tin nhan vien' IN head) = 0 THEN least(raw, 2.4) ELSE raw END")},
+titled AS (SELECT doc_id, CASE WHEN b >= 2.5 THEN type ELSE 'GENERIC_DOCUMENT' END AS document_type, CASE WHEN b >= 2.5 THEN least(0.99::DOUBLE, 0.6 + b * 0.035 + (b - c) * 0.025) ELSE 0.55 END AS confidence, CASE WHEN b >= 2.5 THEN terms ELSE [] END AS terms FROM p)"""
+
+
+@query(f"WITH {TITLED} SELECT doc_id, document_type, round_even(confidence, 4) AS confidence, array_to_string(terms, ';') AS evidence, confidence >= 0.8 AS accepted FROM titled")
+def titled_classify(spark, sf_dir):
+    found = classify.classify_titled(table(spark, sf_dir, "documents"), TITLES)
+    return found.select("doc_id", "document_type", F.bround("confidence", 4).alias("confidence"), F.array_join("evidence", ";").alias("evidence"), "accepted")
+
+
+_case = lambda t, other: " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in t.items()) + f" ELSE '{other}' END"
 
 
 @query(
-    f"""WITH l AS (SELECT doc_id, seq, trim(regexp_replace(strip_accents(lower(replace(text, 'ß', 'ss'))), '[^a-z0-9]+', ' ', 'g')) AS f FROM ({LINES})), m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM l WHERE f <> ''),
-r(type, term, weight) AS (VALUES {', '.join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in TITLES)}),
-h AS (SELECT doc_id, type, term, weight, bool_or(n <= 6 AND (f = term OR starts_with(f, term || ' '))) AS head FROM m JOIN r ON position(term IN f) > 0 GROUP BY ALL),
-s AS (SELECT doc_id, type, sum(CASE WHEN weight < 5 OR head THEN weight ELSE weight * 0.2::DOUBLE END) AS score FROM h GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, type) AS rn FROM s),
-p AS (SELECT d.doc_id, max(CASE WHEN rn = 1 THEN type END) AS type, coalesce(max(CASE WHEN rn = 1 THEN score END), 0) AS b, coalesce(max(CASE WHEN rn = 2 THEN score END), 0) AS c FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id)
-SELECT doc_id, CASE WHEN b >= 2.5 THEN type ELSE 'GENERIC_DOCUMENT' END AS document_type, CASE WHEN b >= 2.5 THEN round_even(least(0.99::DOUBLE, 0.6 + b * 0.035 + (b - c) * 0.025), 4) ELSE 0.55 END AS confidence FROM p"""
+    f"""WITH {TITLED}, {titled_sql('g', FAMILY_TITLES, 8, 1.0, 'type', 8, 'raw')},
+k AS (SELECT g.doc_id, CASE WHEN g.b >= 2.5 THEN g.type ELSE t.document_type END AS document_type, CASE WHEN g.b >= 2.5 THEN least(0.99::DOUBLE, 0.6 + g.b * 0.035 + (g.b - g.c) * 0.025) ELSE t.confidence END AS confidence, CASE WHEN g.b >= 2.5 THEN g.terms ELSE t.terms END AS terms FROM g JOIN titled t USING (doc_id))
+SELECT doc_id, document_type, round_even(confidence, 4) AS confidence, array_to_string(terms, ';') AS evidence, CASE document_type {_case(classify.FAMILIES, 'OTHER_HR_DOCUMENT')} AS family, CASE document_type {_case(classify.WORKFLOWS, 'OTHER_HR_DOCUMENT')} AS workflow_type FROM k"""
 )
-def titled_classify(spark, sf_dir):
-    return classify.classify_titled(table(spark, sf_dir, "documents"), TITLES).select("doc_id", "document_type", F.bround("confidence", 4).alias("confidence"))
+def family_classify(spark, sf_dir):
+    found = classify.classify_family(table(spark, sf_dir, "documents"), FAMILY_TITLES, fallback=TITLES)
+    return found.select("doc_id", "document_type", F.bround("confidence", 4).alias("confidence"), F.array_join("evidence", ";").alias("evidence"), "family", "workflow_type")
+
+
+HR_TEXT = """SELECT o_orderkey AS doc_id, concat_ws(chr(10), ['CURRICULUM VITAE', 'CĂN CƯỚC CÔNG DÂN', 'Hợp đồng', 'Đơn xin nghỉ phép'][(o_orderkey % 4)::INT + 1], CASE WHEN o_orderkey % 3 = 0 THEN 'Kỹ năng: SQL' END, CASE WHEN o_orderkey % 5 = 0 THEN 'Học vấn' END, CASE WHEN o_orderkey % 7 = 0 THEN 'email: a@b.vn' END, CASE WHEN o_orderkey % 2 = 0 THEN 'Nationality: VN' END) AS text FROM orders"""
+
+
+def hr_texts(spark, sf_dir):
+    k = F.col("o_orderkey")
+    title = F.element_at(F.array(*map(F.lit, ["CURRICULUM VITAE", "CĂN CƯỚC CÔNG DÂN", "Hợp đồng", "Đơn xin nghỉ phép"])), (k % 4).cast("int") + 1)
+    text = F.concat_ws("\n", title, F.when(k % 3 == 0, "Kỹ năng: SQL"), F.when(k % 5 == 0, "Học vấn"), F.when(k % 7 == 0, "email: a@b.vn"), F.when(k % 2 == 0, "Nationality: VN"))
+    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), text.alias("text"))
+
+
+@query(
+    f"""WITH k AS (SELECT doc_id, {KEYED} AS key FROM ({HR_TEXT})), n AS (SELECT doc_id, key, list_filter({classify.ROUTE_IDENTITY}, lambda m: position(m IN key) > 0) AS i, list_filter({classify.ROUTE_CV}, lambda m: position(m IN key) > 0) AS c, len(list_filter({classify.CV_SECTIONS}, lambda m: position(m IN key) > 0)) AS s FROM k)
+SELECT doc_id, CASE WHEN len(i) > 0 THEN 'IDENTITY_DOCUMENT' WHEN len(c) >= 2 THEN 'CV' ELSE 'GENERIC_DOCUMENT' END AS route, round_even(CASE WHEN len(i) > 0 THEN least(0.98::DOUBLE, 0.72 + 0.08::DOUBLE * len(i)) WHEN len(c) >= 2 THEN least(0.96::DOUBLE, 0.68 + 0.07::DOUBLE * len(c)) ELSE 0.55 END, 4) AS confidence,
+ array_to_string(CASE WHEN len(i) > 0 THEN i[1:3] WHEN len(c) >= 2 THEN c[1:3] ELSE [] END, ';') AS evidence, CASE WHEN len(i) > 0 AND s >= 2 THEN NULL WHEN len(i) > 0 THEN 'IDENTITY_DOCUMENT' WHEN len(c) >= 2 THEN 'CV' ELSE 'GENERIC_DOCUMENT' END AS safe_route FROM n"""
+)
+def early_route(spark, sf_dir):
+    rows = hr_texts(spark, sf_dir).withColumn("r", classify.early_route(F.col("text")))
+    return rows.select("doc_id", "r.route", F.bround("r.confidence", 4).alias("confidence"), F.array_join("r.evidence", ";").alias("evidence"), classify.safe_route(F.col("r.route"), F.col("text")).alias("safe_route"))
 
 
 @query(

@@ -46,11 +46,11 @@ def fold_accent(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(fold).alias("fold_md5"), F.length(fold).alias("fold_chars"))
 
 
-@query("SELECT doc_id, md5(strip_accents(text)) AS plain_md5, (length(text) - length(regexp_replace(text, '[À-ÖØ-öø-ɏḀ-ỿđĐ]', '', 'g')))::INT AS non_ascii_letters FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, md5(strip_accents(text)) AS plain_md5, (length(text) - length(regexp_replace(text, '[À-ÖØ-öø-ɏḀ-ỿđĐ]', '', 'g')))::INT AS non_ascii_letters FROM documents")
 def strip_marks(spark, sf_dir):
     c = F.col("text")
     letters = F.length(c) - F.length(F.regexp_replace(c, "[À-ÖØ-öø-ɏḀ-ỿđĐ]", ""))
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.md5(t.without_marks(c)).alias("plain_md5"), letters.alias("non_ascii_letters"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.without_marks(c)).alias("plain_md5"), letters.alias("non_ascii_letters"))
 
 
 @query(f"WITH {CLASSIFIED} SELECT doc_id, document_type, round_even(confidence, 6) AS confidence, ambiguous FROM cls")
@@ -59,9 +59,9 @@ def marker_classify(spark, sf_dir):
 
 
 @query(
-    f"""WITH l AS (SELECT doc_id, {FOLD.format('text')} AS f FROM ({LINES})),
+    f"""WITH l AS (SELECT doc_id, trim(regexp_replace(strip_accents(lower(replace(text, 'ß', 'ss'))), '\\s+', ' ', 'g')) AS f FROM documents),
 r(id, anchor, n, least) AS (VALUES {', '.join(f"('{i}', '{a}', {len(xs)}, {k})" for i, xs, k in TEMPLATES for a in xs)}),
-m AS (SELECT DISTINCT doc_id, id, anchor, n, least FROM l JOIN r ON position(anchor IN f) > 0),
+m AS (SELECT DISTINCT doc_id, id, anchor, n, least FROM l JOIN r ON position(anchor IN f) > 0 OR position(anchor IN replace(f, ' ', '')) > 0),
 s AS (SELECT doc_id, id, count(*) AS k, round_even(count(*) / n::DOUBLE, 4) AS conf FROM m GROUP BY doc_id, id, n, least HAVING count(*) >= least),
 w AS (SELECT *, row_number() OVER o AS rn, lead(conf) OVER o AS nxt FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY conf DESC, k DESC, id))
 SELECT d.doc_id, CASE WHEN nxt IS DISTINCT FROM conf THEN id END AS template, CASE WHEN nxt IS DISTINCT FROM conf THEN k::INT END AS matched, CASE WHEN nxt IS DISTINCT FROM conf THEN conf END AS confidence
@@ -71,9 +71,9 @@ def template_detect_tie(spark, sf_dir):
     return classify.detect_templates(table(spark, sf_dir, "documents"), TEMPLATES).select("doc_id", "template", F.col("matched").cast("int").alias("matched"), "confidence")
 
 
-@query("SELECT doc_id, " + ", ".join(f"array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{p}'))), ',') AS {k}" for k, p in t.IDENTIFIERS.items()) + " FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, " + ", ".join(f"array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{p}'))), ',') AS {k}" for k, p in t.IDENTIFIERS.items()) + " FROM documents")
 def pii_candidates(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", *(F.array_join(F.array_sort(t.identifiers(F.col("text"), k)), ",").alias(k) for k in t.IDENTIFIERS))
 
 
@@ -134,7 +134,7 @@ def ring_buffer(spark, sf_dir):
     return observe.last_rows(table(spark, sf_dir, "events"), "event_id", 500).select("event_id", "user_id", "event_type")
 
 
-@query()
+@query("SELECT doc_id, coalesce(nfc_normalize(text) <> text, false) AS violation FROM documents")
 def nfc_violations(spark, sf_dir):
     c = F.coalesce(F.col("text"), F.lit(""))
     return table(spark, sf_dir, "documents").select("doc_id", (t.nfc(c) != c).alias("violation"))

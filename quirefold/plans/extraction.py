@@ -143,10 +143,13 @@ def best_recognizer(spark, sf_dir):
     return policy.best_profile(m, "profile", ["p_brand"])
 
 
+PHRASES = {"small ring": "Small Ring", "red widget": "Red Widget", "economy": "Economy"}
+
+
 @query()
 def fuzzy_phrase(spark, sf_dir):
-    phrases = {"small ring": "Small Ring", "red widget": "Red Widget", "economy": "Economy"}
-    return table(spark, sf_dir, "part").select("p_partkey", policy.corrected(F.replace(F.col("p_name"), F.lit("i"), F.lit("l")), phrases).alias("text"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.replace(F.col("p_name"), F.lit("i"), F.lit("l")).alias("read"))
+    return policy.corrected(rows, "read", PHRASES, "text").select("p_partkey", "text")
 
 
 @query("WITH l AS (SELECT DISTINCT unnest(string_split(lower(text), '')) AS c FROM documents) SELECT r AS letter, r IN (SELECT c FROM l) AS available FROM (SELECT unnest(string_split('aáàảãạăâbcdđeéèêghiíklmnoóòôơpqrstuúùưvxyýß', '')) AS r)")

@@ -81,7 +81,7 @@ def test_template_tie_detects_nothing(spark):
 def test_decision_table_has_no_default(spark):
     row = (1, "REVIEW_REQUIRED", False, False, False, False, True, 0.95, True)
     rows = spark.createDataFrame([row], "k int, status string, review boolean, sensitive boolean, critical boolean, inconsistent boolean, complete boolean, confidence double, auto boolean")
-    assert quality.decide(spark, rows, "k").first().action is None
+    assert quality.decide(rows).first().action is None
     assert quality.route(rows).first().action == "USER_REVIEW"
 
 

@@ -41,7 +41,8 @@ def test_query(spark, duck, name):
     df = registry.QUERIES[name](spark, SF)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     if name not in registry.ORACLES:
-        assert sum(got[1].values()) >= 0
+        # Each of these has a brute-force test of its own.
+        assert name in {"der", "distinct_boxes", "fuzzy_anti", "fuzzy_phrase", "narratives", "row_cluster", "wer_words", "coordinate_tables", "overlap_rows"} and got[1]
         return
     rel = duck.execute(registry.ORACLES[name])
     want = rows([d[0] for d in rel.description], rel.fetchall())
