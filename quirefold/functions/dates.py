@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Day, month and year in figures, and written out in Vietnamese (fixed values).
 NUMERIC = r"(?<![0-9])([0-9]{1,2})\s*[/.\-]\s*([0-9]{1,2})\s*[/.\-]\s*([0-9]{4})(?![0-9])"
-NAMED = r"(?i)ngày\s*([0-9]{1,2})\s*tháng\s*([0-9]{1,2})\s*năm\s*([0-9]{4})"
+NAMED = r"(?iu)ngày\s*([0-9]{1,2})\s*tháng\s*([0-9]{1,2})\s*năm\s*([0-9]{4})"
 CLOCK = r"(?<![0-9])([01]?[0-9]|2[0-3])\s*[:hH]\s*([0-5][0-9])(?![0-9])"
 #: Whole-text formats in the order in which they are tried.
 FORMATS = ("yyyy-MM-dd", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/MMM/yyyy", "d MMMM yyyy", "d 'tháng' M 'năm' yyyy")
@@ -37,7 +37,7 @@ def short_year(text: Column) -> Column:
 
 def named_dates(text: Column) -> Column:
     """All dates written out in Vietnamese, in order; days that do not exist are left out."""
-    each = F.regexp_extract_all(text, F.lit(f"({NAMED.removeprefix('(?i)')})".replace("ngày", "(?i)ngày", 1)), F.lit(1))
+    each = F.regexp_extract_all(text, F.lit(f"({NAMED})"), F.lit(1))
     return F.filter(F.transform(each, lambda m: of_parts(*(F.regexp_extract(m, NAMED, i) for i in (3, 2, 1)))), lambda d: d.isNotNull())
 
 
@@ -55,21 +55,16 @@ def duration_key(text: Column) -> Column:
     return F.when(t.rlike(p), F.concat_ws("|", part(1), F.replace(part(2), F.lit(","), F.lit(".")), F.when(part(3).isin("năm", "nam"), "năm").otherwise("year")))
 
 
-#: A span of the day, and the days of a week's schedule (fixed values).
-SPAN = r"([01]?[0-9]|2[0-3])\s*(?:[:hH]|giờ)\s*([0-5][0-9])?\s*(?:-|–|đến)\s*([01]?[0-9]|2[0-3])\s*(?:[:hH]|giờ)\s*([0-5][0-9])?"
 WORK_DAYS = 5
 
 
 def weekly_hours(text: Column, days: int = WORK_DAYS) -> Column:
-    """Hours of a week of work days, each of the two spans of the day that the text names; null unless it names two."""
-    spans = F.regexp_extract_all(text, F.lit(f"({SPAN})"), F.lit(1))
-
-    def hours(s: Column) -> Column:
-        part = lambda i: F.coalesce(F.regexp_extract(s, SPAN, i).try_cast("int"), F.lit(0))
-        return (part(3) * 60 + part(4) - part(1) * 60 - part(2)) / F.lit(60.0)
-
-    total = F.aggregate(F.transform(F.slice(spans, 1, 2), hours), F.lit(0.0), lambda a, h: a + h)
-    return F.when(F.size(spans) >= 2, F.bround(total * days, 2))
+    """Hours of a week of work days, each of the two spans that the first four clock times of the text bound; null with fewer times."""
+    p = r"(\d{1,2})[hH](\d{2})?"
+    at = lambda m: F.regexp_extract(m, p, 1).try_cast("int") * 60 + F.coalesce(F.regexp_extract(m, p, 2).try_cast("int"), F.lit(0))
+    times = F.transform(F.regexp_extract_all(text, F.lit(r"(\d{1,2}[hH](?:\d{2})?)"), F.lit(1)), at)
+    span = (F.get(times, F.lit(1)) - F.get(times, F.lit(0)) + F.get(times, F.lit(3)) - F.get(times, F.lit(2))) / F.lit(60.0)
+    return F.when(F.size(times) >= 4, F.bround(span * days, 2))
 
 
 def minutes(text: Column) -> Column:

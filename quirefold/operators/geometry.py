@@ -69,22 +69,83 @@ def row_clusters(boxes: DataFrame, page: str, tolerance: float) -> DataFrame:
     return boxes.select(page, "box", "y").groupBy(page).applyInPandas(cluster, f"{page} long, box long, row int")
 
 
+#: What makes a box a fragment of a larger one (fixed values): the share that lies in it, and the most of its text's length.
+CONTAINED, FRAGMENT, SHORT = 0.75, 0.65, 4
+
+
+def _distinct(rows: list[tuple], least: float) -> list[tuple]:
+    """Rows (box, x0, y0, x1, y1, text, ...) left, largest first, without copies and fragments of larger ones."""
+    size = lambda r: (r[3] - r[1]) * (r[4] - r[2])
+    kept: list[tuple] = []
+    for r in sorted(rows, key=lambda r: (-size(r), r[0])):
+        text = " ".join((r[5] or "").casefold().split())
+
+        def covers(k: tuple, r: tuple = r, text: str = text) -> bool:
+            both = max(0.0, min(k[3], r[3]) - max(k[1], r[1])) * max(0.0, min(k[4], r[4]) - max(k[2], r[2]))
+            other = " ".join((k[5] or "").casefold().split())
+            union, inner = size(k) + size(r) - both, min(size(k), size(r))
+            copy = text == other and union > 0 and both / union >= least
+            return copy or inner > 0 and both / inner >= CONTAINED and len(text) <= max(SHORT, len(other) * FRAGMENT)
+
+        if not any(covers(k) for k in kept):
+            kept.append(r)
+    return kept
+
+
 def distinct_boxes(boxes: DataFrame, page: str, least: float = 0.5) -> DataFrame:
-    """Boxes left after those that overlap a larger box of the same text by `least` are dropped, largest first."""
+    """Boxes left after copies of larger ones (same text, overlap of `least`) and short fragments that lie in them are dropped, largest first. A page is a bounded group."""
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
-        size = (pdf.x1 - pdf.x0) * (pdf.y1 - pdf.y0)
-        for r in pdf.assign(size_=size).sort_values(["size_", "box"], ascending=[False, True]).itertuples(index=False):
-            def over(k: tuple, r: tuple = r) -> float:
-                both = max(0.0, min(k.x1, r.x1) - max(k.x0, r.x0)) * max(0.0, min(k.y1, r.y1) - max(k.y0, r.y0))
-                return both / (k.size_ + r.size_ - both) if k.size_ + r.size_ > both else 0.0
-
-            if not any(k.text == r.text and over(k) >= least for k in kept):
-                kept.append(r)
-        return pd.DataFrame([(getattr(k, page), k.box) for k in kept], columns=[page, "box"])
-
-    return boxes.groupBy(page).applyInPandas(greedy, f"{page} long, box long")
+        kept = _distinct(list(pdf[["box", "x0", "y0", "x1", "y1", "text"]].itertuples(index=False, name=None)), least)
+        return pd.DataFrame([(pdf[page].iloc[0], k[0]) for k in kept], columns=[page, "box"])
+
+    return boxes.select(page, "box", "x0", "y0", "x1", "y1", "text").groupBy(page).applyInPandas(greedy, f"{page} long, box long")
+
+
+def overlap_rows(boxes: DataFrame, page: str, least: float = 0.45) -> DataFrame:
+    """(page, row, text, confidence, x0, y0, x1, y1): text rows of a page's distinct boxes.
+
+    A box joins the row, of those that it overlaps in height by `least` of the lower one, whose middle is nearest; rows come by
+    their upper edge, the boxes of a row from left to right, and a row's confidence is their mean. A page is a bounded group.
+    """
+    names = ["box", "x0", "y0", "x1", "y1", "text", "confidence"]
+
+    def rows_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows: list[list[tuple]] = []
+        span = lambda row: (min(b[2] for b in row), max(b[4] for b in row))
+        for b in sorted(_distinct(list(pdf[names].itertuples(index=False, name=None)), 0.5), key=lambda b: (b[2], b[1], b[0])):
+            near = []
+            for i, row in enumerate(rows):
+                top, low = span(row)
+                height = min(low - top, b[4] - b[2])
+                if height > 0 and (min(low, b[4]) - max(top, b[2])) / height >= least:
+                    near.append((abs((b[2] + b[4]) / 2 - (top + low) / 2), i))
+            if near:
+                rows[min(near)[1]].append(b)
+            else:
+                rows.append([b])
+        out = []
+        for n, row in enumerate(sorted(rows, key=lambda row: span(row)[0])):
+            row.sort(key=lambda b: (b[1], b[0]))
+            out.append((pdf[page].iloc[0], n, " ".join(b[5] for b in row if b[5]), round(sum(b[6] for b in row) / len(row), 4), min(b[1] for b in row), span(row)[0], max(b[3] for b in row), span(row)[1]))
+        return pd.DataFrame(out, columns=[page, "row", "text", "confidence", "x0", "y0", "x1", "y1"])
+
+    schema = f"{page} long, row int, text string, confidence double, x0 double, y0 double, x1 double, y1 double"
+    return boxes.select(page, *names).groupBy(page).applyInPandas(rows_of, schema)
+
+
+def crop_bounds(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column, pad_x: float = 0.18, pad_y: float = 0.12) -> Column:
+    """struct<left, top, right, bottom> of a box with a share of its height, 2 at least, around it, within the image; null if nothing is left."""
+    line = F.greatest(F.lit(1.0), y1 - y0)
+    pad = lambda r: F.greatest(F.lit(2), F.bround(line * r, 0).cast("int"))
+    left, right = F.greatest(F.lit(0), x0.cast("int") - pad(pad_x)), F.least(width, x1.cast("int") + pad(pad_x))
+    top, bottom = F.greatest(F.lit(0), y0.cast("int") - pad(pad_y)), F.least(height, y1.cast("int") + pad(pad_y))
+    return F.when((right > left) & (bottom > top), F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom")))
+
+
+def rescaled(boxes: Column, sx: Column, sy: Column) -> Column:
+    """An array of points with both coordinates scaled."""
+    return F.transform(boxes, lambda p: F.struct((p["x"] * sx).alias("x"), (p["y"] * sy).alias("y")))
 
 
 def column_index(letters: Column) -> Column:

@@ -1,8 +1,9 @@
 """Queries over boxes. A line item is read as a box on the page of its order, placed by its figures."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quirefold.operators import geometry, observe
+from quirefold.operators import geometry, observe, tables
 from quirefold.plans.registry import query, table
 
 BOXES = "SELECT l_orderkey AS page, l_linenumber::BIGINT AS box, l_partkey % 100 AS x, l_suppkey % 50 AS y, (l_partkey % 100)::DOUBLE AS x0, (l_suppkey % 50)::DOUBLE AS y0, (l_partkey % 100 + l_quantity)::DOUBLE AS x1, (l_suppkey % 50 + 10)::DOUBLE AS y1, l_returnflag AS text FROM lineitem"
@@ -84,3 +85,61 @@ def distinct_boxes(spark, sf_dir):
 @query("SELECT p_partkey, (26 * (ascii(substr(w, 1, 1)) - 64) + ascii(substr(w, 2, 1)) - 65)::INT AS column_no FROM (SELECT p_partkey, upper(substr(p_type, 1, 2)) AS w FROM part)")
 def column_index(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", geometry.column_index(F.substring("p_type", 1, 2)).alias("column_no"))
+
+
+@query()
+def overlap_rows(spark, sf_dir):
+    rows = boxes(spark, sf_dir).withColumn("confidence", 0.5 + F.col("box") / 100)
+    return geometry.overlap_rows(rows, "page").select("page", "row", "text", "confidence")
+
+
+@query(
+    f"""WITH b AS ({ONE}), p AS (SELECT page, box, x0, y0, x1, y1, greatest(2, round_even((y1 - y0) * 0.18, 0)::INT) AS px, greatest(2, round_even((y1 - y0) * 0.12, 0)::INT) AS py FROM b), c AS (SELECT page, box, greatest(0, trunc(x0)::INT - px) AS l, greatest(0, trunc(y0)::INT - py) AS t, least(90, trunc(x1)::INT + px) AS r, least(50, trunc(y1)::INT + py) AS d FROM p)
+SELECT page, box, CASE WHEN r > l AND d > t THEN l END AS "left", CASE WHEN r > l AND d > t THEN t END AS top, CASE WHEN r > l AND d > t THEN r END AS "right", CASE WHEN r > l AND d > t THEN d END AS bottom FROM c"""
+)
+def crop_bounds(spark, sf_dir):
+    c = F.col
+    crop = geometry.crop_bounds(c("x0"), c("y0"), c("x1"), c("y1"), F.lit(90), F.lit(50))
+    return boxes(spark, sf_dir).select("page", "box", crop.alias("c")).select("page", "box", "c.left", "c.top", "c.right", "c.bottom")
+
+
+@query(f"SELECT page, box, round_even(x0 * 1.5, 6) AS x0, round_even(y0 * 0.5, 6) AS y0, round_even(x1 * 1.5, 6) AS x1, round_even(y1 * 0.5, 6) AS y1 FROM ({ONE})")
+def box_rescale(spark, sf_dir):
+    corners = F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))
+    rows = boxes(spark, sf_dir).select("page", "box", geometry.rescaled(corners, F.lit(1.5), F.lit(0.5)).alias("p"))
+    six = lambda i, a, n: F.bround(F.col("p")[i][a], 6).alias(n)
+    return rows.select("page", "box", six(0, "x", "x0"), six(0, "y", "y0"), six(1, "x", "x1"), six(1, "y", "y1"))
+
+
+@query(f"SELECT page, box, ((y0 + y1) / 2 / 60.0::DOUBLE) BETWEEN 0.21 AND 0.30 AS in_band FROM ({ONE})")
+def band_filter(spark, sf_dir):
+    from quirefold.operators.templates import in_band
+
+    return boxes(spark, sf_dir).select("page", "box", in_band(F.col("y0"), F.col("y1"), F.lit(60.0), 0.21, 0.30).alias("in_band"))
+
+
+@query(
+    f"""WITH b AS (SELECT *, box % 3 = 1 AS is_label, box % 2 = 0 AS multi, 0.5 + box / 100 AS conf FROM ({ONE})), a AS (SELECT * FROM b WHERE is_label), v AS (SELECT * FROM b WHERE NOT is_label),
+s AS (SELECT a.page, a.box, min(o.y0) AS stop FROM a LEFT JOIN a o ON o.page = a.page AND o.y0 > a.y1 GROUP BY ALL),
+j AS (SELECT a.page, a.box AS label, a.multi, v.box AS id, v.text, v.x0 AS bx, v.y0 AS vy, greatest(8.0, a.y1 - a.y0) AS h, a.x1 - a.x0 AS w, greatest(0, least(a.y1, v.y1) - greatest(a.y0, v.y0)) / nullif(least(a.y1 - a.y0, v.y1 - v.y0), 0) AS o, v.y0 - a.y1 AS down, greatest(a.x1 - a.x0, v.x1 - v.x0) AS reach, a.x0 AS ax0, a.x1 AS ax1, v.x1 AS bx1, least(1.0, v.conf) AS cf, stop
+  FROM a JOIN s USING (page, box) JOIN v ON v.page = a.page),
+k AS (SELECT *, bx >= ax0 + w * 0.3 AND coalesce(o, 0) >= 0.3 AS beside, down BETWEEN -h * 0.2 AND h * 5 AND bx1 >= ax0 - reach * 0.35 AND bx <= ax1 + reach * 0.75 AS below FROM j),
+r AS (SELECT *, row_number() OVER (PARTITION BY page, label ORDER BY NOT beside, CASE WHEN multi THEN CASE WHEN beside THEN bx ELSE vy END WHEN beside THEN greatest(0.0, bx - ax1) - cf * h ELSE greatest(0.0, down) + abs(bx - ax0) * 0.05 - cf * h END, bx, id) AS rn FROM k WHERE (beside OR below) AND (stop IS NULL OR vy < stop))
+SELECT page, label, string_agg(text || id, ' ' ORDER BY rn) AS value FROM r WHERE rn <= CASE WHEN multi THEN 3 ELSE 1 END GROUP BY page, label"""
+)
+def label_lines(spark, sf_dir):
+    b = F.col("box")
+    lines = boxes(spark, sf_dir).select("page", b.alias("id"), F.concat("text", b.cast("string")).alias("text"), (0.5 + b / 100).alias("confidence"), "x0", "y0", "x1", "y1", F.when(b % 3 == 1, F.lit("f")).alias("field"), (b % 2 == 0).alias("multiline"))
+    return tables.label_values(lines, "page").select("page", "label", "value")
+
+
+@query()
+def coordinate_tables(spark, sf_dir):
+    """Line items as words of a page: the header of a staff list, and a row a line."""
+    rows = boxes(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("page").orderBy("box")))
+    word = lambda x, y, text: F.struct(F.lit(float(x)).alias("x0"), y.cast("double").alias("y0"), F.lit(x + 40.0).alias("x1"), (y + 16).cast("double").alias("y1"), text.alias("text"), F.lit(0.97).alias("confidence"))
+    y = F.col("n") * 30 + 30
+    own = [word(10, y, F.col("n").cast("string")), word(110, y, F.concat(F.lit("NV00"), F.col("box").cast("string"))), word(210, y, F.col("text"))]
+    head = [word(10, F.lit(0), F.lit("STT")), word(110, F.lit(0), F.lit("Mã NV")), word(210, F.lit(0), F.lit("Họ và tên"))]
+    words = rows.select("page", F.lit("EMPLOYEE_MASTER_LIST").alias("kind"), F.explode(F.when(F.col("n") == 1, F.array(*head, *own)).otherwise(F.array(*own))).alias("w")).select("page", "kind", "w.*")
+    return tables.coordinate_tables(words, "page")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quirefold.operators import forms
+from quirefold.operators import forms, templates
 from quirefold.plans.registry import query, table
 
 KINDS = ["LEAVE_REQUEST", "EMPLOYMENT_CONTRACT", "HR_DECISION", "EMPLOYEE_INFORMATION_FORM"]
@@ -24,7 +24,8 @@ GRADED = "CASE WHEN value IS NULL THEN 'not_found' WHEN valid AND (kind <> 'ocr'
 
 
 def text(*parts):
-    return F.concat(*(F.lit(p) if isinstance(p, str) and p not in COLUMNS else F.col(p) if isinstance(p, str) else p for p in parts))
+    """Columns by their names, other strings as they are, in one text."""
+    return F.concat(*(p if not isinstance(p, str) else F.col(p) if p in COLUMNS else F.lit(p) for p in parts))
 
 
 COLUMNS = {"name", "segment", "priority", "day", "full_day", "staff"}
@@ -123,3 +124,110 @@ def field_invariants(spark, sf_dir):
 def scalar_fields(spark, sf_dir):
     pairs = F.transform(F.map_entries(forms.scalars(F.col("props"), ["w"])), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(pairs), ",").alias("fields"))
+
+
+LEAVE = """'Kính gửi: - Ban Giám đốc ' || segment || chr(10) || 'Tôi tên là: ' || name || chr(10) || 'Chức vụ: Kỹ sư' || chr(10) || 'Bộ phận: ' || segment || chr(10) || CASE WHEN k % 6 = 0 THEN 'Chức vụ: Khác' || chr(10) ELSE '' END || 'Điện thoại: 09' || k || chr(10) || 'Tôi xin nghỉ trong thời gian ' || k % 9 || ',5 ngày' || chr(10) || 'kể từ ngày ' || day || ' đến hết ngày ' || full_day || '.' || chr(10) || 'Lý do xin nghỉ phép: việc ' || k || '.' || chr(10) || 'Tôi dự kiến trở lại làm việc vào ngày ' || day || chr(10) || 'Tôi đã bàn giao công việc cho: ' || name || ' - Bộ phận: ' || priority || '.' || chr(10) || 'Ngày 5 tháng 2 năm 2024'"""
+LEAVE_FIELDS = ["organization", "employeeName", "jobTitle", "department", "phone", "leaveDays", "startDate", "endDate", "reason", "expectedReturnDate", "handoverTo", "handoverDepartment", "requestDate"]
+
+
+def picked(rows, names):
+    return rows.select("k", *(F.element_at("r.fields", n).alias(n) for n in names), F.array_join("r.conflicts", ",").alias("conflicts"))
+
+
+@query(
+    f"""WITH {CUSTOMERS}, d AS (SELECT *, strftime(strptime(full_day, '%d/%m/%Y'), '%Y-%m-%d') AS iso FROM c)
+SELECT k, segment AS organization, name AS "employeeName", CASE WHEN k % 6 <> 0 THEN 'Kỹ sư' END AS "jobTitle", segment AS department, '09' || k AS phone, (k % 9) || '.5' AS "leaveDays", iso AS "startDate", iso AS "endDate", 'việc ' || k AS reason, iso AS "expectedReturnDate", name AS "handoverTo", priority AS "handoverDepartment", '2024-02-05' AS "requestDate", CASE WHEN k % 6 = 0 THEN 'jobTitle' ELSE '' END AS conflicts FROM d"""
+)
+def leave_form(spark, sf_dir):
+    rows = customers(spark, sf_dir).withColumn("text", F.expr(LEAVE.replace("chr(10)", "char(10)")))
+    return picked(rows.withColumn("r", templates.leave_request(F.col("text"))), LEAVE_FIELDS)
+
+
+OVERTIME = """'Kính gửi: Ban Giám đốc ' || segment || '.' || chr(10) || 'Tôi là: ' || name || ' - Chức vụ: Kỹ sư' || chr(10) || 'Hợp đồng lao động số HD' || k || ' ký ngày ' || day || ', thời gian làm việc 8h-17h. Do dự án ' || k || ', tôi đề nghị tăng ca.' || chr(10) || CASE WHEN k % 2 = 0 THEN 'Thời gian đề nghị: Từ ngày ' || day || ' đến hết ngày ' || full_day || ', tăng thêm 2,5 giờ mỗi ngày, từ 18 giờ 30 phút đến 21 giờ' ELSE 'Thời gian đề nghị: Ngày ' || day || ', làm thêm 3 giờ, từ 18 giờ đến 21 giờ' END || chr(10) || 'với tổng thời gian dự kiến là ' || k % 50 || ' giờ.' || chr(10) || 'Nội dung công việc: kiểm thử ' || k || '. Tôi cam kết.'"""
+OVERTIME_FIELDS = ["organization", "employeeName", "jobTitle", "laborContractNumber", "laborContractDate", "standardWorkSchedule", "reason", "startDate", "endDate", "overtimeHoursPerDay", "overtimeStartTime", "overtimeEndTime", "totalOvertimeHours", "workContent"]
+
+
+@query(
+    f"""WITH {CUSTOMERS}, d AS (SELECT *, strftime(strptime(full_day, '%d/%m/%Y'), '%Y-%m-%d') AS iso FROM c)
+SELECT k, segment AS organization, name AS "employeeName", 'Kỹ sư' AS "jobTitle", 'HD' || k AS "laborContractNumber", iso AS "laborContractDate", '8h-17h' AS "standardWorkSchedule", 'dự án ' || k AS reason, iso AS "startDate", iso AS "endDate", CASE WHEN k % 2 = 0 THEN '2.5' ELSE '3' END AS "overtimeHoursPerDay",
+ CASE WHEN k % 2 = 0 THEN '18:30' ELSE '18:00' END AS "overtimeStartTime", '21:00' AS "overtimeEndTime", (k % 50)::VARCHAR AS "totalOvertimeHours", 'kiểm thử ' || k AS "workContent", '' AS conflicts FROM d"""
+)
+def overtime_form(spark, sf_dir):
+    rows = customers(spark, sf_dir).withColumn("text", F.expr(OVERTIME.replace("chr(10)", "char(10)")))
+    return picked(rows.withColumn("r", templates.overtime_request(F.col("text"))), OVERTIME_FIELDS)
+
+
+def one_form(spark, sf_dir, rules, *lines):
+    rows = customers(spark, sf_dir).withColumn("document_type", F.lit("X")).withColumn("blocks", blocks(*lines))
+    return forms.read_forms(rows, {"X": rules}).select("k", F.explode("fields").alias("f")).select("k", F.col("f.name").alias("field"), F.col("f.normalized").alias("value"))
+
+
+def spread(pairs):
+    return f"SELECT k, unnest([{', '.join(repr(n) for n, _ in pairs)}]) AS field, unnest([{', '.join(v for _, v in pairs)}]) AS value"
+
+
+@query(
+    f"""WITH {CUSTOMERS} {spread([
+        ('contract_number', "'12/' || k"), ('contract_sign_date', 'full_day'), ('effective_date', 'full_day'), ('probation_end_date', 'full_day'), ('employer_name', 'segment'), ('employer_representative', "'Trần Văn Bình'"), ('employee_name', 'name'), ('employee_id_number', "'012345678901'"), ('professional_title', "'Kỹ sư dữ liệu'"),
+        ('role_title', "'Trưởng nhóm'"), ('workplace', "'tòa nhà ' || priority || ' phường 5'"), ('weekly_hours', "'40 giờ/tuần'"), ('probation_salary_monthly', "'12.000.000 đồng/tháng'"), ('allowances_summary', "'ăn trưa'"), ('salary_payment_schedule', "'chuyển khoản'"),
+    ])} FROM c"""
+)
+def contract_form(spark, sf_dir):
+    k = F.col("k").cast("string")
+    return one_form(
+        spark, sf_dir, templates.CONTRACT,
+        text("HỢP ĐỒNG THỬ VIỆC"), text("1. Số hợp đồng: 12/", k, " | Ngày ký: 1/1/1999"), text("Hôm nay, ngày ", "day"), text("Tên công ty: ", "segment"), text("Bên A"), text("Đại diện bởi: Ông Trần Văn Bình Chức vụ: Giám đốc"),
+        text("Bên B"), text("Họ và tên: ", "name", " Giới tính: Nam"), text("CCCD số: 0123 4567 8901"), text("Chức vụ: Trưởng nhóm; kiêm nhiệm"), text("Điều 1"), text("Thử việc kể từ"), text("từ ngày ", "day", " đến hết ngày ", "full_day"),
+        text("Chức danh công việc: Kỹ sư dữ liệu."), text("Địa điểm làm việc: tòa nhà ", "priority"), text("phường 5."), text("Thời giờ làm việc: 8h00 - 12h00, 13h30 - 17h30"), text("Mức lương thử việc: 12.000.000 đồng/tháng"), text("Phụ cấp: ăn trưa."), text("Hình thức trả lương: chuyển khoản"),
+    )
+
+
+@query(
+    f"""WITH {CUSTOMERS} {spread([
+        ('full_name', "'Nguyễn Văn An'"), ('headline', "'Kỹ sư phần mềm'"), ('email', "'an' || k || '@b.vn'"), ('phone_number', "'0912 345 678'"), ('address', 'segment'), ('desired_role', "'kiến trúc sư'"), ('years_experience', "'hơn ' || k % 9 || ' năm'"), ('experience', "'Công ty ' || priority || ': hơn ' || k % 9 || ' năm'"),
+        ('skills', "'SQL, Spark' || chr(10) || 'Python'"), ('education', "'Đại học'"),
+    ])} FROM c"""
+)
+def cv_form(spark, sf_dir):
+    k = F.col("k")
+    return one_form(
+        spark, sf_dir, templates.CV,
+        text("Nguyễn Văn AnKỹ sư phần mềm"), text("an", k.cast("string"), "@b.vn, 0912 345 678"), text("Địa chỉ: ", "segment"), text("Mục tiêu nghề nghiệp"), text("Sớm trở thành kiến trúc sư trong ba năm tới"), text("Kinh nghiệm làm việc"), text("Công ty ", "priority", ": hơn ", (k % 9).cast("string"), " năm"),
+        text("Kỹ năng"), text("• Dữ liệu: SQL, Spark"), text("- Python"), text("Học vấn"), text("Đại học"),
+    )
+
+
+CARD = """'CĂN CƯỚC CÔNG DÂN' || chr(10) || 'Số / No: ' || lpad(k, 12, '0') || chr(10) || 'Họ và tên / Full name' || chr(10) || '..' || chr(10) || 'TRẦN THỊ BÌNH' || chr(10) || 'Ngày sinh / Date of birth: ' || full_day || chr(10) || 'Giới tính: Nữ' || chr(10) || 'Quốc tịch: Việt Nam' || chr(10) || 'Quê quán' || chr(10) || 'Xã ' || segment || chr(10) || 'Nơi thường trú: Phường ' || priority"""
+
+
+@query(f"WITH {CUSTOMERS} SELECT k, lpad(k::VARCHAR, 12, '0') AS \"idNumber\", 'TRẦN THỊ BÌNH' AS \"fullName\", full_day AS \"dateOfBirth\", 'Nữ' AS sex, 'Việt Nam' AS nationality, 'Xã ' || segment AS \"placeOfOrigin\", 'Phường ' || priority AS \"placeOfResidence\" FROM c")
+def card_form(spark, sf_dir):
+    rows = customers(spark, sf_dir).withColumn("m", templates.identity_card(F.expr(CARD.replace("chr(10)", "char(10)"))))
+    return rows.select("k", *(F.element_at("m", n).alias(n) for n in ("idNumber", "fullName", "dateOfBirth", "sex", "nationality", "placeOfOrigin", "placeOfResidence")))
+
+
+@query(
+    f"""WITH {CUSTOMERS}, d AS (SELECT k, lpad((k % 1000000)::VARCHAR, 6, '0') AS cand, (k % 9) || '.5' AS band, full_day FROM c)
+SELECT k, 'NGUYEN VAN AN' AS recipient, cand AS candidate, '24VN' || cand || 'NGUV001A' AS form_number, 'ACADEMIC' AS type, band AS overall, full_day AS date FROM d"""
+)
+def score_form(spark, sf_dir):
+    k = F.col("k")
+    cand = F.lpad((k % 1000000).cast("string"), 6, "0")
+    lines = [text("Test Report Form ACADEMIC"), text("Candidate Number"), cand, text("Date ", "full_day"), text("Family Name: NGUYEN"), text("First Name(s)"), text("VAN AN"), F.concat(F.lit("Overall Band Score "), (k % 9).cast("string"), F.lit(".5")), text("Form Number"), F.concat(F.lit("24VN"), F.translate(cand, "0", "O"), F.lit("NGUVOO1A"))]
+    bs = F.transform(F.array(*lines), lambda t, i: F.struct(t.alias("text"), (i * 10).cast("double").alias("y")))
+    rows = customers(spark, sf_dir).withColumn("s", templates.score_report(bs))
+    return rows.select("k", "s.recipient", "s.candidate", "s.form_number", "s.type", "s.overall", "s.date")
+
+
+LABELS = {"full_name": ("full name", "họ và tên"), "segment": ("phân khúc", "segment"), "none": ("không có",)}
+
+
+@query(
+    f"""WITH {CUSTOMERS} SELECT k, name AS full_name, segment, 'full_name' AS present, 'REVIEW_FIRST_REQUIRED' || CASE WHEN k % 2 = 0 THEN ',TEMPLATE_ANCHOR_PARTIAL' ELSE '' END AS errors, 'none' AS missing, least(0.8, (k % 10) / 10.0::DOUBLE) AS confidence, 'MANUAL_REVIEW' AS action FROM c"""
+)
+def review_form(spark, sf_dir):
+    k = F.col("k")
+    rows = customers(spark, sf_dir).withColumn("m", templates.review_only(text("HỌ VÀ TÊN: ", "name", "\nPhân khúc\n", "segment", ".\nXong"), LABELS))
+    none = F.filter(F.array(F.lit("")), lambda _: F.lit(False))
+    rows = rows.withColumn("v", templates.manual_only(F.col("m"), ["segment", "none"], (k % 10) / F.lit(10.0), none, k % 2 != 0))
+    return rows.select("k", F.element_at("m", "full_name").alias("full_name"), F.element_at("m", "segment").alias("segment"), F.lit("full_name").alias("present"), F.array_join("v.errors", ",").alias("errors"), F.array_join("v.missing", ",").alias("missing"), "v.confidence", "v.action")

@@ -55,7 +55,12 @@ def test_distinct_boxes(spark):
                 both = (k[5] - k[3]) * (k[6] - k[4]) + (b[5] - b[3]) * (b[6] - b[4]) - w * h
                 return w * h / both if both else 0
 
-            if not any(k[7] == b[7] and iou(k) >= 0.5 for k in kept):
+            def inside(k, b=b):
+                w, h = max(0, min(k[5], b[5]) - max(k[3], b[3])), max(0, min(k[6], b[6]) - max(k[4], b[4]))
+                return w * h / min((k[5] - k[3]) * (k[6] - k[4]), (b[5] - b[3]) * (b[6] - b[4]))
+
+            # All texts are one letter, so whatever lies in a larger box is a fragment of it.
+            if not any(k[7] == b[7] and iou(k) >= 0.5 or inside(k) >= 0.75 for k in kept):
                 kept.append(b)
         want |= {(page, k[0]) for k in kept}
     assert {tuple(r) for r in got(spark, "distinct_boxes")} == want
@@ -152,3 +157,55 @@ def test_likest_window_equals_all_windows():
         words, n = text.split(), len(marker.split())
         want = 1.0 if text and marker in text else max((SequenceMatcher(None, " ".join(words[i : i + k]), marker).ratio() for k in range(max(1, n - 1), n + 2) for i in range(len(words) - k + 1)), default=0.0)
         assert t.likest_window(text, marker) == want
+
+
+def test_overlap_rows(spark):
+    """The SQL-free rows of boxes, by a plain reading of the rule on the small tables' boxes."""
+    from quirefold.operators import geometry
+
+    got = {}
+    for r in registry.QUERIES["overlap_rows"](spark, SF).collect():
+        got.setdefault(r.page, []).append((r.row, r.text, r.confidence))
+    want = {}
+    for page, bs in pages().items():
+        kept = geometry._distinct([(b[0], *b[3:7], b[7], 0.5 + b[0] / 100) for b in bs], 0.5)
+        groups = []
+        for b in sorted(kept, key=lambda b: (b[2], b[1], b[0])):
+            best = None
+            for g in groups:
+                top, low = min(x[2] for x in g), max(x[4] for x in g)
+                h = min(low - top, b[4] - b[2])
+                share = (min(low, b[4]) - max(top, b[2])) / h if h > 0 else 0
+                d = abs((b[2] + b[4]) / 2 - (top + low) / 2)
+                if share >= 0.45 and (best is None or d < best[0]):
+                    best = (d, g)
+            if best:
+                best[1].append(b)
+            else:
+                groups.append([b])
+        groups.sort(key=lambda g: min(x[2] for x in g))
+        want[page] = [(i, " ".join(x[5] for x in sorted(g, key=lambda x: (x[1], x[0]))), round(sum(x[6] for x in g) / len(g), 4)) for i, g in enumerate(groups)]
+    assert {p: sorted(x) for p, x in got.items()} == {p: sorted(x) for p, x in want.items()}
+
+
+def test_distinct_boxes_drop_fragments():
+    from quirefold.operators.geometry import _distinct
+
+    big, part, other, copy = (1, 0, 0, 100, 10, "Nguyen Van An"), (2, 5, 1, 30, 9, "van"), (3, 5, 1, 60, 9, "something long"), (4, 0, 0, 99, 10, "nguyen  van AN")
+    assert [k[0] for k in _distinct([part, big, other, copy], 0.5)] == [1, 3]
+
+
+def test_coordinate_table():
+    from quirefold.operators.tables import HEADERS, table_of
+
+    word = lambda x, y, t, c=0.99: (x, y, x + 40, y + 16, t, c)
+    words = [word(10, 0, "DANH SÁCH"), word(10, 40, "STT"), word(110, 40, "Mã NV"), word(210, 36, "Họ và"), word(210, 46, "tên"), word(310, 40, "Bộ phận")]
+    words += [word(10, 90, "1"), word(110, 91, "NV001"), word(210, 90, "An"), word(310, 92, "Kho", 0.5), word(210, 102, "Nguyễn"), word(310, 101, "A")]
+    words += [word(10, 140, "2"), word(110, 140, "NV002"), word(210, 141, "Bình"), word(10, 180, "Tổng cộng"), word(110, 180, "2")]
+    got = table_of(words, HEADERS["EMPLOYEE_MASTER_LIST"])
+    assert [(r, n, v, s) for r, _, n, v, s, _ in got] == [
+        (0, "STT", "1", "accepted"), (0, "Mã NV", "NV001", "accepted"), (0, "Họ và / tên", "An Nguyễn", "accepted"), (0, "Bộ phận", "Kho A", "needs_review"),
+        (1, "STT", "2", "accepted"), (1, "Mã NV", "NV002", "accepted"), (1, "Họ và / tên", "Bình", "accepted"), (1, "Bộ phận", "", "not_found"),
+    ]
+    assert {r: s for r, *_, s in got} == {0: "needs_review", 1: "accepted"}
+    assert table_of([], HEADERS["EMPLOYEE_MASTER_LIST"]) == [] == table_of(words[:3], HEADERS["EMPLOYEE_MASTER_LIST"]) == table_of(words, [])
