@@ -201,6 +201,11 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) ->
     return placed.select(*df.columns, *((F.col(f"_start_{n}") + F.col(f"_in_{n}")).alias(n) for n in sums))
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it is known to have few rows."""
+    return F.broadcast(df) if rows <= BROADCAST_LINKS else df
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most: int | None = None) -> DataFrame:
     """(node, root) of every node of the undirected edges; nodes must be random keys such as hashes.
 
@@ -209,16 +214,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int | None =
     partitions as their rows call for. most: a bound of the number of nodes, if one is known.
     """
     # A round's map goes to every task while it is small, so that a hub's many links need not meet; beyond, AQE splits such a join.
-    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_LINKS else df
     few = lambda df, n: df.coalesce(max(1, min(partitions(df.sparkSession), -(-n // LINKS_EACH))))
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct()
     e = cut(few(e, most) if most else e)
-    maps: list[DataFrame] = []
+    maps: list[tuple[DataFrame, int]] = []
     while n := e.count():
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
         up = cut(few(up, n))
-        maps.append(up)
+        maps.append((up, n))
         e = (
             e.join(small(up, n), e.a == up.node).select(F.col("root").alias("a"), "b")
             .join(small(up.select(F.col("node").alias("n2"), F.col("root").alias("r2")), n), F.col("b") == F.col("n2"))
@@ -227,8 +231,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most: int | None =
         e = cut(few(e, n))
     if not maps:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = maps[0]
-    for up in maps[1:]:
-        nxt = up.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
+    out = maps[0][0]
+    for up, n in maps[1:]:
+        nxt = small(up.select(F.col("node").alias("n2"), F.col("root").alias("r2")), n)
         out = out.join(nxt, out.root == nxt.n2, "left").select("node", F.coalesce("r2", "root").alias("root"))
     return out

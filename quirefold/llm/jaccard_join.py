@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import SHINGLE_WORDS, SIMILARITY, MinHash, band_keys, banding, bound_batches, components, cut, keyed_rows, map_arrow, on_disk, partitions, set_key, shingles
+from quirefold.llm.common import SHINGLE_WORDS, SIMILARITY, MinHash, band_keys, banding, bound_batches, components, cut, keyed_rows, map_arrow, on_disk, partitions, set_key, shingles, small
 
 RECALL = 0.999
 #: Rows of a band: so many that pairs well below the similarity seldom meet; the number of bands follows from the recall.
@@ -147,8 +147,9 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     banded = some.select("node", "bands").join(sets.select(F.col("first").alias("node")), "node", "left_semi").select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("band", "hub")
     edges = banded.join(buckets, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    comp = components(edges, most=rows)
-    sizes = comp.groupBy("root").agg(F.count("*").alias("n"))
+    comp = cut(components(edges, most=rows))
+    nodes = comp.count()
+    sizes = small(comp.groupBy("root").agg(F.count("*").alias("n")), nodes)
     members = comp.join(sizes, "root").join(sets.select(F.col("first").alias("node"), "rep_key", "copies"), "node")
     members = members.select("node", "root", "copies", "rep_key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     texts = keyed.join(members, F.col("key") == F.col("rep_key")).select("node", "root", "copies", "blocks", "text")
@@ -158,7 +159,7 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     named = sets.join(links, F.col("first") == F.col("a"), "left").join(classes, F.col("first") == F.col("node"), "left")
     named = named.select("set", "rep", "copies", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("root", "first").alias("root"))
     ends = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    named = named.join(ends, "root").select("set", "class_id", "others", "copies")
+    named = named.join(small(ends, rows), "root").select("set", "class_id", "others", "copies")
     own = F.col("copies").isNull()
     out = sk.select("doc_id", "set").join(named, "set", "left").select(
         "doc_id",

@@ -75,13 +75,14 @@ def _pair(k: int):
         candidates = candidates.sort_values(["none", "c_id", "c_row"]) if some else pd.DataFrame({x: [] for x in ("c_id", "none", "c_row", "c_terms")})
         c, places = matrix(candidates["c_terms"]), np.arange(len(candidates))
         ids, none, rows = (candidates[x].to_numpy() for x in ("c_id", "none", "c_row"))
+        place = {row: i for i, row in enumerate(rows)}
         step = max(1, CELLS // max(1, len(rows)))
         for i in range(0, len(queries) if len(rows) else 0, step):
             part = queries.iloc[i : i + step]
             for row, qid, scores in zip(part["row"].to_numpy(), part["vec_id"].to_numpy(), accumulate(matrix(part["terms"]), c), strict=True):
-                own = np.flatnonzero(rows == row)
-                s, at = (np.delete(scores, own), np.delete(places, own)) if len(own) else (scores, places)
-                out += [(row, qid, ids[p], none[p], rows[p], s[j]) for j in best(s, at, k) for p in (at[j],)]
+                # One more than wanted, as the query's own row may be among them.
+                own = place.get(row)
+                out += [(row, qid, ids[p], none[p], rows[p], scores[p]) for p in [p for p in best(scores, places, k + (own is not None)) if p != own][:k]]
         return pd.DataFrame(out, columns=["row", "query_id", "id", "none", "at", "score"]).astype({"row": "int64", "query_id": "int64", "id": "int64", "none": "bool", "at": "int64", "score": "int64"})
 
     return search
