@@ -31,6 +31,12 @@ def plain_number(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), ",", ".").try_cast("decimal(38,6)")
 
 
+def shown_number(text: Column) -> Column:
+    """plain_number as text: a whole number without decimals."""
+    d = plain_number(text)
+    return F.when(d == F.floor(d), F.floor(d).cast("string")).otherwise(d.cast("double").cast("string"))
+
+
 def decimal_token(text: Column) -> Column:
     """Decimal of a token whose separators may part thousands or decimals.
 

@@ -128,14 +128,118 @@ def unexpected_keys(json: Column, allowed: list[str]) -> Column:
     return F.array_sort(F.array_except(F.json_object_keys(json), F.array(*map(F.lit, allowed))))
 
 
+def all_keys(json: Column) -> Column:
+    """Every key of a JSON text, however deep it stands, by letters and digits alone. Whole strings are read one by one, so a string's content is never taken for a key."""
+    strings = F.regexp_extract_all(json, F.lit(r'("[^"\\]*+(?:\\.[^"\\]*+)*+"\s*:?)'), F.lit(1))
+    keys = F.filter(strings, lambda x: x.endswith(":"))
+    return F.transform(keys, lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", ""))
+
+
 def forbidden_keys(json: Column, forbidden: list[str]) -> Column:
-    """Forbidden keys anywhere in a JSON text, compared by letters and digits alone, however deep they stand."""
-    keys = F.regexp_extract_all(json, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1))
-    folded = F.transform(keys, lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", ""))
-    return F.array_sort(F.array_intersect(folded, F.array(*map(F.lit, forbidden))))
+    """Forbidden keys anywhere in a JSON text, compared by letters and digits alone."""
+    return F.array_sort(F.array_intersect(all_keys(json), F.array(*map(F.lit, forbidden))))
+
+
+#: Names of variables that may reach a process, the longest text that they may hold, and content that may not leave (fixed values).
+VARIABLES = """applicationId documentType documentReference declaredDocumentType confirmedDocumentType detectedDocumentType workflowDocumentType sourceFormat fileValidationStatus classificationStatus classificationConfidence
+parseStatus qualityStatus reviewRequired sensitiveFieldNeedsReview missingCriticalField missingFields businessInconsistency validationErrors requiredFieldsComplete overallConfidence resultReference resultPayloadHash schemaVersion
+errorCode idempotencyKey documentTypeDecision userReviewDecision correctionsReference hrReviewDecision hrReviewNoteReference reviewStage reviewerId reviewedAt caseVersion reviewAuditReference reviewedPayloadHash reviewReasonCodes
+reuploadCount maxReuploadAttempts finalHrDecision finalHrNoteReference recommendedAction templateId templateVersion parserName parserVersion ocrEngine extractionStatus extractedDataReference autoContinueEnabled hrisUpdateStatus
+notificationStatus processingOutcome""".split()
+LONGEST = 4096
+RAW_CONTENT = ["idpPayload", "rawFile", "ocrText", "recognizedText", "fields", "tables"]
+
+
+def variable_problems(json: Column, allowed: list[str] = VARIABLES, longest: int = LONGEST) -> Column:
+    """`NAME:PROBLEM` of a JSON object's members, in their order: not allowed, no scalar, or too long; a text that is no object is NOT_AN_OBJECT."""
+    members = F.map_entries(F.from_json(json, "map<string, variant>"))
+
+    def problem(m: Column) -> Column:
+        kind = F.schema_of_variant(m["value"])
+        text = F.when(kind == "STRING", m["value"].cast("string"))
+        return (
+            F.when(~m["key"].isin(*allowed), "NOT_ALLOWED").when(m["key"].isin(*RAW_CONTENT), "RAW_CONTENT")
+            .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), "NOT_A_SCALAR").when(F.length(text) > longest, "TOO_LONG")
+        )
+
+    found = F.filter(F.transform(members, lambda m: F.struct(m["key"].alias("k"), problem(m).alias("p"))), lambda x: x["p"].isNotNull())
+    return F.coalesce(F.transform(found, lambda x: F.concat_ws(":", x["k"], x["p"])), F.array(F.lit("NOT_AN_OBJECT")))
+
+
+#: Issues that are inconsistencies of the business (fixed values).
+INCONSISTENT = ["FIELD_CONFLICT", "DATE_RANGE_CONFLICT"]
+
+
+def routing_inputs(rows: DataFrame, auto: bool = False) -> DataFrame:
+    """Adds to gated rows what the routing reads: status, review, sensitive, critical, inconsistent, complete, confidence, auto."""
+    codes = F.transform("issues", lambda x: x["code"])
+    return rows.withColumns({
+        "status": F.col("quality_status"), "review": F.col("review_required"), "sensitive": F.exists("fields", lambda f: f["sensitive"] & (f["status"] != "ACCEPTED")), "critical": F.array_contains(codes, "REQUIRED_FIELD_MISSING"),
+        "inconsistent": F.arrays_overlap(codes, F.array(*map(F.lit, INCONSISTENT))), "complete": ~F.array_contains(codes, "REQUIRED_FIELD_MISSING"), "confidence": F.col("score"), "auto": F.lit(auto),
+    })
+
+
+def with_truth(predicted: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """Every predicted field with its true value; null where the truth has none."""
+    return predicted.join(truth.select(*keys, F.col("value").alias("truth")), keys, "left")
+
+
+def first_path(json: Column, paths: list[str]) -> Column:
+    """struct<present, text> of the first path of a JSON text that is there; objects and arrays come as the text of their scalars, a line each."""
+    def flat(x: Column) -> Column:
+        tokens = F.regexp_extract_all(x, F.lit(r'("[^"\\]*+(?:\\.[^"\\]*+)*+"\s*:?|-?[0-9][0-9.eE+-]*|true|false)'), F.lit(1))
+        return F.array_join(F.transform(F.filter(tokens, lambda t: ~t.endswith(":")), lambda t: F.regexp_replace(t, '^"|"$', "")), "\n")
+
+    found = F.coalesce(*(F.get_json_object(json, f"$.{p}") for p in paths))
+    return F.struct(found.isNotNull().alias("present"), F.when(found.rlike(r"^\s*[\[{]"), flat(found)).otherwise(F.coalesce(found, F.lit(""))).alias("text"))
+
+
+def attributed(rows: DataFrame) -> DataFrame:
+    """(cause, fields, consistent) of fields (confirmed, matched, exact, raw_present, predicted, competing): why they are not exact.
+
+    consistent says whether the causes add up to all fields less the exact ones, which they must.
+    """
+    cause = (
+        F.when(~F.col("confirmed"), "GROUND_TRUTH_REVIEW").when(F.col("matched"), "NORMALIZATION")
+        .when(F.col("raw_present") & (~F.col("predicted") | F.col("competing")), "PARSER_BOUNDARY").otherwise("OCR_RECOGNITION")
+    )
+    totals = rows.agg(F.count_if(~F.col("exact")).alias("_wrong"))
+    out = rows.where(~F.col("exact")).groupBy(cause.alias("cause")).agg(F.count("*").alias("fields"))
+    check = out.agg(F.coalesce(F.sum("fields"), F.lit(0)).alias("_sum")).crossJoin(totals).select((F.col("_sum") == F.col("_wrong")).alias("consistent"))
+    return out.crossJoin(F.broadcast(check))  # one row
+
+
+def reading_signals(values: Column, raw: Column, next_labels: Column, labels: Column) -> Column:
+    """What the readers' values of a field disagree in: region_or_line_merge, diacritic_disagreement, character_omission, label_contamination, else character_substitution.
+
+    raw are the values before cleaning, next_labels and labels patterns of the labels that follow the field and of all labels.
+    """
+    from quirefold.functions.text import casefold, collapse, fold_key, once, within_in_order
+
+    texts = F.filter(F.transform(values, lambda v: collapse(F.coalesce(v, F.lit("")))), lambda v: v != "")
+    hits = lambda xs, ps: F.exists(xs, lambda x: F.exists(ps, lambda p: F.coalesce(F.regexp_like(x, F.concat(F.lit("(?iu)"), p)), F.lit(False))))
+
+    def of(ts: Column) -> Column:
+        exact, bases = F.array_distinct(F.transform(ts, casefold)), F.array_distinct(F.transform(ts, fold_key))
+        tight = F.transform(bases, lambda b: F.replace(b, F.lit(" "), F.lit("")))
+        omitted = F.exists(tight, lambda a: F.exists(tight, lambda b: (a != b) & (F.length(a) <= F.length(b)) & within_in_order(a, b)))
+        some = F.size(ts) >= 2
+        found = F.array_compact(F.array(
+            F.when(hits(raw, next_labels), "region_or_line_merge"), F.when(some & (F.size(exact) > 1) & (F.size(bases) == 1), "diacritic_disagreement"),
+            F.when(some & omitted, "character_omission"), F.when(some & hits(ts, labels), "label_contamination"),
+        ))
+        return once(found, lambda f: F.when((F.size(f) == 0) & some & (F.size(bases) > 1), F.array(F.lit("character_substitution"))).otherwise(f))
+
+    return once(texts, of)
 
 
 def header_row(rows: DataFrame, key: str, order: str, points: Column, first: int = 20) -> DataFrame:
     """(key, header): of a table's first rows the one with most points; the earliest of equals."""
     best = F.max(F.when(F.col(order) < first, F.struct(points.alias("p"), (-F.col(order)).alias("o"))))
     return rows.groupBy(key).agg((-best["o"]).alias("header"))
+
+
+def letter_coverage(have: DataFrame, required: list[str]) -> DataFrame:
+    """(letter, available) of the required letters; have (letter) is what a reader or a corpus knows. The required ones are a list of fixed size."""
+    want = have.sparkSession.createDataFrame([(c,) for c in required], "letter string")
+    return F.broadcast(want).join(have.select("letter").distinct().withColumn("available", F.lit(True)), "letter", "left").select("letter", F.coalesce("available", F.lit(False)).alias("available"))

@@ -2,42 +2,82 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from the checkpoint folder that the cluster names, so that all later reads see the same rows; a folder of our own only where none is named."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names; one of our own only where none is named and all runs on this machine."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from the shared checkpoint folder, so that all later reads see the same rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def running(df: DataFrame, by: str, order: list[str], size: Column) -> DataFrame:
+    """Adds before: the sum of size over the rows of `by` before the row in an order without ties.
+
+    Rows are dealt to ranges of (by, order), and each range starts behind the sums of the ranges before it: no task holds a whole
+    hot group, and the one window by group is over a row a range.
+    """
+    ranges = cut(df.withColumn("_size", size).repartitionByRange(by, *order).withColumn("_range", F.spark_partition_id()))
+    behind = F.sum("_n").over(Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranges.groupBy(F.col(by).alias("_c"), F.col("_range").alias("_b")).agg(F.sum("_size").alias("_n")).select("_c", "_b", F.coalesce(behind, F.lit(0)).alias("_start"))
+    within = F.sum("_size").over(Window.partitionBy(by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    placed = ranges.withColumn("_within", F.coalesce(within, F.lit(0))).join(starts, F.col(by).eqNullSafe(F.col("_c")) & (F.col("_range") == F.col("_b")))
+    return placed.select(*df.columns, (F.col("_start") + F.col("_within")).alias("before"))
+
+
+def nth_values(rows: DataFrame, by: str, value: str, place: Column) -> DataFrame:
+    """(by, value, samples): of each group the value at a place (from 1) that may depend on `samples`, its number of values; nulls do not count.
+
+    Equal values are counted before any shuffle, and the counts are summed up range by range, so a hot group is never gathered.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_k"))
+    sums = counts.groupBy(by).agg(F.sum("_k").alias("samples")).withColumn("_place", place).withColumnRenamed(by, "_by")
+    placed = running(counts, by, [value], F.col("_k")).join(sums, F.col(by).eqNullSafe(F.col("_by")))
+    return placed.where((F.col("before") < F.col("_place")) & (F.col("_place") <= F.col("before") + F.col("_k"))).select(by, value, "samples")
+
+
 def number_cases(rows: DataFrame, category: str, order: str) -> DataFrame:
     """Adds case_id `<category>-<0001...>`, a running number within the category; numbers over 9999 take more digits. Order has no repeats within a category.
 
-    Rows are numbered in blocks, ranges of (category, order), and each block starts behind the category's rows in the blocks
-    before it: no task sorts a whole category, and the one window by category is over a row a block.
+    Rows are numbered range by range, so no task sorts a whole category.
     """
-    blocks = cut(rows.repartitionByRange(category, order).withColumn("_block", F.spark_partition_id()))
-    before = F.sum("_n").over(Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    starts = blocks.groupBy(F.col(category).alias("_c"), F.col("_block").alias("_b")).agg(F.count("*").alias("_n")).select("_c", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy(category, "_block").orderBy(order))
-    placed = blocks.withColumn("_place", place).join(starts, F.col(category).eqNullSafe(F.col("_c")) & (F.col("_block") == F.col("_b")))
-    n = (F.col("_before") + F.col("_place")).cast("string")
+    n = (F.col("before") + 1).cast("string")
     number = F.lpad(n, F.greatest(F.lit(4), F.length(n)), F.lit("0"))
-    return placed.withColumn("case_id", F.concat(F.col(category), F.lit("-"), number)).select(*rows.columns, "case_id")
+    return running(rows, category, [order], F.lit(1)).withColumn("case_id", F.concat(F.col(category), F.lit("-"), number)).select(*rows.columns, "case_id")
 
 
-def dataset_digest(rows: DataFrame, by: list[str], key: str, content: Column) -> DataFrame:
-    """(by, rows, digest): a digest of the rows' digests in order of key, equal for equal contents in whatever order they are read."""
-    each = rows.select(*by, F.struct(F.col(key).alias("k"), F.sha2(content, 256).alias("h")).alias("x"))
-    hs = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"])
-    return each.groupBy(*by).agg(F.count("*").alias("rows"), F.concat(F.lit("sha256:"), F.sha2(F.array_join(hs, "\n"), 256)).alias("digest"))
+#: Bits of a key that a level of the digest takes up: a group holds at most so many digests, as long as keys do not repeat.
+LEVEL_BITS = 12
+
+
+def dataset_digest(rows: DataFrame, by: list[str], key: str, content: Column, levels: int = 3) -> DataFrame:
+    """(by, rows, digest): a tree digest of the rows by their whole-number key, equal for equal contents in whatever order they are read.
+
+    A leaf digests the rows' digests of 4,096 neighbouring keys in order of key, a node the digests of 4,096 neighbouring
+    leaves, and the root all nodes of the last level, so no task gathers a whole source: the root of a million million
+    rows joins 15 nodes.
+    """
+    hs = lambda: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "\n"), 256)
+    level = rows.select(*by, F.col(key).cast("long").alias("k"), F.sha2(content, 256).alias("h"), F.lit(1).cast("long").alias("n"))
+    for _ in range(levels):
+        level = level.groupBy(*by, F.shiftright("k", LEVEL_BITS).alias("p")).agg(hs().alias("h"), F.sum("n").alias("n")).withColumnRenamed("p", "k")
+    return level.groupBy(*by).agg(F.sum("n").alias("rows"), F.concat(F.lit("sha256:"), hs()).alias("digest"))
 
 
 def split_leaks(rows: DataFrame, split: str, content: Column) -> DataFrame:
@@ -47,11 +87,21 @@ def split_leaks(rows: DataFrame, split: str, content: Column) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, stratum: Column, key: str, sizes: dict[str, int]) -> DataFrame:
-    """So many rows of each stratum, in order of the keys' digests."""
+    """So many rows of each stratum, in order of the keys' digests. The largest size bounds what each task hands on before the strata meet."""
     place = F.row_number().over(Window.partitionBy("stratum").orderBy("_h", key))
     rows = rows.withColumns({"stratum": stratum, "_h": F.sha2(F.col(key).cast("string"), 256)}).withColumn("place", place)
     size = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in sizes.items() for x in kv)), F.col("stratum")), F.lit(0))
-    return rows.where(F.col("place") <= size).drop("_h")
+    return rows.where(F.col("place") <= max(sizes.values(), default=0)).where(F.col("place") <= size).drop("_h")
+
+
+def backfilled_sample(rows: DataFrame, preferred: Column, key: str, most: int, share: float = 0.85) -> DataFrame:
+    """`most` rows: a share of preferred ones, then others, then more preferred ones if the others are too few, each in order of the keys' digests."""
+    target = math.ceil(most * share)
+    ranked = rows.withColumns({"_p": preferred, "_h": F.sha2(F.col(key).cast("string"), 256)})
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key))
+    ranked = ranked.withColumn("_place", place).where(F.col("_place") <= most)
+    turn = F.when(F.col("_p") & (F.col("_place") <= target), 0).when(~F.col("_p"), 1).otherwise(2)
+    return ranked.withColumn("_turn", turn).orderBy("_turn", "_place").limit(most).select(*rows.columns)
 
 
 def carry_forward(draft: DataFrame, prior: DataFrame, keys: list[str]) -> DataFrame:

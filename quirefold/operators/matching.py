@@ -99,7 +99,7 @@ def compared_file(fields: DataFrame, by: list[str]) -> DataFrame:
 def fuzzy_anti(rows: DataFrame, known: DataFrame, group: str, text: str, least: float = 0.86) -> DataFrame:
     """Rows whose text is like no known text of their group: the best match ratio is below `least`.
 
-    Rows pair within a group only, and length alone rules most pairs out first: the ratio is at most 2 * min / (a + b).
+    Rows pair within a group only, which must be bounded, as a page is; length alone rules most pairs out first: the ratio is at most 2 * min / (a + b).
     """
     k = known.select(F.col(group).alias("_g"), F.col(text).alias("_t")).distinct()
     a, b = F.length(F.col(text)), F.length("_t")
@@ -108,6 +108,12 @@ def fuzzy_anti(rows: DataFrame, known: DataFrame, group: str, text: str, least:
     return rows.join(near.select(group, text).distinct(), [group, text], "left_anti")
 
 
+def merged_readings(native: DataFrame, scanned: DataFrame, group: str, text: str, least: float = 0.86) -> DataFrame:
+    """All native rows of a page, and the recognized ones that are like none of them; source tells which is which. Pages are bounded groups."""
+    new = fuzzy_anti(scanned, native, group, text, least)
+    return native.withColumn("source", F.lit("native")).unionByName(new.select(*native.columns).withColumn("source", F.lit("ocr")))
+
+
 def regressions(truth: DataFrame, base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Keys at which the baseline's value is exact and the candidate's is not."""
     j = truth.join(base.withColumnRenamed("value", "base_value"), keys).join(new.withColumnRenamed("value", "new_value"), keys)

@@ -40,6 +40,32 @@ def delimited_rows(observations: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(key, "seq", "cells", (F.col("seq") == F.col("least")).alias("is_header"))
 
 
+def native_lines(blocks: DataFrame, key: str, order: str, split: Column) -> DataFrame:
+    """(key, seq, page, text) of blocks (key, order, page, text): blocks to be split give a row a line, others one; pages default to 0 and blank rows go."""
+    parts = F.when(split, F.split("text", "\n")).otherwise(F.array("text"))
+    kept = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+    rows = blocks.select(key, order, F.coalesce("page", F.lit(0)).alias("page"), F.posexplode(kept).alias("_i", "text"))
+    return rows.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(order, "_i")) - 1).select(key, "seq", "page", "text")
+
+
+def content_rows(pages: DataFrame, loose: DataFrame, cells: DataFrame, key: str) -> DataFrame:
+    """(key, seq, text) of a document's contents in order: blocks of its pages, then loose blocks, then sheets, each by name before its cells.
+
+    pages (key, page, block, kind, text, label), loose (key, block, kind, text, label), cells (key, sheet_no, sheet, row, column,
+    text). A key-value block reads `label: text` and stays even if blank; other blank rows go.
+    """
+    shown = F.when(F.col("kind") == "key_value", F.concat_ws(": ", F.coalesce("label", F.lit("")), F.coalesce("text", F.lit("")))).otherwise(F.trim("text"))
+    kept = (F.col("kind") == "key_value") | (F.coalesce(F.trim("text"), F.lit("")) != "")
+    at = lambda part, *xs: F.struct(F.lit(part).alias("p"), *(x.cast("long").alias(f"x{i}") for i, x in enumerate(xs)))
+    zero = F.lit(0)
+    a = pages.where(kept).select(key, at(0, F.col("page"), F.col("block"), zero).alias("at"), shown.alias("text"))
+    b = loose.where(kept).select(key, at(1, F.col("block"), zero, zero).alias("at"), shown.alias("text"))
+    names = cells.select(key, "sheet_no", "sheet").distinct().select(key, at(2, F.col("sheet_no"), F.lit(-1), zero).alias("at"), F.col("sheet").alias("text"))
+    c = cells.where("trim(text) <> ''").select(key, at(2, F.col("sheet_no"), F.col("row"), F.col("column")).alias("at"), F.trim("text").alias("text"))
+    rows = a.unionByName(b).unionByName(names).unionByName(c)
+    return rows.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("at")) - 1).alias("seq"), "text")
+
+
 def islands(rows: DataFrame, key: str, order: str, flag: Column) -> DataFrame:
     """(key, island, first, last, size) of the runs of consecutive flagged rows."""
     by = Window.partitionBy(key).orderBy(order)

@@ -80,3 +80,31 @@ def lags(events: DataFrame, key: str, order: str, at: str) -> DataFrame:
     """Adds seconds since the key's row before."""
     before = F.lag(at).over(Window.partitionBy(key).orderBy(order))
     return events.withColumn("seconds", F.bround((F.unix_micros(at) - F.unix_micros(before)) / 1e6, 3))
+
+
+def unassigned(children: DataFrame, parents: DataFrame, key: str, parent: str) -> DataFrame:
+    """Children whose key names no parent."""
+    return children.join(parents.select(F.col(parent).alias("_p")), F.col(key) == F.col("_p"), "left_anti")
+
+
+def appended(log: DataFrame, events: DataFrame, order: list[str], seq: str = "seq") -> DataFrame:
+    """Events numbered on behind the log's last number, in their own order: every number is greater than all before it."""
+    from quirefold.operators.governance import running
+
+    last = log.agg(F.coalesce(F.max(seq), F.lit(0)).alias("_last"))
+    rows = running(events.withColumn("_all", F.lit(0)), "_all", order, F.lit(1)).crossJoin(F.broadcast(last))  # one row
+    return rows.withColumn(seq, F.col("_last") + F.col("before") + 1).drop("_all", "_last", "before")
+
+
+def archive(events: DataFrame, key: str, order: str, opened: Column, finished: Column, most: int = 500) -> DataFrame:
+    """(key, opened_at, finished_at, status): the newest archives; a finish before any opening opens nothing."""
+    first = F.min(F.when(opened, F.col(order)))
+    out = events.groupBy(key).agg(first.alias("opened_at"), F.max(F.when(finished, F.col(order))).alias("_end")).where("opened_at IS NOT NULL")
+    end = F.when(F.col("_end") > F.col("opened_at"), F.col("_end"))
+    out = out.select(key, "opened_at", end.alias("finished_at"), F.when(end.isNotNull(), "FINAL").otherwise("OPEN").alias("status"))
+    return out.orderBy(F.desc("opened_at"), key).limit(most)
+
+
+def marked_read(notes: DataFrame, reads: DataFrame, keys: list[str]) -> DataFrame:
+    """Notifications with unread, whether nobody marked them."""
+    return notes.join(reads.select(*keys).distinct().withColumn("_r", F.lit(True)), keys, "left").withColumn("unread", F.col("_r").isNull()).drop("_r")

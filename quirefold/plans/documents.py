@@ -71,10 +71,14 @@ def template_detect_tie(spark, sf_dir):
     return classify.detect_templates(table(spark, sf_dir, "documents"), TEMPLATES).select("doc_id", "template", F.col("matched").cast("int").alias("matched"), "confidence")
 
 
-@query("SELECT doc_id, " + ", ".join(f"array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{p}'))), ',') AS {k}" for k, p in t.IDENTIFIERS.items()) + " FROM documents")
+_found = lambda p: f"list_transform(regexp_extract_all(text, '{p}'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')))"
+_kinds = {k: _found(t.IDENTIFIERS[k]) for k in ("email", "date", "employee_code")} | {"identity": "list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: length(x) = 12)"}
+
+
+@query("SELECT doc_id, " + ", ".join(f"array_to_string(list_sort(list_distinct({x})), ',') AS {k}" for k, x in _kinds.items()) + " FROM documents")
 def pii_candidates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", *(F.array_join(F.array_sort(t.identifiers(F.col("text"), k)), ",").alias(k) for k in t.IDENTIFIERS))
+    return docs.select("doc_id", *(F.array_join(F.array_sort(t.identifiers(F.col("text"), k)), ",").alias(k) for k in _kinds))
 
 
 @query(

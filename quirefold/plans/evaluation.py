@@ -258,8 +258,19 @@ def aggregate_report(spark, sf_dir):
     return sets.agg(F.count("*").alias("fields"), rate(F.count_if(F.col("o_totalprice") > 100000), F.count("*")).alias("high_rate"), F.grouping_id().alias("level"))
 
 
+def pages_of_names(spark, sf_dir):
+    """Part names as lines of pages of fifty, the larger parts read by a recognizer, the others native."""
+    part = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 50).alias("page"), F.concat_ws(" ", "p_name", "p_type").alias("text"), "p_size")
+    return part.where("p_size > 25"), part.where("p_size <= 25")
+
+
 @query()
 def fuzzy_anti(spark, sf_dir):
-    """Part names that no name of another size of the same brand resembles."""
-    part = table(spark, sf_dir, "part").select("p_brand", F.concat_ws(" ", "p_name", "p_type").alias("text"), "p_size")
-    return matching.fuzzy_anti(part.where("p_size > 25"), part.where("p_size <= 25"), "p_brand", "text", 0.86)
+    """Recognized lines that no native line of their page resembles."""
+    return matching.fuzzy_anti(*pages_of_names(spark, sf_dir), "page", "text", 0.86)
+
+
+@query()
+def merged_readings(spark, sf_dir):
+    scanned, native = pages_of_names(spark, sf_dir)
+    return matching.merged_readings(native, scanned, "page", "text", 0.86)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as t
-from quirefold.operators import extract, observe, policy
+from quirefold.operators import extract, governance, observe, policy
 from quirefold.plans.registry import query, table
 
 CONTRACT_LINES = """SELECT o_orderkey AS doc_id, unnest([0, 1, 2, 3, 4])::INT AS seq, unnest(['Số hợp đồng: ' || o_orderkey, 'Signed by employee name: ' || c_name, CASE WHEN o_orderkey % 4 = 0 THEN 'Ngày bắt đầu ' ELSE 'Ngày bắt đầu: ' END || strftime(o_orderdate, '%Y-%m-%d'), 'Salary： ' || o_orderstatus, 'End date:']) AS text FROM orders JOIN customer ON o_custkey = c_custkey"""
@@ -152,18 +152,19 @@ def fuzzy_phrase(spark, sf_dir):
     return policy.corrected(rows, "read", PHRASES, "text").select("p_partkey", "text")
 
 
-@query("WITH l AS (SELECT DISTINCT unnest(string_split(lower(text), '')) AS c FROM documents) SELECT r AS letter, r IN (SELECT c FROM l) AS available FROM (SELECT unnest(string_split('aáàảãạăâbcdđeéèêghiíklmnoóòôơpqrstuúùưvxyýß', '')) AS r)")
+@query(f"WITH l AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents) SELECT r AS letter, r IN (SELECT c FROM l) AS available FROM (SELECT unnest({t.vietnamese_letters()}) AS r)")
 def charset_coverage(spark, sf_dir):
-    required = "aáàảãạăâbcdđeéèêghiíklmnoóòôơpqrstuúùưvxyýß"
-    have = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), ""))).alias("letter")).distinct().withColumn("available", F.lit(True))
-    want = spark.createDataFrame([(c,) for c in required], "letter string")
-    return want.join(have, "letter", "left").select("letter", F.coalesce("available", F.lit(False)).alias("available"))
+    """Which of the 134 letters that Vietnamese needs occur in the documents."""
+    have = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), ""))).alias("letter")).distinct()
+    return extract.letter_coverage(have, t.vietnamese_letters())
 
 
 @query("SELECT event_type, round_even(quantile_cont(value, 0.5), 6) AS p50, list_sort(list(value))[greatest(1, round_even(0.95 * count(*), 0)::INT)] AS p95, count(value) AS samples FROM events GROUP BY event_type")
 def pilot_latency(spark, sf_dir):
-    n = F.greatest(F.lit(1), F.bround(0.95 * F.count("value")).cast("int"))
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.bround(F.percentile("value", 0.5), 6).alias("p50"), F.element_at(F.array_sort(F.collect_list("value")), n).alias("p95"), F.count("value").alias("samples"))
+    events = table(spark, sf_dir, "events")
+    half = events.groupBy("event_type").agg(F.bround(F.percentile("value", 0.5), 6).alias("p50"))
+    high = governance.nth_values(events, "event_type", "value", F.greatest(F.lit(1), F.bround(0.95 * F.col("samples"), 0).cast("long")))
+    return half.join(high.withColumnRenamed("value", "p95"), "event_type").select("event_type", "p50", "p95", "samples")
 
 
 @query("SELECT p_partkey, trim(regexp_replace(strip_accents(lower(p_name || ' ' || p_type)), '[^a-z0-9]+', ' ', 'g')) AS folded, len(list_filter(string_split_regex(lower(p_name || ' ' || p_type), '[^a-z0-9]+'), lambda x: x <> ''))::INT AS n_tokens FROM part")

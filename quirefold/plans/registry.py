@@ -28,4 +28,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from quirefold.plans import boxes, decisions, documents, evaluation, extraction, forms, reports, state  # noqa: E402, F401
+from quirefold.plans import boxes, decisions, documents, evaluation, extraction, forms, reports, state, texts  # noqa: E402, F401

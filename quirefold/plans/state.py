@@ -100,7 +100,11 @@ def inventory_number(spark, sf_dir):
     return governance.number_cases(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey").select("o_orderkey", "case_id")
 
 
-@query("SELECT source, count(*) AS rows, 'sha256:' || sha256(string_agg(sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
+LEAVES = "SELECT source, doc_id AS k, sha256(coalesce(text, '')) AS h, 1 AS n FROM documents"
+_level = lambda of: f"SELECT source, k >> 12 AS k, sha256(string_agg(h, chr(10) ORDER BY k, h)) AS h, sum(n) AS n FROM ({of}) GROUP BY source, k >> 12"
+
+
+@query(f"SELECT source, sum(n)::BIGINT AS rows, 'sha256:' || sha256(string_agg(h, chr(10) ORDER BY k, h)) AS digest FROM ({_level(_level(_level(LEAVES)))}) GROUP BY source")
 def dataset_digest(spark, sf_dir):
     return governance.dataset_digest(table(spark, sf_dir, "documents"), ["source"], "doc_id", F.coalesce("text", F.lit("")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
 
@@ -19,7 +20,7 @@ EXTENSIONS = {
     "txt": "PLAIN_TEXT", "pdf": "PDF", "docx": "DOCX", "xlsx": "XLSX", "pptx": "PPTX", "doc": "LEGACY_DOC", "xls": "LEGACY_XLS",
     "jpg": "IMAGE", "jpeg": "IMAGE", "png": "IMAGE", "tif": "IMAGE", "tiff": "IMAGE", "webp": "IMAGE",
 }
-LIMITS = {"bytes": 25 << 20, "entries": 2000, "expanded": 250 << 20, "ratio": 100.0, "cells": 1_000_000}
+LIMITS = {"bytes": 25 << 20, "pages": 200, "entries": 2000, "expanded": 250 << 20, "ratio": 100.0, "cells": 1_000_000}
 PARSED = "doc_id string, seq int, kind string, text string, sheet string, row_index int, column_index int"
 
 
@@ -33,6 +34,21 @@ def extension(filename: Column) -> Column:
     return F.lower(F.regexp_extract(filename, r"\.([^.]+)$", 1))
 
 
+#: Media types and the formats that they lead one to expect (fixed values).
+MEDIA = {
+    "text/plain": "PLAIN_TEXT", "application/pdf": "PDF", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "DOCX", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "XLSX",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "PPTX", "application/msword": "LEGACY_DOC", "application/vnd.ms-excel": "LEGACY_XLS", "image/jpeg": "IMAGE", "image/png": "IMAGE", "image/tiff": "IMAGE", "image/webp": "IMAGE",
+}
+
+
+def warnings(kind: Column, ext: Column, media: Column) -> Column:
+    """EXTENSION_MISMATCH and MEDIA_TYPE_MISMATCH of a detected format; a media type's parameters do not count."""
+    table = lambda t: F.create_map(*(F.lit(x) for kv in t.items() for x in kv))
+    plain = F.lower(F.trim(F.substring_index(media, ";", 1)))
+    odd = lambda want: F.coalesce(~kind.startswith(want), F.lit(False))
+    return F.array_compact(F.array(F.when(odd(F.element_at(table(EXTENSIONS), ext)), "EXTENSION_MISMATCH"), F.when(odd(F.element_at(table(MEDIA), plain)), "MEDIA_TYPE_MISMATCH")))
+
+
 def _members(content: bytes | None) -> list[zipfile.ZipInfo] | None:
     try:
         return zipfile.ZipFile(io.BytesIO(content or b"")).infolist()
@@ -50,6 +66,15 @@ def _container(content: bytes | None) -> tuple:
     packed, expanded = sum(i.compress_size for i in infos), sum(i.file_size for i in infos)
     ratio = max([expanded / packed if packed else 0.0, *(i.file_size / i.compress_size if i.compress_size else 0.0 for i in infos)], default=0.0)
     unsafe = any(n.startswith(("/", "\\")) or ":" in n or ".." in re.split(r"[/\\]", n) for n in names)
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        small = expanded <= LIMITS["expanded"] and len(infos) <= LIMITS["entries"] and ratio <= LIMITS["ratio"]
+        # Members are read for their checksums only where the limits allow it.
+        try:
+            broken = small and not any(i.flag_bits & 1 for i in infos) and z.testzip() is not None
+        except (zipfile.BadZipFile, zlib.error, EOFError, OSError, NotImplementedError):
+            broken = True
+    if broken:
+        return None, 0, 0, 0.0, False, False, False
     return kind, len(infos), expanded, ratio, any(i.flag_bits & 1 for i in infos), any(n.lower().endswith("vbaproject.bin") for n in names), unsafe
 
 
@@ -89,25 +114,47 @@ def detect(files: DataFrame, pdf_profile: Column | None = None) -> DataFrame:
     return files.withColumn("format", kind).withColumn("mismatch", F.coalesce(~F.col("format").startswith(wanted), F.lit(False)))
 
 
-def quarantine(files: DataFrame) -> DataFrame:
-    """Adds error: the first safety rule that a detected file breaks; null if it is fit to parse."""
+#: Codes that a caller may try again (fixed values); all others are the document's own fault.
+RETRYABLE = ["TIMEOUT", "STORAGE_FAILED"]
+
+
+def quarantine(files: DataFrame, reject_mismatch: bool = False, limits: dict[str, float] = LIMITS) -> DataFrame:
+    """Adds error, error_kind and retryable: the first safety rule that a detected file breaks; null if it is fit to parse.
+
+    With reject_mismatch a file whose extension names another format is refused, as uploads are. Files may bring pages (a
+    count) and corrupted (a flag) from an inspector of PDFs and images; without them those rules hold nothing against a file.
+    """
     ext, c = extension(F.col("filename")), F.col
+    pages = c("pages") if "pages" in files.columns else F.lit(None).cast("int")
+    corrupted = c("corrupted") if "corrupted" in files.columns else F.lit(False)
+    pdf = c("format").isin("PDF_TEXT", "PDF_SCAN")
     name = c("filename")
     rules = [
-        (name.rlike(r"^([/\\]|[A-Za-z]:)") | name.rlike(r"(^|[/\\])\.\.([/\\]|$)"), "UNSAFE_FILENAME"),
-        (c("length") > LIMITS["bytes"], "FILE_TOO_LARGE"),
+        (name.rlike(r"^([/\\]|[A-Za-z]:)") | name.rlike(r"(^|[/\\])\.\.([/\\]|$)"), "INVALID_SOURCE"),
+        (c("length") > limits["bytes"], "FILE_TOO_LARGE"),
         (c("format") == "CORRUPTED", "CORRUPTED_FILE"),
         (F.hex(F.substring("content", 1, 8)).eqNullSafe("D0CF11E0A1B11AE1") & ext.isin("docx", "xlsx", "pptx", "docm", "xlsm", "pptm"), "ENCRYPTED_DOCUMENT"),
         (c("format").isin("LEGACY_DOC", "LEGACY_XLS"), "CONVERSION_REQUIRED"),
         (c("format") == "UNKNOWN", "UNSUPPORTED_FORMAT"),
+        (c("mismatch") & F.lit(reject_mismatch), "FORMAT_MISMATCH"),
+        (corrupted & (pdf | (c("format") == "IMAGE")), "CORRUPTED_FILE"),
+        (pdf & (pages > limits["pages"]), "PDF_PAGE_LIMIT_EXCEEDED"),
         (c("encrypted"), "ENCRYPTED_DOCUMENT"),
-        (c("entries") > LIMITS["entries"], "ARCHIVE_ENTRY_LIMIT_EXCEEDED"),
-        (c("unsafe"), "UNSAFE_ARCHIVE_PATH"),
-        (c("macros") | ext.isin("docm", "xlsm", "pptm"), "MACRO_NOT_ALLOWED"),
-        (c("expanded") > LIMITS["expanded"], "ARCHIVE_SIZE_LIMIT_EXCEEDED"),
-        (c("ratio") > LIMITS["ratio"], "COMPRESSION_RATIO_EXCEEDED"),
+        (c("entries") > limits["entries"], "ARCHIVE_LIMIT_EXCEEDED"),
+        (c("unsafe"), "DANGEROUS_ARCHIVE_PATH"),
+        (c("macros") | ext.isin("docm", "xlsm", "pptm"), "MACRO_ENABLED_DOCUMENT"),
+        (c("expanded") > limits["expanded"], "ARCHIVE_LIMIT_EXCEEDED"),
+        (c("ratio") > limits["ratio"], "ARCHIVE_LIMIT_EXCEEDED"),
     ]
-    return files.withColumn("error", F.coalesce(*(F.when(F.coalesce(r, F.lit(False)), code) for r, code in rules)))
+    rows = files.withColumn("error", F.coalesce(*(F.when(F.coalesce(r, F.lit(False)), code) for r, code in rules)))
+    return rows.withColumns({"error_kind": F.when(F.col("error").isin(*RETRYABLE), "TECHNICAL").when(F.col("error").isNotNull(), "BUSINESS"), "retryable": F.col("error").isin(*RETRYABLE)})
+
+
+def inspected(pages: DataFrame, key: str, least: int = 8) -> DataFrame:
+    """(key, pages, usable, profile) of page texts (key, text): native if each page has so many signs that are no space, scan if none has, else mixed."""
+    enough = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", "")) >= least
+    n, good = F.count("*"), F.count_if(enough)
+    return pages.groupBy(key).agg(n.alias("pages"), (good > 0).alias("usable"), F.when(good == n, "native").when(good == 0, "scan").otherwise("mixed").alias("profile"))
 
 
 def _local(tag: str) -> str:
@@ -132,6 +179,8 @@ def _docx(z: zipfile.ZipFile) -> Iterator[tuple]:
         if _local(node.tag) == "p":
             style = node.find("{*}pPr/{*}pStyle")
             name = next((v for k, v in style.attrib.items() if _local(k) == "val"), "") if style is not None else ""
+            if node.find(".//{*}drawing") is not None or node.find(".//{*}pict") is not None:
+                yield "image", "[image]", None, None, None
             kind = "heading" if name.lower().startswith("heading") else "list_item" if node.find("{*}pPr/{*}numPr") is not None else "paragraph"
             yield kind, _text(node), None, None, None
         elif _local(node.tag) == "tbl":

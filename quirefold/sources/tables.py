@@ -28,25 +28,76 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.select(*flat).write.option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
+#: Columns of the flat export, in order (fixed values).
+EXPORT = ["caseId", "category", "documentType", "sourceFormat", "pageCount", "fieldName", "dataType", "normalizationStatus", "value", "unit", "sensitive", "reviewStatus"]
+
+
+def typed_export(documents: DataFrame, columns: list[str] = EXPORT) -> DataFrame:
+    """One row a field of the active documents, of exactly these columns as text; what is not there is empty.
+
+    documents (caseId, scopeStatus, ..., fields array<struct<fieldName, ...>>).
+    """
+    rows = documents.where("scopeStatus = 'ACTIVE'").withColumn("f", F.explode("fields"))
+    inner = set(rows.schema["f"].dataType.names)
+    cell = lambda c: F.col(f"f.{c}") if c in inner else F.col(c) if c in documents.columns else F.lit(None)
+    return rows.select(*(F.coalesce(cell(c).cast("string"), F.lit("")).alias(c) for c in columns))
+
+
+def write_aggregates(rows: DataFrame, path: str, allowed: list[str]) -> None:
+    """A report as JSON lines, one file, members by name. Columns that were not allowed, as any that could hold raw values, are refused."""
+    if extra := sorted(set(rows.columns) - set(allowed)):
+        raise ValueError(f"not an aggregate: {', '.join(extra)}")
+    rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_letters(spark: SparkSession, path: str) -> DataFrame:
+    """(letter): the distinct letters of a reader's character list, one a line, or of the `character` list of a YAML file."""
+    lines = spark.read.text(path)
+    plain = F.regexp_replace(F.regexp_replace("value", r"^\s*(?:-|character(?:_dict)?\s*:)\s*", ""), "^['\"]|['\"]$", "")
+    return lines.select(F.explode(F.split(plain, "")).alias("letter")).where("trim(letter) <> ''").distinct()
+
+
 def new_results(results: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Results whose key is not stored yet, one for each key, with the digest of their JSON."""
     rows = business_json(results, key).groupBy(key).agg(F.min("json").alias("json"))
     return rows.join(stored.select(key), key, "left_anti").withColumn("digest", F.concat(F.lit("sha256:"), F.sha2("json", 256)))
 
 
-def store(results: DataFrame, path: str, key: str) -> int:
-    """Appends new results to a Parquet store; replays change nothing. Gives the number of rows written."""
+def store(results: DataFrame, path: str, key: str, batch: str | None = None) -> int:
+    """Adds new results to a Parquet store; replays change nothing. Gives the number of rows written.
+
+    With a batch name the rows go to that batch's own folder, which a rerun writes over, so a run that failed half-way or ran
+    twice leaves one copy. Batches of one store must not run at the same time: a lock file, made only if it is not there, sees
+    to that.
+    """
+    spark = results.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.lock")
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.createNewFile(fs_path):
+        raise RuntimeError(f"{path} is being written")
+    try:
+        return _store(results, path, key, batch)
+    finally:
+        fs.delete(fs_path, False)
+
+
+def _store(results: DataFrame, path: str, key: str, batch: str | None) -> int:
     spark = results.sparkSession
     schema = f"{key} {results.schema[key].dataType.simpleString()}, json string, digest string"
     try:
-        stored = spark.read.schema(schema).parquet(path)
+        stored = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+        if batch:
+            stored = stored.where(~F.input_file_name().contains(f"/{batch}/"))
         stored.limit(1).count()
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         stored = spark.createDataFrame([], schema)
-    fresh = new_results(results, stored, key)
+    fresh = new_results(results, stored, key).persist()
     n = fresh.count()
-    if n:
+    if n and batch:
+        fresh.write.mode("overwrite").parquet(f"{path}/{batch}")
+    elif n:
         fresh.write.mode("append").parquet(path)
+    fresh.unpersist()
     return n

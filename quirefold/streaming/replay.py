@@ -10,15 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quirefold.operators.governance import shared_folder
+
 
 def folder(spark: SparkSession) -> str:
     """A new place for a stream's checkpoint or output, in the folder that the cluster names for checkpoints."""
-    import tempfile
-
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,16 +31,14 @@ def _is_file(spark: SparkSession, path: str) -> bool:
 
 def collected(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all that is there and gives its output as a table."""
-    spark = stream.sparkSession
-    name = f"s{uuid.uuid4().hex}"
+    spark, out = stream.sparkSession, folder(stream.sparkSession)
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", folder(spark)).trigger(availableNow=True)
     if mode == "append":
-        out = folder(spark)
         run.format("parquet").start(out).awaitTermination()
-        return spark.read.schema(stream.schema).parquet(out)
-    # Complete mode keeps the result's groups only, one row each.
-    run.format("memory").queryName(name).start().awaitTermination()
-    return spark.table(name)
+    else:
+        # Each batch of complete mode is the whole result and takes the place of the one before; a repeated batch changes nothing.
+        run.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def daily_totals(events: DataFrame, late: str | None = "2 days") -> DataFrame:
@@ -62,7 +57,8 @@ def once(events: DataFrame, keys: list[str], within: str | None = None) -> DataF
 class Corrections(StatefulProcessor):
     """Optimistic corrections of one case: a correction must name the hash of what it corrects; a replay of the last one is a no-op.
 
-    Rows (case_id, base_hash, new_hash) give (case_id, version, hash, outcome): ACCEPTED, REPLAY or CONFLICT.
+    Rows (case_id, seq, base_hash, new_hash) give (case_id, seq, version, hash, outcome): ACCEPTED, REPLAY or CONFLICT. Within a
+    batch they apply in order of seq.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -71,17 +67,17 @@ class Corrections(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
         version, held = self.current.get() if self.current.exists() else (0, "")
         out = []
-        for pdf in rows:
-            for base, new in zip(pdf["base_hash"], pdf["new_hash"], strict=True):
+        for pdf in [pd.concat(list(rows)).sort_values(["seq", "new_hash"], kind="stable")]:
+            for seq, base, new in zip(pdf["seq"], pdf["base_hash"], pdf["new_hash"], strict=True):
                 if version and new == held:
                     outcome = "REPLAY"
                 elif base == held:
                     version, held, outcome = version + 1, new, "ACCEPTED"
                 else:
                     outcome = "CONFLICT"
-                out.append((key[0], version, held, outcome))
+                out.append((key[0], seq, version, held, outcome))
         self.current.update((version, held))
-        yield pd.DataFrame(out, columns=["case_id", "version", "hash", "outcome"])
+        yield pd.DataFrame(out, columns=["case_id", "seq", "version", "hash", "outcome"])
 
     def close(self) -> None:
         pass
@@ -89,4 +85,4 @@ class Corrections(StatefulProcessor):
 
 def corrections(stream: DataFrame) -> DataFrame:
     """Applies Corrections by case_id; needs the RocksDB state store."""
-    return stream.groupBy("case_id").transformWithStateInPandas(Corrections(), "case_id string, version int, hash string, outcome string", "Append", "None")
+    return stream.groupBy("case_id").transformWithStateInPandas(Corrections(), "case_id string, seq long, version int, hash string, outcome string", "Append", "None")

@@ -102,10 +102,27 @@ def test_narratives(spark):
 
 
 def test_fuzzy_anti(spark):
-    ps = rows("SELECT p_brand, p_name || ' ' || p_type, p_size FROM part")
+    ps = rows("SELECT p_partkey // 50, p_name || ' ' || p_type, p_size FROM part")
     known = {(b, x) for b, x, s in ps if s <= 25}
     want = Counter((b, x, s) for b, x, s in ps if s > 25 and not any(kb == b and SequenceMatcher(None, k, x).ratio() >= 0.86 for kb, k in known))
-    assert Counter((r.p_brand, r.text, r.p_size) for r in got(spark, "fuzzy_anti")) == want
+    assert Counter((r.page, r.text, r.p_size) for r in got(spark, "fuzzy_anti")) == want
+    both = Counter((r.page, r.text, r.p_size, r.source) for r in got(spark, "merged_readings"))
+    assert both == Counter({(*k, "ocr"): n for k, n in want.items()}) + Counter((b, x, s, "native") for b, x, s in ps if s <= 25)
+
+
+def test_phone_candidates_and_label_scores(spark):
+    import re
+
+    for r in got(spark, "phone_candidates"):
+        text = f"tel +84 912-345-{str(r.o_orderkey % 1000)[:3]:0>3} or 0912345678901234 or 0987.654.321"
+        assert r.phones.split(",") == list(dict.fromkeys(re.findall(r"(?<!\d)(?:\+?84|0)(?:[\s.\-]?\d){8,10}(?!\d)", text)))
+
+    def score(key, label="blue widget"):
+        words = set(label.split())
+        return 1.0 if label in key else max(SequenceMatcher(None, key, label).ratio(), 0.92 * len(words & set(key.split())) / len(words))
+
+    names = dict(rows("SELECT p_partkey, p_name FROM part"))
+    assert {r.p_partkey: r.score for r in got(spark, "label_scores")} == {k: score(n.lower()) for k, n in names.items()}
 
 
 def phrase(text, phrases):

@@ -117,9 +117,10 @@ def test_row_clusters_follow_the_running_mean(spark):
 
 
 def test_corrections_need_the_current_hash(spark, tmp_path):
-    rows = [("c", "", "h1"), ("c", "h1", "h2"), ("c", "h1", "h2"), ("c", "h1", "h9")]
-    spark.createDataFrame(rows, "case_id string, base_hash string, new_hash string").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("case_id string, base_hash string, new_hash string").parquet(str(tmp_path / "in"))
+    # Not in the order in which they were made: seq tells it.
+    rows = [("c", 4, "h1", "h9"), ("c", 2, "h1", "h2"), ("c", 3, "h1", "h2"), ("c", 1, "", "h1")]
+    spark.createDataFrame(rows, "case_id string, seq long, base_hash string, new_hash string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("case_id string, seq long, base_hash string, new_hash string").parquet(str(tmp_path / "in"))
     out = replay.collected(replay.corrections(stream), "append").collect()
     assert sorted((r.version, r.outcome) for r in out) == [(1, "ACCEPTED"), (2, "ACCEPTED"), (2, "CONFLICT"), (2, "REPLAY")]
 
@@ -147,7 +148,7 @@ def test_case_numbers_over_9999_are_not_cut(spark, monkeypatch):
         got = governance.number_cases(rows, "c", "k").orderBy("k").collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert len(got) == 25_000 and blocks[0].where("c = 'a'").select("_block").distinct().count() > 1
+    assert len(got) == 25_000 and blocks[0].where("c = 'a'").select("_range").distinct().count() > 1
     for r in got:
         want[r.c] += 1
         assert r.case_id == (r.c and f"{r.c}-{want[r.c]:04d}")

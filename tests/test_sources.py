@@ -39,8 +39,8 @@ def test_intake(spark, folder):
     short = lambda p: p.rpartition("/")[2]
     got = {short(r.path): r.error for r in rejected.collect()}
     assert got == {
-        "e.docx": "CORRUPTED_FILE", "f.doc": "CONVERSION_REQUIRED", "g.docx": "ENCRYPTED_DOCUMENT", "h.docx": "COMPRESSION_RATIO_EXCEEDED",
-        "i.docx": "MACRO_NOT_ALLOWED", "j.docx": "UNSAFE_ARCHIVE_PATH", "k.bin": "UNSUPPORTED_FORMAT", "m.txt": "UNSUPPORTED_FORMAT",
+        "e.docx": "CORRUPTED_FILE", "f.doc": "CONVERSION_REQUIRED", "g.docx": "ENCRYPTED_DOCUMENT", "h.docx": "ARCHIVE_LIMIT_EXCEEDED",
+        "i.docx": "MACRO_ENABLED_DOCUMENT", "j.docx": "DANGEROUS_ARCHIVE_PATH", "k.bin": "UNSUPPORTED_FORMAT", "m.txt": "UNSUPPORTED_FORMAT",
     }
     rows = {}
     for r in seen.orderBy("doc_id", "seq").collect():
@@ -57,6 +57,26 @@ def test_mismatch(spark, folder):
     assert got["l.png"] == ("IMAGE", False) and got["o.jpg"] == ("IMAGE", False) and got["n.pdf"] == ("PDF_TEXT", False) and got["g.docx"] == ("UNKNOWN", True)
 
 
+def test_upload_rules(spark, folder):
+    c = "path string, filename string, length long, format string, mismatch boolean, entries long, expanded long, ratio double, encrypted boolean, macros boolean, unsafe boolean, content binary, pages int, corrupted boolean"
+    row = lambda name, size=1, kind="PDF_TEXT", odd=False, pages=1, bad=False: (name, name, size, kind, odd, None, None, None, None, None, None, b"x", pages, bad)
+    rows = spark.createDataFrame([row("a.pdf"), row("../a.pdf"), row("b.pdf", 26 << 20), row("c.pdf", pages=201), row("d.pdf", bad=True), row("e.jpg", kind="PDF_SCAN", odd=True), row("C:\\x.pdf"), row("f.png", kind="IMAGE", bad=True)], c)
+    got = {r.filename: (r.error, r.error_kind, r.retryable) for r in files.quarantine(rows, reject_mismatch=True).collect()}
+    assert {k: v[0] for k, v in got.items()} == {
+        "a.pdf": None, "../a.pdf": "INVALID_SOURCE", "b.pdf": "FILE_TOO_LARGE", "c.pdf": "PDF_PAGE_LIMIT_EXCEEDED", "d.pdf": "CORRUPTED_FILE", "e.jpg": "FORMAT_MISMATCH", "C:\\x.pdf": "INVALID_SOURCE", "f.png": "CORRUPTED_FILE",
+    }
+    assert got["a.pdf"][1] is None and got["b.pdf"][1:] == ("BUSINESS", False)
+    assert files.quarantine(rows).where("filename = 'e.jpg' AND error IS NOT NULL").count() == 0
+
+
+def test_broken_checksum_and_inspection(spark):
+    good = zipped(**{"word/document.xml": "abcdefgh" * 40})
+    at = good.index(b"document.xml") + 14
+    assert files._container(good)[0] == "DOCX" and files._container(good[:at] + bytes([good[at] ^ 255]) + good[at + 1 :])[0] is None
+    pages = spark.createDataFrame([("a", "enough text here"), ("a", "x  y"), ("b", "enough text here"), ("c", None)], "doc string, text string")
+    assert {r.doc: (r.pages, r.usable, r.profile) for r in files.inspected(pages, "doc").collect()} == {"a": (2, True, "mixed"), "b": (1, True, "native"), "c": (1, False, "scan")}
+
+
 def test_strict_json(spark, tmp_path):
     (tmp_path / "ok.json").write_text('{"a": 1, "b": "x"}\n{"a": 2}\n')
     (tmp_path / "bad.json").write_text('{"a": 1, "c": 2}\n')
@@ -72,6 +92,27 @@ def test_store_takes_each_result_once(spark, tmp_path):
     assert tables.store(rows, path, "k") == 0
     got = {r.k: r.json for r in spark.read.parquet(path).collect()}
     assert got == {"k1": '{"k":"k1","v":1}', "k2": '{"k":"k2"}'}
+    more = spark.createDataFrame([("k2", 5), ("k3", 3)], "k string, v int")
+    assert [tables.store(more, path, "k", "b1"), tables.store(more, path, "k", "b1")] == [1, 1]
+    assert spark.read.option("recursiveFileLookup", True).parquet(path).groupBy("k").count().where("count > 1").count() == 0
+    (tmp_path / "store.lock").write_text("")
+    with pytest.raises(RuntimeError, match="being written"):
+        tables.store(more, path, "k")
+
+
+def test_flat_export_and_aggregates(spark, tmp_path):
+    docs = spark.sql("SELECT 'c1' AS caseId, 'ACTIVE' AS scopeStatus, 2 AS pageCount, array(named_struct('fieldName', 'salary', 'value', 1.5D), named_struct('fieldName', 'note', 'value', NULL)) AS fields UNION ALL SELECT 'c2', 'EXCLUDED', 1, array()")
+    rows = [r.asDict() for r in tables.typed_export(docs).orderBy("fieldName").collect()]
+    assert list(rows[0]) == tables.EXPORT and [(r["caseId"], r["pageCount"], r["fieldName"], r["value"], r["unit"]) for r in rows] == [("c1", "2", "note", "", ""), ("c1", "2", "salary", "1.5", "")]
+    report = spark.createDataFrame([(0.5, 3)], "rate double, cases int")
+    tables.write_aggregates(report, str(tmp_path / "r"), ["rate", "cases"])
+    assert next((tmp_path / "r").glob("part-*")).read_text() == '{"cases":3,"rate":0.5}\n'
+    with pytest.raises(ValueError, match="raw_text"):
+        tables.write_aggregates(report.withColumn("raw_text", report.rate), str(tmp_path / "s"), ["rate", "cases"])
+    (tmp_path / "dict.txt").write_text("a\nă\nđ\n")
+    (tmp_path / "dict.yml").write_text("character:\n - 'a'\n - 'ế'\n")
+    letters = lambda n: {r.letter for r in tables.read_letters(spark, str(tmp_path / n)).collect()}
+    assert letters("dict.txt") == {"a", "ă", "đ"} and letters("dict.yml") == {"a", "ế"}
 
 
 def test_csv_export(spark, tmp_path):
