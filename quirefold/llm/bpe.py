@@ -262,8 +262,9 @@ def decode(ids: bytes | None, path: str) -> str:
 def encode_documents(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with ids (little-endian unsigned 32-bit) if asked.
 
-    No shuffle: each task keeps its own tries and remembered words. Null and blank texts have no ids; repeated rows and
-    null doc_id stay as they are; other columns are left out.
+    No shuffle: each task keeps its own tries and remembered words. Null texts have no ids, blank ones those of their white
+    space, if any; repeated rows and null doc_id stay as they are; a very long text is one row of its batch, which bytes
+    bound; an empty table gives an empty one; other columns are left out.
     """
 
     def run(c: dict[str, list]) -> dict[str, list]:

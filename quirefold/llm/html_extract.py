@@ -334,7 +334,11 @@ def choices(pages: DataFrame, votes: DataFrame) -> DataFrame:
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of each page. Null html gives an empty text; repeated rows and null urls stay.
+    """(page_id, url, text, n_chars) of each page. Null html gives an empty text; repeated rows, null page_id and null urls stay; an
+    empty table gives an empty one; other columns play no part.
+
+    Pages are read in time in proportion to their length, however deep they nest or broken they are. Paths with equal votes go by
+    length, then by name.
 
     Pages without a host share one. The hosts' paths are broadcast if there are few hosts, else joined by shuffle. The few pages that
     have none of the listed paths of a host with more of them are extracted apart, at the path that a join with all votes finds.

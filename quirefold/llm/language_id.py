@@ -153,7 +153,9 @@ def identify(docs: DataFrame, model: Centroids | None) -> DataFrame:
     """(doc_id, lang_pred, score, cosine, rejected) of each row, from its whole text alone.
 
     `und` with score 0 for null and blank texts, texts without a letter, and without a model. A rejected text keeps the
-    nearest language beside rejected = true: it lies farther out than nearly all documents of its nearest centroid.
+    nearest language beside rejected = true: it lies farther out than nearly all documents of its nearest centroid. Equal
+    cosines go to the language first by name, repeated rows get the same result, a very long text is counted once over its
+    whole length, an empty table gives an empty one, and other columns play no part.
     """
 
     def run(c: dict[str, list]) -> dict[str, list]:

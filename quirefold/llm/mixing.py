@@ -93,7 +93,11 @@ def apply_plan(docs: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, weights: DataFrame | None = None, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """The mixed documents themselves, each row as often as it is taken, with the columns of docs. Null texts have size 0."""
+    """The mixed documents themselves, each row as often as it is taken, with the columns of docs.
+
+    Null texts have size 0; rows of the same doc_id draw alike, those without one all alike; null sources are one source; an
+    empty table gives an empty one. Columns of any name pass, as rows travel as one struct.
+    """
     slim = on_disk(docs.select("doc_id", "source", text_size(F.col("text")).alias("size")))
     plan = mix_plan(slim, weights, max_repeats).select("p_source", "rate", "seed")
     slim.unpersist()

@@ -356,7 +356,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
 
 
 def score_documents(docs: DataFrame, model: Scorer, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, score, predicted) of every row, from its whole text alone. Null and blank texts get the score of a text without features."""
+    """(doc_id, score, predicted) of every row, from its whole text alone.
+
+    Null and blank texts get the score of a text without features. Repeated rows, null and repeated doc_id stay, each with its
+    own text's score; a very long text takes time in proportion to its length; an empty table gives an empty one; other
+    columns play no part.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by WIDTH ** 3 and FEATURES
 
@@ -373,7 +378,7 @@ def score_documents(docs: DataFrame, model: Scorer, threshold: float = THRESHOLD
 
 
 def drop_toxic(docs: DataFrame, model: Scorer, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, whose score is below the threshold. No shuffle."""
+    """The rows of docs, all columns, whose score is below the threshold; a score at the threshold goes. No shuffle. Null texts, repeated rows and an empty table are kept as they are scored."""
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
