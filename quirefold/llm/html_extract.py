@@ -96,6 +96,7 @@ def general(tag: str, attrs: dict[str, str]) -> str:
     return ".".join([tag.replace("/", "|"), *names])
 
 
+@lru_cache(maxsize=1 << 14)
 def chained(key: bytes, step: str) -> bytes:
     return hashlib.blake2b(key + step.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
@@ -124,6 +125,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
     at, texts, done, edge, anchor, n = root, [], 0, True, 0, len(page)
     # Depths of the open elements of each tag, and of those that bound searches: what is open is found without climbing.
     chain, opened, walls = [root], defaultdict(list), []
+    paragraphs = opened["p"]
     m = TOKEN.search(page)
 
     def close(depth: int) -> None:
@@ -176,10 +178,10 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
                 if opened[tag]:
                     close(opened[tag][-1])
             elif tag not in VOID and not (m[3].endswith("/") and tag in DROPPED):
-                while depth := ended(tag):
+                while (paragraphs or tag in CLOSES) and (depth := ended(tag)):
                     close(depth)
-                attrs = attributes(m[3])
-                step = general(tag, attrs)
+                attrs = attributes(m[3]) if m[3] else {}
+                step = general(tag, attrs) if attrs else tag
                 node = Node(tag, step, chained(at.key, step), len(texts), len(chain), at.inside or tag in ("article", "main"), at.dropped or marked(tag, attrs, at.inside), at)
                 at.kids.append(node)
                 opened[tag].append(node.depth)
