@@ -25,6 +25,8 @@ CONTROL = regex.compile(r"[\x1c-\x1f]")
 #: Stands for the end-of-word suffix inside this module, so that a word end is one letter.
 MARK = "\n"
 NEVER = 1 << 60
+#: Words and stretches that each of a worker's two generations remembers.
+WORDS_KEPT, CHUNKS_KEPT = 1 << 16, 1 << 16
 
 
 def byte_letters() -> list[str]:
@@ -185,7 +187,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.path, self.v = path, vocabulary(path)
-        self.words, self.chunks = Recent(1 << 18), Recent(1 << 17)
+        self.words, self.chunks = Recent(WORDS_KEPT), Recent(CHUNKS_KEPT)
 
     def forget(self) -> None:
         """Frees the lookup tables: a Python worker lives on for other operators' tasks."""

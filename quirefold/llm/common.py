@@ -25,7 +25,7 @@ SIMILARITY = 0.8
 def bound_batches(spark: SparkSession) -> None:
     """Bounds an Arrow batch by bytes as well as rows, so that very long texts do not add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -93,14 +93,15 @@ def map_arrow(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], s
 
 
 def tidy() -> None:
-    """Hands freed memory back at a partition's end: Python workers live on, and what they hold adds up over stages."""
+    """Frees remembered hashes and hands memory back at a partition's end: Python workers live on, and what they hold adds up over stages."""
+    WORDS.clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
 class WordHash(dict):
-    """Word to 64-bit hash; remembers a bounded number of words for the life of a Python worker."""
+    """Word to 64-bit hash; remembers a bounded number of words, until a partition's end frees them."""
 
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
