@@ -1,7 +1,8 @@
 """From raw documents to token ids: toxic documents go, one of each group of near copies stays, personal data is masked,
 sources are mixed to their target weights, and the texts are encoded.
 
-Each stage takes (spark, docs, sf_dir); its rows are written as Parquet and read again as the next stage's docs.
+Each stage takes (spark, docs, sf_dir); its rows are written as Parquet in the shared checkpoint folder and read again as the
+next stage's docs. What a stage wrote is removed once the next one is written; the last one's input stays, as its rows are read later.
 """
 
 from __future__ import annotations
@@ -50,11 +51,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if done:
+            remove(spark, done)
+        done = path
     return STAGES[-1][1](spark, docs, sf_dir)
