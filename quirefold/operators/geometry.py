@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.functions.text import once
+
 
 def area(b: str) -> Column:
     return F.greatest(F.lit(0.0), F.col(f"{b}.x1") - F.col(f"{b}.x0")) * F.greatest(F.lit(0.0), F.col(f"{b}.y1") - F.col(f"{b}.y0"))
@@ -154,6 +156,33 @@ def column_index(letters: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda n, x: n * 26 + F.ascii(x) - 64) - 1
 
 
+#: Where groups of lines belong on an upright card (fixed values): (group, edge, points), above the edge for the first, below it for the others.
+LAYOUT = [(4, 0.45, 0.75), (5, 0.45, 0.75), (6, 0.55, 0.5)]
+TOP, TOP_EDGE, TOP_POINTS, PAIR_POINTS = 0, 0.45, 2.0, 4.0
+
+
+def layout_score(points: DataFrame, by: list[str], tolerance: float = 0.015) -> DataFrame:
+    """(by, score, agreement, groups) of lines (by, g, y), y as a share of the page's height: how upright a card lies.
+
+    Agreement is right less inverted pairs of groups over both, null without any pair apart by more than the tolerance; groups
+    where they belong add to the score, and take from it where they do not.
+    """
+    med = points.groupBy(*by, "g").agg(F.percentile("y", 0.5).alias("m"))
+    all_ = med.groupBy(*by).agg(F.collect_list(F.struct("g", "m")).alias("ms"))  # one entry a group of a fixed list
+
+    def of(ms: Column) -> Column:
+        pairs = F.flatten(F.transform(ms, lambda a: F.transform(F.filter(ms, lambda b: b["g"] > a["g"]), lambda b: F.when(a["m"] + tolerance < b["m"], 1).when(b["m"] + tolerance < a["m"], -1).otherwise(0))))
+        right, wrong = F.size(F.filter(pairs, lambda p: p == 1)), F.size(F.filter(pairs, lambda p: p == -1))
+        agreement = (right - wrong) / F.nullif(right + wrong, F.lit(0))
+        at = lambda g: F.get(F.filter(ms, lambda x: x["g"] == g), F.lit(0))["m"]
+        score = F.coalesce(agreement, F.lit(0.0)) * PAIR_POINTS + F.coalesce(F.when(at(TOP) <= TOP_EDGE, TOP_POINTS).when(at(TOP).isNotNull(), -TOP_POINTS), F.lit(0.0))
+        for g, edge, worth in LAYOUT:
+            score += F.coalesce(F.when(at(g) >= edge, worth).when(at(g).isNotNull(), -worth), F.lit(0.0))
+        return F.struct(F.bround(score, 6).alias("score"), F.bround(agreement, 6).alias("agreement"), F.size(ms).alias("groups"))
+
+    return all_.select(*by, once(F.col("ms"), of).alias("s")).select(*by, "s.*")
+
+
 def order_agreement(points: DataFrame, by: list[str], tolerance: float) -> DataFrame:
     """(by, pairs, agreeing, agreement): whether groups' medians stand in the order of their numbers. points (by, g, y); pairs within the tolerance do not count."""
     med = points.groupBy(*by, "g").agg(F.percentile("y", 0.5).alias("m"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quirefold.functions.text import composed
+
 
 def lines_of(text: Column) -> Column:
     """Trimmed lines that are not blank."""
@@ -18,9 +20,10 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def document_text(observations: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, text): a document's lines joined again in order."""
+    """(key, text): a document's lines, composed and trimmed, joined again in order; blank ones are left out."""
+    lines_ = observations.select(key, "seq", F.trim(composed(F.col("text"))).alias("text")).where("text <> ''")
     rows = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    return observations.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("text"))
+    return lines_.groupBy(key).agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("text"))
 
 
 def key_values(df: DataFrame, key: str, names: list[str]) -> DataFrame:
@@ -107,3 +110,13 @@ def two_columns(boxes: DataFrame, key: str, width: float = 0.12) -> DataFrame:
     rows = rows.withColumn("column", F.when(split & (F.col("x") >= F.col("_wide.x")), 1).otherwise(0))
     place = F.row_number().over(Window.partitionBy(key).orderBy("column", "y", "x", "box"))
     return rows.withColumn("place", place).drop("_gap", "_left", "_n", "_wide")
+
+
+def column_sections(boxes: DataFrame, key: str, heading: Column, width: float = 0.12) -> DataFrame:
+    """Adds column, place and section to boxes (key, box, x, y, text): the text of the last heading above a box in its own column; null before the first.
+
+    A heading is no part of its section, so it carries the one before it.
+    """
+    rows = two_columns(boxes.withColumn("_head", heading), key, width)
+    above = Window.partitionBy(key, "column").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("section", F.last(F.when(F.col("_head"), F.col("text")), ignorenulls=True).over(above)).drop("_head")

@@ -53,16 +53,23 @@ def right_of(spark, sf_dir):
     return geometry.right_of(b, b, "page")
 
 
-@query(
-    f"""WITH b AS ({ONE}), g AS (SELECT *, x - lag(x) OVER (PARTITION BY page ORDER BY x, box) AS gap, row_number() OVER (PARTITION BY page ORDER BY x, box) - 1 AS lft, count(*) OVER (PARTITION BY page) AS n, max(x) OVER (PARTITION BY page) - min(x) OVER (PARTITION BY page) AS span FROM b),
+ORDERED = f"""WITH b AS ({ONE}), g AS (SELECT *, x - lag(x) OVER (PARTITION BY page ORDER BY x, box) AS gap, row_number() OVER (PARTITION BY page ORDER BY x, box) - 1 AS lft, count(*) OVER (PARTITION BY page) AS n, max(x) OVER (PARTITION BY page) - min(x) OVER (PARTITION BY page) AS span FROM b),
 w AS (SELECT page, gap AS wide, lft AS wl, x AS wx FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY coalesce(gap, -1) DESC, lft) AS rn FROM g) WHERE rn = 1),
-c AS (SELECT g.page, box, g.x, y, CASE WHEN coalesce(wide, -1) >= 0.12 * span AND wl >= 2 AND n - wl >= 2 AND span > 0 AND g.x >= wx THEN 1 ELSE 0 END AS col FROM g JOIN w USING (page))
-SELECT page, box, col AS column, row_number() OVER (PARTITION BY page ORDER BY col, y, x, box)::INT AS place FROM c"""
-)
+c AS (SELECT g.page, box, g.x, y, CASE WHEN coalesce(wide, -1) >= 0.12 * span AND wl >= 2 AND n - wl >= 2 AND span > 0 AND g.x >= wx THEN 1 ELSE 0 END AS col FROM g JOIN w USING (page))"""
+
+
+@query(f"{ORDERED} SELECT page, box, col AS column, row_number() OVER (PARTITION BY page ORDER BY col, y, x, box)::INT AS place FROM c")
 def reading_order(spark, sf_dir):
     return observe.two_columns(boxes(spark, sf_dir), "page").select("page", "box", "column", "place")
 
 
+@query(f"{ORDERED}, o AS (SELECT c.page, c.box, col, text || c.box AS label, text = 'R' AS head, row_number() OVER (PARTITION BY c.page ORDER BY col, c.y, c.x, c.box) AS place FROM c JOIN b USING (page, box)) SELECT page, box, last_value(CASE WHEN head THEN label END IGNORE NULLS) OVER (PARTITION BY page, col ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section FROM o")
+def column_sections(spark, sf_dir):
+    rows = boxes(spark, sf_dir).withColumn("label", F.concat("text", F.col("box").cast("string")))
+    found = observe.column_sections(rows.withColumn("mark", F.col("text") == "R").withColumn("text", F.col("label")), "page", F.col("mark"))
+    return found.select("page", "box", "section")
+
+
 @query(
     """WITH m AS (SELECT l_suppkey AS s, l_linenumber AS g, quantile_cont(l_quantity, 0.5) AS m FROM lineitem GROUP BY ALL)
 SELECT a.s, count(*) AS pairs, count(*) FILTER (a.m < b.m) AS agreeing FROM m a JOIN m b ON a.s = b.s AND a.g < b.g AND abs(a.m - b.m) > 0.5 GROUP BY a.s"""
@@ -72,6 +79,16 @@ def order_agreement(spark, sf_dir):
     return geometry.order_agreement(pts, ["s"], 0.5)
 
 
+@query(
+    """WITH p AS (SELECT l_orderkey AS page, l_linenumber - 1 AS g, quantile_cont((l_suppkey % 97) / 97.0::DOUBLE, 0.5) AS m FROM lineitem GROUP BY ALL), q AS (SELECT a.page, CASE WHEN a.m + 0.015 < b.m THEN 1 WHEN b.m + 0.015 < a.m THEN -1 ELSE 0 END AS s FROM p a JOIN p b ON a.page = b.page AND a.g < b.g),
+r AS (SELECT page, sum(s) / nullif(sum(abs(s)), 0)::DOUBLE AS agreement FROM q GROUP BY page), t AS (SELECT page, count(*)::INT AS groups, sum(CASE WHEN g = 0 THEN CASE WHEN m <= 0.45 THEN 2.0 ELSE -2.0 END WHEN g IN (4, 5) THEN CASE WHEN m >= 0.45 THEN 0.75 ELSE -0.75 END WHEN g = 6 THEN CASE WHEN m >= 0.55 THEN 0.5 ELSE -0.5 END ELSE 0 END)::DOUBLE AS pts FROM p GROUP BY page)
+SELECT page, round_even(coalesce(agreement, 0) * 4 + pts, 6) AS score, round_even(agreement, 6) AS agreement, groups FROM t LEFT JOIN r USING (page)"""
+)
+def layout_score(spark, sf_dir):
+    pts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber") - 1).alias("g"), ((F.col("l_suppkey") % 97) / F.lit(97.0)).alias("y"))
+    return geometry.layout_score(pts, ["page"])
+
+
 @query()
 def row_cluster(spark, sf_dir):
     return geometry.row_clusters(boxes(spark, sf_dir), "page", 4.0)

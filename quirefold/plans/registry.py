@@ -16,6 +16,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a query under its function's name."""
 
     def add(fn: Query) -> Query:
+        if fn.__name__ in QUERIES:
+            raise ValueError(f"a query named {fn.__name__} is registered already")
         QUERIES[fn.__name__] = fn
         if sql:
             ORACLES[fn.__name__] = sql

@@ -125,7 +125,7 @@ SELECT k, row_number() OVER (PARTITION BY k ORDER BY p, x0, x1, x2)::INT - 1 AS
 def content_rows(spark, sf_dir):
     li, n = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "k"), F.col("l_linenumber")
     pages = li.where("l_linenumber < 3").groupBy("k", "l_linenumber").agg(F.min("l_partkey").alias("block"), F.min("l_returnflag").alias("text")).select("k", (n % 2).alias("page"), "block", F.when(n % 2 == 0, "key_value").otherwise("paragraph").alias("kind"), "text", F.lit("k").alias("label"))
-    pages = pages.unionByName(pages.limit(0)).unionByName(pages.select("k", "page", (F.col("block") + 1).alias("block"), F.lit("paragraph").alias("kind"), F.lit("  ").alias("text"), "label"))
+    pages = pages.unionByName(pages.select("k", "page", (F.col("block") + 1).alias("block"), F.lit("paragraph").alias("kind"), F.lit("  ").alias("text"), "label"))
     loose = li.select("k").distinct().select("k", F.lit(0).alias("block"), F.lit("paragraph").alias("kind"), F.lit(" loose ").alias("text"), F.lit(None).cast("string").alias("label"))
     cells = li.where("l_linenumber >= 3").groupBy("k", "l_linenumber").agg(F.min("l_linestatus").alias("text")).select("k", F.lit(0).alias("sheet_no"), F.lit("Sheet").alias("sheet"), n.alias("row"), F.lit(0).alias("column"), "text")
     return observe.content_rows(pages, loose, cells, "k")
@@ -182,3 +182,27 @@ def region_fill(spark, sf_dir):
     json = F.when(k % 2 == 0, '[{"field": "name", "text": "Binh. "}, {"field": "name", "text": "later"}, {"field": "title", "text": "lead"}, {"text": "x"}]').otherwise("not json")
     both = filled(own, region_evidence(json))
     return table(spark, sf_dir, "orders").select(k.alias("k"), F.element_at(both, "name").alias("name"), F.element_at(both, "title").alias("title"))
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN least((o_orderkey % 10) / 10.0::DOUBLE, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE 0.5 END) ELSE (o_orderkey % 10) / 10.0::DOUBLE END AS confidence FROM orders")
+def scanned_confidence(spark, sf_dir):
+    from quirefold.operators.templates import scanned_confidence as bounded
+
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k.alias("k"), bounded((k % 10) / F.lit(10.0), k % 2 == 0, F.when(k % 3 != 0, F.lit(0.5))).alias("confidence"))
+
+
+@query(
+    """WITH f AS (SELECT o_orderkey AS k, o_orderstatus = 'F' AS missing, o_orderkey % 3 = 0 AS conflict, o_orderkey % 5 = 0 AS sensitive FROM orders)
+SELECT k, missing AS critical, NOT missing AS complete, conflict AS inconsistent, sensitive, CASE WHEN missing THEN 'REQUEST_REUPLOAD' WHEN sensitive OR conflict THEN 'HR_REVIEW' ELSE 'USER_REVIEW' END AS action FROM f"""
+)
+def routing_inputs(spark, sf_dir):
+    from quirefold.operators import quality
+
+    k = F.col("o_orderkey")
+    issue = lambda c, code: F.when(c, F.struct(F.lit(code).alias("code"), F.lit("ERROR").alias("severity")))
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("k"), F.lit("REVIEW_REQUIRED").alias("quality_status"), F.lit(True).alias("review_required"), F.lit(0.8).alias("score"),
+        F.array_compact(F.array(issue(F.col("o_orderstatus") == "F", "REQUIRED_FIELD_MISSING"), issue(k % 3 == 0, "FIELD_CONFLICT"))).alias("issues"), F.array(F.struct((k % 5 == 0).alias("sensitive"), F.lit("NEEDS_REVIEW").alias("status"))).alias("fields"),
+    )
+    return quality.route(extract.routing_inputs(rows)).select("k", "critical", "complete", "inconsistent", "sensitive", "action")

@@ -12,6 +12,9 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quirefold.operators.governance import number_cases
 
 #: First bytes of formats, in hexadecimal (fixed values).
 SIGNATURES = [("255044462D", "PDF"), ("89504E470D0A1A0A", "IMAGE"), ("FFD8FF", "IMAGE"), ("49492A00", "IMAGE"), ("4D4D002A", "IMAGE"), ("504B", "OOXML"), ("D0CF11E0A1B11AE1", "OLE")]
@@ -21,7 +24,7 @@ EXTENSIONS = {
     "jpg": "IMAGE", "jpeg": "IMAGE", "png": "IMAGE", "tif": "IMAGE", "tiff": "IMAGE", "webp": "IMAGE",
 }
 LIMITS = {"bytes": 25 << 20, "pages": 200, "entries": 2000, "expanded": 250 << 20, "ratio": 100.0, "cells": 1_000_000}
-PARSED = "doc_id string, seq int, kind string, text string, sheet string, row_index int, column_index int"
+PARSED = "doc_id string, seq int, kind string, text string, sheet string, row_index int, column_index int, value_type string"
 
 
 def read(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -172,6 +175,17 @@ def column_number(reference: str) -> int:
     return n - 1
 
 
+def _place(reference: str) -> tuple[int, int]:
+    """(row, column) of a cell reference, from 0."""
+    return int(re.sub(r"[^0-9]", "", reference) or 1) - 1, column_number(reference)
+
+
+def _corners(reference: str) -> tuple[int, int, int, int]:
+    """(first row, first column, last row, last column) of a range."""
+    first, _, last = reference.partition(":")
+    return *_place(first), *_place(last or first)
+
+
 def _docx(z: zipfile.ZipFile) -> Iterator[tuple]:
     """Headings by style, runs of numbered paragraphs as list items, table cells, in the body's order."""
     body = ElementTree.fromstring(z.read("word/document.xml")).find("{*}body")
@@ -190,7 +204,7 @@ def _docx(z: zipfile.ZipFile) -> Iterator[tuple]:
 
 
 def _xlsx(z: zipfile.ZipFile) -> Iterator[tuple]:
-    """Filled cells of the sheets in order; formulas keep their text."""
+    """Filled cells of the sheets in order, with the type of their values; formulas keep their text, and of merged cells only the first is one."""
     names = z.namelist()
     shared = [_text(x) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
     sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet[0-9]+\.xml", n)), key=lambda n: int(re.search(r"[0-9]+", n)[0]))
@@ -198,24 +212,28 @@ def _xlsx(z: zipfile.ZipFile) -> Iterator[tuple]:
     count = 0
     for k, name in enumerate(sheets):
         title = titles[k] if k < len(titles) else name
-        yield "sheet", title, title, None, None
-        for cell in ElementTree.fromstring(z.read(name)).iter():
+        yield "sheet", title, title, None, None, None
+        root = ElementTree.fromstring(z.read(name))
+        spans = [_corners(x.attrib["ref"]) for x in root.iter() if _local(x.tag) == "mergeCell" and "ref" in x.attrib]
+        for cell in root.iter():
             if _local(cell.tag) != "c":
                 continue
+            row, column = _place(cell.attrib.get("r", ""))
+            if any(a <= row <= b and c <= column <= d and (row, column) != (a, c) for a, c, b, d in spans):
+                continue
             count += 1
             if count > LIMITS["cells"]:
                 raise ValueError("too many cells")
-            formula, value = cell.find("{*}f"), cell.find("{*}v")
+            formula, value, kind = cell.find("{*}f"), cell.find("{*}v"), {"s": "text", "str": "text", "inlineStr": "text", "b": "boolean", "e": "error", "d": "date"}.get(cell.attrib.get("t", ""), "number")
             if formula is not None:
-                text = f"={formula.text or ''}"
+                text, kind = f"={formula.text or ''}", "formula"
             elif cell.attrib.get("t") == "inlineStr":
                 text = _text(cell)
             elif value is None or value.text is None:
                 continue
             else:
                 text = shared[int(value.text)] if cell.attrib.get("t") == "s" else value.text
-            ref = cell.attrib.get("r", "")
-            yield "cell", text, title, int(re.sub(r"[^0-9]", "", ref) or 1) - 1, column_number(ref)
+            yield "cell", text, title, row, column, kind
 
 
 def _pptx(z: zipfile.ZipFile) -> Iterator[tuple]:
@@ -246,7 +264,7 @@ def parse(files: DataFrame) -> DataFrame:
                     rows = [r for r in rows if r[1]]
                 except Exception as e:  # noqa: BLE001  any broken file is data here
                     rows = [("error", type(e).__name__, None, None, None)]
-                out = pd.DataFrame([(path, i, *r) for i, r in enumerate(rows)], columns=[c.split()[0] for c in PARSED.split(", ")])
+                out = pd.DataFrame([(path, i, *r, *[None] * (6 - len(r))) for i, r in enumerate(rows)], columns=[c.split()[0] for c in PARSED.split(", ")])
                 for c in ("row_index", "column_index"):
                     out[c] = out[c].astype("Int32")
                 yield out
@@ -254,6 +272,50 @@ def parse(files: DataFrame) -> DataFrame:
     return files.where(F.col("format").isin("PLAIN_TEXT", *parsers)).select("path", "format", "content").mapInPandas(run, PARSED)
 
 
+def sheet_facts(parsed: DataFrame) -> DataFrame:
+    """(doc_id, sheet, cells, formulas, rows, columns) of the sheets of parsed workbooks."""
+    cells = parsed.where("kind = 'cell' AND sheet IS NOT NULL")
+    return cells.groupBy("doc_id", "sheet").agg(F.count("*").alias("cells"), F.count_if(F.col("value_type") == "formula").alias("formulas"), (F.max("row_index") + 1).alias("rows"), (F.max("column_index") + 1).alias("columns"))
+
+
+def dense_rows(parsed: DataFrame) -> DataFrame:
+    """(doc_id, sheet, row_index, values): each row of a sheet from its first column to the sheet's last, cells that are not there empty."""
+    wide = sheet_facts(parsed).select("doc_id", "sheet", "columns")
+    rows = parsed.where("kind = 'cell' AND sheet IS NOT NULL").groupBy("doc_id", "sheet", "row_index").agg(F.map_from_entries(F.collect_list(F.struct("column_index", "text"))).alias("m"))
+    values = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda i: F.coalesce(F.element_at("m", i.cast("int")), F.lit("")))
+    return rows.join(wide, ["doc_id", "sheet"]).select("doc_id", "sheet", "row_index", values.alias("values"))
+
+
+def list_blocks(parsed: DataFrame) -> DataFrame:
+    """(doc_id, seq, kind, items): list items that follow one another are one block, all else a block of one."""
+    by = Window.partitionBy("doc_id").orderBy("seq")
+    item = F.col("kind") == "list_item"
+    starts = ~(item & F.coalesce(F.lag("kind").over(by) == "list_item", F.lit(False)))
+    rows = parsed.withColumn("_block", F.sum(starts.cast("int")).over(by))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
+    return rows.groupBy("doc_id", "_block").agg(F.min("seq").alias("seq"), F.when(F.first("kind") == "list_item", "list").otherwise(F.first("kind")).alias("kind"), items.alias("items")).drop("_block")
+
+
+def parse_status(files: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(path, parse_status, warning) of accepted files: slides are read for their text alone, so they are PARTIAL, as is a file without any text; a broken one FAILED."""
+    found = parsed.groupBy(F.col("doc_id").alias("path")).agg(F.bool_or(F.col("kind") == "error").alias("broken"))
+    rows = files.where("error IS NULL").select("path", "format").join(found, "path", "left")
+    warning = F.when(F.col("broken"), "PARSE_FAILED").when(F.col("format") == "PPTX", "PPTX_TEXT_ONLY").when(F.col("broken").isNull(), "NO_TEXT")
+    status = F.when(F.col("broken"), "FAILED").when(warning.isNotNull(), "PARTIAL").otherwise("PARSED")
+    return rows.select("path", status.alias("parse_status"), warning.alias("warning"))
+
+
+def inventory(spark: SparkSession, path: str, suffixes: list[str], pages: DataFrame | None = None) -> DataFrame:
+    """(path, category, case_id, digest, size, format, pages) of a folder's files with these suffixes, numbered within their folder in order of path.
+
+    pages (path, pages) comes from an inspector; without it the number is null.
+    """
+    found = read(spark, path).where(extension(F.col("filename")).isin(*suffixes))
+    rows = detect(containers(found)).select("path", F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("category"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("digest"), F.col("length").alias("size"), "format")
+    rows = rows.join(pages, "path", "left") if pages is not None else rows.withColumn("pages", F.lit(None).cast("int"))
+    return number_cases(rows, "category", "path").select("path", "category", "case_id", "digest", "size", "format", "pages")
+
+
 def intake(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(observations, rejected): the parsed contents of a folder's fit files, and (path, format, error) of the others."""
     files = quarantine(detect(containers(read(spark, path))))

@@ -52,6 +52,35 @@ def test_intake(spark, folder):
     assert rows["p.docx"][0][0] == "error"
 
 
+def test_workbooks_lists_and_inventory(spark, folder, tmp_path):
+    sheet = '<worksheet><sheetData><row r="1"><c r="A1" t="str"><v>a</v></c><c r="B1" t="b"><v>1</v></c><c r="D1"><v>2</v></c></row><row r="3"><c r="A3"><f>A1</f><v>1</v></c><c r="B3"><v>7</v></c></row></sheetData><mergeCells><mergeCell ref="A3:B4"/></mergeCells></worksheet>'
+    doc = DOCX.replace("<w:tbl>", "<w:p><w:pPr><w:numPr/></w:pPr><w:r><w:t>two</w:t></w:r></w:p><w:p><w:r><w:drawing/></w:r></w:p><w:tbl>", 1)
+    for name, content in {"x/a.xlsx": zipped(**{"xl/worksheets/sheet1.xml": sheet}), "x/b.docx": zipped(**{"word/document.xml": doc}), "y/c.pptx": zipped(**{"ppt/slides/slide1.xml": "<p><t>t</t></p>"}), "y/d.txt": b" ", "y/e.bin": b"1"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    found = files.quarantine(files.detect(files.containers(files.read(spark, str(tmp_path)))))
+    parsed = files.parse(found.where("error IS NULL")).cache()
+    short = lambda p: p.rpartition("/")[2]
+    cells = parsed.where("sheet IS NOT NULL AND kind = 'cell'").orderBy("seq").collect()
+    assert [(r.text, r.value_type, r.row_index, r.column_index) for r in cells] == [("a", "text", 0, 0), ("1", "boolean", 0, 1), ("2", "number", 0, 3), ("=A1", "formula", 2, 0)]
+    assert [(r["cells"], r.formulas, r.rows, r["columns"]) for r in files.sheet_facts(parsed).collect()] == [(4, 1, 3, 4)]
+    assert {r.row_index: r["values"] for r in files.dense_rows(parsed).collect()} == {0: ["a", "1", "", "2"], 2: ["=A1", "", "", ""]}
+    blocks = files.list_blocks(parsed).where("doc_id LIKE '%b.docx'").orderBy("seq").collect()
+    assert [(r.kind, r["items"]) for r in blocks] == [("heading", ["Contract"]), ("paragraph", ["Party A"]), ("list", ["one", "two"]), ("image", ["[image]"]), ("cell", ["k"]), ("cell", ["v"])]
+    assert {short(r.path): (r.parse_status, r.warning) for r in files.parse_status(found, parsed).collect()} == {"a.xlsx": ("PARSED", None), "b.docx": ("PARSED", None), "c.pptx": ("PARTIAL", "PPTX_TEXT_ONLY"), "d.txt": ("PARTIAL", "NO_TEXT")}
+    got = files.inventory(spark, str(tmp_path), ["xlsx", "docx", "pptx", "txt"]).collect()
+    assert sorted((r.case_id, short(r.path), r.format) for r in got) == [("x-0001", "a.xlsx", "XLSX"), ("x-0002", "b.docx", "DOCX"), ("y-0001", "c.pptx", "PPTX"), ("y-0002", "d.txt", "PLAIN_TEXT")]
+    assert all(r.digest.startswith("sha256:") and len(r.digest) == 71 for r in got)
+
+
+def test_warnings_by_extension_and_media_type(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("DOCX", "docx", "application/pdf; x=1"), ("PDF_SCAN", "pdf", "application/pdf"), ("IMAGE", "pdf", None), ("UNKNOWN", "zip", "x/y")], "f string, e string, m string")
+    got = [r.w for r in rows.select(files.warnings(F.col("f"), F.col("e"), F.col("m")).alias("w")).collect()]
+    assert got == [["MEDIA_TYPE_MISMATCH"], [], ["EXTENSION_MISMATCH"], []]
+
+
 def test_mismatch(spark, folder):
     got = {r.filename: (r.format, r.mismatch) for r in files.detect(files.containers(files.read(spark, folder))).collect()}
     assert got["l.png"] == ("IMAGE", False) and got["o.jpg"] == ("IMAGE", False) and got["n.pdf"] == ("PDF_TEXT", False) and got["g.docx"] == ("UNKNOWN", True)
