@@ -26,7 +26,7 @@ CONTROL = regex.compile(r"[\x1c-\x1f]")
 MARK = "\n"
 NEVER = 1 << 60
 #: Words and stretches that each of a worker's two generations remembers.
-WORDS_KEPT, CHUNKS_KEPT = 1 << 16, 1 << 16
+WORDS_KEPT, CHUNKS_KEPT = 1 << 18, 1 << 17
 
 
 def byte_letters() -> list[str]:
