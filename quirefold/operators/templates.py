@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from quirefold.functions.dates import first_date, named_dates
 from quirefold.functions.text import casefold, collapse, fold_ocr, likest_window, once, strip_terminal
-from quirefold.operators.forms import FLAGS, NO_NAME, Rule, among, edge, folded, hit, is_heading, key_of, letters_of, pattern, section, with_instead, words_of
+from quirefold.operators.forms import FLAGS, NO_NAME, PREFIX, Rule, among, edge, folded, hit, is_heading, key_of, letters_of, pattern, section, with_instead, words_of
 from quirefold.operators.observe import lines_of
 
 I, S = "(?iu)", "(?ius)"
@@ -254,7 +254,6 @@ def scanned_confidence(confidence: Column, scan: Column, lines: Column) -> Colum
 
 # --- rules over blocks ------------------------------------------------------------------------------------------
 
-PREFIX = r"^\s*(?:(?:\d{1,3}[.)])|[-–—•▪◦])\s*"
 DASHES = " :|-–—"
 
 
@@ -273,18 +272,17 @@ def stopped(name: str, labels: tuple[str, ...], stops: tuple[str, ...] = (), con
         return once(parts, kept)
 
     def found(blocks: Column) -> Column:
-        def of(x: Column) -> Column:
+        def of(x: dict[str, Column]) -> Column:
             raw, key, i = x["raw"], x["key"], x["i"]
             words = F.split(F.trim(raw), r"\s+")
             after = F.when(F.instr(raw, ":") > 0, F.regexp_extract(raw, "(?s):(.*)$", 1))
             behind = F.coalesce(after, *(F.when((key == w) | key.startswith(f"{w} "), F.array_join(F.slice(words, len(w.split()) + 1, 1 << 20), " ")) for w in own))
             value, nxt = edge(behind, DASHES), F.trim(F.get(blocks, i + 1)["text"])
-            free = nxt.isNotNull() & (nxt != "") & ~begins(key_of(nxt), every)
-            return F.when(begins(key, own), F.when(value != "", hit(cut(value), i)).when(free, hit(cut(nxt), i + 1)))
+            free = nxt.isNotNull() & (nxt != "") & ~begins(F.get(blocks, i + 1)["key"], every)
+            return once(value, lambda v: F.when(v != "", hit(cut(v), i)).when(free, hit(cut(nxt), i + 1)))
 
         def one(b: Column, i: Column) -> Column:
-            raw = F.regexp_replace(b["text"], PREFIX, "")
-            return once(F.struct(raw.alias("raw"), key_of(raw).alias("key"), i.alias("i")), of)
+            return F.when(begins(b["bare_key"], own), of({"raw": b["bare"], "key": b["bare_key"], "i": i}))
 
         usable = (lambda h: F.when(convert(h["value"]).isNotNull(), h)) if convert else (lambda h: h)
         return F.transform(F.transform(blocks, one), usable)
@@ -356,7 +354,7 @@ class Within:
             b = F.array_min(F.filter(places(self.end), lambda i: i > a)) if self.end else F.lit(None).cast("int")
             return F.when(a.isNull(), blocks).otherwise(F.slice(blocks, a + 1, F.coalesce(b, F.size(blocks)) - a))
 
-        part = once(F.transform(blocks, lambda b: key_of(F.regexp_replace(b["text"], PREFIX, ""))), sliced)
+        part = once(F.transform(blocks, lambda b: b["bare_key"]), sliced)
         return once(part, self.rule.of)
 
 
