@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from quirefold.llm import bpe, fingerprints, html_extract, jaccard_join, language_id, mixing, pii, substring_dedup, topk, toxicity
+from quirefold.llm import bpe, fingerprints, html_extract, jaccard_join, language_id, mixing, pii, substring_dedup, topk, toxicity, vector_codes
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_personal_data": pii.op8,
     "op9_substring_dedup": substring_dedup.op9,
     "op10_top_k": topk.op10,
+    "op11_vector_codes": vector_codes.op11,
 }
-ORACLES = {"op7_mixing": mixing.OP7_SQL, "op10_top_k": topk.OP10_SQL}
+ORACLES = {"op7_mixing": mixing.OP7_SQL, "op10_top_k": topk.OP10_SQL, "op11_vector_codes": vector_codes.OP11_SQL}

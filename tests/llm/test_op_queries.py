@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10 themselves: their columns, and their rows against versions in one process."""
+"""The registered queries opN themselves: their columns, and their rows against versions in one process."""
 
 import hashlib
 import math
@@ -55,7 +55,7 @@ def empty(spark, odd, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_odd_and_empty_tables(spark, odd, empty, name):
     rows = QUERIES[name](spark, odd).collect()
-    n = {"op4": 4, "op10": 3}.get(name.split("_")[0])
+    n = {"op4": 4, "op10": 3, "op11": 4}.get(name.split("_")[0])
     if name.startswith("op10"):
         # Two of the three query rows share an id; each finds the three other vectors.
         assert Counter(r.query_id for r in rows) == {0: 3, 100: 6}
