@@ -1,6 +1,7 @@
 """Main text of web pages by consensus host paths.
 
-Each page scores its containers and votes for the path, of tags and generalised classes, to the best of them. Spark counts the
+Names of classes and ids are evidence, not a verdict: an element that they mark goes only if enough text is left without it, so a
+page with visible text never ends empty. Each page scores its containers and votes for the path, of tags and generalised classes, to the best of them. Spark counts the
 votes by host, and each page is then extracted again from the containers at its host's winning path.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -36,10 +38,13 @@ CONTAINERS = frozenset("html body div section article main td center".split())
 CLOSES = {"li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "html": ((), ()), "body": ((), ())}
 PARAGRAPH = (("p",), ())
 WALLS = CONTAINERS | DROPPED
-#: Words of class, id and role that mark what is not the article.
+#: Words of class, id and role that tell of what is not the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside rail complementary footer foot contentinfo masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending comment comments commentlist respond reply replies discussion disqus widget widgets pagination pager toolbar search skip copyright legal disclaimer".split())
 HEADS = frozenset("header heading head".split())
 OWN_HEADS = frozenset("post entry article story title main content page".split())
+#: Words beside which a mark keeps its full weight, and marks that weigh in an article element too.
+FILLER = frozenset("block box container wrapper wrap inner outer area section list item items bar button buttons link links icon icons site top bottom left right primary secondary global user post posts article entry panel unit slot zone holder module".split())
+READERS = frozenset("comment comments reply replies".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^>\"'<]++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+)>|<[!?][^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?(?=[\s/]|$)", re.I)
@@ -48,8 +53,11 @@ NUMBER = re.compile(r"[0-9]+")
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 BOOST = 3.0
 SHARE = 0.6
-#: A list or division is a menu if so much of its text is in links, and it has so many.
-LINKED, LINKS = 0.8, 3
+#: A list or division is a menu if so much of its text is in links, and it has so many; but not if its container has so many times its text before it.
+LINKED, LINKS, BEFORE = 0.8, 3, 3
+#: An element of a marked name goes if so many letters, or this share of its own, are left without it.
+ENOUGH, ENOUGH_SHARE = 140, 0.25
+WEAK, STRONG = 1, 2
 
 
 @dataclass(eq=False)
@@ -63,10 +71,13 @@ class Node:
     depth: int = 0
     inside: bool = False
     dropped: bool = False
+    hidden: bool = False
+    mark: int = 0
     up: Node | None = None
     kids: list[Node] = field(default_factory=list)
     end: int = 0
     own: float = 0.0
+    alone: float = 0.0
     size: int = 0
     linked: int = 0
     links: int = 0
@@ -76,18 +87,34 @@ def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)} if raw.strip() else {}
 
 
-def marked(tag: str, attrs: dict[str, str], inside: bool) -> bool:
-    """Whether an element is not part of the article; inside: it stands in an article or main element."""
-    if tag in DROPPED or (tag == "header" and not inside):
-        return True
-    if not attrs:
-        return False
-    if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    words = {w.lower() for k in ("class", "id", "role") for w in PIECES.findall(attrs.get(k, ""))}
-    if tag in ("html", "body", "main") or tag == "article" and not words & {"comment", "comments", "reply", "related"}:
-        return False
-    return bool(words & MARKS) or bool(words & HEADS) and not words & OWN_HEADS
+def unseen(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether an element is none of the page's text, whatever else the page has."""
+    return tag in DROPPED or bool(attrs) and ("hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower())
+
+
+@lru_cache(maxsize=1 << 14)
+def told(name: str) -> tuple[int, bool]:
+    """What one class, id or role tells: STRONG if the whole name, or all of its pieces but fillers, are marks, WEAK if some piece is; and whether readers' words are meant."""
+    pieces = {w.lower() for w in PIECES.findall(name)}
+    heads = pieces & HEADS if not pieces & OWN_HEADS else frozenset()
+    hits = pieces & MARKS | heads
+    if name.lower() in MARKS or hits and pieces <= MARKS | HEADS | FILLER:
+        return STRONG, bool(pieces & READERS)
+    return (WEAK if hits else 0), bool(pieces & READERS)
+
+
+def marked(tag: str, attrs: dict[str, str], inside: bool) -> int:
+    """How strongly an element's names tell that it is not part of the article; inside: it stands in an article or main element."""
+    if tag == "header":
+        return 0 if inside else STRONG
+    if not attrs or tag in ("html", "body", "main"):
+        return 0
+    level, readers = 0, False
+    for k in ("class", "id", "role"):
+        for name in attrs.get(k, "").split():
+            weight, own = told(name)
+            level, readers = max(level, weight), readers or own
+    return min(level, WEAK) if tag == "article" and not readers else level
 
 
 def general(tag: str, attrs: dict[str, str]) -> str:
@@ -119,10 +146,10 @@ def key_of(path: str) -> bytes:
     return key
 
 
-def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
-    """The tree of block elements, and the stretches of text with their element and whether a block edge comes before."""
+def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]], list[int]]:
+    """The tree of block elements, the stretches of text with their element and whether a block edge comes before, and the letters outside links before each."""
     root = Node("", "", b"", 0)
-    at, texts, done, edge, anchor, n = root, [], 0, True, 0, len(page)
+    at, texts, before, done, edge, anchor, n = root, [], [0], 0, True, 0, len(page)
     # Depths of the open elements of each tag, and of those that bound searches: what is open is found without climbing.
     chain, opened, walls = [root], defaultdict(list), []
     paragraphs = opened["p"]
@@ -157,7 +184,9 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
             k = len(part.strip())
             at.size += k
             at.linked += k if anchor else 0
-            at.own += 0 if anchor or at.dropped else k
+            own = 0 if anchor or at.hidden else k
+            at.own += own
+            before.append(before[-1] + own)
 
     while m:
         text(done, m.start())
@@ -182,7 +211,9 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
                     close(depth)
                 attrs = attributes(m[3]) if m[3] else {}
                 step = general(tag, attrs) if attrs else tag
-                node = Node(tag, step, chained(at.key, step), len(texts), len(chain), at.inside or tag in ("article", "main"), at.dropped or marked(tag, attrs, at.inside), at)
+                node = Node(tag, step, chained(at.key, step), len(texts), len(chain), at.inside or tag in ("article", "main"), up=at)
+                node.dropped = node.hidden = at.hidden or unseen(tag, attrs)
+                node.mark = 0 if node.hidden else marked(tag, attrs, at.inside)
                 at.kids.append(node)
                 opened[tag].append(node.depth)
                 if tag in WALLS:
@@ -195,30 +226,74 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool]]]:
     text(done, n)
     close(1)
     root.end = len(texts)
-    return root, texts
+    return root, texts, before
 
 
-def weigh(node: Node) -> tuple[float, int, int, int]:
-    """Sums text, linked text and links over subtrees, and marks menus; without recursion, as pages may nest deeply."""
+def under(node: Node) -> list[Node]:
+    """A node and all below it, each before its own; without recursion, as pages may nest deeply."""
     order, stack = [], [node]
     while stack:
         x = stack.pop()
         order.append(x)
         stack += x.kids
+    return order
+
+
+def prune(scope: Node) -> None:
+    """Drops the marked elements of a scope that leave enough text; in those that stay, the same is asked again.
+
+    A strong mark goes if a paragraph or a quarter of its own text is left, or an article or main element has text; a weak one only if
+    more text is left than it holds.
+    """
+    todo = [scope]
+    while todo:
+        scope = todo.pop()
+        marks, stack, kept = [], list(scope.kids), False
+        while stack:
+            x = stack.pop()
+            if x.mark and not x.hidden:
+                marks.append(x)
+            else:
+                kept |= x.tag in ("article", "main") and x.own > 0
+                stack += x.kids
+        rest = scope.own - sum(x.own for x in marks)
+        for x in marks:
+            if rest > x.own if x.mark == WEAK else rest >= min(ENOUGH, ENOUGH_SHARE * x.own) and rest or kept and rest:
+                x.dropped = True
+            else:
+                todo.append(x)
+
+
+def weigh(root: Node, before: list[int]) -> None:
+    """Sums text, linked text and links over subtrees, and drops what is not the article: marked elements and menus."""
+    order = under(root)
+
+    def add_up() -> None:
+        for x in reversed(order):
+            x.own = 0 if x.dropped else x.alone + sum(k.own for k in x.kids)
+
+    for x in order:
+        x.alone = x.own
     for x in reversed(order):
         for k in x.kids:
-            x.size += k.size
-            x.linked += k.linked
-            x.links += k.links
-            x.own += k.own
-        if x.tag in ("ul", "ol", "div", "section") and x.links >= LINKS and x.linked >= LINKED * max(1, x.size):
-            x.dropped, x.own = True, 0.0
-        if x.dropped:
-            x.own = 0.0
+            x.size, x.linked, x.links = x.size + k.size, x.linked + k.linked, x.links + k.links
+    add_up()
+    prune(root)
+    around: dict[Node, Node] = {}
     for x in order:
+        around[x] = x.up if x.up is None or x.up.tag in CONTAINERS and not x.up.inside or x.up.tag in ("article", "main") else around[x.up]
+        if x.tag in ("ul", "ol", "div", "section") and x.links >= LINKS and x.linked >= LINKED * max(1, x.size):
+            within = around[x] or root
+            x.dropped |= before[x.start] - before[within.start] < BEFORE * x.linked
         for k in x.kids:
             k.dropped |= x.dropped
-    return node.own, node.size, node.linked, node.links
+    add_up()
+
+
+def restore(root: Node) -> None:
+    """Brings back all that can be seen, for pages of which nothing else is left."""
+    for x in under(root):
+        x.dropped = x.hidden
 
 
 def best(root: Node) -> Node:
@@ -239,6 +314,23 @@ def best(root: Node) -> Node:
         at = top
 
 
+def title(nodes: list[Node], root: Node, before: list[int]) -> list[Node]:
+    """The last first-level heading before the nodes, if they have none and hardly any text comes between; it stands beside them or beside what holds them."""
+    first, last, held = nodes[0], None, set()
+    starts = [n.start for n in nodes]  # of one path, so none holds another
+    while first is not None:
+        held.add(first)
+        first = first.up
+    for x in under(root):
+        if x.tag == "h1" and x.own and not x.dropped:
+            i = bisect_right(starts, x.start) - 1
+            if i >= 0 and x.start < nodes[i].end:
+                return []
+            if x.end <= nodes[0].start and x.up in held and (last is None or x.start > last.start):
+                last = x
+    return [last] if last and before[nodes[0].start] - before[last.end] <= ENOUGH else []
+
+
 def gather(nodes: list[Node], texts: list[tuple[Node, str, bool]]) -> str:
     out = []
     for node in nodes:
@@ -251,13 +343,16 @@ def gather(nodes: list[Node], texts: list[tuple[Node, str, bool]]) -> str:
     return " ".join("".join(out).split())
 
 
+def weighed(page: str) -> tuple[Node, list[tuple[Node, str, bool]], list[int]]:
+    root, texts, before = parse(page)
+    weigh(root, before)
+    return root, texts, before
+
+
 def vote(page: str | None) -> str | None:
-    """Path of the page's best container; None for a page without text."""
-    if not page:
-        return None
-    root, _ = parse(page)
-    weigh(root)
-    return path_of(best(root)) if root.own else None
+    """Path of the page's best container; None for a page without text of its own."""
+    root = weighed(page)[0] if page else None
+    return path_of(best(root)) if root and root.own else None
 
 
 def at_paths(root: Node) -> dict[bytes, list[Node]]:
@@ -277,23 +372,28 @@ def missed(page: str | None, paths: list[str]) -> list[str]:
     """The keys of all paths of a page with text that has none of the given ones; else nothing."""
     if not page:
         return []
-    root, _ = parse(page)
-    weigh(root)
+    root = weighed(page)[0]
     by = at_paths(root) if root.own else {}
     return [] if any(key_of(p) in by for p in paths) else [k.hex() for k in by]
 
 
 def extract(page: str | None, paths: list[str] | None = None, rest: bool = False) -> str | None:
-    """Text at the first of the paths that the page has with any text, else of the page's own best container; rest: else None if the page has text."""
+    """Text at the first of the paths that the page has with any text, else of the page's own best container; rest: else None if the page has text.
+
+    A page that has nothing but menus or marked elements gives all of its visible text.
+    """
     if not page:
         return ""
-    root, texts = parse(page)
-    weigh(root)
+    root, texts, before = weighed(page)
+    if not root.own:
+        restore(root)
+        return gather([root], texts)
     by = at_paths(root) if paths else {}
-    for path in paths or ():
-        if (key := key_of(path)) in by:
-            return gather(sorted(by[key], key=lambda x: x.start), texts)
-    return None if rest and root.own else gather([best(root)], texts)
+    nodes = next((by[key] for key in map(key_of, paths or ()) if key in by), None)
+    if nodes is None and rest:
+        return None
+    nodes = sorted(nodes or [best(root)], key=lambda x: x.start)
+    return gather(title(nodes, root, before) + nodes, texts)
 
 
 def host(url: Column) -> Column:
@@ -339,6 +439,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page. Null html gives an empty text; repeated rows, null page_id and null urls stay; an
     empty table gives an empty one; other columns play no part.
 
+    A page whose text is all in menus or marked elements gives all of it; only what cannot be seen or is no text gives an empty one.
     Pages are read in time in proportion to their length, however deep they nest or broken they are. Paths with equal votes go by
     length, then by name.
 
