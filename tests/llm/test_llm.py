@@ -388,6 +388,24 @@ def test_mixed_documents(spark):
     assert mixing.mix_documents(docs.limit(0)).count() == 0
 
 
+def test_targets_are_met_with_null_and_repeated_ids(spark):
+    rows = [(None, f"one two three {i}", "en", "x", 0, "n", "k", "k") for i in range(200)] + [(7, "the same four words", "en", "y", 0, "n", "k", "k")] * 300
+    rows += [(8, f"a b c {i}", "en", "z", 0, "n", "k", "k") for i in range(500)] + [(i, "p q r s", "en", "w", 0, "n", "k", "k") for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for one in (mixing.mix_documents(docs), mixing.mix_documents(docs.repartition(7))):
+        taken = Counter({r.source: r.n for r in one.groupBy("source").agg(F.sum(mixing.text_size(F.col("text"))).alias("n")).collect()})
+        goal = {r.source: r.target for r in mixing.mix_sizes(docs.select("doc_id", "source", mixing.text_size(F.col("text")).alias("size"), F.md5("text").alias("content"))).select("source", "target").distinct().collect()}
+        assert all(abs(taken[s] - goal[s]) <= 0.02 * goal[s] for s in goal), (taken, goal)
+    again = mixing.mix_documents(docs)
+    assert Counter(map(tuple, again.collect())) == Counter(map(tuple, one.collect()))
+
+
+def test_many_copies_of_a_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "EACH", 3)
+    rows = spark.createDataFrame([("a", 10), ("b", 0), ("c", 3), ("d", 4)], "x string, n long")
+    assert Counter((r.x, r.at) for r in mixing.repeated(rows, "n", "at").collect()) == Counter((x, i) for x, n in (("a", 10), ("c", 3), ("d", 4)) for i in range(n))
+
+
 # --- personal data --------------------------------------------------------------------------------------------
 
 

@@ -233,3 +233,14 @@ def test_op9_on_the_documents(spark):
         raw = (x or "").encode()
         assert got[i].n_bytes == len(raw) and got[i].kept_sha256 == hashlib.sha256(kept[i]).hexdigest() and got[i].n_removed == len(raw) - len(kept[i])
     assert substring_dedup.LENGTH == 100 and any(r.n_spans for r in got.values())
+
+
+def test_op7_equals_its_sql_on_odd_ids(spark, tmp_path):
+    rows = [(None, "s1", f"one two {i % 30}") for i in range(90)] + [(5, "s2", "the same words here")] * 50 + [(6, None, f"a b {i % 7}") for i in range(40)] + [(i, "s3", "p q r " * (i % 5)) for i in range(100, 170)] + [(9, "s1", None)] * 3
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    rel = c.execute(mixing.OP7_SQL)
+    names = [d[0] for d in rel.description]
+    got = QUERIES["op7_mixing"](spark, str(tmp_path)).collect()
+    assert Counter(tuple(r[n] for n in names) for r in got) == Counter(rel.fetchall()) and len(got) == len(rows)
