@@ -1,15 +1,19 @@
 """Source divergence audit: term counts in mergeable byte tries, divergences of sources from each other and from their language.
 
-Each task counts the terms of its documents in one radix trie a language, whose leaves count by source; tries of all tasks
-are merged by prefix range. A task walks its range's trie in order of UTF-8 bytes, so what it streams is already in the
-order that breaks ties. Counts of a pair of sources need only terms that both hold: of f summed over all terms, the terms of one
-side follow from that side's histogram of counts, those of neither from the number of terms.
+Each task counts the terms of its documents in one trie a language: its inner nodes are the first bytes of terms, below each stands
+a container of the terms' other bytes, in order, whose leaves count by source. Containers travel by prefix range and are merged
+there. A task walks its range in order of UTF-8 bytes, so what it streams is already in the order that breaks ties. Counts of a
+pair of sources need only terms that both hold: of f summed over all terms, the terms of one side follow from that side's
+histogram of counts, those of neither from the number of terms.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +26,14 @@ from quirefold.llm.common import bound_batches, cut, partitions, tidy
 UNIT = 1_000_000_000
 LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
-#: Counters that a task holds before they go into its tries, and terms of its tries before these are handed on.
-COUNTERS = 400_000
-LEAVES = 150_000
+#: Counters that a task holds before they are handed on as a trie, and leaves that are merged at once.
+COUNTERS = 800_000
+LEAVES = 200_000
 #: Pairs of counts that a task compares at once, and sums of pairs that it holds.
 PAIRS = 1 << 20
 BROADCAST_GROUPS = 20_000
+#: Bytes of the inner nodes: enough for some ranges a task, as far as letters of one byte go.
+LEAST_DEPTH, MOST_DEPTH = 2, 3
 
 #: Letters of ASCII, the large ones made small, and all bytes beyond it make terms; all else parts them.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -38,145 +44,171 @@ def terms(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
-class ByteTrie:
-    """Radix trie of byte strings: each edge holds the bytes up to the next fork, each leaf counts by source and counts documents.
+def depth_for(ranges: int) -> int:
+    return min(MOST_DEPTH, max(LEAST_DEPTH, math.ceil(math.log(8 * ranges, 26))))
 
-    Tries merge by adding the leaves of one, in any order, to the other.
+
+class Container(NamedTuple):
+    """The terms below one prefix of a language's trie, in order of bytes; of each its documents and its number of counters, and the counters (source, n) of all.
+
+    terms joins what follows the prefix by blanks, which no term holds; numbers holds four runs of 32-bit integers. Both are compressed.
     """
 
-    def __init__(self):
-        self.root: list = [b"", None, None]
-        self.leaves = 0
-
-    def add(self, key: bytes, counts: dict[str, int], documents: int) -> None:
-        """Adds a key's counts and its number of documents."""
-        node, at = self.root, 0
-        while at < len(key):
-            if node[1] is None:
-                node[1] = {}
-            child = node[1].get(key[at])
-            if child is None:
-                node[1][key[at]] = node = [key[at:], None, None]
-                break
-            edge, rest = child[0], key[at : at + len(child[0])]
-            if edge != rest:
-                same = next((i for i, (a, b) in enumerate(zip(edge, rest, strict=False)) if a != b), len(rest))
-                fork = [edge[:same], {edge[same]: child}, None]
-                child[0] = edge[same:]
-                node[1][key[at]] = child = fork
-            node, at = child, at + len(child[0])
-        if node[2] is None:
-            node[2] = [documents, dict(counts)]
-            self.leaves += 1
-        else:
-            leaf = node[2]
-            leaf[0] += documents
-            held = leaf[1]
-            for s, n in counts.items():
-                held[s] = held.get(s, 0) + n
-
-    def walk(self) -> Iterator[tuple[bytes, int, dict[str, int]]]:
-        """(key, documents, counts by source) in order of bytes."""
-        todo = [(b"", self.root)]
-        while todo:
-            before, node = todo.pop()
-            key = before + node[0]
-            if node[2] is not None:
-                yield key, *node[2]
-            if node[1]:
-                todo += [(key, node[1][b]) for b in sorted(node[1], reverse=True)]
-
-
-FRAGMENT = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("documents", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-
-
-def _fragments(rows: Iterable[tuple], size: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Batches of (lang, term, documents, sources, counts)."""
-    held: list[tuple] = []
+    lang: str
+    prefix: bytes | None
+    names: list[str]
+    leaves: int
+    counters: int
+    size: int
+    terms: bytes | None
+    numbers: bytes | None
+
+
+CONTAINER = pa.schema([("lang", pa.string()), ("prefix", pa.binary()), ("names", pa.list_(pa.string())), ("leaves", pa.int64()), ("counters", pa.int64()), ("size", pa.int64()), ("terms", pa.binary()), ("numbers", pa.binary())])
+CONTAINER_SQL = "lang string, prefix binary, names array<string>, leaves long, counters long, size long, terms binary, numbers binary"
+
+
+def trie(lang: str, documents: Counter, by_source: dict[str, Counter], depth: int) -> Iterator[Container]:
+    """The containers of a language's trie."""
+    keys = sorted(documents)
+    place = dict(zip(keys, range(len(keys)), strict=True))
+    docs = np.fromiter(map(documents.__getitem__, keys), np.uint32, len(keys))
+    names = np.array([*by_source, None], object)[:-1]
+    leaf = np.concatenate([np.fromiter(map(place.__getitem__, c), np.int64, len(c)) for c in by_source.values()])
+    who = np.repeat(np.arange(len(names), dtype=np.uint32), [len(c) for c in by_source.values()])
+    n = np.concatenate([np.fromiter(c.values(), np.uint32, len(c)) for c in by_source.values()])
+    order = np.argsort(leaf, kind="stable")
+    who, n, sizes = who[order], n[order], np.bincount(leaf, minlength=len(keys)).astype(np.uint32)
+    ends = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    prefixes = [k[:depth] for k in keys]
+    cuts = [0, *(i for i in range(1, len(keys)) if prefixes[i] != prefixes[i - 1]), len(keys)]
+    pack = pa.Codec("zstd").compress
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        x, y = ends[a], ends[b]
+        own, code = np.unique(who[x:y], return_inverse=True)
+        text = b" ".join([k[depth:] for k in keys[a:b]])
+        numbers = b"".join(v.astype("<u4", copy=False).tobytes() for v in (docs[a:b], sizes[a:b], code, n[x:y]))
+        yield Container(lang, prefixes[a], names[own].tolist(), b - a, int(y - x), len(text), pack(text, asbytes=True), pack(numbers, asbytes=True))
+
+
+def leaves(c: Container) -> tuple[list[bytes], list[np.ndarray]]:
+    """The whole terms of a container, and its documents, numbers of counters, sources and counts."""
+    unpack = pa.Codec("zstd").decompress
+    found = [c.prefix + rest for rest in unpack(c.terms, c.size, asbytes=True).split(b" ")]
+    numbers = np.frombuffer(unpack(c.numbers, 8 * (c.leaves + c.counters), asbytes=True), "<u4").astype(np.int64)
+    return found, np.split(numbers, [c.leaves, 2 * c.leaves, 2 * c.leaves + c.counters])
+
+
+def _batches(rows: Iterable[Container], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    whole = lambda: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), CONTAINER, strict=True)], schema=CONTAINER)
     for row in rows:
         held.append(row)
-        if len(held) == size:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), FRAGMENT, strict=True)], schema=FRAGMENT)
-            held = []
+        size += len(row.terms or b"") + len(row.numbers or b"") + 100
+        if size > most:
+            yield whole()
+            held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), FRAGMENT, strict=True)], schema=FRAGMENT)
-
-
-def _leaves(tries: dict[str, ByteTrie]) -> Iterator[tuple]:
-    for lang in sorted(tries):
-        for key, documents, counts in tries[lang].walk():
-            yield lang, key, documents, list(counts), list(counts.values())
-
-
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments of a task's documents; a term of null tells the sources of a language, also of documents without terms."""
-    tries: dict[str, ByteTrie] = {}
-    by_source: dict[tuple[str, str], Counter] = {}
-    by_lang: dict[str, Counter] = {}
-    groups: dict[str, dict[str, int]] = {}
-
-    def into_tries() -> None:
-        together: dict[str, dict[bytes, dict[str, int]]] = {}
-        for (lang, source), counts in by_source.items():
-            of = together.setdefault(lang, {})
-            for term, n in counts.items():
-                of.setdefault(term, {})[source] = n
-        for lang, of in together.items():
-            trie, documents = tries.setdefault(lang, ByteTrie()), by_lang[lang]
-            for term, counts in of.items():
-                trie.add(term, counts, documents[term])
-        by_source.clear()
-        by_lang.clear()
-
-    for batch in batches:
-        for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            groups.setdefault(lang, {})[source] = 0
-            if words := terms(text):
-                by_source.setdefault((lang, source), Counter()).update(words)
-                by_lang.setdefault(lang, Counter()).update(set(words))
-        if sum(map(len, by_source.values())) > COUNTERS:
-            into_tries()
-        if sum(t.leaves for t in tries.values()) > LEAVES:
-            yield from _fragments(_leaves(tries))
-            tries.clear()
-    into_tries()
-    yield from _fragments(_leaves(tries))
-    yield from _fragments((lang, None, 0, list(of), list(of.values())) for lang, of in groups.items())
-    tries.clear()
-    tidy()
-
-
-KEPT = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("first", pa.int32()), ("source", pa.string()), ("n", pa.int64()), ("total", pa.int64())])
+        yield whole()
+
+
+def _count(depth: int):
+    """Tries of a task's documents; a prefix of null tells the sources of a language, also of documents without terms."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_source: dict[str, dict[str, Counter]] = {}
+        by_lang: dict[str, Counter] = {}
+        groups: dict[str, set[str]] = {}
+
+        def tries() -> Iterator[Container]:
+            for lang in sorted(by_source):
+                yield from trie(lang, by_lang[lang], by_source[lang], depth)
+            by_source.clear()
+            by_lang.clear()
+
+        for batch in batches:
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                groups.setdefault(lang, set()).add(source)
+                if words := terms(text):
+                    by_source.setdefault(lang, {}).setdefault(source, Counter()).update(words)
+                    by_lang.setdefault(lang, Counter()).update(set(words))
+            if sum(len(c) for of in by_source.values() for c in of.values()) > COUNTERS:
+                yield from _batches(tries())
+        yield from _batches(tries())
+        yield from _batches(Container(lang, None, sorted(of), 0, 0, 0, None, None) for lang, of in groups.items())
+        tidy()
+
+    return run
+
+
+KEPT = pa.schema([("lang", pa.string()), ("term", pa.binary()), ("place", pa.int64()), ("first", pa.int32()), ("source", pa.string()), ("n", pa.int64()), ("total", pa.int64())])
+KEPT_SQL = "lang string, term binary, place long, first int, source string, n long, total long"
+
+
+def merge(lang: str, held: list[Container], least: int, low: bytes = b"", high: bytes | None = None, place: int = 0) -> pa.RecordBatch:
+    """Counts of the kept terms from low up to high in one language's containers, in order of bytes and source; place numbers the terms."""
+    found, parts, names = [], [[] for _ in range(4)], {}
+    for c in held:
+        own, numbers = leaves(c)
+        at = np.array([names.setdefault(x, len(names)) for x in c.names], np.int64)
+        docs, sizes, who, n = numbers
+        if low or high is not None:
+            a, b = bisect_left(own, low), len(own) if high is None else bisect_left(own, high)
+            ends = np.append(0, np.cumsum(sizes))
+            own, docs, sizes, who, n = own[a:b], docs[a:b], sizes[a:b], who[ends[a] : ends[b]], n[ends[a] : ends[b]]
+        found += own
+        for part, x in zip(parts, (docs, sizes, at[who], n), strict=True):
+            part.append(x)
+    docs, sizes, who, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in parts)
+    seen: dict[bytes, int] = {}
+    index = np.fromiter((seen.setdefault(t, len(seen)) for t in found), np.int64, len(found))
+    documents = np.zeros(len(seen), np.int64)
+    np.add.at(documents, index, docs)
+    kept = sorted(t for t, i in seen.items() if documents[i] >= least)
+    rank = np.full(len(seen), -1, np.int64)
+    rank[[seen[t] for t in kept]] = np.arange(len(kept))
+    leaf = rank[np.repeat(index, sizes)]
+    stays = leaf >= 0
+    known = np.argsort(np.argsort(np.array([*names, ""])[:-1], kind="stable"), kind="stable") if names else np.zeros(0, np.int64)
+    keys, inverse = np.unique(leaf[stays] * max(1, len(names)) + known[who[stays]], return_inverse=True)
+    counts, totals = np.zeros(len(keys), np.int64), np.zeros(len(kept), np.int64)
+    np.add.at(counts, inverse, n[stays])
+    leaf, source = np.divmod(keys, max(1, len(names)))
+    np.add.at(totals, leaf, counts)
+    first = np.diff(leaf, prepend=-1) > 0
+    cols = [
+        pa.DictionaryArray.from_arrays(np.zeros(len(keys), np.int32), pa.array([lang])).cast(pa.string()), pa.array(kept, pa.binary()).take(pa.array(leaf)), pa.array(leaf + place), pa.array(first.astype(np.int32)),
+        pa.array(sorted(names), pa.string()).take(pa.array(source)), pa.array(counts), pa.array(totals[leaf]),
+    ]
+    return pa.RecordBatch.from_arrays(cols, schema=KEPT)
 
 
 def _merged(least: int):
-    """Merges a prefix range's fragments, which come in order of (lang, term): what stands before the last term is complete."""
-
-    def kept(tries: dict[str, ByteTrie]) -> Iterator[pa.RecordBatch]:
-        cols: list[list] = [[] for _ in KEPT]
-        for lang, key, documents, sources, counts in _leaves(tries):
-            if documents >= least:
-                total = sum(counts)
-                for i, (s, n) in enumerate(zip(sources, counts, strict=True)):
-                    for c, v in zip(cols, (lang, key, int(i == 0), s, n, total), strict=True):
-                        c.append(v)
-            if len(cols[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, KEPT, strict=True)], schema=KEPT)
-                cols = [[] for _ in KEPT]
-        if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, KEPT, strict=True)], schema=KEPT)
+    """Merges the containers of a prefix range, which come in order of (lang, prefix), some whole prefixes at once; one with very many leaves in parts of its range."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[str, ByteTrie] = {}
-        last = None
+        place = 0
+
+        def all_of(held: list[Container]) -> Iterator[pa.RecordBatch]:
+            nonlocal place
+            ways = -(-sum(c.leaves for c in held) // (2 * LEAVES))
+            widest = leaves(max(held, key=lambda c: c.leaves))[0] if ways > 1 else []
+            bounds = [b"", *sorted({widest[len(widest) * k // ways] for k in range(1, ways)} - {b""} if widest else ()), None]
+            for low, high in zip(bounds, bounds[1:], strict=False):
+                out = merge(held[0].lang, held, least, low, high, place)
+                place += len(set(out.column(2).to_pylist()))
+                yield out
+
+        held: list[Container] = []
         for batch in batches:
-            for lang, term, documents, sources, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (lang, term) != last and sum(t.leaves for t in tries.values()) >= LEAVES:
-                    yield from kept(tries)
-                    tries = {}
-                last = lang, term
-                tries.setdefault(lang, ByteTrie()).add(term, dict(zip(sources, counts, strict=True)), documents)
-        yield from kept(tries)
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                c = Container(*row)
+                if held and (c.lang != held[0].lang or c.prefix != held[-1].prefix and sum(x.leaves for x in held) >= LEAVES):
+                    yield from all_of(held)
+                    held = []
+                held.append(c)
+        if held:
+            yield from all_of(held)
         tidy()
 
     return run
@@ -220,29 +252,40 @@ def _walked(top: int):
             cols = zip(*rows, strict=True) if rows else [[]] * 5
             return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, STREAMED, strict=True)], schema=STREAMED)
 
+        def groups(table: pa.Table) -> np.ndarray:
+            """A number of each row's (lang, source)."""
+            lang, source = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
+            both = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+            keys, inverse = np.unique(both, return_inverse=True)
+            langs, sources = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
+            return np.array([names.setdefault((langs[k // len(sources)], sources[k % len(sources)]), len(names)) for k in keys.tolist()], np.int64)[inverse]
+
         def terms_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
             nonlocal best, sums
-            lang, term, source = (table.column(c).to_pylist() for c in ("lang", "term", "source"))
-            p, q, p0 = (table.column(c).to_numpy().astype(np.int64) for c in ("p", "q", "p0"))
-            at = np.fromiter((names.setdefault(k, len(names)) for k in zip(lang, source, strict=True)), np.int64, len(lang))
-            new = np.fromiter((i == 0 or term[i] != term[i - 1] or lang[i] != lang[i - 1] for i in range(len(term))), bool, len(term))
+            p, q, p0, place = (table.column(c).to_numpy().astype(np.int64) for c in ("p", "q", "p0", "place"))
+            at = groups(table)
             # Candidates: what a source uses more than its language, the best so far of each source.
             more = np.flatnonzero(p > q)
-            cand = [np.concatenate(x) for x in zip(best, (at[more], _gap(p[more], q[more]), np.array([term[i] for i in more] + [None], object)[:-1]), strict=True)]
-            order = np.lexsort((-cand[1], cand[0]))  # stable, so ties stay in order of bytes
+            value = _gap(p[more], q[more])
+            order = np.lexsort((-value, at[more]))  # stable, so ties stay in order of bytes
+            where = at[more][order]
+            more, value = (x[order[np.arange(len(order)) - np.searchsorted(where, where) < top]] for x in (more, value))
+            words = table.column("term").take(pa.array(more)).to_pylist()
+            cand = [np.concatenate(x) for x in zip(best, (at[more], value, np.array([*words, None], object)[:-1]), strict=True)]
+            order = np.lexsort((-cand[1], cand[0]))
             where = cand[0][order]
-            place = np.arange(len(order)) - np.searchsorted(where, where)
-            best = [x[order[place < top]] for x in cand]
+            best = [x[order[np.arange(len(order)) - np.searchsorted(where, where) < top]] for x in cand]
             # Pairs of sources that hold the same term.
-            first = np.flatnonzero(new)
-            size = np.diff(np.append(first, len(new)))
+            first = np.flatnonzero(np.diff(place, prepend=place[0] - 1))
+            size = np.diff(np.append(first, len(place)))
             start, wide = np.repeat(first, size), np.repeat(size, size)
             ends = np.cumsum(wide)
             i = 0
             while i < len(wide):
-                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+                done = ends[i - 1] if i else 0
+                j = max(i + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
                 a = np.repeat(np.arange(i, j), wide[i:j])
-                b = start[a] + np.arange(len(a)) - np.repeat(ends[i:j] - wide[i:j] - (ends[i - 1] if i else 0), wide[i:j])
+                b = start[a] + np.arange(len(a)) - np.repeat(ends[i:j] - wide[i:j] - done, wide[i:j])
                 a, b = a[a != b], b[a != b]
                 value = _gap(p[a], p[b]) - _gap(p[a], p0[b]) - _gap(p0[a], p[b]) + _gap(p0[a], p0[b])
                 keys, inverse = np.unique(at[a] << 32 | at[b], return_inverse=True)
@@ -257,18 +300,15 @@ def _walked(top: int):
 
         rest = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            # The last term may go on in the next batch.
-            lang, term = table.column("lang").to_pylist(), table.column("term").to_pylist()
-            n = len(term)
-            while n and (lang[n - 1], term[n - 1]) == (lang[-1], term[-1]):
-                n -= 1
-            if n:
-                yield from terms_of(table.slice(0, n))
-            rest = table.slice(n)
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                table = pa.concat_tables([rest, table]) if rest is not None else table
+                # The last term may go on in the next batch.
+                place = table.column("place").to_numpy()
+                n = int(np.searchsorted(place, place[-1]))
+                if n:
+                    yield from terms_of(table.slice(0, n))
+                rest = table.slice(n)
         if rest is not None:
             yield from terms_of(rest)
         yield flush(sums)
@@ -281,7 +321,7 @@ def _walked(top: int):
 
 
 def term_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
-    """(lang, term binary, first, source, n, total) of the kept terms' counts in order of bytes within ranges, and (lang, source) of all rows.
+    """(lang, term binary, place, first, source, n, total) of the kept terms' counts in order of bytes within ranges, and (lang, source) of all rows.
 
     first is 1 on one row of each term; total is the term's count in its language. Null text, lang and source read as ''.
     """
@@ -289,10 +329,12 @@ def term_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> tuple[DataFram
     bound_batches(spark)
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(empty("lang").alias("lang"), empty("source").alias("source"), empty("text").cast("binary").alias("text"))
-    counted = cut(rows.mapInArrow(_count, "lang string, term binary, documents long, sources array<string>, counts array<long>"))
-    groups = counted.where("term IS NULL").select("lang", F.explode("sources").alias("source")).distinct()
-    ranges = counted.where("term IS NOT NULL").repartitionByRange(partitions(spark), "lang", "term").sortWithinPartitions("lang", "term")
-    return cut(ranges.mapInArrow(_merged(least), "lang string, term binary, first int, source string, n long, total long")), groups
+    counted = cut(rows.mapInArrow(_count(depth_for(partitions(spark))), CONTAINER_SQL))
+    groups = counted.where("prefix IS NULL").select("lang", F.explode("names").alias("source")).distinct()
+    ranges = counted.where("prefix IS NOT NULL").repartitionByRange(partitions(spark), "lang", "prefix").sortWithinPartitions("lang", "prefix")
+    kept = ranges.mapInArrow(_merged(least), KEPT_SQL)
+    # A term has one place: its number within its range, after the range's own.
+    return cut(kept.withColumn("place", F.spark_partition_id().cast("long") * (1 << 40) + F.col("place"))), groups
 
 
 def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS) -> DataFrame:
@@ -314,8 +356,8 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TER
     few = groups.count() <= BROADCAST_GROUPS
     near = F.broadcast(groups) if few else groups
     rows = kept.join(near, (F.col("lang") == F.col("g_lang")) & (F.col("source") == F.col("g_source")))
-    rows = rows.select("lang", "term", "source", share(F.col("n"), F.col("group_n"), F.col("kept")).alias("p"), share(F.col("total"), F.col("lang_n"), F.col("kept")).alias("q"), "p0")
-    ordered = (rows if few else rows.repartitionByRange(partitions(docs.sparkSession), "lang", "term")).sortWithinPartitions("lang", "term")
+    rows = rows.select("lang", "term", "place", "source", share(F.col("n"), F.col("group_n"), F.col("kept")).alias("p"), share(F.col("total"), F.col("lang_n"), F.col("kept")).alias("q"), "p0")
+    ordered = (rows if few else rows.repartitionByRange(partitions(docs.sparkSession), "place")).sortWithinPartitions("place")
     streamed = cut(ordered.mapInArrow(_walked(top), "part string, lang string, source string, item binary, value long"))
 
     # What one side's terms add where the other side has none, from the number of its terms of each p.

@@ -58,41 +58,41 @@ def test_equals_plain_python(spark, monkeypatch, seed):
     assert sorted(map(tuple, sd.divergence(df, top=top).collect())) == plain(rows, top=top)
 
 
-def test_tries_count_like_dictionaries():
+def test_containers_hold_what_was_counted():
     rng = random.Random(1)
-    trie, want = sd.ByteTrie(), {}
-    for _ in range(4000):
-        key = bytes(rng.choice(b"ab\xc3\xa9") for _ in range(rng.randint(0, 7)))
-        s = rng.choice("xy")
-        trie.add(key, {s: 2}, 1)
-        n, c = want.setdefault(key, [0, Counter()])
-        want[key][0] = n + 1
-        c[s] += 2
-    walked = list(trie.walk())
-    assert [k for k, _, _ in walked] == sorted(want) and trie.leaves == len(want)
-    assert all(n == want[k][0] and c == want[k][1] for k, n, c in walked)
+    by_source = {s: Counter({bytes(rng.choice(b"ab\xc3\xa9") for _ in range(rng.randint(1, 7))): rng.randint(1, 9) for _ in range(300)}) for s in ("x", "y", "z")}
+    documents = Counter(t for c in by_source.values() for t in c)
+    found = list(sd.trie("en", documents, by_source, 2))
+    assert [c.prefix for c in found] == sorted({t[:2] for t in documents})
+    keys, got, docs = [], {s: Counter() for s in by_source}, Counter()
+    for c in found:
+        own, (d, sizes, who, n) = sd.leaves(c)
+        keys += own
+        docs.update(dict(zip(own, d.tolist(), strict=True)))
+        for t, w, k in zip([t for t, m in zip(own, sizes, strict=True) for _ in range(m)], who, n, strict=True):
+            got[c.names[w]][t] += int(k)
+    assert keys == sorted(documents) and docs == documents and got == by_source
 
 
-def test_handed_on_in_parts(spark, monkeypatch):
-    """Counters and tries that are full are handed on; the streams of both ends do the same by hand."""
+@pytest.mark.parametrize("most", [1, 4, 10**6])
+def test_merged_in_parts(monkeypatch, most):
+    """Counters that are full are handed on, and ranges are merged in parts; both ends by hand."""
     import pyarrow as pa
 
     monkeypatch.setattr(sd, "COUNTERS", 5)
-    monkeypatch.setattr(sd, "LEAVES", 10)
+    monkeypatch.setattr(sd, "LEAVES", most)
     rng = random.Random(3)
-    rows = [("en", rng.choice("xy"), " ".join(chr(97 + rng.randint(0, 25)) * rng.randint(1, 2) for _ in range(20)).encode()) for _ in range(60)]
+    rows = [("en", rng.choice("xy"), " ".join("a" * rng.randint(1, 4) + chr(97 + rng.randint(0, 5)) * rng.randint(1, 2) for _ in range(20)).encode()) for _ in range(60)]
     batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 7], strict=True)], names=["lang", "source", "text"]) for i in range(0, 60, 7)]
-    found = [r for b in sd._count(batches) for r in zip(*(c.to_pylist() for c in b.columns), strict=True) if r[1] is not None]
-    found.sort(key=lambda r: r[:2])
-    ordered = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found[i : i + 9], strict=True), sd.FRAGMENT, strict=True)], schema=sd.FRAGMENT) for i in range(0, len(found), 9)]
-    got = Counter()
-    for b in sd._merged(3)(ordered):
-        for _, term, _, source, n, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            assert (term, source) not in got
+    found = sorted((sd.Container(*r) for b in sd._count(2)(batches) for r in zip(*(c.to_pylist() for c in b.columns), strict=True) if r[1] is not None), key=lambda c: (c.lang, c.prefix))
+    got, places = Counter(), {}
+    for b in sd._merged(3)(sd._batches(found, 1)):
+        for _, term, place, first, source, n, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            assert (term, source) not in got and first == (term not in places) and places.setdefault(term, place) == place
             got[term, source] = n
     documents = Counter(t for _, _, x in rows for t in set(x.split()))
     want = Counter((t, s) for _, s, x in rows for t in x.split() if documents[t] >= 3)
-    assert got == want
+    assert got == want and sorted(places, key=places.get) == sorted(places)
 
 
 def test_query_equals_its_sql(spark):
