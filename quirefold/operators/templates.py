@@ -7,7 +7,7 @@ apart within the short match. The others are rules over blocks, as in forms.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -345,17 +345,25 @@ class Within:
     def method(self) -> str:
         return self.rule.method
 
-    def of(self, blocks: Column) -> Column:
+    def rules(self) -> list[Rule]:
+        """The rule and those instead of it, each over the blocks between the markers."""
         begins = lambda k, ws: F.exists(F.array(*map(F.lit, [folded(w) for w in ws])), lambda w: (k == w) | k.startswith(F.concat(w, F.lit(" "))))
 
-        def sliced(keys: Column) -> Column:
-            places = lambda ws: F.filter(F.transform(keys, lambda k, i: F.when(begins(k, ws), i)), lambda i: i.isNotNull())
-            a = F.array_min(places(self.start))
-            b = F.array_min(F.filter(places(self.end), lambda i: i > a)) if self.end else F.lit(None).cast("int")
-            return F.when(a.isNull(), blocks).otherwise(F.slice(blocks, a + 1, F.coalesce(b, F.size(blocks)) - a))
+        def inside(found: Callable[[Column], Column]) -> Callable[[Column], Column]:
+            def sliced(blocks: Column, keys: Column) -> Column:
+                places = lambda ws: F.filter(F.transform(keys, lambda k, i: F.when(begins(k, ws), i)), lambda i: i.isNotNull())
+                a = F.array_min(places(self.start))
+                b = F.array_min(F.filter(places(self.end), lambda i: i > a)) if self.end else F.lit(None).cast("int")
+                part = F.when(a.isNull(), blocks).otherwise(F.slice(blocks, a + 1, F.coalesce(b, F.size(blocks)) - a))
+                return F.struct(part.alias("blocks"), F.coalesce(a, F.lit(0)).alias("first"))
 
-        part = once(F.transform(blocks, lambda b: b["bare_key"]), sliced)
-        return once(part, self.rule.of)
+            def all_of(blocks: Column) -> Column:
+                part = once(F.transform(blocks, lambda b: b["bare_key"]), lambda keys: sliced(blocks, keys))
+                return once(part, lambda p: F.transform(found(p["blocks"]), lambda h: F.when(h.isNotNull(), hit(h["value"], h["at"] + p["first"]))))
+
+            return all_of
+
+        return [replace(r, found=inside(r.found), instead=()) for r in (self.rule, *self.rule.instead)]
 
 
 def spoken_date(text: Column) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import dates, numbers
 from quirefold.operators import classify, quality
 from quirefold.plans.documents import CLASSIFIED, LINES, classified
-from quirefold.plans.registry import query, table
+from quirefold.plans.registry import query, table, wide
 
 INPUTS = """SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN 'PASS' WHEN 'O' THEN 'REVIEW_REQUIRED' ELSE 'REJECTED' END AS status, o_orderkey % 2 = 0 AS review, o_orderkey % 11 = 0 AS sensitive, o_orderkey % 13 = 0 AS critical,
  o_orderkey % 17 = 0 AS inconsistent, o_orderkey % 19 <> 0 AS complete, (o_orderkey % 101) / 100.0::DOUBLE AS confidence, o_orderkey % 3 = 0 AS auto FROM orders"""
@@ -174,7 +174,7 @@ titled AS (SELECT doc_id, CASE WHEN b >= 2.5 THEN type ELSE 'GENERIC_DOCUMENT' E
 
 @query(f"WITH {TITLED} SELECT doc_id, document_type, round_even(confidence, 4) AS confidence, array_to_string(terms, ';') AS evidence, confidence >= 0.8 AS accepted FROM titled")
 def titled_classify(spark, sf_dir):
-    found = classify.classify_titled(table(spark, sf_dir, "documents"), TITLES)
+    found = classify.classify_titled(wide(spark, sf_dir, "documents"), TITLES)
     return found.select("doc_id", "document_type", F.bround("confidence", 4).alias("confidence"), F.array_join("evidence", ";").alias("evidence"), "accepted")
 
 
@@ -187,7 +187,7 @@ k AS (SELECT g.doc_id, CASE WHEN g.b >= 2.5 THEN g.type ELSE t.document_type END
 SELECT doc_id, document_type, round_even(confidence, 4) AS confidence, array_to_string(terms, ';') AS evidence, CASE document_type {_case(classify.FAMILIES, 'OTHER_HR_DOCUMENT')} AS family, CASE document_type {_case(classify.WORKFLOWS, 'OTHER_HR_DOCUMENT')} AS workflow_type FROM k"""
 )
 def family_classify(spark, sf_dir):
-    found = classify.classify_family(table(spark, sf_dir, "documents"), FAMILY_TITLES, fallback=TITLES)
+    found = classify.classify_family(wide(spark, sf_dir, "documents"), FAMILY_TITLES, fallback=TITLES)
     return found.select("doc_id", "document_type", F.bround("confidence", 4).alias("confidence"), F.array_join("evidence", ";").alias("evidence"), "family", "workflow_type")
 
 

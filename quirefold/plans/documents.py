@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import text as t
 from quirefold.operators import classify, observe
-from quirefold.plans.registry import query, table
+from quirefold.plans.registry import query, table, wide
 
 #: Markers of the test tables' languages: (language, marker, weight).
 LANGUAGE_RULES = [
@@ -32,25 +32,25 @@ cls AS (SELECT d.doc_id, d.lang, CASE WHEN coalesce(c1, 0) >= 0.5 THEN type ELSE
 
 
 def classified(spark, sf_dir):
-    return classify.classify(table(spark, sf_dir, "documents"), RULES)
+    return classify.classify(wide(spark, sf_dir, "documents"), RULES)
 
 
 @query(LINES.replace("doc_id, lang, (i", "doc_id, (i"))
 def observe_lines(spark, sf_dir):
-    return observe.lines(table(spark, sf_dir, "documents"))
+    return observe.lines(wide(spark, sf_dir, "documents"))
 
 
 @query(f"SELECT doc_id, md5({FOLD.format('text')}) AS fold_md5, length({FOLD.format('text')})::INT AS fold_chars FROM documents")
 def fold_accent(spark, sf_dir):
     fold = t.fold_key(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(fold).alias("fold_md5"), F.length(fold).alias("fold_chars"))
+    return wide(spark, sf_dir, "documents").select("doc_id", F.md5(fold).alias("fold_md5"), F.length(fold).alias("fold_chars"))
 
 
 @query("SELECT doc_id, md5(strip_accents(text)) AS plain_md5, (length(text) - length(regexp_replace(text, '[À-ÖØ-öø-ɏḀ-ỿđĐ]', '', 'g')))::INT AS non_ascii_letters FROM documents")
 def strip_marks(spark, sf_dir):
     c = F.col("text")
     letters = F.length(c) - F.length(F.regexp_replace(c, "[À-ÖØ-öø-ɏḀ-ỿđĐ]", ""))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(t.without_marks(c)).alias("plain_md5"), letters.alias("non_ascii_letters"))
+    return wide(spark, sf_dir, "documents").select("doc_id", F.md5(t.without_marks(c)).alias("plain_md5"), letters.alias("non_ascii_letters"))
 
 
 @query(f"WITH {CLASSIFIED} SELECT doc_id, document_type, round_even(confidence, 6) AS confidence, ambiguous FROM cls")
@@ -68,7 +68,7 @@ SELECT d.doc_id, CASE WHEN nxt IS DISTINCT FROM conf THEN id END AS template, CA
 FROM documents d LEFT JOIN (SELECT * FROM w WHERE rn = 1) USING (doc_id)"""
 )
 def template_detect_tie(spark, sf_dir):
-    return classify.detect_templates(table(spark, sf_dir, "documents"), TEMPLATES).select("doc_id", "template", F.col("matched").cast("int").alias("matched"), "confidence")
+    return classify.detect_templates(wide(spark, sf_dir, "documents"), TEMPLATES).select("doc_id", "template", F.col("matched").cast("int").alias("matched"), "confidence")
 
 
 _found = lambda p: f"list_transform(regexp_extract_all(text, '{p}'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')))"
@@ -77,7 +77,7 @@ _kinds = {k: _found(t.IDENTIFIERS[k]) for k in ("email", "date", "employee_code"
 
 @query("SELECT doc_id, " + ", ".join(f"array_to_string(list_sort(list_distinct({x})), ',') AS {k}" for k, x in _kinds.items()) + " FROM documents")
 def pii_candidates(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = wide(spark, sf_dir, "documents")
     return docs.select("doc_id", *(F.array_join(F.array_sort(t.identifiers(F.col("text"), k)), ",").alias(k) for k in _kinds))
 
 
@@ -114,7 +114,7 @@ def gaps_islands(spark, sf_dir):
 
 @query(f"WITH l AS ({LINES}) SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY seq)) AS text_md5 FROM l GROUP BY doc_id")
 def document_text(spark, sf_dir):
-    return observe.document_text(observe.lines(table(spark, sf_dir, "documents"))).select("doc_id", F.md5("text").alias("text_md5"))
+    return observe.document_text(observe.lines(wide(spark, sf_dir, "documents"))).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 @query(
@@ -141,4 +141,4 @@ def ring_buffer(spark, sf_dir):
 @query("SELECT doc_id, coalesce(nfc_normalize(text) <> text, false) AS violation FROM documents")
 def nfc_violations(spark, sf_dir):
     c = F.coalesce(F.col("text"), F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", (t.nfc(c) != c).alias("violation"))
+    return wide(spark, sf_dir, "documents").select("doc_id", (t.nfc(c) != c).alias("violation"))

@@ -3,14 +3,14 @@
 from pyspark.sql import functions as F
 
 from quirefold.operators import forms, templates
-from quirefold.plans.registry import query, table
+from quirefold.plans.registry import query, table, wide
 
 KINDS = ["LEAVE_REQUEST", "EMPLOYMENT_CONTRACT", "HR_DECISION", "EMPLOYEE_INFORMATION_FORM"]
 FAMILIES = ["CV", "ADMINISTRATIVE_REQUEST", "CONTRACT_DECISION", "DEGREE_CERTIFICATE", "EMPLOYEE_FORM_TABLE"]
 
 
 def customers(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = wide(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     k = F.col("o_orderkey")
     return o.select(
         k.alias("k"), F.replace("c_name", F.lit("#000"), F.lit(" C")).alias("name"), F.col("c_mktsegment").alias("segment"), F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "d/M/yyyy").alias("day"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("full_day"),
@@ -61,8 +61,13 @@ UNION ALL SELECT k, 'EMPLOYEE_INFORMATION_FORM', kind, confidence, unnest(['empl
 g AS (SELECT *, {GRADED} FROM f)"""
 
 
+def each(rows, *keys):
+    """A row a field. The outer explode keeps Spark from computing all fields once more in a filter on their number."""
+    return rows.select(*keys, F.explode_outer("fields").alias("f")).where("f IS NOT NULL")
+
+
 def listed(rows):
-    return rows.select("k", "document_type", F.explode("fields").alias("f")).select("k", "document_type", F.col("f.name").alias("field"), "f.value", "f.normalized", "f.status")
+    return each(rows, "k", "document_type").select("k", "document_type", F.col("f.name").alias("field"), "f.value", "f.normalized", "f.status")
 
 
 @query(f"WITH {HR_FIELDS} SELECT k, document_type, field, value, normalized, status FROM g")
@@ -159,7 +164,7 @@ def overtime_form(spark, sf_dir):
 
 def one_form(spark, sf_dir, rules, *lines):
     rows = customers(spark, sf_dir).withColumn("document_type", F.lit("X")).withColumn("blocks", blocks(*lines))
-    return forms.read_forms(rows, {"X": rules}).select("k", F.explode("fields").alias("f")).select("k", F.col("f.name").alias("field"), F.col("f.normalized").alias("value"))
+    return each(forms.read_forms(rows, {"X": rules}), "k").select("k", F.col("f.name").alias("field"), F.col("f.normalized").alias("value"))
 
 
 def spread(pairs):

@@ -30,4 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table that heavy expressions follow: its rows are dealt to all cores where it has fewer files than those, as a small file is read by one task. A large table is read as it lies."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    few = df.rdd.getNumPartitions() < 4 * cores and len(df.inputFiles()) < cores
+    return df.repartition(cores) if few else df
+
+
 from quirefold.plans import boxes, decisions, documents, evaluation, extraction, forms, reports, state, texts  # noqa: E402, F401
