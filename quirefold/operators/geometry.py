@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.functions.text import once
+from quirefold.functions.text import casefold, once
 
 
 def area(b: str) -> Column:
@@ -75,33 +75,39 @@ def row_clusters(boxes: DataFrame, page: str, tolerance: float) -> DataFrame:
 CONTAINED, FRAGMENT, SHORT = 0.75, 0.65, 4
 
 
-def _distinct(rows: list[tuple], least: float) -> list[tuple]:
-    """Rows (box, x0, y0, x1, y1, text, ...) left, largest first, without copies and fragments of larger ones."""
-    size = lambda r: (r[3] - r[1]) * (r[4] - r[2])
-    kept: list[tuple] = []
-    for r in sorted(rows, key=lambda r: (-size(r), r[0])):
-        text = " ".join((r[5] or "").casefold().split())
+def largest_first(boxes: DataFrame, page: str, least: float, *more: str) -> DataFrame:
+    """(page, boxes): a page's boxes left, largest first, each struct<size, box, x0, y0, x1, y1, text, own, more...>.
 
-        def covers(k: tuple, r: tuple = r, text: str = text) -> bool:
-            both = max(0.0, min(k[3], r[3]) - max(k[1], r[1])) * max(0.0, min(k[4], r[4]) - max(k[2], r[2]))
-            other = " ".join((k[5] or "").casefold().split())
-            union, inner = size(k) + size(r) - both, min(size(k), size(r))
-            copy = text == other and union > 0 and both / union >= least
-            return copy or inner > 0 and both / inner >= CONTAINED and len(text) <= max(SHORT, len(other) * FRAGMENT)
+    A box goes if a larger one that stays is its copy (the same folded text, overlap of `least`) or holds it as a short fragment. First each box gets
+    the places of the larger ones that would cover it, then one pass from the largest on keeps those that no kept one covers. A page
+    is a bounded group.
+    """
+    c = F.col
+    own = F.trim(F.regexp_replace(casefold(F.coalesce("text", F.lit(""))), r"\s+", " "))
+    item = F.struct((-(c("x1") - c("x0")) * (c("y1") - c("y0"))).alias("size"), "box", "x0", "y0", "x1", "y1", "text", own.alias("own"), *more)
+    side = lambda a, b, p, q: F.greatest(F.lit(0.0), F.least(a[q], b[q]) - F.greatest(a[p], b[p]))
 
-        if not any(covers(k) for k in kept):
-            kept.append(r)
-    return kept
+    def covers(k: Column, r: Column) -> Column:
+        def of(both: Column) -> Column:
+            union, inner = -k["size"] - r["size"] - both, F.least(-k["size"], -r["size"])
+            copy = (k["own"] == r["own"]) & (union > 0) & (both / F.nullif(union, F.lit(0.0)) >= least)
+            part = (inner > 0) & (both / F.nullif(inner, F.lit(0.0)) >= CONTAINED) & (F.length(r["own"]) <= F.greatest(F.lit(float(SHORT)), F.length(k["own"]) * FRAGMENT))
+            return F.coalesce(copy, F.lit(False)) | F.coalesce(part, F.lit(False))
 
+        return once(side(k, r, "x0", "x1") * side(k, r, "y0", "y1"), of)
 
-def distinct_boxes(boxes: DataFrame, page: str, least: float = 0.5) -> DataFrame:
-    """Boxes left after copies of larger ones (same text, overlap of `least`) and short fragments that lie in them are dropped, largest first. A page is a bounded group."""
+    def kept(bs: Column) -> Column:
+        places = lambda r, i: F.filter(F.transform(F.slice(bs, F.lit(1), i), lambda k, j: F.when(covers(k, r), j)), lambda j: j.isNotNull())
+        covered = F.transform(bs, lambda r, i: F.struct(i.alias("i"), places(r, i).alias("by")))
+        stay = F.aggregate(covered, F.array().cast("array<int>"), lambda acc, x: F.when(F.arrays_overlap(x["by"], acc), acc).otherwise(F.concat(acc, F.array(x["i"]))))
+        return F.transform(stay, lambda i: F.get(bs, i))
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = _distinct(list(pdf[["box", "x0", "y0", "x1", "y1", "text"]].itertuples(index=False, name=None)), least)
-        return pd.DataFrame([(pdf[page].iloc[0], k[0]) for k in kept], columns=[page, "box"])
+    return boxes.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("boxes")).select(page, once(F.col("boxes"), kept).alias("boxes"))
 
-    return boxes.select(page, "box", "x0", "y0", "x1", "y1", "text").groupBy(page).applyInPandas(greedy, f"{page} long, box long")
+
+def distinct_boxes(boxes: DataFrame, page: str, least: float = 0.5) -> DataFrame:
+    """(page, box) of the boxes left after copies of larger ones (same text, overlap of `least`) and short fragments that lie in them are dropped, largest first."""
+    return largest_first(boxes, page, least).select(page, F.explode(F.transform("boxes", lambda b: b["box"])).alias("box"))
 
 
 def overlap_rows(boxes: DataFrame, page: str, least: float = 0.45) -> DataFrame:
@@ -110,30 +116,32 @@ def overlap_rows(boxes: DataFrame, page: str, least: float = 0.45) -> DataFrame:
     A box joins the row, of those that it overlaps in height by `least` of the lower one, whose middle is nearest; rows come by
     their upper edge, the boxes of a row from left to right, and a row's confidence is their mean. A page is a bounded group.
     """
-    names = ["box", "x0", "y0", "x1", "y1", "text", "confidence"]
-
-    def rows_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: list[list[tuple]] = []
-        span = lambda row: (min(b[2] for b in row), max(b[4] for b in row))
-        for b in sorted(_distinct(list(pdf[names].itertuples(index=False, name=None)), 0.5), key=lambda b: (b[2], b[1], b[0])):
-            near = []
-            for i, row in enumerate(rows):
-                top, low = span(row)
-                height = min(low - top, b[4] - b[2])
-                if height > 0 and (min(low, b[4]) - max(top, b[2])) / height >= least:
-                    near.append((abs((b[2] + b[4]) / 2 - (top + low) / 2), i))
-            if near:
-                rows[min(near)[1]].append(b)
-            else:
-                rows.append([b])
-        out = []
-        for n, row in enumerate(sorted(rows, key=lambda row: span(row)[0])):
-            row.sort(key=lambda b: (b[1], b[0]))
-            out.append((pdf[page].iloc[0], n, " ".join(b[5] for b in row if b[5]), round(sum(b[6] for b in row) / len(row), 4), min(b[1] for b in row), span(row)[0], max(b[3] for b in row), span(row)[1]))
-        return pd.DataFrame(out, columns=[page, "row", "text", "confidence", "x0", "y0", "x1", "y1"])
-
-    schema = f"{page} long, row int, text string, confidence double, x0 double, y0 double, x1 double, y1 double"
-    return boxes.select(page, *names).groupBy(page).applyInPandas(rows_of, schema)
+    row = lambda top, low, bs: F.struct(top.alias("top"), low.alias("low"), bs.alias("boxes"))
+
+    def step(rows: Column, b: Column) -> Column:
+        def near(r: Column, i: Column) -> Column:
+            height = F.least(r["low"] - r["top"], b["y1"] - b["y0"])
+            share = (F.least(r["low"], b["y1"]) - F.greatest(r["top"], b["y0"])) / F.nullif(height, F.lit(0.0))
+            return F.when((height > 0) & (share >= least), F.struct(F.abs((b["y0"] + b["y1"]) / 2 - (r["top"] + r["low"]) / 2).alias("d"), i.alias("i")))
+
+        def joined(n: Column) -> Column:
+            r = F.get(rows, n["i"])
+            grown = row(F.least(r["top"], b["y0"]), F.greatest(r["low"], b["y1"]), F.concat(r["boxes"], F.array(b)))
+            return F.when(n.isNull(), F.concat(rows, F.array(row(b["y0"], b["y1"], F.array(b))))).otherwise(F.concat(F.slice(rows, F.lit(1), n["i"]), F.array(grown), F.slice(rows, n["i"] + 2, F.size(rows))))
+
+        return once(F.array_min(F.transform(rows, near)), joined)
+
+    kept = largest_first(boxes, page, 0.5, "confidence")
+    down = F.transform(F.array_sort(F.transform("boxes", lambda b: F.struct(b["y0"].alias("y"), b["x0"].alias("x"), b["box"].alias("n"), b.alias("b")))), lambda x: x["b"])
+    none = F.slice(F.array(row(F.lit(0.0), F.lit(0.0), F.col("boxes"))), 1, 0)
+    found = kept.select(page, F.aggregate(down, none, step).alias("rows"))
+    ordered = F.array_sort(F.transform("rows", lambda r, i: F.struct(r["top"].alias("top"), i.alias("i"), r.alias("r"))))
+    each = found.select(page, F.posexplode_outer(F.transform(ordered, lambda x: x["r"])).alias("row", "r")).where("r IS NOT NULL")
+    right = F.array_sort(F.transform("r.boxes", lambda b: F.struct(b["x0"].alias("x"), b["box"].alias("n"), b.alias("b"))))
+    texts = F.filter(F.transform(right, lambda x: x["b"]["text"]), lambda t: F.coalesce(t, F.lit("")) != "")
+    sure = F.aggregate("r.boxes", F.lit(0.0), lambda a, b: a + b["confidence"]) / F.size("r.boxes")
+    edge = lambda of, side: of(F.transform("r.boxes", lambda b: b[side])).alias(side)
+    return each.select(page, "row", F.array_join(texts, " ").alias("text"), F.round(sure, 4).alias("confidence"), edge(F.array_min, "x0"), F.col("r.top").alias("y0"), edge(F.array_max, "x1"), F.col("r.low").alias("y1"))
 
 
 def crop_bounds(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column, pad_x: float = 0.18, pad_y: float = 0.12) -> Column:

@@ -1,17 +1,18 @@
-"""Tables out of the places of recognized words: rows by height, a header by its words, columns by the header's middles.
+"""Tables: put together from the places of recognized words, brought to wanted columns, and values beside or below labels.
 
-Each step depends on the one before it within a page, so a page, a bounded group, is put together by one Arrow batch.
+A page's words are one array, and its rows, header, columns and cells are folds and choices over that array: one aggregate a page, then
+expressions. A page is bounded by what it is; nothing here groups by more than a page.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.functions.text import once
+from quirefold.operators.forms import key_of
+
 #: Header words of the tables, and what ends them (fixed values).
 HEADERS = {
     "ONBOARDING_CHECKLIST": ["stt", "hang muc", "phu trach", "han hoan thanh", "trang thai", "ghi chu"],
@@ -19,120 +20,167 @@ HEADERS = {
     "TRAINING_ATTENDANCE": ["stt", "ma nv", "ho va ten", "bo phan", "co mat", "diem", "ket qua", "ky nhan"],
 }
 STOPS = ["tong cong", "nguoi lap", "nguoi phe duyet", "xac nhan", "ghi chu cuoi"]
-CODE = re.compile(r"(?=.*\d)[A-ZÀ-ỸĐ][A-ZÀ-ỸĐ0-9]{2,}(?:[-/][A-ZÀ-ỸĐ0-9]+)*", re.I)
+#: A row number and a staff code at a row's start (fixed values).
+NUMBER, CODE = r"^\d{1,3}$", r"(?iu)^(?=.*\d)[A-ZÀ-ỸĐ][A-ZÀ-ỸĐ0-9]{2,}(?:[-/][A-ZÀ-ỸĐ0-9]+)*$"
+#: Tolerances: of rows (pixels, share of the middle height), of columns (pixels, share of the middle width), of the gap to a row's second line (fixed values).
+ROW_REACH, COLUMN_REACH, LINE_REACH = (7.0, 0.48), (18.0, 0.18), 0.45
 SURE = 0.94
-CELLS = "row int, column int, name string, value string, status string, row_status string"
-
-
-def key(text: str | None) -> str:
-    plain = "".join(c for c in unicodedata.normalize("NFD", (text or "").casefold().replace("đ", "d")) if unicodedata.category(c) != "Mn")
-    return re.sub("[^a-z0-9]+", " ", plain).strip()
-
-
-def rows_by_height(words: list[tuple]) -> list[tuple[float, list[tuple]]]:
-    """(middle, words from left to right) of words (x0, y0, x1, y1, text, confidence): each joins the nearest row within a tolerance."""
-    if not words:
-        return []
-    heights = sorted(w[3] - w[1] for w in words)
-    reach = max(7.0, heights[len(heights) // 2] * 0.48)
-    rows: list[list] = []
-    for w in sorted(words, key=lambda w: (w[1], w[0])):
-        y = (w[1] + w[3]) / 2
-        near = min(rows, key=lambda r: abs(y - r[0]), default=None)
-        if near is not None and abs(y - near[0]) <= reach:
-            near[1].append(w)
-            near[0] += (y - near[0]) / len(near[1])
-        else:
-            rows.append([y, [w]])
-    return [(y, sorted(ws, key=lambda w: w[0])) for y, ws in sorted(rows, key=lambda r: r[0])]
-
-
-def header_hits(words: list[tuple], markers: list[str]) -> int:
-    keys = [key(w[4]) for w in words]
-    return sum(any(k == m or k.startswith(m + " ") or k and m.startswith(k + " ") for k in keys) for m in markers)
-
-
-def find_header(rows: list[tuple[float, list[tuple]]], markers: list[str]) -> tuple[int, int]:
-    """(start, size) of the one or two rows that look most like the header: 100 a header word, less 10 a row, one a word up to nine."""
-    def points(i: int, n: int) -> int:
-        words = [w for _, ws in rows[i : i + n] for w in ws]
-        return header_hits(words, markers) * 100 - n * 10 + min(len(words), 9)
-
-    spots = [(i, n) for i in range(len(rows)) for n in (1, 2) if i + n <= len(rows)]
-    return max(spots, key=lambda s: points(*s), default=(0, 0))
-
-
-def columns(header: list[tuple]) -> list[tuple[float, str]]:
-    """(middle, name) of the columns: header words whose middles lie within a tolerance of the cluster's mean are one."""
-    if not header:
-        return []
-    widths = sorted(w[2] - w[0] for w in header)
-    reach = max(18.0, widths[len(widths) // 2] * 0.18)
-    clusters: list[list[tuple[float, str]]] = []
-    for x, text in sorted(((w[0] + w[2]) / 2, w[4]) for w in header):
-        if clusters and abs(x - sum(c for c, _ in clusters[-1]) / len(clusters[-1])) <= reach:
-            clusters[-1].append((x, text))
-        else:
-            clusters.append([(x, text)])
-    return [(sum(c for c, _ in cl) / len(cl), " / ".join(dict.fromkeys(t for _, t in cl))) for cl in clusters]
-
-
-def merged(row: list[tuple[str, float | None]], more: list[tuple[str, float | None]]) -> list[tuple[str, float | None]]:
-    return [(" ".join(x for x in (a, b) if x), c if a else d) for (a, c), (b, d) in zip(row, more, strict=True)]
-
-
-def logical_rows(rows: list[tuple[float, list[tuple]]], cols: list[tuple[float, str]]) -> list[list[tuple[str, float | None]]]:
-    """The table's rows as (text, confidence) cells: a row begins with a number or a staff code; a row close below one, or before one, belongs to it."""
-    gaps = sorted(b[0] - a[0] for a, b in zip(rows, rows[1:], strict=False) if b[0] > a[0])
-    step = gaps[len(gaps) // 2] if gaps else 30.0
-    out: list[list] = []
-    waiting = None
-    for y, words in rows:
-        if any(s in " ".join(key(w[4]) for w in words) for s in STOPS):
-            break
-        cells: list[tuple[str, float | None]] = [("", None)] * len(cols)
-        for w in words:
-            at = min(range(len(cols)), key=lambda i: abs(cols[i][0] - (w[0] + w[2]) / 2))
-            old, sure = cells[at]
-            cells[at] = (" ".join(x for x in (old, (w[4] or "").strip()) if x), sure if sure is not None else w[5])
-        filled = [t for t, _ in cells if t]
-        if len(filled) < 2:
-            continue
-        if re.fullmatch(r"\d{1,3}", filled[0]) or any(CODE.fullmatch(t) for t in filled):
-            out.append([y, merged(cells, waiting) if waiting else cells])
-            waiting = None
-        elif out and y - out[-1][0] <= step * 0.45:
-            out[-1][1] = merged(out[-1][1], cells)
-        else:
-            waiting = cells
-    return [cells for _, cells in out]
-
-
-def table_of(words: list[tuple], markers: list[str]) -> list[tuple]:
-    """(row, column, name, value, status, row status) cells of a page's table; none without a header of three words and three columns."""
-    rows = rows_by_height(words)
-    start, size = find_header(rows, markers)
-    header = [w for _, ws in rows[start : start + size] for w in ws]
-    cols = columns(header)
-    if header_hits(header, markers) < 3 or len(cols) < 3:
-        return []
-    out = []
-    for i, cells in enumerate(logical_rows(rows[start + size :], cols)):
-        states = ["not_found" if not t else "accepted" if (c or 0.0) >= SURE else "needs_review" for t, c in cells]
-        whole = "accepted" if all(s != "needs_review" for s in states) else "needs_review"
-        out += [(i, j, cols[j][1], t, s, whole) for j, ((t, _), s) in enumerate(zip(cells, states, strict=True))]
-    return out
+NO_CELL = "CAST(NULL AS double)"
 
 
-def coordinate_tables(words: DataFrame, page: str, kind: str = "kind", headers: dict[str, list[str]] | None = None) -> DataFrame:
-    """(page, row, column, name, value, status, row_status) of words (page, kind, x0, y0, x1, y1, text, confidence)."""
-    headers = headers or HEADERS
+def middle_of(values: Column) -> Column:
+    """The (upper) median of an array; null if it is empty."""
+    return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))
+
+
+def appended(xs: Column, x: Column) -> Column:
+    return F.concat(xs, F.array(x))
+
+
+def at(xs: Column, i: Column, changed: Column) -> Column:
+    """xs with another element at place i."""
+    return F.concat(F.slice(xs, F.lit(1), i), F.array(changed), F.slice(xs, i + 2, F.size(xs)))
+
+
+def rows_by_height(words: Column) -> Column:
+    """array<struct<y, words>> from top to bottom, words from left to right, of words by upper edge: each joins the row of the nearest mean height within reach, which moves that mean."""
+    centre = lambda w: (w["y0"] + w["y1"]) / 2
+    row = lambda y, ws: F.struct(y.alias("y"), ws.alias("words"))
+
+    def with_reach(reach: Column) -> Column:
+        def step(rows: Column, w: Column) -> Column:
+            near = F.array_min(F.transform(rows, lambda r, i: F.struct(F.abs(centre(w) - r["y"]).alias("d"), i.alias("i"))))
+
+            def placed(n: Column) -> Column:
+                r = F.get(rows, n["i"])
+                moved = row(r["y"] + (centre(w) - r["y"]) / (F.size(r["words"]) + 1), appended(r["words"], w))
+                return F.when(n["d"] <= reach, at(rows, n["i"], moved)).otherwise(appended(rows, row(centre(w), F.array(w))))
+
+            return once(near, placed)
+
+        none = F.slice(F.array(row(F.lit(0.0), words)), 1, 0)
+        from_left = lambda ws: F.transform(F.array_sort(F.transform(ws, lambda w, i: F.struct(w["x0"].alias("x"), i.alias("i"), w.alias("w")))), lambda x: x["w"])
+        found = F.aggregate(words, none, step)
+        return F.transform(F.array_sort(F.transform(found, lambda r, i: F.struct(r["y"].alias("y"), i.alias("i"), from_left(r["words"]).alias("words")))), lambda r: row(r["y"], r["words"]))
+
+    return once(F.greatest(F.lit(ROW_REACH[0]), middle_of(F.transform(words, lambda w: w["y1"] - w["y0"])) * ROW_REACH[1]), with_reach)
+
+
+def header_hits(words: Column, markers: Column) -> Column:
+    """How many of the markers a word of the header is, begins with or begins."""
+    fits = lambda k, m: (k == m) | F.startswith(k, F.concat(m, F.lit(" "))) | ((k != "") & F.startswith(m, F.concat(k, F.lit(" "))))
+    return F.size(F.filter(markers, lambda m: F.exists(words, lambda w: fits(w["key"], m))))
+
+
+def header_of(rows: Column, markers: Column) -> Column:
+    """struct<start, size, words> of the one or two rows that look most like the header: 100 a marker, less 10 a row, one a word up to nine."""
+    words = lambda i, n: F.flatten(F.transform(F.slice(rows, i + 1, n), lambda r: r["words"]))
+
+    def spot(i: Column, n: int) -> Column:
+        points = lambda ws: header_hits(ws, markers) * 100 - 10 * n + F.least(F.size(ws), F.lit(9))
+        return F.struct(once(words(i, F.lit(n)), points).alias("points"), (-i).alias("up"), F.lit(-n).alias("short"))
+
+    places = F.transform(rows, lambda _, i: i)
+    best = F.array_max(F.concat(F.transform(places, lambda i: spot(i, 1)), F.transform(F.filter(places, lambda i: i < F.size(rows) - 1), lambda i: spot(i, 2))))
+    return once(best, lambda b: F.struct((-b["up"]).alias("start"), (-b["short"]).alias("size"), words(-b["up"], -b["short"]).alias("words")))
+
+
+def columns_of(header: Column) -> Column:
+    """array<struct<x, name>>: header words whose middles lie within reach of the mean of the column before them belong to it."""
+    spots = F.array_sort(F.transform(header, lambda w: F.struct(((w["x0"] + w["x1"]) / 2).alias("x"), F.coalesce(w["text"], F.lit("")).alias("text"))))
+    column = lambda xs, names: F.struct(xs.alias("xs"), names.alias("names"))
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
+
+    def with_reach(reach: Column) -> Column:
+        def step(cols: Column, w: Column) -> Column:
+            last = F.get(cols, F.size(cols) - 1)
+            joined = column(appended(last["xs"], w["x"]), appended(last["names"], w["text"]))
+            return F.when(F.abs(w["x"] - mean(last["xs"])) <= reach, at(cols, F.size(cols) - 1, joined)).otherwise(appended(cols, column(F.array(w["x"]), F.array(w["text"]))))
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = table_of(list(pdf[["x0", "y0", "x1", "y1", "text", "confidence"]].itertuples(index=False, name=None)), headers.get(pdf[kind].iloc[0], []))
-        return pd.DataFrame([(pdf[page].iloc[0], *c) for c in cells], columns=[page, *(c.split()[0] for c in CELLS.split(", "))])
+        none = F.slice(F.array(column(F.array(F.lit(0.0)), F.array(F.lit("")))), 1, 0)
+        return F.transform(F.aggregate(spots, none, step), lambda c: F.struct(mean(c["xs"]).alias("x"), F.array_join(F.array_distinct(c["names"]), " / ").alias("name")))
 
-    return words.select(page, kind, "x0", "y0", "x1", "y1", "text", "confidence").groupBy(page).applyInPandas(of, f"{page} long, {CELLS}")
+    return once(F.greatest(F.lit(COLUMN_REACH[0]), middle_of(F.transform(header, lambda w: w["x1"] - w["x0"])) * COLUMN_REACH[1]), with_reach)
+
+
+def cells_of(words: Column, cols: Column) -> Column:
+    """array<struct<text, confidence>>, one a column: each word stands in the column of the nearest middle, and a cell's first known confidence counts."""
+    placed = F.transform(words, lambda w: F.struct(w.alias("w"), F.array_min(F.transform(cols, lambda c, j: F.struct(F.abs(c["x"] - (w["x0"] + w["x1"]) / 2).alias("d"), j.alias("j"))))["j"].alias("j")))
+
+    def cell(ws: Column) -> Column:
+        texts = F.filter(F.transform(ws, lambda p: F.trim(p["w"]["text"])), lambda t: t.isNotNull() & (t != ""))
+        return F.struct(F.array_join(texts, " ").alias("text"), F.get(F.filter(F.transform(ws, lambda p: p["w"]["confidence"]), lambda c: c.isNotNull()), F.lit(0)).alias("confidence"))
+
+    return once(placed, lambda ps: F.transform(cols, lambda _, j: cell(F.filter(ps, lambda p: p["j"] == j))))
+
+
+def both_lines(first: Column, second: Column) -> Column:
+    """The cells of two lines of one row; the first line's confidence counts where it has text."""
+    said = lambda x, y: F.array_join(F.filter(F.array(x["text"], y["text"]), lambda t: t != ""), " ")
+    return F.zip_with(first, second, lambda x, y: F.struct(said(x, y).alias("text"), F.when(x["text"] != "", x["confidence"]).otherwise(y["confidence"]).alias("confidence")))
+
+
+def logical_rows(rows: Column, cols: Column) -> Column:
+    """array<struct<y, cells>>: a row begins with a number or a staff code; a line close below one, or before one, belongs to it; what names an end ends the table."""
+    lines = F.transform(rows, lambda r: F.struct(r["y"].alias("y"), cells_of(r["words"], cols).alias("cells"), F.exists(F.array(*map(F.lit, STOPS)), lambda s: F.array_join(F.transform(r["words"], lambda w: w["key"]), " ").contains(s)).alias("ends")))
+    gaps = F.filter(F.transform(rows, lambda r, i: F.get(rows, i + 1)["y"] - r["y"]), lambda g: g > 0)
+
+    def read(ls: Column) -> Column:
+        end = F.coalesce(F.array_min(F.filter(F.transform(ls, lambda x, i: F.when(x["ends"], i)), lambda i: i.isNotNull())), F.size(ls))
+        filled = lambda x: F.filter(F.transform(x["cells"], lambda c: c["text"]), lambda t: t != "")
+        kept = F.filter(F.slice(ls, F.lit(1), end), lambda x: F.size(filled(x)) >= 2)
+        cells = F.slice(F.array(F.array(F.struct(F.lit("").alias("text"), F.expr(NO_CELL).alias("confidence")))), 1, 0)
+        none = F.struct(F.slice(F.array(F.struct(F.lit(0.0).alias("y"), F.get(cells, F.lit(0)).alias("cells"))), 1, 0).alias("rows"), F.get(cells, F.lit(0)).alias("waits"))
+        near = F.coalesce(middle_of(gaps), F.lit(30.0)) * LINE_REACH
+
+        def step(acc: Column, x: Column) -> Column:
+            done, last = acc["rows"], F.get(acc["rows"], F.size(acc["rows"]) - 1)
+            row = lambda y, cs: F.struct(y.alias("y"), cs.alias("cells"))
+            state = lambda rs, waits: F.struct(rs.alias("rows"), waits.alias("waits"))
+            begins = once(filled(x), lambda ts: F.get(ts, F.lit(0)).rlike(NUMBER) | F.exists(ts, lambda t: t.rlike(CODE)))
+            whole = F.when(acc["waits"].isNull(), x["cells"]).otherwise(both_lines(x["cells"], acc["waits"]))
+            below = F.coalesce(x["y"] - last["y"] <= near, F.lit(False))
+            return (
+                F.when(begins, state(appended(done, row(x["y"], whole)), F.get(cells, F.lit(0))))
+                .when(below, state(at(done, F.size(done) - 1, row(last["y"], both_lines(last["cells"], x["cells"]))), acc["waits"]))
+                .otherwise(state(done, x["cells"]))
+            )
+
+        return F.aggregate(kept, none, step)["rows"]
+
+    return once(lines, read)
+
+
+def table_of(words: Column, markers: Column) -> Column:
+    """struct<columns, rows> of a page's words: none without a header of three markers and three columns."""
+
+    def below(rows: Column, head: Column) -> Column:
+        def of(cols: Column) -> Column:
+            good = (header_hits(head["words"], markers) >= 3) & (F.size(cols) >= 3)
+            body = F.slice(rows, head["start"] + head["size"] + 1, F.size(rows))
+            return F.when(good, F.struct(cols.alias("columns"), logical_rows(body, cols).alias("rows")))
+
+        return once(columns_of(head["words"]), of)
+
+    return once(rows_by_height(words), lambda rows: once(header_of(rows, markers), lambda head: below(rows, head)))
+
+
+def coordinate_tables(words: DataFrame, page: str, kind: str = "kind", headers: dict[str, list[str]] | None = None) -> DataFrame:
+    """(page, row, column, name, value, status, row_status) of words (page, kind, x0, y0, x1, y1, text, confidence).
+
+    Pages of an unknown kind, without words or without a header have no rows; null texts are blank; equal words all count.
+    """
+    markers = F.lit(None)
+    for name, ms in (headers or HEADERS).items():
+        markers = F.when(F.col("_kind") == name, F.array(*map(F.lit, ms))).otherwise(markers)
+    word = F.struct(*(F.col(c).cast("double").alias(c) for c in ("y0", "x0", "x1", "y1")), F.coalesce("text", F.lit("")).alias("text"), F.col("confidence").cast("double").alias("confidence"), key_of(F.coalesce("text", F.lit(""))).alias("key"))
+    pages = words.groupBy(page).agg(F.min(kind).alias("_kind"), F.array_sort(F.collect_list(word)).alias("_words"))
+    found = pages.withColumn("_markers", markers).where("_markers IS NOT NULL").select(page, table_of(F.col("_words"), F.col("_markers")).alias("t"))
+    rows = found.select(page, F.col("t.columns").alias("cols"), F.posexplode_outer("t.rows").alias("row", "r")).where("r IS NOT NULL")
+    status = lambda c: F.when(c["text"] == "", "not_found").when(F.coalesce(c["confidence"], F.lit(0.0)) >= SURE, "accepted").otherwise("needs_review")
+    whole = F.when(F.exists("r.cells", lambda c: status(c) == "needs_review"), "needs_review").otherwise("accepted")
+    cells = rows.select(page, "row", "cols", whole.alias("row_status"), F.posexplode("r.cells").alias("column", "c"))
+    return cells.select(page, "row", "column", F.get("cols", F.col("column"))["name"].alias("name"), F.col("c.text").alias("value"), status(F.col("c")).alias("status"), "row_status")
 
 
 def native_or_coordinate(native: DataFrame, coordinate: DataFrame, key_: str) -> DataFrame:

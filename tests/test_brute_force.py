@@ -176,16 +176,51 @@ def test_likest_window_equals_all_windows():
         assert t.likest_window(text, marker) == want
 
 
-def test_overlap_rows(spark):
-    """The SQL-free rows of boxes, by a plain reading of the rule on the small tables' boxes."""
+def sieved(boxes):
+    """Boxes (id, x0, y0, x1, y1, text, ...) that are left when each one that stays, from the largest on, takes out what it covers."""
+    size = lambda b: (b[3] - b[1]) * (b[4] - b[2])
+    fold = lambda b: " ".join((b[5] or "").casefold().split())
+    left, out = sorted(boxes, key=lambda b: (-size(b), b[0])), []
+    while left:
+        top, *left = left
+        out.append(top)
+
+        def covered(b, top=top):
+            w, h = (min(top[i + 2], b[i + 2]) - max(top[i], b[i]) for i in (1, 2))
+            common = max(w, 0) * max(h, 0)
+            total = size(top) + size(b) - common
+            same = fold(b) == fold(top) and total > 0 and common / total >= 0.5
+            inside = min(size(top), size(b)) > 0 and common / min(size(top), size(b)) >= 0.75
+            return same or inside and len(fold(b)) <= max(4, 0.65 * len(fold(top)))
+
+        left = [b for b in left if not covered(b)]
+    return out
+
+
+def test_distinct_boxes_on_random_pages(spark):
+    import random
+
     from quirefold.operators import geometry
 
+    r = random.Random(5)
+    rows = []
+    for page in range(60):
+        for box in range(r.randrange(0, 12)):
+            x, y = r.randrange(0, 30), r.randrange(0, 10)
+            rows.append((page, box, float(x), float(y), float(x + r.randrange(0, 30)), float(y + r.randrange(0, 10)), r.choice(["an", "An", "bình  an", "something long", None, "", "x"])))
+    got = sorted((x.page, x.box) for x in geometry.distinct_boxes(spark.createDataFrame(rows, "page long, box long, x0 double, y0 double, x1 double, y1 double, text string"), "page").collect())
+    want = sorted((page, b[0]) for page in range(60) for b in sieved([x[1:] for x in rows if x[0] == page]))
+    assert got == want and len(got) < len(rows)
+
+
+def test_overlap_rows(spark):
+    """The SQL-free rows of boxes, by a plain reading of the rule on the small tables' boxes."""
     got = {}
     for r in registry.QUERIES["overlap_rows"](spark, SF).collect():
         got.setdefault(r.page, []).append((r.row, r.text, r.confidence))
     want = {}
     for page, bs in pages().items():
-        kept = geometry._distinct([(b[0], *b[3:7], b[7], 0.5 + b[0] / 100) for b in bs], 0.5)
+        kept = sieved([(b[0], *b[3:7], b[7], 0.5 + b[0] / 100) for b in bs])
         groups = []
         for b in sorted(kept, key=lambda b: (b[2], b[1], b[0])):
             best = None
@@ -205,24 +240,137 @@ def test_overlap_rows(spark):
     assert {p: sorted(x) for p, x in got.items()} == {p: sorted(x) for p, x in want.items()}
 
 
-def test_distinct_boxes_drop_fragments():
-    from quirefold.operators.geometry import _distinct
+def table_rows(spark, pages, kind="EMPLOYEE_MASTER_LIST"):
+    """Cells (row, column, name, value, status, row status) by page."""
+    from quirefold.operators import tables
 
-    big, part, other, copy = (1, 0, 0, 100, 10, "Nguyen Van An"), (2, 5, 1, 30, 9, "van"), (3, 5, 1, 60, 9, "something long"), (4, 0, 0, 99, 10, "nguyen  van AN")
-    assert [k[0] for k in _distinct([part, big, other, copy], 0.5)] == [1, 3]
+    rows = [(p, kind, *w) for p, ws in pages.items() for w in ws]
+    df = spark.createDataFrame(rows, "page long, kind string, x0 double, y0 double, x1 double, y1 double, text string, confidence double").repartition(3)
+    out = {p: [] for p in pages}
+    for r in tables.coordinate_tables(df, "page").collect():
+        out[r.page].append((r["row"], r.column, r.name, r.value, r.status, r.row_status))
+    return {p: sorted(x) for p, x in out.items()}
 
 
-def test_coordinate_table():
-    from quirefold.operators.tables import HEADERS, table_of
-
-    word = lambda x, y, t, c=0.99: (x, y, x + 40, y + 16, t, c)
+def test_coordinate_table(spark):
+    word = lambda x, y, t, c=0.99: (float(x), float(y), x + 40.0, y + 16.0, t, c)
     words = [word(10, 0, "DANH SÁCH"), word(10, 40, "STT"), word(110, 40, "Mã NV"), word(210, 36, "Họ và"), word(210, 46, "tên"), word(310, 40, "Bộ phận")]
     words += [word(10, 90, "1"), word(110, 91, "NV001"), word(210, 90, "An"), word(310, 92, "Kho", 0.5), word(210, 102, "Nguyễn"), word(310, 101, "A")]
     words += [word(10, 140, "2"), word(110, 140, "NV002"), word(210, 141, "Bình"), word(10, 180, "Tổng cộng"), word(110, 180, "2")]
-    got = table_of(words, HEADERS["EMPLOYEE_MASTER_LIST"])
-    assert [(r, n, v, s) for r, _, n, v, s, _ in got] == [
+    got = table_rows(spark, {0: words, 1: words[:3], 2: [word(10, 0, None)]})
+    assert [(r, n, v, s) for r, _, n, v, s, _ in got[0]] == [
         (0, "STT", "1", "accepted"), (0, "Mã NV", "NV001", "accepted"), (0, "Họ và / tên", "An Nguyễn", "accepted"), (0, "Bộ phận", "Kho A", "needs_review"),
         (1, "STT", "2", "accepted"), (1, "Mã NV", "NV002", "accepted"), (1, "Họ và / tên", "Bình", "accepted"), (1, "Bộ phận", "", "not_found"),
     ]
-    assert {r: s for r, *_, s in got} == {0: "needs_review", 1: "accepted"}
-    assert table_of([], HEADERS["EMPLOYEE_MASTER_LIST"]) == [] == table_of(words[:3], HEADERS["EMPLOYEE_MASTER_LIST"]) == table_of(words, [])
+    assert {r: s for r, *_, s in got[0]} == {0: "needs_review", 1: "accepted"} and got[1] == got[2] == []
+    assert table_rows(spark, {0: words}, "ANOTHER") == {0: []}
+
+
+def by_hand(words, markers):
+    """A page's table with lists and loops: clusters first, then rows of text, then lines put together from the end of each row on."""
+    import re
+
+    fold = lambda x: re.sub("[^a-z0-9]+", " ", "".join(c for c in unicodedata.normalize("NFD", x.casefold().replace("đ", "d")) if unicodedata.category(c) != "Mn")).strip()
+    words = sorted(((y0, x0, x1, y1, t or "", c) for x0, y0, x1, y1, t, c in words), key=lambda w: (*w[:5], w[5] is not None, w[5] or 0))
+    if not words:
+        return []
+    reach = max(7.0, sorted(w[3] - w[0] for w in words)[len(words) // 2] * 0.48)
+    means, members = [], []
+    for w in words:
+        y = (w[0] + w[3]) / 2
+        d, i = min(((abs(y - m), i) for i, m in enumerate(means)), default=(reach + 1, -1))
+        if d <= reach:
+            members[i].append(w)
+            means[i] += (y - means[i]) / len(members[i])
+        else:
+            means.append(y)
+            members.append([w])
+    rows = [(means[i], sorted(members[i], key=lambda w: w[1])) for i in sorted(range(len(means)), key=lambda i: means[i])]
+    hits = lambda ws: sum(any(fold(w[4]) == m or fold(w[4]).startswith(m + " ") or fold(w[4]) != "" and m.startswith(fold(w[4]) + " ") for w in ws) for m in markers)
+    best = None
+    for i in range(len(rows)):
+        for n in (1, 2):
+            ws = [w for _, r in rows[i : i + n] for w in r]
+            p = 100 * hits(ws) - 10 * n + min(9, len(ws))
+            if i + n <= len(rows) and (best is None or p > best[0]):
+                best = (p, i, n, ws)
+    _, i, n, head = best
+    spots = sorted(((w[1] + w[2]) / 2, w[4]) for w in head)
+    wide = max(18.0, sorted(w[2] - w[1] for w in head)[len(head) // 2] * 0.18)
+    cols = []
+    for x, t in spots:
+        if cols and abs(x - sum(a for a, _ in cols[-1]) / len(cols[-1])) <= wide:
+            cols[-1].append((x, t))
+        else:
+            cols.append([(x, t)])
+    if hits(head) < 3 or len(cols) < 3:
+        return []
+    mids = [sum(a for a, _ in c) / len(c) for c in cols]
+    body, out, waits = rows[i + n :], [], None
+    gaps = sorted(b - a for (a, _), (b, _) in zip(body, body[1:]) if b > a)
+    near = (gaps[len(gaps) // 2] if gaps else 30.0) * 0.45
+    for y, ws in body:
+        if any(s in " ".join(fold(w[4]) for w in ws) for s in ("tong cong", "nguoi lap", "nguoi phe duyet", "xac nhan", "ghi chu cuoi")):
+            break
+        cells = [[] for _ in cols]
+        for w in ws:
+            cells[min(range(len(mids)), key=lambda j: (abs(mids[j] - (w[1] + w[2]) / 2), j))].append(w)
+        line = [(" ".join(w[4].strip() for w in c if w[4].strip()), next((w[5] for w in c if w[5] is not None), None)) for c in cells]
+        texts = [t for t, _ in line if t]
+        join = lambda a, b: [(" ".join(filter(None, (t, u))), c if t else d) for (t, c), (u, d) in zip(a, b, strict=True)]
+        if len(texts) < 2:
+            continue
+        if re.fullmatch("[0-9]{1,3}", texts[0]) or any(re.fullmatch("(?i)(?=.*[0-9])[a-zà-ỹđ][a-zà-ỹđ0-9]{2,}([-/][a-zà-ỹđ0-9]+)*", t) for t in texts):
+            out.append((y, join(line, waits) if waits else line))
+            waits = None
+        elif out and y - out[-1][0] <= near:
+            out[-1] = (out[-1][0], join(out[-1][1], line))
+        else:
+            waits = line
+    found = []
+    for r, (_, line) in enumerate(out):
+        states = ["not_found" if not t else "accepted" if (c or 0) >= 0.94 else "needs_review" for t, c in line]
+        found += [(r, j, " / ".join(dict.fromkeys(t for _, t in cols[j])), t, s, "needs_review" if "needs_review" in states else "accepted") for j, ((t, _), s) in enumerate(zip(line, states, strict=True))]
+    return found
+
+
+def test_coordinate_tables_on_random_pages(spark):
+    import random
+
+    from quirefold.operators.tables import HEADERS
+
+    r = random.Random(8)
+    pages = {}
+    for page in range(80):
+        heads = r.sample(["STT", "Mã NV", "Họ và tên", "Bộ phận", "Chức danh", "Ngày vào", "other", "Trạng"], r.randint(3, 7))
+        words = [(100.0 * j + r.randint(-5, 5), 40.0 + r.randint(-3, 30) * (r.random() < 0.3), 100.0 * j + 45, 58.0, h, 0.99) for j, h in enumerate(heads)]
+        y = 100.0
+        for i in range(r.randint(0, 8)):
+            y += r.choice([6, 11, 30, 30, 31])
+            for j in range(len(heads)):
+                if r.random() < 0.75:
+                    words.append((100.0 * j + r.randint(-40, 40), y + r.randint(-4, 4), 100.0 * j + r.randint(41, 60), y + r.randint(10, 18), r.choice([str(i + 1), "NV00" + str(i), "An", "Bình  An ", "kho 2", "", None, "Tổng cộng" if r.random() < 0.2 else "x"]), r.choice([0.99, 0.5, None])))
+        r.shuffle(words)
+        pages[page] = words
+    got = table_rows(spark, pages)
+    want = {p: sorted(by_hand(ws, HEADERS["EMPLOYEE_MASTER_LIST"])) for p, ws in pages.items()}
+    assert sum(map(bool, want.values())) > 20
+    for p in pages:
+        assert got[p] == want[p], p
+
+
+def test_label_likeness(spark):
+    import random
+
+    r = random.Random(6)
+    words = ["họ", "tên", "ngay", "sinh", "ngaysinh", "so", "x"]
+    pairs = [(r.choice([None, "", " ".join(r.choice(words) for _ in range(r.randrange(1, 5)))]), " ".join(r.choice(words) for _ in range(r.randrange(1, 4)))) for _ in range(300)]
+
+    def plain(a, b):
+        if not a or (len(b) < 5 and b not in a):
+            return 0.0
+        part = sum(w in a.split() for w in set(b.split())) / len(set(b.split()))
+        return 1.0 if b in a else max(0.92 * part, SequenceMatcher(None, a, b).ratio())
+
+    got = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", t.label_likeness(F.col("a"), F.col("b")).alias("x")).collect()
+    assert all(abs(x.x - plain(*pairs[x.i])) < 1e-12 for x in got) and len(got) == 300
