@@ -188,13 +188,12 @@ def native_or_coordinate(native: DataFrame, coordinate: DataFrame, key_: str) ->
     return native.unionByName(coordinate.join(native.select(key_).distinct(), key_, "left_anti"), allowMissingColumns=True)
 
 
-def label_values(lines: DataFrame, page: str, field: str = "field", multiline: str = "multiline", most: int = 3) -> DataFrame:
-    """(page, label, values): for each label line the value lines beside or below it.
+def label_pairs(lines: DataFrame, page: str, field: str = "field", multiline: str = "multiline") -> DataFrame:
+    """(page, a_*, field, multiline, text, b_*, beside, cost): each label line with the value lines that stand beside or below it.
 
     lines (page, id, text, confidence, x0, y0, x1, y1, field, multiline): field names the field that a line labels, null for
     value lines. A value stands in the label's row (an overlap of 0.3 in height, right of 0.3 of its width) or up to five line heights
-    below it, above the next label. The least distance less confidence times height wins; a multiline field keeps the first
-    three in reading order. Lines pair within their page only.
+    below it, above the next label. Its cost is its distance less confidence times height. Lines pair within their page only.
     """
     cols = ["id", "confidence", "x0", "y0", "x1", "y1"]
     a = lines.where(F.col(field).isNotNull()).select(page, field, multiline, *(F.col(c).alias(f"a_{c}") for c in cols))
@@ -209,8 +208,87 @@ def label_values(lines: DataFrame, page: str, field: str = "field", multiline: s
     below = down.between(-height * 0.2, height * 5.0) & (c("b_x1") >= c("a_x0") - reach * 0.35) & (c("b_x0") <= c("a_x1") + reach * 0.75)
     sure = F.least(F.lit(1.0), F.coalesce(c("b_confidence"), F.lit(0.0))) * height
     cost = F.when(beside, F.greatest(F.lit(0.0), c("b_x0") - c("a_x1")) - sure).otherwise(F.greatest(F.lit(0.0), down) + F.abs(c("b_x0") - c("a_x0")) * 0.05 - sure)
-    pairs = a.join(nxt, [page, "a_id"]).join(b, page).where((beside | below) & (c("stop").isNull() | (c("b_y0") < c("stop"))))
-    cell = F.struct(F.when(beside, 0).otherwise(1).alias("where"), F.when(c(multiline), F.when(beside, c("b_x0")).otherwise(c("b_y0"))).otherwise(cost).alias("order"), c("b_x0").alias("x"), c("b_id").alias("id"), c("text").alias("text"))
+    return a.join(nxt, [page, "a_id"]).join(b, page).where((beside | below) & (c("stop").isNull() | (c("b_y0") < c("stop")))).withColumns({"beside": beside, "cost": cost})
+
+
+def label_values(lines: DataFrame, page: str, field: str = "field", multiline: str = "multiline", most: int = 3) -> DataFrame:
+    """(page, label, field, value): for each label line the value line of least cost, those beside it before those below; a multiline field keeps the first three in reading order."""
+    c = F.col
+    pairs = label_pairs(lines, page, field, multiline)
+    cell = F.struct(F.when(c("beside"), 0).otherwise(1).alias("where"), F.when(c(multiline), F.when(c("beside"), c("b_x0")).otherwise(c("b_y0"))).otherwise(c("cost")).alias("order"), c("b_x0").alias("x"), c("b_id").alias("id"), c("text").alias("text"))
     got = pairs.groupBy(page, c("a_id").alias("label"), field, multiline).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
     texts = F.transform("cells", lambda x: x["text"])
     return got.select(page, "label", field, F.array_join(F.slice(texts, 1, F.when(c(multiline), most).otherwise(1)), " ").alias("value"))
+
+
+def cheapest(costs: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
+    """One-to-one (label, value) pairs: as many as can be, and of these at the least cost in all, by cheapest augmenting paths."""
+    labels = sorted({a for a, _ in costs})
+    of: dict[int, list[int]] = {a: sorted(v for x, v in costs if x == a) for a in labels}
+    holder: dict[int, int] = {}
+    held: dict[int, int] = {}
+    while True:
+        # Least cost to reach each value from any free label: along a free pair, back along a held one.
+        far: dict[int, tuple[float, int]] = {}
+        due = {a: 0.0 for a in labels if a not in held}
+        while due:
+            later: dict[int, float] = {}
+            for a, d in due.items():
+                for v in of[a]:
+                    if held.get(a) != v and d + costs[a, v] < far.get(v, (float("inf"), 0))[0] - 1e-12:
+                        far[v] = d + costs[a, v], a
+                        if v in holder:
+                            b = holder[v]
+                            later[b] = min(later.get(b, float("inf")), far[v][0] - costs[b, v])
+            due = later
+        ends = [(d, v) for v, (d, _) in far.items() if v not in holder]
+        if not ends:
+            return sorted(held.items())
+        v = min(ends)[1]
+        while True:
+            a = far[v][1]
+            before = held.get(a)
+            holder[v], held[a] = a, v
+            if before is None:
+                break
+            v = before
+
+
+def one_to_one(pairs: DataFrame, page: str, label: str, value: str, cost: str) -> DataFrame:
+    """(page, label, value): the assignment of values to labels of least cost among those that assign most. Costs tie-break by themselves alone, so which of equally cheap ones is open."""
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        best: dict[tuple[int, int], float] = {}
+        for a, v, c in pdf[["_a", "_v", "_c"]].itertuples(index=False):
+            best[a, v] = min(c, best.get((a, v), float("inf")))
+        got = cheapest(best)
+        return pd.DataFrame({page: [pdf[page].iloc[0]] * len(got), "label": [a for a, _ in got], "value": [v for _, v in got]}).astype({page: "int64", "label": "int64", "value": "int64"})
+
+    rows = pairs.select(F.col(page).cast("long").alias(page), F.col(label).cast("long").alias("_a"), F.col(value).cast("long").alias("_v"), F.col(cost).cast("double").alias("_c"))
+    return rows.groupBy(page).applyInPandas(of, f"{page} long, label long, value long")
+
+
+#: What a value of a kind holds (fixed values): a date, an identity number.
+KINDS = {"date": r"\d{1,2}[./-]\d{1,2}[./-]\d{4}", "number": r"(?<![0-9])(?:[0-9][ .]?){11}[0-9](?![0-9])"}
+
+
+def assigned_values(lines: DataFrame, page: str, field: str = "field", kind: str = "kind") -> DataFrame:
+    """(page, label, value, text, rescued): each label's own value line, no line for two labels.
+
+    First labels and the lines that stand beside or below them are assigned one to one at the least cost in all. Then labels of a kind (date,
+    number) that are left without a line that holds such a value get, one to one by distance, one of the page's lines that
+    holds one and that no label has. A label whose line is not of its kind keeps none if none is found.
+    """
+    c = F.col
+    wants = lambda text: F.coalesce(*(F.when(c(kind) == k, text.rlike(p)) for k, p in KINDS.items()), F.lit(True))
+    rows = lines.withColumn("_multi", F.lit(False))
+    pairs = label_pairs(rows, page, field, "_multi")
+    first = one_to_one(pairs, page, "a_id", "b_id", "cost")
+    labels = lines.where(c(field).isNotNull()).select(page, c("id").alias("label"), kind, *(c(x).alias(f"a_{x}") for x in ("x0", "y0")))
+    values = lines.where(c(field).isNull()).select(page, c("id").alias("value"), "text", *(c(x).alias(f"b_{x}") for x in ("x0", "y0")))
+    own = labels.join(first, [page, "label"]).join(values.select(page, "value", "text"), [page, "value"]).where(wants(c("text"))).select(page, "label", "value", "text", F.lit(False).alias("rescued"))
+    left = labels.where(c(kind).isin(*KINDS)).join(own.select(page, "label"), [page, "label"], "left_anti")
+    free = values.join(own.select(page, "value"), [page, "value"], "left_anti")
+    near = left.join(free, page).where(wants(c("text"))).withColumn("cost", F.abs(c("a_x0") - c("b_x0")) + F.abs(c("a_y0") - c("b_y0")))
+    late = one_to_one(near, page, "label", "value", "cost").join(values.select(page, "value", "text"), [page, "value"]).select(page, "label", "value", "text", F.lit(True).alias("rescued"))
+    return own.unionByName(late)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quirefold.operators import geometry, observe, tables
+from quirefold.operators import geometry, layout, observe, tables
 from quirefold.plans.registry import query, table
 
 BOXES = "SELECT l_orderkey AS page, l_linenumber::BIGINT AS box, l_partkey % 100 AS x, l_suppkey % 50 AS y, (l_partkey % 100)::DOUBLE AS x0, (l_suppkey % 50)::DOUBLE AS y0, (l_partkey % 100 + l_quantity)::DOUBLE AS x1, (l_suppkey % 50 + 10)::DOUBLE AS y1, l_returnflag AS text FROM lineitem"
@@ -160,3 +160,39 @@ def coordinate_tables(spark, sf_dir):
     head = [word(10, F.lit(0), F.lit("STT")), word(110, F.lit(0), F.lit("Mã NV")), word(210, F.lit(0), F.lit("Họ và tên"))]
     words = rows.select("page", F.lit("EMPLOYEE_MASTER_LIST").alias("kind"), F.explode(F.when(F.col("n") == 1, F.array(*head, *own)).otherwise(F.array(*own))).alias("w")).select("page", "kind", "w.*")
     return tables.coordinate_tables(words, "page")
+
+
+@query(
+    f"""WITH b AS (SELECT page, box, x0 * 4 AS x0, y0 * 3 AS y0, x0 * 4 + (x1 - x0) * 2 AS x1, y1 * 3 AS y1, text || box AS text, box % 3 = 1 AS heading FROM ({ONE})),
+w AS (SELECT page, max(x1) AS width FROM b GROUP BY page),
+h AS (SELECT b.*, width, x1 - x0 >= width * 0.6 AS spans, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM b JOIN w USING (page) WHERE heading),
+p AS (SELECT h.page, h.box, h.x0, h.y0, h.y1, h.width, h.spans, h.cx, o.y0 AS oy, (o.x0 + o.x1) / 2 AS ox,
+    h.spans OR least(h.x1, o.x1) - greatest(h.x0, o.x0) > 0 OR abs((o.x0 + o.x1) / 2 - h.cx) <= greatest(80, h.width * 0.18) AS col, abs((o.y0 + o.y1) / 2 - h.cy) <= greatest(36, greatest(1, h.y1 - h.y0) * 1.5) AS band
+  FROM h LEFT JOIN h o ON o.page = h.page AND o.box <> h.box),
+q AS (SELECT page, box, x0, y0, y1, width, spans, min(CASE WHEN oy > y0 AND col THEN oy END) AS nxt, count(*) FILTER (band) AS beside, max(CASE WHEN band AND ox < cx THEN (cx + ox) / 2 END) AS l, min(CASE WHEN band AND ox > cx THEN (cx + ox) / 2 END) AS r FROM p GROUP BY page, box, x0, y0, y1, width, spans, cx),
+f AS (SELECT q.*, (SELECT max(b.x1) FROM b WHERE b.page = q.page AND b.y0 >= q.y1 - 4 AND (nxt IS NULL OR b.y0 < nxt)) AS far FROM q),
+g AS (SELECT *, spans OR (beside = 0 AND x0 <= width * 0.15 AND coalesce(far, 0) >= width * 0.75) AS whole FROM f),
+d AS (SELECT page, box AS heading, y1 - 4 AS below, nxt, CASE WHEN whole THEN 0 ELSE greatest(0, coalesce(l, 0)) END AS a, CASE WHEN whole THEN width ELSE least(coalesce(far, width), coalesce(r, 1e300)) END AS z FROM g),
+i AS (SELECT d.page, d.heading, b.box, b.x0, b.text, (b.y0 + b.y1) / 2 AS cy, b.y1 - b.y0 AS high FROM d JOIN b ON b.page = d.page AND NOT b.heading AND b.y0 >= below AND (nxt IS NULL OR b.y0 < nxt) AND b.x1 > a AND b.x0 < z),
+t AS (SELECT *, greatest(18, list_sort(list(high) OVER (PARTITION BY page, heading))[1 + count(*) OVER (PARTITION BY page, heading) // 2] * 0.65) AS tol, cy - lag(cy) OVER (PARTITION BY page, heading ORDER BY cy, x0, box) AS gap FROM i),
+u AS (SELECT *, sum(CASE WHEN gap > tol THEN 1 ELSE 0 END) OVER (PARTITION BY page, heading ORDER BY cy, x0, box ROWS UNBOUNDED PRECEDING) AS line FROM t)
+SELECT page, heading, (max(line) + 1)::INT AS lines, string_agg(text, chr(10) ORDER BY line, x0, cy, box) AS text FROM u GROUP BY page, heading"""
+)
+def placed_sections(spark, sf_dir):
+    c = F.col
+    rows = boxes(spark, sf_dir).select("page", "box", (c("x0") * 4).alias("x0"), (c("y0") * 3).alias("y0"), (c("x0") * 4 + (c("x1") - c("x0")) * 2).alias("x1"), (c("y1") * 3).alias("y1"), F.concat("text", c("box").cast("string")).alias("text"), (c("box") % 3 == 1).alias("heading"))
+    return layout.sections(rows, "page")
+
+
+def labelled_lines(spark, sf_dir):
+    """Boxes as lines: every third one a label, of any kind or for a date or a number, the others values of which some are dates or numbers."""
+    b = F.col("box")
+    day = F.concat(F.lpad(b.cast("string"), 2, "0"), F.lit("/05/2024"))
+    text = F.when((b + F.col("page")) % 4 == 0, day).when((b + F.col("page")) % 4 == 1, F.concat(F.lit("0123456789"), (b + 10).cast("string"))).otherwise(F.concat("text", b.cast("string")))
+    kind = F.when(b % 3 == 1, F.element_at(F.array(F.lit("any"), F.lit("date"), F.lit("number")), ((b + F.col("page")) % 3).cast("int") + 1))
+    return boxes(spark, sf_dir).select("page", b.alias("id"), text.alias("text"), (0.5 + b / 100).alias("confidence"), "x0", "y0", "x1", "y1", F.when(b % 3 == 1, F.lit("f")).alias("field"), kind.alias("kind"))
+
+
+@query()
+def assigned_values(spark, sf_dir):
+    return tables.assigned_values(labelled_lines(spark, sf_dir), "page")

@@ -374,3 +374,69 @@ def test_label_likeness(spark):
 
     got = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", t.label_likeness(F.col("a"), F.col("b")).alias("x")).collect()
     assert all(abs(x.x - plain(*pairs[x.i])) < 1e-12 for x in got) and len(got) == 300
+
+
+def every_assignment(costs):
+    """(pairs, cost) of all one-to-one assignments, by trying each."""
+    labels = sorted({a for a, _ in costs})
+
+    def go(i, used, pairs, total):
+        if i == len(labels):
+            yield pairs, total
+            return
+        yield from go(i + 1, used, pairs, total)
+        for (a, v), c in costs.items():
+            if a == labels[i] and v not in used:
+                yield from go(i + 1, used | {v}, [*pairs, (a, v)], total + c)
+
+    yield from go(0, frozenset(), [], 0.0)
+
+
+def test_cheapest_assignment_is_the_best_of_all():
+    import random
+
+    from quirefold.operators.tables import cheapest
+
+    r = random.Random(2)
+    for _ in range(300):
+        costs = {(a, v): r.choice([r.uniform(-9, 9), float(r.randrange(-3, 4))]) for a in range(r.randrange(1, 5)) for v in range(r.randrange(1, 6)) if r.random() < 0.6}
+        got = cheapest(costs)
+        assert len({a for a, _ in got}) == len({v for _, v in got}) == len(got) and set(got) <= set(costs)
+        size, cost = max((len(p), -c) for p, c in every_assignment(costs))
+        assert len(got) == size and abs(sum(costs[x] for x in got) + cost) < 1e-9
+
+
+def test_assigned_values(spark):
+    """No line for two labels, the least cost of all assignments page by page, and the right kind after the rescue."""
+    import re
+
+    from quirefold.operators import tables
+
+    lines = boxes.labelled_lines(spark, SF).cache()
+    costs = {}
+    for r in tables.label_pairs(lines.withColumn("m", F.lit(False)), "page", "field", "m").collect():
+        costs.setdefault(r.page, {})[r.a_id, r.b_id] = r.cost
+    by = {(r.page, r.id): r for r in lines.collect()}
+    got = {}
+    for r in registry.QUERIES["assigned_values"](spark, SF).collect():
+        got.setdefault(r.page, []).append(r)
+    first = {}
+    for r in tables.one_to_one(tables.label_pairs(lines.withColumn("m", F.lit(False)), "page", "field", "m"), "page", "a_id", "b_id", "cost").collect():
+        first.setdefault(r.page, []).append((r.label, r.value))
+    rescued = 0
+    for page, cs in costs.items():
+        size, cost = max((len(p), -c) for p, c in every_assignment(cs))
+        assert len(first[page]) == size and abs(sum(cs[x] for x in first[page]) + cost) < 1e-9
+    fits = lambda label, text: label.kind == "any" or re.search(tables.KINDS[label.kind], text) is not None
+    for page in {p for p, _ in by}:
+        rows = got.get(page, [])
+        assert len({r.label for r in rows}) == len({r.value for r in rows}) == len(rows)
+        for r in rows:
+            assert fits(by[page, r.label], r.text) and by[page, r.value].text == r.text and (r.rescued or (r.label, r.value) in first[page])
+            rescued += r.rescued
+        # Whoever is left without a value finds no free line of its kind on the page.
+        free = [by[k].text for k in by if k[0] == page and by[k].field is None and k[1] not in {r.value for r in rows}]
+        for k, label in by.items():
+            if k[0] == page and label.kind in tables.KINDS and k[1] not in {r.label for r in rows}:
+                assert not any(fits(label, x) for x in free)
+    assert rescued > 5
