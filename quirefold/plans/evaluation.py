@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import text as t
 from quirefold.functions.numbers import rate
-from quirefold.operators import matching, metrics, observe
+from quirefold.operators import matching, metrics, observe, recovery
 from quirefold.plans.documents import CLASSIFIED, classified
 from quirefold.plans.registry import query, table
 
@@ -235,6 +235,45 @@ def guarded_recovery(spark, sf_dir):
     return matching.recover(base, matching.consensus(readings(spark, sf_dir), ["case_id"], F.lower("value")), ["case_id"])
 
 
+FIELDS = ["identityNumber", "fullName", "dateOfExpiry", "sex", "placeOfOrigin"]
+PROFILES = ["vietocr_vgg_seq2seq", "vietocr_vgg_transformer", "easyocr", "paddle_v4", "other", None]
+FIELD_SQL = f"{FIELDS}[{{k}} % 5 + 1]"
+READING = """CASE l_orderkey % 5 WHEN 0 THEN CASE WHEN l_linenumber % 4 = 0 THEN 'CCCD ' || l_linenumber ELSE lpad((l_orderkey + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)::VARCHAR, 12, '0') END
+  WHEN 1 THEN CASE WHEN l_linenumber % 5 = 0 THEN 'Full name An' WHEN l_linenumber % 3 = 0 THEN 'NGUYEN VAN ' || l_returnflag ELSE 'NGUYỄN VĂN ' || l_returnflag END
+  WHEN 2 THEN CASE WHEN l_linenumber % 4 = 0 THEN '31/02/2030' WHEN l_linenumber % 4 = 1 AND l_suppkey % 2 = 0 THEN ' ' ELSE '0' || (1 + l_suppkey % 3) || '/12/2030' END
+  WHEN 3 THEN CASE WHEN l_linenumber % 3 = 0 THEN 'Nam' WHEN l_linenumber % 3 = 1 THEN 'Nữ' ELSE l_returnflag END
+  ELSE CASE WHEN l_linenumber % 4 = 0 THEN 'Quê quán Huế' WHEN l_linenumber % 2 = 0 THEN 'Xã ' || l_returnflag ELSE 'Xa ' || l_returnflag || ' ' END END"""
+BASELINE = "CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'Full name: x' ELSE '' END ELSE ['000000000000', 'TRẦN BÌNH', '01/01/2031', 'Nam', 'Xã Khác'][o_orderkey % 5 + 1] END"
+_FOLDED = "trim(regexp_replace(strip_accents(lower({v})), '[^a-z0-9]+', ' ', 'g'))"
+_HOLDS = lambda names: f"len(list_filter({names}, lambda x: contains({_FOLDED}, x))) > 0"
+_PLACE = [x for f in ("fullName", "dateOfBirth", "placeOfOrigin", "placeOfResidence") for x in recovery.LABELS[f]]
+PROBLEM = f"""CASE WHEN coalesce({{v}}, '') = '' THEN 'EMPTY' WHEN NOT CASE {{f}} WHEN 'identityNumber' THEN regexp_full_match({{v}}, '[0-9]{{{{12}}}}') WHEN 'fullName' THEN len(string_split_regex({{v}}, '\\s+')) BETWEEN 2 AND 6 AND NOT regexp_matches({{v}}, '[0-9]')
+  WHEN 'dateOfExpiry' THEN regexp_full_match({{v}}, '[0-9]{{{{2}}}}/[0-9]{{{{2}}}}/[0-9]{{{{4}}}}') AND try_strptime({{v}}, '%d/%m/%Y') IS NOT NULL WHEN 'sex' THEN {{v}} IN ('Nam', 'Nữ') ELSE len(string_split_regex({{v}}, '\\s+')) >= 2 END THEN 'INVALID'
+  WHEN CASE {{f}} WHEN 'fullName' THEN {_HOLDS(recovery.LABELS["fullName"] + recovery.LABELS["dateOfBirth"])} WHEN 'dateOfExpiry' THEN {_HOLDS(recovery.LABELS["dateOfExpiry"])} WHEN 'placeOfOrigin' THEN {_HOLDS(_PLACE)} ELSE false END THEN 'LABEL' END"""
+_FAMILY = "CASE WHEN contains(p, 'vietocr') THEN 'vietocr' WHEN contains(p, 'easyocr') THEN 'easyocr' WHEN contains(p, 'paddle') THEN 'paddle' WHEN p IS NULL THEN 'unknown' ELSE p END"
+_WEIGHT = "CASE WHEN contains(p, 'seq2seq') THEN 3 WHEN contains(p, 'transformer') OR contains(p, 'paddle') THEN 2 WHEN contains(p, 'easyocr') THEN 1 ELSE 0 END"
+
+
+@query(
+    f"""WITH r AS (SELECT l_orderkey AS k, {FIELD_SQL.format(k="l_orderkey")} AS field, {[p or "" for p in PROFILES]}[l_linenumber % 6 + 1] AS p0, trim({READING}) AS v, l_discount AS conf FROM lineitem),
+a AS (SELECT *, nullif(p0, '') AS p FROM r), b AS (SELECT k, field, v, conf, {_FAMILY} AS fam, {_WEIGHT} AS w, {_FOLDED.format(v="v")} AS fold, len(regexp_replace(v, '[\\x00-\\x7F]', '', 'g')) AS marks, {PROBLEM.format(v="v", f="field")} IS NULL AS safe FROM a),
+g AS (SELECT k, field, fold, count(*) AS members, count(DISTINCT fam) AS families, sum(w) AS weight, max(fam = 'vietocr') AS trusted, round_even(avg(conf), 9) AS conf, max({{'w': w, 'c': conf, 'm': marks, 'v': v}}) AS best FROM b WHERE safe GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY k, field ORDER BY families DESC, members DESC, weight DESC, trusted DESC, conf DESC, fold) AS rn FROM g),
+n AS (SELECT DISTINCT k, field FROM b), c AS (SELECT n.k, n.field, CASE WHEN members >= 2 AND families >= 2 THEN best.v END AS new, CASE WHEN members IS NULL THEN 'NO_SAFE_READING' WHEN members >= 2 AND families >= 2 THEN 'INDEPENDENT_FAMILIES' ELSE 'TOO_LITTLE_SUPPORT' END AS reason FROM n LEFT JOIN (SELECT * FROM t WHERE rn = 1) t ON t.k = n.k AND t.field = n.field),
+o AS (SELECT o_orderkey AS k, {FIELD_SQL.format(k="o_orderkey")} AS field, {BASELINE} AS value FROM orders), d AS (SELECT *, {PROBLEM.format(v="trim(value)", f="field")} AS doubt FROM o),
+e AS (SELECT d.*, new, coalesce(reason, 'NO_READING') AS reason, doubt IS NOT NULL AND new IS NOT NULL AS recovered FROM d LEFT JOIN c USING (k, field)), u AS (SELECT k, field, CASE WHEN recovered THEN new ELSE value END AS value, recovered, doubt, reason FROM e)
+SELECT k, field, value, CASE WHEN coalesce(trim(value), '') = '' THEN 'NOT_FOUND' ELSE 'NEEDS_REVIEW' END AS status, recovered, doubt, reason FROM u"""
+)
+def guarded_fields(spark, sf_dir):
+    """Readings of one field an order, some unsafe, over a baseline that is missing, unsafe or right."""
+    of = lambda k: F.element_at(F.array(*map(F.lit, FIELDS)), (F.col(k) % 5).cast("int") + 1).alias("field")
+    as_spark = lambda sql: F.expr(sql.replace("::VARCHAR", "::STRING").replace("['000", "array('000").replace("'Xã Khác'][o_orderkey % 5 + 1]", "'Xã Khác')[o_orderkey % 5]"))
+    profile = F.element_at(F.array(*map(F.lit, PROFILES)), (F.col("l_linenumber") % 6).cast("int") + 1)
+    readings = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), of("l_orderkey"), profile.alias("profile"), as_spark(READING).alias("value"), F.col("l_discount").alias("confidence"))
+    baseline = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), of("o_orderkey"), as_spark(BASELINE).alias("value"))
+    return recovery.guarded(baseline, readings, ["k"])
+
+
 @query("SELECT o_custkey, CASE WHEN count(DISTINCT lower(o_orderstatus)) = 1 THEN min(o_orderstatus) END AS value, count(DISTINCT lower(o_orderstatus)) > 1 AS conflict FROM orders GROUP BY o_custkey")
 def unique_or_null(spark, sf_dir):
     return matching.unique_or_null(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", "o_orderkey")
