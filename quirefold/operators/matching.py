@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from quirefold.functions.dates import date_key, duration_key
 from quirefold.functions.numbers import plain_number, rate
-from quirefold.functions.text import collapse, match_ratio, once, shared_tokens, tokens
+from quirefold.functions.text import collapse, once, shared_tokens, tokens
+from quirefold.operators.likeness import like_known
 
 
 #: Least share of the true tokens for a soft match (fixed value).
@@ -99,17 +100,13 @@ def compared_file(fields: DataFrame, by: list[str]) -> DataFrame:
 def fuzzy_anti(rows: DataFrame, known: DataFrame, group: str, text: str, least: float = 0.86) -> DataFrame:
     """Rows whose text is like no known text of their group: the best match ratio is below `least`.
 
-    Rows pair within a group only, which must be bounded, as a page is; length alone rules most pairs out first: the ratio is at most 2 * min / (a + b).
+    Texts meet by rare q-grams that any pair of that ratio must share, so a large group costs no pair of all its texts. Null texts are like nothing.
     """
-    k = known.select(F.col(group).alias("_g"), F.col(text).alias("_t")).distinct()
-    a, b = F.length(F.col(text)), F.length("_t")
-    possible = 2 * F.least(a, b) >= least * (a + b)
-    near = rows.select(group, text).distinct().join(k, (F.col(group) == F.col("_g")) & possible).where(match_ratio(F.col("_t"), F.col(text)) >= least)
-    return rows.join(near.select(group, text).distinct(), [group, text], "left_anti")
+    return rows.join(like_known(rows, known, group, text, least), [group, text], "left_anti")
 
 
 def merged_readings(native: DataFrame, scanned: DataFrame, group: str, text: str, least: float = 0.86) -> DataFrame:
-    """All native rows of a page, and the recognized ones that are like none of them; source tells which is which. Pages are bounded groups."""
+    """All native rows of a page, and the recognized ones that are like none of them; source tells which is which."""
     new = fuzzy_anti(scanned, native, group, text, least)
     return native.withColumn("source", F.lit("native")).unionByName(new.select(*native.columns).withColumn("source", F.lit("ocr")))
 

@@ -440,3 +440,42 @@ def test_assigned_values(spark):
             if k[0] == page and label.kind in tables.KINDS and k[1] not in {r.label for r in rows}:
                 assert not any(fits(label, x) for x in free)
     assert rescued > 5
+
+
+def test_like_texts_meet_by_grams(spark):
+    """The same pairs as by comparing all, at several ratios, with short, blank and repetitive texts."""
+    import random
+
+    from quirefold.operators import likeness, matching
+
+    r = random.Random(12)
+    base = ["".join(r.choice("abcdef  é") for _ in range(r.randrange(0, 25))) for _ in range(40)]
+
+    def bent(x):
+        for _ in range(r.randrange(0, 4)):
+            i = r.randrange(len(x) + 1)
+            x = x[:i] + r.choice(["", "z", "ab"]) + x[i + r.randrange(0, 2) :]
+        return x
+
+    a = [(g, x) for g in range(3) for x in {bent(r.choice(base)) for _ in range(60)}] + [(0, "aaaa"), (1, ""), (2, "a")]
+    b = [(g, x) for g in range(3) for x in {bent(r.choice(base)) for _ in range(60)}] + [(0, "aaaaa"), (1, ""), (2, "b")]
+    da, db = (spark.createDataFrame([*x, (0, None)], "g int, t string") for x in (a, b))
+    for least in (0.5, 0.7, 0.86, 0.95):
+        want = {(g, x) for g, x in a if any(g == h and SequenceMatcher(None, y, x).ratio() >= least for h, y in b)}
+        got = {tuple(x) for x in likeness.like_known(da, db, "g", "t", least).collect()}
+        assert got == want, least
+    assert Counter(map(tuple, matching.fuzzy_anti(da, db, "g", "t").collect())) == Counter((g, x) for g, x in a if not any(g == h and SequenceMatcher(None, y, x).ratio() >= 0.86 for h, y in b)) + Counter({(0, None): 1})
+
+
+def test_few_pairs_of_a_hot_group_are_compared(spark):
+    import random
+
+    from quirefold.operators import likeness
+
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(3, 9)))
+    texts = [" ".join(word() for _ in range(5)) for _ in range(600)]
+    a, b = spark.createDataFrame([("hot", x) for x in texts[:400]], "group string, text string"), spark.createDataFrame([("hot", x[:-1] + "q") for x in texts[200:]], "group string, text string")
+    met = likeness.candidates(a, b, 0.86).count()
+    assert 180 <= met < 0.05 * 400 * 400
+    assert likeness.like_known(a, b, "group", "text", 0.86).count() >= 200
