@@ -151,14 +151,14 @@ RAW_CONTENT = ["idpPayload", "rawFile", "ocrText", "recognizedText", "fields", "
 
 
 def variable_problems(json: Column, allowed: list[str] = VARIABLES, longest: int = LONGEST) -> Column:
-    """`NAME:PROBLEM` of a JSON object's members, in their order: not allowed, no scalar, or too long; a text that is no object is NOT_AN_OBJECT."""
+    """`NAME:PROBLEM` of a JSON object's members, in their order: raw content, not allowed, no scalar, or too long; a text that is no object is NOT_AN_OBJECT."""
     members = F.map_entries(F.from_json(json, "map<string, variant>"))
 
     def problem(m: Column) -> Column:
         kind = F.schema_of_variant(m["value"])
         text = F.when(kind == "STRING", m["value"].cast("string"))
         return (
-            F.when(~m["key"].isin(*allowed), "NOT_ALLOWED").when(m["key"].isin(*RAW_CONTENT), "RAW_CONTENT")
+            F.when(m["key"].isin(*RAW_CONTENT), "RAW_CONTENT").when(~m["key"].isin(*allowed), "NOT_ALLOWED")
             .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), "NOT_A_SCALAR").when(F.length(text) > longest, "TOO_LONG")
         )
 

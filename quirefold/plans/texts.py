@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import dates, numbers
 from quirefold.functions import text as t
-from quirefold.operators import extract, governance, observe, state
+from quirefold.operators import extract, governance, jsontree, observe, state
 from quirefold.plans.registry import query, table
 
 
@@ -206,3 +206,35 @@ def routing_inputs(spark, sf_dir):
         F.array_compact(F.array(issue(F.col("o_orderstatus") == "F", "REQUIRED_FIELD_MISSING"), issue(k % 3 == 0, "FIELD_CONFLICT"))).alias("issues"), F.array(F.struct((k % 5 == 0).alias("sensitive"), F.lit("NEEDS_REVIEW").alias("status"))).alias("fields"),
     )
     return quality.route(extract.routing_inputs(rows)).select("k", "critical", "complete", "inconsistent", "sensitive", "action")
+
+
+#: A submission of cases: its members and their kinds; `?` may be absent.
+SUBMISSION = {
+    "$": ("object",), "$.schemaVersion": ("string",), "$.manifest": ("object",), "$.manifest.id": ("number",), "$.manifest.note": ("string", "null", "?"),
+    "$.cases": ("array",), "$.cases[*]": ("object",), "$.cases[*].key": ("string",), "$.cases[*].fields": ("object", "?"), "$.cases[*].fields.total": ("number", "null"), "$.cases[*].tags": ("array", "?"), "$.cases[*].tags[*]": ("string",),
+}
+DEEP = """CASE WHEN event_id % 13 = 0 THEN '{"schemaVersion": ' ELSE '{"schemaVersion": ' || CASE WHEN event_id % 7 = 0 THEN '1' ELSE '"1.0"' END || ', "manifest": {"id": ' || event_id || CASE WHEN event_id % 3 = 0 THEN ', "note": null' WHEN event_id % 3 = 1 THEN ', "Note": "x"' ELSE '' END || '}'
+ || CASE WHEN event_id % 11 = 0 THEN '' ELSE ', "cases": [{"key": "' || event_type || '", "fields": {"total": ' || CASE WHEN event_id % 4 = 0 THEN 'null' WHEN event_id % 4 = 1 THEN '"2"' ELSE '2.5' END || CASE WHEN event_id % 5 = 0 THEN ', "Raw_Text": [{"draft": "{[\\"prediction\\": 1"}]' ELSE '' END || '}}, {' || CASE WHEN event_id % 2 = 0 THEN '"key": "b", ' ELSE '' END || '"tags": ["a", ' || CASE WHEN event_id % 6 = 0 THEN '1, {"predictions": []}' ELSE '"b"' END || ']}]' END || '}' END"""
+_TREE = f"""d AS (SELECT event_id, {DEEP} AS j FROM events), ok AS (SELECT event_id, j FROM d WHERE json_valid(j)),
+t AS (SELECT event_id, t.fullkey AS path, regexp_replace(t.fullkey, '\\[[0-9]+\\]', '[*]', 'g') AS shape, t.key AS name, CASE t.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind FROM ok, json_tree(ok.j) t)"""
+_RULES = ", ".join(f"('{s}', {[k for k in kinds if k != '?']}, {'?' not in kinds}, '{s.rpartition('.')[0]}')" for s, kinds in SUBMISSION.items())
+
+
+def deep_documents(spark, sf_dir):
+    """Events as JSON submissions, some broken, with members that are unknown, missing, of another kind or forbidden at several depths."""
+    return table(spark, sf_dir, "events").select("event_id", F.expr(DEEP.replace('\\"', '\\\\"')).alias("json"))
+
+
+@query(
+    f"""WITH {_TREE}, r(shape, kinds, needed, parent) AS (VALUES {_RULES}), k AS (SELECT t.*, r.kinds, r.shape AS known, regexp_replace(t.shape, '(\\.[^.\\[]*|\\[\\*\\])$', '') AS outer_shape FROM t LEFT JOIN r USING (shape))
+SELECT event_id, path, CASE WHEN known IS NULL THEN 'UNKNOWN' ELSE 'KIND' END AS problem FROM k WHERE known IS NULL AND outer_shape IN (SELECT shape FROM r) OR known IS NOT NULL AND NOT list_contains(kinds, kind)
+UNION ALL SELECT event_id, '$', 'BROKEN' FROM d WHERE NOT json_valid(j)
+UNION ALL SELECT t.event_id, t.path || '.' || split_part(r.shape, '.', -1), 'MISSING' FROM t JOIN r ON t.shape = r.parent AND r.needed AND t.kind = 'object' WHERE NOT EXISTS (SELECT 1 FROM t c WHERE c.event_id = t.event_id AND c.path = t.path || '.' || split_part(r.shape, '.', -1))"""
+)
+def strict_json(spark, sf_dir):
+    return jsontree.problems(jsontree.nodes(deep_documents(spark, sf_dir), "event_id", "json"), "event_id", SUBMISSION)
+
+
+@query(f"WITH {_TREE} SELECT event_id, path FROM t WHERE regexp_replace(lower(name), '[^a-z0-9]', '', 'g') IN {tuple(jsontree.UNSEEN)}")
+def unseen_members(spark, sf_dir):
+    return jsontree.forbidden(jsontree.nodes(deep_documents(spark, sf_dir), "event_id", "json"), "event_id", jsontree.UNSEEN)
