@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quirefold.operators import governance, state
 from quirefold.plans.registry import query, table
-from quirefold.streaming import replay
+from quirefold.streaming import machines, replay
 
 
 def events(spark, sf_dir):
@@ -151,3 +151,50 @@ def typed_projection(spark, sf_dir):
     )
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("category"), F.explode(cells).alias("c")).select("category", "c.*")
     return governance.typed_projection(rows, ["category"])
+
+
+def _events(spark, sf_dir, *columns):
+    return replay.read(spark, sf_dir, "events").select(*columns)
+
+
+@query(
+    """WITH e AS (SELECT user_id AS item, event_id AS seq, event_type AS d, event_type IN ('purchase', 'signup') AS fin FROM events),
+f AS (SELECT item, min(seq) FILTER (fin) AS first_at, min_by(d, seq) FILTER (fin) AS state FROM e GROUP BY item)
+SELECT item, seq, CASE WHEN seq >= first_at THEN state ELSE 'PENDING' END AS state, CASE WHEN NOT fin THEN 'IGNORED' WHEN seq = first_at THEN 'DECIDED' WHEN d = state THEN 'REPEATED' ELSE 'REFUSED' END AS outcome FROM e JOIN f USING (item)"""
+)
+def stream_reviews(spark, sf_dir):
+    events = _events(spark, sf_dir, F.col("user_id").alias("item"), F.col("event_id").alias("seq"), F.col("event_type").alias("decision"))
+    return machines.run(events, "item", machines.Reviews(["purchase", "signup"]))
+
+
+@query(
+    """WITH e AS (SELECT user_id % 8 AS queue, event_id AS seq, user_id AS item, event_type <> 'purchase' AS reg FROM events), l AS (SELECT *, coalesce(lag(reg) OVER (PARTITION BY item ORDER BY seq), false) AS there FROM e)
+SELECT queue, seq, item, CASE WHEN reg THEN CASE WHEN there THEN 'UPDATED' ELSE 'ADDED' END WHEN there THEN 'REMOVED' ELSE 'ABSENT' END AS outcome,
+ sum(CASE WHEN reg AND NOT there THEN 1 WHEN there AND NOT reg THEN -1 ELSE 0 END) OVER (PARTITION BY queue ORDER BY seq)::BIGINT AS pending FROM l"""
+)
+def stream_queue(spark, sf_dir):
+    events = _events(spark, sf_dir, (F.col("user_id") % 8).alias("queue"), F.col("event_id").alias("seq"), F.col("user_id").alias("item"), (F.col("event_type") != "purchase").alias("registers"))
+    return machines.run(events, "queue", machines.Queue())
+
+
+@query(
+    """WITH e AS (SELECT user_id % 16 AS owner, event_id AS seq, event_type = 'click' AS opens FROM events WHERE event_type IN ('click', 'purchase')),
+l AS (SELECT *, sum(opens::INT) OVER w AS n, coalesce(lag(opens) OVER w, false) AS was FROM e WINDOW w AS (PARTITION BY owner ORDER BY seq)),
+o AS (SELECT owner, seq, lag(seq, 20) OVER (PARTITION BY owner ORDER BY seq) AS evicted FROM e WHERE opens)
+SELECT owner, seq, n::BIGINT AS archive, CASE WHEN opens THEN 'OPENED' WHEN was THEN 'FINISHED' ELSE 'IGNORED' END AS outcome, evicted FROM l LEFT JOIN o USING (owner, seq)"""
+)
+def stream_archives(spark, sf_dir):
+    events = replay.read(spark, sf_dir, "events").where("event_type IN ('click', 'purchase')").select((F.col("user_id") % 16).alias("owner"), F.col("event_id").alias("seq"), (F.col("event_type") == "click").alias("opens"))
+    return machines.run(events, "owner", machines.Archives(20))
+
+
+def correction_events(events):
+    """Corrections of a user's case: the base of most is what the user's type of event before would have left, of some it is stale."""
+    kinds = F.array(*map(F.lit, ["click", "purchase", "signup", "view", ""]))
+    base = F.element_at(kinds, (F.col("event_id") % 5).cast("int") + 1)
+    return events.select(F.col("user_id").alias("case_id"), F.col("event_id").alias("seq"), F.when(base != "", F.sha2(base, 256)).otherwise("").alias("base_hash"), F.col("event_type").alias("payload"))
+
+
+@query()
+def stream_history(spark, sf_dir):
+    return machines.run(correction_events(replay.read(spark, sf_dir, "events")), "case_id", machines.History())
