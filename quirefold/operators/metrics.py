@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.functions.numbers import harmonic, nearest_rank, rate
+from quirefold.functions.numbers import harmonic, rate
 from quirefold.functions.text import casefold, collapse, mark_count, without_vietnamese_marks, word_edits
+from quirefold.operators.quantiles import nearest, order_statistics
 
 
 def pairing(truth: DataFrame, pred: DataFrame, key: str) -> DataFrame:
@@ -87,9 +89,18 @@ def sensitive_acceptance(truth: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def latency(rows: DataFrame, value: str, failed: Column, by: list[str] | None = None) -> DataFrame:
-    """p50 and p95 by nearest rank, and the failure rate."""
-    aggs = [F.count("*").alias("cases"), nearest_rank(value, 0.5).alias("p50"), nearest_rank(value, 0.95).alias("p95"), rate(F.count_if(failed), F.count("*")).alias("failure_rate")]
-    return rows.groupBy(*(by or [])).agg(*aggs)
+    """(by, cases, p50, p95, failure_rate): p50 and p95 by nearest rank. Values of a hot group are narrowed down, never gathered."""
+    by = by or []
+    sums = rows.groupBy(*by).agg(F.count("*").alias("cases"), rate(F.count_if(failed), F.count("*")).alias("failure_rate"))
+    return with_ranks(sums, rows, by, value).select(*by, "cases", "p50", "p95", "failure_rate")
+
+
+def with_ranks(sums: DataFrame, rows: DataFrame, by: list[str], value: str, digits: int = 3) -> DataFrame:
+    """sums (by, ...), a row a group of rows, with samples, p50 and p95 by nearest rank; null where a group has no value."""
+    found = order_statistics(rows, by, value, {"p50": nearest(0.5), "p95": nearest(0.95)})
+    sides = [F.col(f"_{b}").eqNullSafe(F.col(b)) for b in by] or [F.lit(True)]  # without groups both have one row
+    ranks = found.select(*(F.col(b).alias(f"_{b}") for b in by), "samples", *(F.bround(p, digits).alias(p) for p in ("p50", "p95")))
+    return sums.join(ranks, reduce(lambda a, b: a & b, sides), "left").drop(*(f"_{b}" for b in by))
 
 
 def text_errors(pairs: DataFrame, truth: str = "truth", pred: str = "pred", by: list[str] | None = None, words: bool = False, fold: Callable[[Column], Column] = collapse) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quirefold.functions.numbers import nearest_rank
 from quirefold.functions.text import casefold, collapse, fold_key, mark_count, without_vietnamese_marks
+from quirefold.operators.metrics import with_ranks
 
 
 def share(n: Column, d: Column) -> Column:
@@ -191,7 +191,7 @@ def confidences(lines: DataFrame, by: list[str]) -> DataFrame:
 
 def stage_summary(samples: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, samples, p50, p95) by nearest rank; nulls do not count."""
-    return samples.groupBy(*by).agg(F.count(value).alias("samples"), nearest_rank(value, 0.5).alias("p50"), nearest_rank(value, 0.95).alias("p95"))
+    return with_ranks(samples.select(*by).distinct(), samples, by, value).select(*by, F.coalesce("samples", F.lit(0)).cast("long").alias("samples"), "p50", "p95")
 
 
 # --- gates -----------------------------------------------------------------------------------------------------

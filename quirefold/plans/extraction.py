@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quirefold.functions import text as t
-from quirefold.operators import extract, governance, observe, policy
+from quirefold.operators import extract, observe, policy, quantiles
 from quirefold.plans.registry import query, table
 
 CONTRACT_LINES = """SELECT o_orderkey AS doc_id, unnest([0, 1, 2, 3, 4])::INT AS seq, unnest(['Số hợp đồng: ' || o_orderkey, 'Signed by employee name: ' || c_name, CASE WHEN o_orderkey % 4 = 0 THEN 'Ngày bắt đầu ' ELSE 'Ngày bắt đầu: ' END || strftime(o_orderdate, '%Y-%m-%d'), 'Salary： ' || o_orderstatus, 'End date:']) AS text FROM orders JOIN customer ON o_custkey = c_custkey"""
@@ -162,9 +162,10 @@ def charset_coverage(spark, sf_dir):
 @query("SELECT event_type, round_even(quantile_cont(value, 0.5), 6) AS p50, list_sort(list(value))[greatest(1, round_even(0.95 * count(*), 0)::INT)] AS p95, count(value) AS samples FROM events GROUP BY event_type")
 def pilot_latency(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    half = events.groupBy("event_type").agg(F.bround(F.percentile("value", 0.5), 6).alias("p50"))
-    high = governance.nth_values(events, "event_type", "value", F.greatest(F.lit(1), F.bround(0.95 * F.col("samples"), 0).cast("long")))
-    return half.join(high.withColumnRenamed("value", "p95"), "event_type").select("event_type", "p50", "p95", "samples")
+    high = F.greatest(F.lit(1), F.bround(0.95 * F.col("samples"), 0))
+    middle = (F.col("samples") + 1) / 2
+    found = quantiles.order_statistics(events, ["event_type"], "value", {"a": F.floor(middle), "b": F.ceil(middle), "p95": high})
+    return found.select("event_type", F.bround(F.col("a") + (F.col("b") - F.col("a")) * 0.5, 6).alias("p50"), "p95", "samples")
 
 
 @query("SELECT p_partkey, trim(regexp_replace(strip_accents(lower(p_name || ' ' || p_type)), '[^a-z0-9]+', ' ', 'g')) AS folded, len(list_filter(string_split_regex(lower(p_name || ' ' || p_type), '[^a-z0-9]+'), lambda x: x <> ''))::INT AS n_tokens FROM part")
