@@ -1,7 +1,8 @@
-"""Exact top-k search: term-at-a-time accumulation of integer inner products, block by block, then a merge.
+"""Exact top-k search: term-at-a-time accumulation of integer inner products over candidates that stay where they are, then a merge.
 
-Each candidate is copied once a query block and each query once a candidate block, so blocks are as large as a task's memory
-allows; where there are too few pairs of blocks to keep the cluster busy, candidate blocks shrink.
+Queries, a stated small share of the rows, go out in blocks of bounded size; a block is at every task once, and each task scatters
+its candidates' weighted postings into dense score rows, keeps the k best of each query over all of its candidates, and one
+ranking merges the tasks. So a candidate is shuffled never, and each query's k rows once a task, however many blocks there are.
 """
 
 from __future__ import annotations
@@ -10,17 +11,16 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quirefold.llm.common import bound_batches, cut, partitions
 
-#: Most rows of a block, and the least that a candidate block shrinks to.
-CANDIDATE_ROWS = 1 << 15
+#: Candidates that a task scores at once, and queries of a block.
+CANDIDATE_ROWS = 1 << 14
 QUERY_ROWS = 1 << 15
-LEAST_ROWS = 2048
 #: Cells of the dense scores that a task holds at once.
 CELLS = 1 << 21
 
@@ -67,54 +67,78 @@ def matrix(terms: Iterable) -> np.ndarray:
     return out
 
 
-def _pair(k: int):
-    def search(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        # In this order a smaller place is a smaller id, none last, so places break ties; rows of one id stand apart by number.
-        some = len(queries) and len(candidates)
-        candidates = candidates.sort_values(["none", "c_id", "c_row"]) if some else pd.DataFrame({x: [] for x in ("c_id", "none", "c_row", "c_terms")})
-        c, places = matrix(candidates["c_terms"]), np.arange(len(candidates))
-        ids, none, rows = (candidates[x].to_numpy() for x in ("c_id", "none", "c_row"))
-        place = {row: i for i, row in enumerate(rows)}
-        step = max(1, CELLS // max(1, len(rows)))
-        for i in range(0, len(queries) if len(rows) else 0, step):
-            part = queries.iloc[i : i + step]
-            for row, qid, scores in zip(part["row"].to_numpy(), part["vec_id"].to_numpy(), accumulate(matrix(part["terms"]), c), strict=True):
-                # One more than wanted, as the query's own row may be among them.
-                own = place.get(row)
-                out += [(row, qid, ids[p], none[p], rows[p], scores[p]) for p in [p for p in best(scores, places, k + (own is not None)) if p != own][:k]]
-        return pd.DataFrame(out, columns=["row", "query_id", "id", "none", "at", "score"]).astype({"row": "int64", "query_id": "int64", "id": "int64", "none": "bool", "at": "int64", "score": "int64"})
-
-    return search
+FOUND = pa.schema([("row", pa.int64()), ("query_id", pa.int64()), ("id", pa.int64()), ("none", pa.bool_()), ("at", pa.int64()), ("score", pa.int64())])
+
+
+def _search(sent, k: int, most: int):
+    """The k best candidates of a task's rows (id, none, row, terms) for each query of the block that was sent: (rows, ids, terms)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asking, names, queries = sent.value
+        nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64))
+        held: list[tuple] = [nothing] * len(asking)  # scores, ids, whether without one, rows
+
+        def score(table: pa.Table) -> None:
+            # In this order a smaller place is a smaller id, none last, so places break ties; rows of one id stand apart by number.
+            ids, none, rows = (table.column(x).to_numpy() for x in ("id", "none", "row"))
+            order = np.lexsort((rows, ids, none))
+            ids, none, rows = ids[order], none[order], rows[order]
+            c, places = matrix(table.column("terms").take(pa.array(order)).to_pylist()), np.arange(len(order))
+            place = {row: i for i, row in enumerate(rows.tolist())}
+            step = max(1, CELLS // len(rows))
+            for i in range(0, len(asking), step):
+                for n, scores in enumerate(accumulate(queries[i : i + step], c), i):
+                    # One more than wanted, as the query's own row may be among them.
+                    own = place.get(int(asking[n]), -1)
+                    at = best(scores, places, k + (own >= 0))
+                    at = at[at != own][:k]
+                    both = [np.concatenate(x) for x in zip(held[n], (scores[at], ids[at], none[at], rows[at]), strict=True)]
+                    top = np.lexsort((both[3], both[1], both[2], -both[0]))[:k]
+                    held[n] = tuple(x[top] for x in both)
+
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            waiting.append(batch)
+            if sum(b.num_rows for b in waiting) >= most:
+                score(pa.Table.from_batches(waiting))
+                waiting = []
+        if sum(b.num_rows for b in waiting):
+            score(pa.Table.from_batches(waiting))
+        sizes = [len(h[0]) for h in held]
+        scores, ids, none, rows = (np.concatenate([h[i] for h in held]) if held else x for i, x in enumerate(nothing))
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((np.repeat(asking, sizes), np.repeat(names, sizes), ids, none, rows, scores), FOUND, strict=True)], schema=FOUND)
+
+    return run
 
 
 def top_k(vectors: DataFrame, is_query: str, k: int = 10, candidate_rows: int = CANDIDATE_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k candidates of highest inner product for each query row of (vec_id, terms).
 
-    Rows are numbered once and dealt to blocks by a hash of the number, so rows that share an id or a vector do not share a
-    block. Each task scores one query block against one candidate block, both of bounded size, and keeps k rows a query; the
-    merge ranks k rows a block. A query row is no candidate of its own; other rows of its id are. Fewer than k candidates:
-    all. No queries or no rows: an empty result.
+    Rows are numbered once and stay in their partitions; where these are fewer than the session's, they are dealt out once. A query
+    row is no candidate of its own; other rows of its id are. Fewer than k candidates: all. No queries or no rows: an empty
+    result. The driver holds one block of queries at a time.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
-    # Ids without nulls, which pandas would turn into floating numbers.
-    v = cut(vectors.select(F.coalesce("vec_id", F.lit(0)).alias("vec_id"), F.col("vec_id").isNull().alias("none"), "terms", F.monotonically_increasing_id().alias("row")))
-    asking = F.expr(is_query) & ~F.col("none")
-    n, q = (x or 0 for x in v.agg(F.count("*"), F.count_if(asking)).first())
-    p = partitions(spark)
-    nq = max(1, math.ceil(q / query_rows))
-    nc = max(1, math.ceil(n / candidate_rows), min(math.ceil(n / LEAST_ROWS), math.ceil(p / nq)))
-    block = lambda m, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    dealt = lambda df: df.repartition(max(1, min(p, nc * nq)), "cb", "qb").groupBy("cb", "qb")
-    # Columns of their own names: those that both sides share are lost in a cogroup of repartitioned frames.
-    cands = v.select(F.col("row").alias("c_row"), F.col("vec_id").alias("c_id"), "none", F.col("terms").alias("c_terms"), block(nc, 1).alias("cb"), every(nq).alias("qb"))
-    asks = v.where(asking).select("row", "vec_id", "terms", block(nq, 2).alias("qb"), every(nc).alias("cb"))
-    found = dealt(asks).cogroup(dealt(cands)).applyInPandas(_pair(k), "row long, query_id long, id long, none boolean, at long, score long")
-    found = found.withColumn("vec_id", F.when(~F.col("none"), F.col("id")))
+    if vectors.rdd.getNumPartitions() < partitions(spark):
+        vectors = vectors.repartition(partitions(spark))
+    # Ids without nulls, which would turn into floating numbers.
+    v = cut(vectors.select(F.coalesce("vec_id", F.lit(0)).alias("id"), F.col("vec_id").isNull().alias("none"), "terms", F.monotonically_increasing_id().alias("row"), F.coalesce(F.expr(is_query) & F.col("vec_id").isNotNull(), F.lit(False)).alias("asks")))
+    asking = v.where("asks").select("row", "id", "terms")
+    blocks = max(1, math.ceil(asking.count() / query_rows))
     rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "at"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = None
+    for b in range(blocks):
+        rows = asking.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).toArrow()
+        sent = spark.sparkContext.broadcast((rows.column("row").to_numpy(), rows.column("id").to_numpy(), matrix(rows.column("terms").to_pylist())))
+        found = v.select("id", "none", "row", "terms").mapInArrow(_search(sent, k, candidate_rows), "row long, query_id long, id long, none boolean, at long, score long")
+        found = found.withColumn("vec_id", F.when(~F.col("none"), F.col("id")))
+        found = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks > 1:
+            found = cut(found)
+            sent.unpersist()
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
