@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.functions.text import once
+from quirefold.functions.text import label_likeness, once
 from quirefold.operators.forms import key_of
 
 #: Header words of the tables, and what ends them (fixed values).
@@ -254,18 +254,19 @@ def cheapest(costs: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
             v = before
 
 
-def one_to_one(pairs: DataFrame, page: str, label: str, value: str, cost: str) -> DataFrame:
-    """(page, label, value): the assignment of values to labels of least cost among those that assign most. Costs tie-break by themselves alone, so which of equally cheap ones is open."""
+def one_to_one(pairs: DataFrame, page: list[str], label: str, value: str, cost: str) -> DataFrame:
+    """(page, label, value): the assignment of values to labels of least cost among those of a page that assign most. Of equally cheap ones any may come."""
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         best: dict[tuple[int, int], float] = {}
         for a, v, c in pdf[["_a", "_v", "_c"]].itertuples(index=False):
             best[a, v] = min(c, best.get((a, v), float("inf")))
         got = cheapest(best)
-        return pd.DataFrame({page: [pdf[page].iloc[0]] * len(got), "label": [a for a, _ in got], "value": [v for _, v in got]}).astype({page: "int64", "label": "int64", "value": "int64"})
+        return pd.DataFrame({**{p: [pdf[p].iloc[0]] * len(got) for p in page}, "label": [a for a, _ in got], "value": [v for _, v in got]})
 
-    rows = pairs.select(F.col(page).cast("long").alias(page), F.col(label).cast("long").alias("_a"), F.col(value).cast("long").alias("_v"), F.col(cost).cast("double").alias("_c"))
-    return rows.groupBy(page).applyInPandas(of, f"{page} long, label long, value long")
+    rows = pairs.select(*page, F.col(label).cast("long").alias("_a"), F.col(value).cast("long").alias("_v"), F.col(cost).cast("double").alias("_c"))
+    kinds = ", ".join(f"{p} {rows.schema[p].dataType.simpleString()}" for p in page)
+    return rows.groupBy(*page).applyInPandas(of, f"{kinds}, label long, value long")
 
 
 #: What a value of a kind holds (fixed values): a date, an identity number.
@@ -283,12 +284,51 @@ def assigned_values(lines: DataFrame, page: str, field: str = "field", kind: str
     wants = lambda text: F.coalesce(*(F.when(c(kind) == k, text.rlike(p)) for k, p in KINDS.items()), F.lit(True))
     rows = lines.withColumn("_multi", F.lit(False))
     pairs = label_pairs(rows, page, field, "_multi")
-    first = one_to_one(pairs, page, "a_id", "b_id", "cost")
+    first = one_to_one(pairs, [page], "a_id", "b_id", "cost")
     labels = lines.where(c(field).isNotNull()).select(page, c("id").alias("label"), kind, *(c(x).alias(f"a_{x}") for x in ("x0", "y0")))
     values = lines.where(c(field).isNull()).select(page, c("id").alias("value"), "text", *(c(x).alias(f"b_{x}") for x in ("x0", "y0")))
     own = labels.join(first, [page, "label"]).join(values.select(page, "value", "text"), [page, "value"]).where(wants(c("text"))).select(page, "label", "value", "text", F.lit(False).alias("rescued"))
     left = labels.where(c(kind).isin(*KINDS)).join(own.select(page, "label"), [page, "label"], "left_anti")
     free = values.join(own.select(page, "value"), [page, "value"], "left_anti")
     near = left.join(free, page).where(wants(c("text"))).withColumn("cost", F.abs(c("a_x0") - c("b_x0")) + F.abs(c("a_y0") - c("b_y0")))
-    late = one_to_one(near, page, "label", "value", "cost").join(values.select(page, "value", "text"), [page, "value"]).select(page, "label", "value", "text", F.lit(True).alias("rescued"))
+    late = one_to_one(near, [page], "label", "value", "cost").join(values.select(page, "value", "text"), [page, "value"]).select(page, "label", "value", "text", F.lit(True).alias("rescued"))
     return own.unionByName(late)
+
+
+#: Kinds of sources whose cells need no review, and the least likeness of a header to a wanted column (fixed values).
+NATIVE, LIKE = ["xlsx_cells", "docx_table"], 0.6
+
+
+def header_matches(columns: DataFrame, wanted: dict[str, list[str]], keys: list[str], kind: str = "kind", least: float = LIKE) -> DataFrame:
+    """(keys, column, name): which wanted column each found column is, one to one within a table, by likeness of their folded headers.
+
+    columns (keys, kind, column, header); wanted names the columns of each kind of table. As many columns as can be are matched, and of these the likest in all;
+    a pair of less likeness than `least` never is. Headers meet the few names of their own kind only.
+    """
+    names = [(k, i, n) for k, ns in wanted.items() for i, n in enumerate(ns)]
+    rules = columns.sparkSession.createDataFrame(names, "w_kind string, place long, name string")
+    headers = columns.select(*keys, kind, "column", key_of(F.coalesce("header", F.lit(""))).alias("header"))
+    # Each header text is compared once, however many tables hold it.
+    texts = headers.select(kind, "header").distinct().join(F.broadcast(rules), F.col(kind) == F.col("w_kind"))
+    like = texts.withColumn("likeness", label_likeness(F.col("header"), F.col("name"))).where(F.col("likeness") >= least).drop("w_kind")
+    pairs = headers.join(like, [kind, "header"]).withColumn("cost", -F.col("likeness"))
+    chosen = one_to_one(pairs, keys, "column", "place", "cost").select(*keys, F.col("label").alias("column"), F.col("value").alias("place"))
+    return chosen.join(pairs.select(*keys, "column", "place", "name").distinct(), [*keys, "column", "place"]).select(*keys, "column", "name")
+
+
+def normalized_tables(native: DataFrame, coordinate: DataFrame, document: str, wanted: dict[str, list[str]], kind: str = "kind") -> DataFrame:
+    """(document, table, source, row, name, value, status): cells of a document's tables under the wanted columns.
+
+    native and coordinate (document, table, kind, source, row, column, header, value, status): tables put together from places count only for documents without
+    a native one. Columns that are like no wanted one are left out, and each wanted one is filled once. A row is accepted if its
+    source needs no review and, where its cells have a status, all of them are accepted.
+    """
+    c = F.col
+    cells = native_or_coordinate(native, coordinate, document)
+    keys = [document, "table"]
+    found = header_matches(cells.select(*keys, kind, "column", "header").distinct(), wanted, keys, kind)
+    doubt = F.count_if(c("status").isNotNull() & (c("status") != "accepted")) > 0
+    checked = F.count("status") > 0
+    rows = cells.groupBy(*keys, "row", "source").agg(F.when(checked, doubt).otherwise(~F.coalesce(F.first("source").isin(*NATIVE), F.lit(False))).alias("review"))
+    rows = rows.select(*keys, "row", F.when(c("review"), "needs_review").otherwise("accepted").alias("row_status"))
+    return cells.join(found, [*keys, "column"]).join(rows, [*keys, "row"]).select(*keys, "source", "row", "name", "value", c("row_status").alias("status"))

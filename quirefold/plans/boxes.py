@@ -196,3 +196,22 @@ def labelled_lines(spark, sf_dir):
 @query()
 def assigned_values(spark, sf_dir):
     return tables.assigned_values(labelled_lines(spark, sf_dir), "page")
+
+
+HEADER_WORDS = ["STT", "Mã NV", "Ho va tcn", "Bộ phận", "Chuc dauh", "Ngày vào làm", "Ghi chú", "Họ và tên"]
+
+
+def found_tables(spark, sf_dir):
+    """Native and coordinate tables of orders: six columns of eight headers, some misread or repeated, in an order of their own, and a row a line item."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("row")).agg(F.min("l_returnflag").alias("flag"))
+    header = F.element_at(F.array(*map(F.lit, HEADER_WORDS)), ((F.col("doc") + F.col("column") * 3) % 8).cast("int") + 1)
+    cells = li.withColumn("column", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))))
+    cells = cells.select("doc", F.lit(0).cast("long").alias("table"), F.lit("EMPLOYEE_MASTER_LIST").alias("kind"), "row", "column", header.alias("header"), F.concat("flag", F.col("column").cast("string")).alias("value"))
+    native = cells.where("doc % 3 <> 0").withColumns({"source": F.when(F.col("doc") % 2 == 0, "docx_table").otherwise("pdf_table"), "status": F.when(F.col("doc") % 5 == 0, F.when(F.col("row") % 2 == 0, "accepted").otherwise("needs_review"))})
+    coordinate = cells.where("doc % 2 = 0").withColumns({"source": F.lit("coordinates"), "status": F.when((F.col("row") + F.col("column")) % 4 == 0, "not_found").otherwise("accepted")})
+    return native, coordinate
+
+
+@query()
+def normalized_tables(spark, sf_dir):
+    return tables.normalized_tables(*found_tables(spark, sf_dir), "doc", tables.HEADERS)

@@ -421,7 +421,7 @@ def test_assigned_values(spark):
     for r in registry.QUERIES["assigned_values"](spark, SF).collect():
         got.setdefault(r.page, []).append(r)
     first = {}
-    for r in tables.one_to_one(tables.label_pairs(lines.withColumn("m", F.lit(False)), "page", "field", "m"), "page", "a_id", "b_id", "cost").collect():
+    for r in tables.one_to_one(tables.label_pairs(lines.withColumn("m", F.lit(False)), "page", "field", "m"), ["page"], "a_id", "b_id", "cost").collect():
         first.setdefault(r.page, []).append((r.label, r.value))
     rescued = 0
     for page, cs in costs.items():
@@ -479,3 +479,43 @@ def test_few_pairs_of_a_hot_group_are_compared(spark):
     met = likeness.candidates(a, b, 0.86).count()
     assert 180 <= met < 0.05 * 400 * 400
     assert likeness.like_known(a, b, "group", "text", 0.86).count() >= 200
+
+
+def test_normalized_tables(spark):
+    """The best of all matchings of headers to wanted columns, native tables before others, and the status of rows."""
+    from quirefold.operators import tables
+
+    native, coordinate = (x.collect() for x in boxes.found_tables(spark, SF))
+    with_native = {r.doc for r in native}
+    cells = {}
+    for r in [*native, *(r for r in coordinate if r.doc not in with_native)]:
+        cells.setdefault(r.doc, []).append(r)
+    fold = lambda x: "".join(c for c in unicodedata.normalize("NFD", x.casefold().replace("đ", "d")) if unicodedata.category(c) != "Mn")
+    wanted = tables.HEADERS["EMPLOYEE_MASTER_LIST"]
+
+    def like(a, b):
+        part = len(set(a.split()) & set(b.split())) / len(set(b.split()))
+        return 1.0 if b in a else 0.0 if len(b) < 5 else max(SequenceMatcher(None, a, b).ratio(), 0.92 * part)
+
+    got = {}
+    for r in registry.QUERIES["normalized_tables"](spark, SF).collect():
+        got.setdefault(r.doc, []).append(r)
+    misread = 0
+    best = {}
+    for doc, rs in cells.items():
+        heads = tuple(fold(h) for _, h in sorted({(r.column, r.header) for r in rs}))
+        costs = {(i, j): -like(h, w) for i, h in enumerate(heads) for j, w in enumerate(wanted) if like(h, w) >= 0.6}
+        if heads not in best:
+            best[heads] = max((len(p), -c) for p, c in every_assignment(costs)) if costs else (0, 0.0)
+        size, total = best[heads]
+        mine = got.get(doc, [])
+        used = {r.name: int(r.value[1:]) for r in mine}
+        assert len(used) == len(set(used.values())) == size and abs(sum(like(heads[i], n) for n, i in used.items()) - total) < 1e-9
+        assert len(mine) == size * len({r.row for r in rs})
+        status = {}
+        for r in rs:
+            ok = r.status == "accepted" if r.status else r.source == "docx_table"
+            status[r.row] = status.get(r.row, True) and ok
+        assert all(r.status == ("accepted" if status[r.row] else "needs_review") and r.source == rs[0].source for r in mine)
+        misread += any(n == "ho va ten" and heads[i] == "ho va tcn" for n, i in used.items())
+    assert set(got) <= set(cells) and misread and {r.source for rs in got.values() for r in rs} == {"docx_table", "pdf_table", "coordinates"}

@@ -42,7 +42,7 @@ def test_query(spark, duck, name):
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     if name not in registry.ORACLES:
         # Each of these has a brute-force test of its own.
-        assert name in {"assigned_values", "stream_history", "der", "distinct_boxes", "fuzzy_anti", "fuzzy_phrase", "narratives", "row_cluster", "wer_words", "coordinate_tables", "overlap_rows", "merged_readings", "phone_candidates", "label_scores"} and got[1]
+        assert name in {"assigned_values", "normalized_tables", "stream_history", "der", "distinct_boxes", "fuzzy_anti", "fuzzy_phrase", "narratives", "row_cluster", "wer_words", "coordinate_tables", "overlap_rows", "merged_readings", "phone_candidates", "label_scores"} and got[1]
         return
     rel = duck.execute(registry.ORACLES[name])
     want = rows([d[0] for d in rel.description], rel.fetchall())
