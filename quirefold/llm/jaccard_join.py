@@ -2,8 +2,9 @@
 
 Documents of equal n-gram sets are one node from the start, so copies are never expanded. The bands' buckets link each node
 to the bucket's smallest one; the components of these unverified links hold every candidate pair. A component's nodes are
-dealt to blocks of bounded size, and each pair of blocks is one unit of work that gets both blocks' n-gram sets, verifies
-the pairs that share a band, and hands back a count for each node and a spanning forest, never the pairs.
+dealt to blocks of bounded number and bytes, and each pair of blocks that a bucket has in common is one unit of work: it gets both
+blocks' n-gram sets, verifies the pairs that share a band, and hands back a count for each node and a spanning forest, never the
+pairs. So a large component that unlike texts chain together costs what its buckets cost, not all pairs of its blocks.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from quirefold.llm.common import SHINGLE_WORDS, SIMILARITY, MinHash, band_keys,
 RECALL = 0.999
 #: Rows of a band: so many that pairs well below the similarity seldom meet; the number of bands follows from the recall.
 ROWS = 8
-BLOCK = 192
+#: Nodes and bytes of n-gram sets of a block.
+BLOCK, BLOCK_BYTES = 192, 16 << 20
 #: Rows of the result for each partition.
 ROWS_EACH = 50_000
 
@@ -45,19 +47,20 @@ def standard_bands(similarity: float = SIMILARITY, recall: float = RECALL) -> Ba
 
 
 def sketch(keyed: DataFrame, bands_of: Bands, n: int = SHINGLE_WORDS) -> DataFrame:
-    """(key, node, doc_id, set, bands) of (key, doc_id, text) rows: node is the key in scattered order, set the key of the n-gram
-    set, bands its band hashes; the last two are null for a text without words."""
+    """(key, node, doc_id, set, size, bands) of (key, doc_id, text) rows: node is the key in scattered order, set the key of the n-gram
+    set, size its bytes, bands its band hashes; set and bands are null for a text without words."""
 
     def run(c: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"key": c["key"], "doc_id": c["doc_id"], "set": [], "bands": []}
+        out: dict[str, list] = {"key": c["key"], "doc_id": c["doc_id"], "set": [], "size": [], "bands": []}
         out["node"] = [(k * ODD + (1 << 63)) % (1 << 64) - (1 << 63) for k in c["key"]]
         for text in c["text"]:
             grams = shingles(text, n)
             out["set"].append(set_key(grams) if len(grams) else None)
+            out["size"].append(grams.nbytes)
             out["bands"].append(bands_of(grams) if len(grams) else None)
         return out
 
-    return map_arrow(keyed.select("key", "doc_id", "text"), run, "key long, node long, doc_id long, set binary, bands array<long>")
+    return map_arrow(keyed.select("key", "doc_id", "text"), run, "key long, node long, doc_id long, set binary, size long, bands array<long>")
 
 
 def _links(sets: list[np.ndarray], bands: np.ndarray, side: np.ndarray, weight: np.ndarray, similarity: float, cross: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -142,17 +145,24 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     sk = on_disk(sketch(keyed, bands_of, n))
     rows = sk.count()
     some = sk.where("set IS NOT NULL")
-    sets = some.groupBy("set").agg(F.min("node").alias("first"), F.min_by("key", "node").alias("rep_key"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    sets = some.groupBy("set").agg(F.min("node").alias("first"), F.min_by("key", "node").alias("rep_key"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"))
     # Only one row of each set goes on; that join is by node, so copies do not meet in a task.
     banded = some.select("node", "bands").join(sets.select(F.col("first").alias("node")), "node", "left_semi").select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("band", "hub")
     edges = banded.join(buckets, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     comp = cut(components(edges, most=rows))
-    nodes = comp.count()
-    sizes = small(comp.groupBy("root").agg(F.count("*").alias("n")), nodes)
-    members = comp.join(sizes, "root").join(sets.select(F.col("first").alias("node"), "rep_key", "copies"), "node")
-    members = members.select("node", "root", "copies", "rep_key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    texts = keyed.join(members, F.col("key") == F.col("rep_key")).select("node", "root", "copies", "blocks", "text")
+    members = cut(comp.join(sets.select(F.col("first").alias("node"), "rep_key", "copies", "size"), "node"))
+    nodes = members.count()
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("long")
+    sizes = small(members.groupBy("root").agg(blocks.alias("blocks")), nodes)
+    members = members.join(sizes, "root").withColumn("block", F.pmod(F.shiftright("node", 7), F.col("blocks"))).select("node", "root", "block", "blocks", "copies", "rep_key")
+    several = cut(members.where("blocks > 1").select("node", "root", "block"))
+    members = members.drop("blocks")
+    if several.isEmpty():
+        members = members.withColumn("others", F.array(F.lit(0).cast("long")))
+    else:
+        members = members.join(small(_met(banded, several), nodes), ["root", "block"], "left").withColumn("others", F.coalesce("others", F.array(F.lit(0).cast("long"))))
+    texts = keyed.join(members, F.col("key") == F.col("rep_key")).select("node", "root", "copies", "block", "others", "text")
     found = on_disk(_linked(texts, similarity, bands_of, n))
     links = found.groupBy("a").agg(F.sum("links").alias("others"))
     classes = components(found.where("a <> b").select("a", "b"), most=rows)
@@ -173,23 +183,27 @@ def jaccard_classes(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     return out
 
 
+def _met(banded: DataFrame, several: DataFrame) -> DataFrame:
+    """(root, block, others): the blocks with which each block of (node, root, block) shares a bucket of (node, band), itself among them."""
+    at = banded.join(several, "node").select("band", "root", "block").distinct()
+    other = at.select(F.col("band").alias("o_band"), F.col("block").alias("other"))
+    # A bucket lies in one component; its blocks meet, not its nodes.
+    return at.join(other, F.col("band") == F.col("o_band")).groupBy("root", "block").agg(F.collect_set("other").alias("others"))
+
+
 def _linked(texts: DataFrame, similarity: float, bands_of: Bands, n: int) -> DataFrame:
     """(a, b, links) of the nodes that have links, unit by unit: b connects a within the unit."""
 
     def sets(c: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {k: [] for k in ("root", "node", "bands", "grams", "copies", "blocks", "block")}
-        for i, text in enumerate(c["text"]):
+        out: dict[str, list] = {k: c[k] for k in ("root", "node", "copies", "block", "others")} | {"bands": [], "grams": []}
+        for text in c["text"]:
             grams = shingles(text, n)
-            for k in ("root", "node", "copies", "blocks"):
-                out[k].append(c[k][i])
             out["bands"].append(bands_of(grams))
             out["grams"].append(grams.tobytes())
-            out["block"].append((c["node"][i] >> 7) % c["blocks"][i])
         return out
 
-    sized = map_arrow(texts, sets, "root long, node long, bands array<long>, grams binary, copies long, blocks int, block int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sized.withColumn("other", other).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "bands", "grams", "block", "copies")
+    sized = map_arrow(texts, sets, "root long, node long, bands array<long>, grams binary, copies long, block long, others array<long>")
+    dealt = sized.withColumn("other", F.explode("others")).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "bands", "grams", "block", "copies")
     dealt = dealt.repartition(partitions(texts.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j")
     return dealt.mapInArrow(_verify(similarity), "a long, b long, links long")
 

@@ -568,3 +568,23 @@ def test_shingles_count_distinct_grams():
     for text in (None, "", "a", "a b c d e", "a b c d e f a b c d e f", " ".join(words(1, 5000, 20))):
         assert len(shingles(text)) == len(grams(text))
     assert set(shingles("a b c d e")) != set(shingles("a b c e d"))
+
+
+@pytest.mark.parametrize(("block", "size"), [(2, 1 << 24), (192, 4_000), (3, 2_000)])
+def test_links_over_many_blocks(spark, monkeypatch, block, size):
+    """The same classes and links however few nodes or bytes a block holds, also where unlike texts are chained into one component."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", size)
+    r = random.Random(5)
+    chain = [f"w{i}" for i in range(400)]
+    # Windows of one chain: each is like its neighbours, the ends are unlike, and all are one component.
+    texts = [" ".join(chain[i : i + 120]) for i in range(0, 260, 6)] + [" ".join(chain[:100] + [f"x{r.randrange(9)}"]) for _ in range(12)] + [" ".join(words(i, 90)) for i in range(10)]
+    got = {x.doc_id: x for x in jaccard_join.jaccard_classes(table(spark, texts)).collect()}
+    sets = [set(grams(t)) for t in texts]
+    like = lambda a, b: len(a & b) / len(a | b) >= 0.8
+    for i, a in enumerate(sets):
+        assert got[i].n_links == sum(like(a, b) for j, b in enumerate(sets) if j != i), i
+    root = list(range(len(texts)))
+    for _ in texts:
+        root = [min(root[j] for j in range(len(texts)) if like(sets[i], sets[j])) for i in range(len(texts))]
+    assert [got[i].class_id for i in range(len(texts))] == root
