@@ -79,6 +79,16 @@ _FROM = r"từ\s+(\d{1,2})\s+giờ(?:\s+(\d{1,2})\s+phút)?\s+đến\s+(\d{1,2})
 OT_PERIOD = rf"Thời\s+gian\s+đề\s+nghị\s*:\s*Từ\s+ngày\s+{DAY}\s+đến\s+hết\s+ngày\s+{DAY}.*?(?:tăng|làm)\s+thêm\s+{AMOUNT}\s+giờ\s+mỗi\s+ngày,\s+{_FROM}"
 OT_DAY = rf"Thời\s+gian\s+đề\s+nghị\s*:\s*Ngày\s+{DAY}\s*,?\s*(?:tăng|làm)\s+thêm\s+{AMOUNT}\s+giờ\s*,?\s*{_FROM}"
 OT_PERSON = r"Tôi\s+là\s*:\s*([^\n]+?)\s*-\s*Chức\s+vụ\s*:\s*([^\n]+)"
+OT_REASON_SCAN = r"thi\s+gian\s+làm\s+vi.c\s+(.+?)\.\s*Do\s+(.+?),\s*t[ôo]i\s+(?:đ|d).{0,4}ngh"
+OT_PERIOD_SCAN = (
+    rf"Thi\s+gian\s+.{{0,12}}ngh\s*:\s*T.\s+ngày\s+{DAY}.*?ngày\s+{DAY}.*?(?:tăng|làm)\s+thêm\s+{AMOUNT}\s+gi.{{0,3}}mi\s+ngày.*?t.\s+(\d{{1,2}})\s+gi(?:\s+(\d{{1,2}})\s+phút)?.*?"
+    rf"(?:đ|d).{{0,3}}\s+(\d{{1,2}})\s+gi(?:\s+(\d{{1,2}})\s+phút)?.*?t.ng\s+thi\s+gian\s+d.\s+ki.n\s+là\s+{AMOUNT}\s+gi"
+)
+OT_WORK_SCAN = r"N.i\s+dung\s+công\s+vi.c\s*:?\s*([\s\S]+?)(?:\.\s*Tôi\s+cam|\nTôi\s+cam|$)"
+OT_SIGNED = r"NGƯỜI\s+LÀM\s+ĐƠN\s*\n(?:\([^\n]*\)\s*\n)?([^\n]+)"
+#: Figures of an overtime block in text without marks: hours more a day, what follows them, clock times, all hours.
+OT_MORE, OT_AFTER, OT_CLOCKS, OT_TOTAL = r"t.?ng\s+them\s+(\d+(?:[.,]\d+)?)\s+gi\w*", r"t.?ng\s+them\s+\d+(?:[.,]\d+)?\s+gi\w*(.*)", r"\b(\d{1,2}\s+gi\w*\s+\d{1,2}\s+phut)\b", r"t.?ng\s+thi\s+gian.*?\b(\d+(?:[.,]\d+)?)\s+gi\w*"
+APPROVER = ("trưởng bộ phận", "ký")
 OT_PERSON_SCAN = r"Tôi\s+là\s*:\s*([^\n]+?)\s*-\s*Ch.c\s+v.\s*:\s*([^\n]+)"
 OT_ONLY = {
     "organization": r"Kính\s+gửi\s*:\s*Ban\s+Giám\s+đốc\s+([^\n.]+)",
@@ -100,8 +110,18 @@ def _request(text: Column, once_only: dict[str, str], rest: Callable[[Column, di
     return once(F.coalesce(text, F.lit("")), of)
 
 
-def leave_request(text: Column, scanned: Column | None = None) -> Column:
-    """Fields of a leave request. Scanned texts, which may lack marks, also take looser patterns and the dates in their order."""
+def approver(tables: Column) -> Column:
+    """The name below the head of department's heading, in the third row of the first table array<array<array<string>>> that has both; signing notes are no name."""
+
+    def of(t: Column) -> Column:
+        name = F.nullif(strip_terminal(F.get(F.get(t, F.lit(2)), F.lit(0))), F.lit(""))
+        return F.when((F.size(t) >= 3) & casefold(F.get(F.get(t, F.lit(0)), F.lit(0))).contains(APPROVER[0]) & ~casefold(name).contains(APPROVER[1]), name)
+
+    return F.get(F.filter(F.transform(tables, of), lambda x: x.isNotNull()), F.lit(0))
+
+
+def leave_request(text: Column, scanned: Column | None = None, tables: Column | None = None) -> Column:
+    """Fields of a leave request. Scanned texts, which may lack marks, also take looser patterns and the dates in their order; the approver stands in a table."""
     scan = F.lit(False) if scanned is None else F.coalesce(scanned, F.lit(False))
 
     def rest(t: Column, u: dict[str, Column]) -> dict[str, Column]:
@@ -121,6 +141,8 @@ def leave_request(text: Column, scanned: Column | None = None) -> Column:
             "handoverTo": ended(over[0]),
             "handoverDepartment": ended(over[1]),
         }
+        if tables is not None:
+            out["approverName"] = approver(tables)
         if scanned is not None:
             for n, p in LEAVE_SCAN_LINES.items():
                 out[n] = F.coalesce(out[n], F.when(scan, ended(F.regexp_extract(t, I + p, 1))))
@@ -133,17 +155,16 @@ def leave_request(text: Column, scanned: Column | None = None) -> Column:
 
 
 def overtime_request(text: Column, scanned: Column | None = None) -> Column:
-    """Fields of an overtime request, for a period or a single day."""
+    """Fields of an overtime request, for a period or a single day. Scanned texts also take looser patterns, figures of their text without marks, and the signature's name."""
     scan = F.lit(False) if scanned is None else F.coalesce(scanned, F.lit(False))
 
     def rest(t: Column, u: dict[str, Column]) -> dict[str, Column]:
         one = once(groups(t, OT_DAY, 7), lambda g: F.when(g.isNotNull(), F.array(g[0], *(g[i] for i in range(7)))))
-        period = F.coalesce(groups(t, OT_PERIOD, 8), one)
-        person = groups(t, OT_PERSON, 2)
-        if scanned is not None:
-            person = F.coalesce(person, F.when(scan, groups(t, OT_PERSON_SCAN, 2)))
-        contract, reason, asked = groups(t, OT_CONTRACT, 2), groups(t, OT_REASON, 2), named_dates(t)
-        return {
+        loose = lambda found, p, n: found if scanned is None else F.coalesce(found, F.when(scan, groups(t, p, n)))
+        period = loose(F.coalesce(groups(t, OT_PERIOD, 8), one), OT_PERIOD_SCAN, 8)
+        person, reason = loose(groups(t, OT_PERSON, 2), OT_PERSON_SCAN, 2), loose(groups(t, OT_REASON, 2), OT_REASON_SCAN, 2)
+        contract, asked = groups(t, OT_CONTRACT, 2), named_dates(t)
+        out = {
             **u,
             "employeeName": ended(person[0]),
             "jobTitle": ended(person[1]),
@@ -159,6 +180,22 @@ def overtime_request(text: Column, scanned: Column | None = None) -> Column:
             "overtimeEndTime": clock(period[5], period[6]),
             "totalOvertimeHours": number(period[7]),
         }
+        if scanned is not None:
+            plain = fold_ocr(t)
+            dates = F.regexp_extract_all(t, F.lit(DAY), F.lit(1))
+            late = F.coalesce(F.nullif(F.regexp_extract(plain, S + OT_AFTER, 1), F.lit("")), plain)
+            clocks = F.regexp_extract_all(late, F.lit(I + OT_CLOCKS), F.lit(1))
+            at = lambda i: F.when(F.size(clocks) >= 2, clock(F.regexp_extract(F.get(clocks, F.lit(i)), r"^(\d+)", 1), F.regexp_extract(F.get(clocks, F.lit(i)), r"(\d+)\s+phut$", 1)))
+            figure = lambda p: number(F.nullif(F.regexp_extract(plain, S + p, 1), F.lit("")))
+            enough = out["startDate"].isNull() & (F.size(dates) >= 3)
+            more = {
+                "workContent": ended(F.regexp_extract(t, S + OT_WORK_SCAN, 1)), "startDate": F.when(enough, iso(F.get(dates, F.lit(1)))), "overtimeHoursPerDay": figure(OT_MORE),
+                "overtimeStartTime": at(0), "overtimeEndTime": at(1), "totalOvertimeHours": figure(OT_TOTAL),
+            }
+            out["endDate"] = F.when(scan & enough, iso(F.get(dates, F.lit(2)))).otherwise(out["endDate"])
+            out |= {n: F.coalesce(out[n], F.when(scan, x)) for n, x in more.items()}
+            out["employeeName"] = F.coalesce(F.when(scan, ended(F.regexp_extract(t, I + OT_SIGNED, 1))), out["employeeName"])
+        return out
 
     return _request(text, OT_ONLY, rest)
 

@@ -236,3 +236,43 @@ def review_form(spark, sf_dir):
     none = F.filter(F.array(F.lit("")), lambda _: F.lit(False))
     rows = rows.withColumn("v", templates.manual_only(F.col("m"), ["segment", "none"], (k % 10) / F.lit(10.0), none, k % 2 != 0))
     return rows.select("k", F.element_at("m", "full_name").alias("full_name"), F.element_at("m", "segment").alias("segment"), F.lit("full_name").alias("present"), F.array_join("v.errors", ",").alias("errors"), F.array_join("v.missing", ",").alias("missing"), "v.confidence", "v.action")
+
+
+#: Requests as a recognizer reads them: marks lost, labels broken, or no phrase left and only the dates in their order.
+SCANNED_LEAVE = """CASE k % 4 WHEN 0 THEN 'Tôi tên là: ' || name || chr(10) || 'Chức vụ: Kỹ sư' || chr(10) || 'Bộ phận: ' || segment || chr(10) || 'Tôi xin nghỉ trong thời gian ' || k % 9 || ',5 ngày kể từ ngày ' || day || ' đến hết ngày ' || full_day || '.'
+ WHEN 1 THEN 'Tôi tên là ' || name || chr(10) || 'Chuc vu Kỹ sư' || chr(10) || 'Bo phân: ' || segment || chr(10) || 'xin nghi trong thoi gian ' || k % 9 || ' ngày tu ' || day || ' den ' || full_day || chr(10) || 'Lý do xin nghi phép: việc ' || k || '. Tôi d kiên tro lai ngày 05/12/2030'
+ WHEN 2 THEN 'Tôi tên là ' || name || chr(10) || 'Ch|c v|: Kỹ sư.' || chr(10) || 'nghi ' || k % 9 || ' ng: ' || day || ', ' || full_day || ', 05/12/2030' || chr(10) || 'Lý do xin nghỉ phép: việc ' || k
+ ELSE 'Toi ten la ' || name || chr(10) || day END"""
+LEAVE_SCANNED = ["employeeName", "jobTitle", "department", "leaveDays", "startDate", "endDate", "reason", "expectedReturnDate", "approverName"]
+
+
+@query(
+    f"""WITH {CUSTOMERS}, d AS (SELECT *, strftime(strptime(full_day, '%d/%m/%Y'), '%Y-%m-%d') AS iso FROM c)
+SELECT k, CASE WHEN k % 4 < 3 THEN name END AS "employeeName", CASE WHEN k % 4 < 3 THEN 'Kỹ sư' END AS "jobTitle", CASE WHEN k % 4 < 2 THEN segment END AS department, CASE k % 4 WHEN 0 THEN (k % 9) || '.5' WHEN 1 THEN (k % 9)::VARCHAR END AS "leaveDays", CASE WHEN k % 4 < 3 THEN iso END AS "startDate", CASE WHEN k % 4 < 3 THEN iso END AS "endDate",
+ CASE WHEN k % 4 IN (1, 2) THEN 'việc ' || k END AS reason, CASE WHEN k % 4 IN (1, 2) THEN '2030-12-05' END AS "expectedReturnDate", CASE WHEN k % 3 = 0 THEN name END AS "approverName", '' AS conflicts FROM d"""
+)
+def scanned_leave(spark, sf_dir):
+    """Four readings of leave requests, with the approver's table: named, only signed, or without its heading."""
+    rows = customers(spark, sf_dir).withColumn("text", F.expr(SCANNED_LEAVE.replace("chr(10)", "char(10)")))
+    cells = lambda *xs: F.array(*(F.array(x) for x in xs))
+    k, head = F.col("k"), F.lit("TRƯỞNG BỘ PHẬN")
+    tables = F.array(cells(F.lit("Ghi chú"), F.lit("x")), F.when(k % 3 == 0, cells(head, F.lit("(Ký)"), F.concat("name", F.lit(".")))).when(k % 3 == 1, cells(head, F.lit("x"), F.lit("(Ký, ghi rõ họ tên)"))).otherwise(cells(F.lit("GIÁM ĐỐC"), F.lit("x"), F.col("name"))))
+    return picked(rows.withColumn("r", templates.leave_request(F.col("text"), F.lit(True), tables)), LEAVE_SCANNED)
+
+
+SCANNED_OVERTIME = """CASE k % 4 WHEN 0 THEN 'Tôi là: ' || name || ' - Chức vụ: Kỹ sư' || chr(10) || 'thời gian làm việc 8h-17h. Do dự án ' || k || ', tôi đề nghị tăng ca.' || chr(10) || 'Thời gian đề nghị: Từ ngày ' || day || ' đến hết ngày ' || full_day || ', tăng thêm 2,5 giờ mỗi ngày, từ 18 giờ 30 phút đến 21 giờ với tổng thời gian dự kiến là ' || k % 50 || ' giờ.' || chr(10) || 'Nội dung công việc: kiểm thử ' || k || '. Tôi cam kết.'
+ WHEN 1 THEN 'Tôi là: ' || name || ' - Chuc vu: Kỹ sư' || chr(10) || 'thi gian làm viêc 8h-17h. Do dự án ' || k || ', toi dê nghi tăng ca.' || chr(10) || 'Thi gian dê ngh: Tu ngày ' || day || ' dên hêt ngày ' || full_day || ', tăng thêm 2,5 gi mi ngày, tu 18 gi 30 phút dên 21 gi vi tông thi gian du kiên là ' || k % 50 || ' gi.' || chr(10) || 'Nôi dung công viêc kiểm thử ' || k || chr(10) || 'Tôi cam kêt'
+ WHEN 2 THEN 'ngay 01/02/2020' || chr(10) || 'nghi: ' || day || ' - ' || full_day || ', tâng them 3 gio, tu 18 gio 15 phut den 20 gio 45 phut, tong thi gian khoang ' || k % 50 || ' gio' || chr(10) || 'NGƯỜI LÀM ĐƠN' || chr(10) || '(Ký tên)' || chr(10) || name
+ ELSE 'Tôi là: ' || segment || ' - Chức vụ: Kỹ sư' || chr(10) || 'Thời gian đề nghị: Ngày ' || day || ', làm thêm 3 giờ, từ 18 giờ đến 21 giờ với tổng thời gian dự kiến là 3 giờ' || chr(10) || 'NGƯỜI LÀM ĐƠN' || chr(10) || name END"""
+OVERTIME_SCANNED = ["employeeName", "jobTitle", "standardWorkSchedule", "reason", "startDate", "endDate", "overtimeHoursPerDay", "overtimeStartTime", "overtimeEndTime", "totalOvertimeHours", "workContent"]
+
+
+@query(
+    f"""WITH {CUSTOMERS}, d AS (SELECT *, strftime(strptime(full_day, '%d/%m/%Y'), '%Y-%m-%d') AS iso, k % 4 AS m FROM c)
+SELECT k, name AS "employeeName", CASE WHEN m <> 2 THEN 'Kỹ sư' END AS "jobTitle", CASE WHEN m < 2 THEN '8h-17h' END AS "standardWorkSchedule", CASE WHEN m < 2 THEN 'dự án ' || k END AS reason, iso AS "startDate", iso AS "endDate", CASE WHEN m < 2 THEN '2.5' ELSE '3' END AS "overtimeHoursPerDay",
+ CASE m WHEN 2 THEN '18:15' WHEN 3 THEN '18:00' ELSE '18:30' END AS "overtimeStartTime", CASE m WHEN 2 THEN '20:45' ELSE '21:00' END AS "overtimeEndTime", CASE m WHEN 3 THEN '3' ELSE (k % 50)::VARCHAR END AS "totalOvertimeHours", CASE WHEN m < 2 THEN 'kiểm thử ' || k END AS "workContent", '' AS conflicts FROM d"""
+)
+def scanned_overtime(spark, sf_dir):
+    """Four readings of overtime requests: whole, marks lost, only figures and dates with a signature, a single day with a signature."""
+    rows = customers(spark, sf_dir).withColumn("text", F.expr(SCANNED_OVERTIME.replace("chr(10)", "char(10)")))
+    return picked(rows.withColumn("r", templates.overtime_request(F.col("text"), F.lit(True))), OVERTIME_SCANNED)
