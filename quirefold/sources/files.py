@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
 
@@ -33,6 +34,13 @@ def read(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select("path", F.regexp_extract("path", "[^/]*$", 0).alias("filename"), "length", "content")
 
 
+def arriving(spark: SparkSession, path: str, glob: str = "*", most: int = 1000) -> DataFrame:
+    """The same rows as a stream, so many new files a batch: what has been read is in the stream's own log, and each file comes once."""
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    files = stream.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("maxFilesPerTrigger", most).load(path)
+    return files.select("path", F.regexp_extract("path", "[^/]*$", 0).alias("filename"), "length", "content")
+
+
 def extension(filename: Column) -> Column:
     return F.lower(F.regexp_extract(filename, r"\.([^.]+)$", 1))
 
@@ -186,8 +194,37 @@ def _corners(reference: str) -> tuple[int, int, int, int]:
     return *_place(first), *_place(last or first)
 
 
+def _merged(spans: list[tuple[int, int, int, int]], rows: list[int]) -> dict[int, list[tuple[int, int, tuple[int, int]]]]:
+    """Of each row that has cells, the merged columns and their first cell."""
+    out: dict[int, list[tuple[int, int, tuple[int, int]]]] = {}
+    for a, c, b, d in spans:
+        for row in rows[bisect_left(rows, a) : bisect_right(rows, b)]:
+            out.setdefault(row, []).append((c, d, (a, c)))
+    return out
+
+
+#: Parts of a document around its body, and properties that come out (fixed values).
+AROUND, PROPERTIES = ("header", "footer"), ("title", "subject", "creator", "keywords", "description", "lastModifiedBy", "created", "modified")
+
+
 def _docx(z: zipfile.ZipFile) -> Iterator[tuple]:
-    """Headings by style, runs of numbered paragraphs as list items, table cells, in the body's order."""
+    """Core properties by name, then headers, headings by style, runs of numbered paragraphs as list items, table cells in the body's order, then footers."""
+    if "docProps/core.xml" in z.namelist():
+        found = {_local(x.tag): (x.text or "").strip() for x in ElementTree.fromstring(z.read("docProps/core.xml"))}
+        yield from (("property", found[name], name, None, None) for name in PROPERTIES if found.get(name))
+    yield from _around(z, AROUND[0])
+    yield from _body(z)
+    yield from _around(z, AROUND[1])
+
+
+def _around(z: zipfile.ZipFile, part: str) -> Iterator[tuple]:
+    for name in sorted(n for n in z.namelist() if re.fullmatch(rf"word/{part}[0-9]*\.xml", n)):
+        for p in ElementTree.fromstring(z.read(name)).iter():
+            if _local(p.tag) == "p" and _text(p):
+                yield part, _text(p), None, None, None
+
+
+def _body(z: zipfile.ZipFile) -> Iterator[tuple]:
     body = ElementTree.fromstring(z.read("word/document.xml")).find("{*}body")
     for node in body if body is not None else ():
         if _local(node.tag) == "p":
@@ -209,21 +246,18 @@ def _xlsx(z: zipfile.ZipFile) -> Iterator[tuple]:
     shared = [_text(x) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
     sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet[0-9]+\.xml", n)), key=lambda n: int(re.search(r"[0-9]+", n)[0]))
     titles = [s.attrib.get("name", "") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).findall("{*}sheets/{*}sheet")] if "xl/workbook.xml" in names else []
-    count = 0
     for k, name in enumerate(sheets):
         title = titles[k] if k < len(titles) else name
         yield "sheet", title, title, None, None, None
         root = ElementTree.fromstring(z.read(name))
-        spans = [_corners(x.attrib["ref"]) for x in root.iter() if _local(x.tag) == "mergeCell" and "ref" in x.attrib]
-        for cell in root.iter():
-            if _local(cell.tag) != "c":
-                continue
-            row, column = _place(cell.attrib.get("r", ""))
-            if any(a <= row <= b and c <= column <= d and (row, column) != (a, c) for a, c, b, d in spans):
+        cells = [(*_place(x.attrib.get("r", "")), x) for x in root.iter() if _local(x.tag) == "c"]
+        # The limit is each sheet's own, by its rows times its columns.
+        if max((r + 1 for r, _, _ in cells), default=0) * max((c + 1 for _, c, _ in cells), default=0) > LIMITS["cells"]:
+            raise ValueError("too many cells")
+        merged = _merged([_corners(x.attrib["ref"]) for x in root.iter() if _local(x.tag) == "mergeCell" and "ref" in x.attrib], sorted({r for r, _, _ in cells}))
+        for row, column, cell in cells:
+            if any(c <= column <= d and (row, column) != first for c, d, first in merged.get(row, ())):
                 continue
-            count += 1
-            if count > LIMITS["cells"]:
-                raise ValueError("too many cells")
             formula, value, kind = cell.find("{*}f"), cell.find("{*}v"), {"s": "text", "str": "text", "inlineStr": "text", "b": "boolean", "e": "error", "d": "date"}.get(cell.attrib.get("t", ""), "number")
             if formula is not None:
                 text, kind = f"={formula.text or ''}", "formula"

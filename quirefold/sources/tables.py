@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,22 +67,44 @@ def new_results(results: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return rows.join(stored.select(key), key, "left_anti").withColumn("digest", F.concat(F.lit("sha256:"), F.sha2("json", 256)))
 
 
-def store(results: DataFrame, path: str, key: str, batch: str | None = None) -> int:
+#: Seconds after which a lock that its writer has not renewed is taken for a dead writer's.
+STALE = 600
+
+
+def store(results: DataFrame, path: str, key: str, batch: str | None = None, stale: float = STALE) -> int:
     """Adds new results to a Parquet store; replays change nothing. Gives the number of rows written.
 
     With a batch name the rows go to that batch's own folder, which a rerun writes over, so a run that failed half-way or ran
     twice leaves one copy. Batches of one store must not run at the same time: a lock file, made only if it is not there, sees
-    to that.
+    to that. Its writer renews it; one that a killed driver left is taken away when it has not been renewed for so many seconds.
     """
     spark = results.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.lock")
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.createNewFile(fs_path):
-        raise RuntimeError(f"{path} is being written")
+    lock = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.lock")
+    fs = lock.getFileSystem(spark._jsc.hadoopConfiguration())
+    fresh = lambda at: time.time() - fs.getFileStatus(at).getModificationTime() / 1000 < stale
+    if not fs.createNewFile(lock):
+        if fresh(lock):
+            raise RuntimeError(f"{path} is being written")
+        # Whoever moves the old lock away goes on; one that has moved a new one instead puts it back.
+        aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.lock-{uuid.uuid4().hex}")
+        moved = fs.rename(lock, aside)
+        if moved and fresh(aside):
+            fs.rename(aside, lock)
+            moved = False
+        if not (moved and fs.delete(aside, False) and fs.createNewFile(lock)):
+            raise RuntimeError(f"{path} is being written")
+    done = threading.Event()
+
+    def renew() -> None:
+        while not done.wait(stale / 4):
+            fs.setTimes(lock, int(time.time() * 1000), -1)
+
+    threading.Thread(target=renew, daemon=True).start()
     try:
         return _store(results, path, key, batch)
     finally:
-        fs.delete(fs_path, False)
+        done.set()
+        fs.delete(lock, False)
 
 
 def _store(results: DataFrame, path: str, key: str, batch: str | None) -> int:

@@ -1,6 +1,7 @@
 """Files made in code: formats by content, unsafe containers, Office parsers, strict JSON, stores that take a result once."""
 
 import io
+import os
 import zipfile
 
 import pytest
@@ -127,6 +128,36 @@ def test_store_takes_each_result_once(spark, tmp_path):
     (tmp_path / "store.lock").write_text("")
     with pytest.raises(RuntimeError, match="being written"):
         tables.store(more, path, "k")
+    # A lock that nobody renews is a dead writer's.
+    os.utime(tmp_path / "store.lock", (1, 1))
+    assert tables.store(spark.createDataFrame([("k9", 1)], "k string, v int"), path, "k", "b2") == 1
+    assert not [x for x in os.listdir(tmp_path) if x.startswith("store.lock")]
+
+
+def test_arriving_files_are_the_folder(spark, folder, tmp_path):
+    run = files.arriving(spark, folder, most=3).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
+    run.awaitTermination()
+    key = lambda rows: sorted((r.path, r.filename, r.length, bytes(r.content)) for r in rows)
+    assert key(spark.read.parquet(f"{tmp_path}/out").collect()) == key(files.read(spark, folder).collect()) and len(run.recentProgress) > 3
+
+
+def test_document_around_its_body_and_sheet_limits(spark, tmp_path, monkeypatch):
+    around = {"word/document.xml": DOCX, "word/header1.xml": f"<w:hdr {W}><w:p><w:r><w:t>Top</w:t></w:r></w:p></w:hdr>", "word/footer1.xml": f"<w:ftr {W}><w:p><w:r><w:t>Page</w:t></w:r></w:p></w:ftr>",
+              "docProps/core.xml": '<cp:coreProperties xmlns:cp="c" xmlns:dc="d"><dc:title>Deal</dc:title><dc:creator>An</dc:creator><cp:other>x</cp:other></cp:coreProperties>'}
+    (tmp_path / "a.docx").write_bytes(zipped(**around))
+    two = '<worksheet><sheetData><row r="1"><c r="A1"><v>1</v></c><c r="B1"><v>2</v></c></row><row r="3"><c r="A3"><v>3</v></c><c r="B3"><v>4</v></c><c r="C3"><v>5</v></c></row></sheetData><mergeCells><mergeCell ref="A1:B2"/><mergeCell ref="B3:C9"/></mergeCells></worksheet>'
+    (tmp_path / "b.xlsx").write_bytes(zipped(**{"xl/worksheets/sheet1.xml": two, "xl/worksheets/sheet2.xml": two}))
+    seen, _ = files.intake(spark, str(tmp_path))
+    rows = [(r.kind, r.text, r.sheet) for r in seen.where("doc_id LIKE '%a.docx'").orderBy("seq").collect()]
+    assert rows[:3] == [("property", "Deal", "title"), ("property", "An", "creator"), ("header", "Top", None)] and rows[-1] == ("footer", "Page", None)
+    cells = [r.text for r in seen.where("doc_id LIKE '%b.xlsx' AND kind = 'cell'").orderBy("seq").collect()]
+    assert cells == ["1", "3", "4"] * 2
+    z = zipfile.ZipFile(tmp_path / "b.xlsx")
+    monkeypatch.setitem(files.LIMITS, "cells", 9)
+    assert len([x for x in files._xlsx(z) if x[0] == "cell"]) == 6
+    monkeypatch.setitem(files.LIMITS, "cells", 8)
+    with pytest.raises(ValueError, match="too many"):
+        list(files._xlsx(z))
 
 
 def test_flat_export_and_aggregates(spark, tmp_path):
