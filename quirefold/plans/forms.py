@@ -276,3 +276,32 @@ def scanned_overtime(spark, sf_dir):
     """Four readings of overtime requests: whole, marks lost, only figures and dates with a signature, a single day with a signature."""
     rows = customers(spark, sf_dir).withColumn("text", F.expr(SCANNED_OVERTIME.replace("chr(10)", "char(10)")))
     return picked(rows.withColumn("r", templates.overtime_request(F.col("text"), F.lit(True))), OVERTIME_SCANNED)
+
+
+@query(
+    f"""WITH {CUSTOMERS}, f AS (SELECT k, k % 8 AS m, kind, confidence, unnest(['employeeName', 'employeeId', 'department', 'leaveStartDate', 'leaveEndDate', 'leaveDays', 'leaveReason']) AS field,
+ unnest(CASE k % 8 WHEN 0 THEN [name, staff, segment, day, full_day, '3 ngày', priority] WHEN 1 THEN [name, staff, segment, day, full_day, 'nghỉ 004', priority] WHEN 2 THEN [name, staff, segment, NULL, NULL, '0', priority] WHEN 3 THEN [NULL, staff, segment, NULL, NULL, NULL, priority]
+   WHEN 4 THEN [name, staff, segment, day, full_day, '2', priority] WHEN 5 THEN [NULL, NULL, NULL, '31/02/2024', '45/01/2024', 'hai', NULL] WHEN 6 THEN [name, '1234567', NULL, '1/2/24', '3.2.24', '12,5', 'a | b'] ELSE [NULL, NULL, NULL, NULL, NULL, NULL, NULL] END) AS value,
+ unnest(CASE k % 8 WHEN 0 THEN [name, staff, segment, full_day, full_day, '3', priority] WHEN 1 THEN [name, staff, segment, full_day, full_day, '4', priority] WHEN 2 THEN [name, staff, segment, NULL, NULL, '0', priority] WHEN 3 THEN [NULL, staff, segment, NULL, NULL, NULL, priority]
+   WHEN 4 THEN [name, staff, segment, full_day, full_day, '2', priority] WHEN 6 THEN [name, '1234567', NULL, '01/02/2024', '03/02/2024', '12', 'a | b'] ELSE [NULL, NULL, NULL, NULL, NULL, NULL, NULL] END) AS normalized,
+ unnest([true, staff_ok AND k % 8 <> 6, true, k % 8 <> 5, k % 8 <> 5, k % 8 NOT IN (2, 5), true]) AS valid FROM c)
+SELECT k, 'LEAVE_REQUEST' AS document_type, field, value, normalized, {GRADED} FROM f"""
+)
+def varied_forms(spark, sf_dir):
+    """One leave request in eight layouts: colons, dashes and capitals, values in the next block, labels one after another, competing values, days that are none, short years, nothing at all."""
+    span = lambda a, b: text("Từ ", a, " đến ", b)
+    by = [
+        blocks(text("Họ và tên: ", "name"), text("Mã NV: ", "staff"), text("Bộ phận: ", "segment"), text("Thời gian nghỉ: Từ ", "day", " đến ", "full_day"), text("Số ngày nghỉ: 3 ngày"), text("Lý do: ", "priority")),
+        blocks(text("HỌ TÊN - ", "name"), text("MÃ NHÂN VIÊN   ", "staff"), text("phòng ban-", "segment"), text("xin nghỉ từ  ", "day", "  ĐẾN ", "full_day"), text("Số ngày nghỉ: nghỉ 004"), text("LÝ DO", ":- ", "priority", " |")),
+        blocks(text("Họ và tên"), text("name"), text("Mã NV :"), text("staff"), text("Bộ phận -"), text("segment"), text("Số ngày nghỉ"), text("0"), text("Lý do"), text("priority")),
+        blocks(text("Họ và tên"), text("Mã NV: ", "staff"), text("Bộ phận"), text("segment"), text("Số ngày nghỉ"), text("Lý do: ", "priority"), text("ĐƠN XIN NGHỈ PHÉP")),
+        blocks(text("Mã NV: ", "staff"), text("Mã NV: khác"), text("Họ tên: ", "name"), text("Họ và tên: khác"), text("Bộ phận"), text("segment"), text("Bộ phận: khác"), text("Từ ", "day", " đến ", "full_day"), text("Từ 1/1/1999 đến 2/1/1999"), text("Số ngày nghỉ: 2"), text("Lý do: ", "priority")),
+        blocks(span("31/02/2024", "45/01/2024"), text("Số ngày nghỉ: hai"), text("xx Họ và tên: giữa dòng"), text("Lý do"), text("Ghi chú: không")),
+        blocks(text("  "), text("Họ tên: ", "name"), text("Mã NV: 1234567"), span("1/2/24", "3.2.24"), text("Số ngày nghỉ: 12,5"), text("Lý do: a | b")),
+        blocks(text("ĐƠN XIN NGHỈ PHÉP"), text("Kính gửi"), text("")),
+    ]
+    out = by[7]
+    for i in range(7):
+        out = F.when(F.col("k") % 8 == i, by[i]).otherwise(out)
+    rows = customers(spark, sf_dir).select("k", F.lit("LEAVE_REQUEST").alias("document_type"), out.alias("blocks"))
+    return listed(forms.read_forms(rows))
