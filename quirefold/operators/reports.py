@@ -326,3 +326,41 @@ def seal_problems(confirmed_by_user: Column, already_sealed: Column, open_fields
     """What forbids sealing a reviewed dataset; empty if nothing does."""
     rules = [(~confirmed_by_user, "CONFIRMATION_REQUIRED"), (already_sealed, "ALREADY_SEALED"), (open_fields > 0, "REVIEW_INCOMPLETE"), (locked != current, "LOCK_HASH_MISMATCH")]
     return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), code) for c, code in rules)))
+
+
+#: Least improvement of the scanned fields for a fallback (fixed value).
+FALLBACK_GAIN = 0.1
+
+
+def data_decisions(fields: DataFrame, by: list[str], families: list[str], fallback: bool = True) -> DataFrame:
+    """(by, code, passed, decision, fallback, gain): the thirteen checks of each evaluation, its decision, and whether its candidate may stand in for the baseline on scans.
+
+    fields (by, family, truth, pred, base, scan, sensitive, accepted, review, auto, readable, typed, broken): one row a field of the evaluation set; base is the baseline's value,
+    null where it was not run. Every check is a sum over the rows of an evaluation, so a large one is added up before any shuffle. An evaluation without scans has a
+    scan rate of 0; a family without fields fails its check. With fallback the decision also asks for the fallback's own conditions.
+    """
+    c, n = F.col, F.count("*")
+    exact, right = c("pred").eqNullSafe(c("truth")), c("base").eqNullSafe(c("truth"))
+    part = lambda x, y: F.coalesce(F.count_if(x) / F.nullif(F.count_if(y), F.lit(0)), F.lit(0.0))
+    filled = lambda x: F.coalesce(c(x), F.lit("")) != ""
+    own = [part(exact & (c("family") == f), c("family") == f) >= 0.8 for f in families]
+    scanned = F.count_if(c("scan"))
+    m = fields.groupBy(*by).agg(
+        (F.count_if(exact) / n).alias("exact"), F.least(*(x.cast("int") for x in own)).alias("families"), F.count_if(filled("truth")).alias("applicable"), part(filled("truth") & filled("pred"), filled("truth")).alias("complete"), (F.count_if("typed") / n).alias("accuracy"),
+        F.count_if("broken").alias("schema_errors"), F.count_if(c("sensitive") & c("accepted") & ~exact).alias("sensitive_false"), F.count_if(right & ~exact & c("base").isNotNull()).alias("regressions"), F.count_if(c("base").isNull()).alias("without_base"),
+        F.count_if(c("scan") & ~c("review")).alias("unreviewed"), F.count_if(c("scan") & c("auto")).alias("false_auto"), F.count_if(c("scan") & ~c("readable")).alias("unreadable"), F.count("accepted").alias("reported"),
+        part(exact & c("scan"), c("scan")).alias("scan_exact"), part(right & c("scan") & c("base").isNotNull(), c("scan")).alias("scan_base"), F.count_if(c("scan") & right & ~exact & c("base").isNotNull()).alias("scan_regressions"), F.count_if(c("scan") & c("base").isNull()).alias("scan_without_base"), scanned.alias("scans"), n.alias("n"),
+    )
+    checks = {
+        "strictOverallAtLeast80": c("exact") >= 0.8, "strictEachFamilyAtLeast80": c("families") == 1, "applicableCompletenessAtLeast95": (c("applicable") > 0) & (c("complete") >= 0.95), "classificationAtLeast95": c("accuracy") >= 0.95,
+        "schemaErrorsZero": c("schema_errors") == 0, "sensitiveFalseAcceptanceZero": c("sensitive_false") == 0, "parserCorrectRegressionZero": c("regressions") == 0, "parserRegressionComparisonReady": c("without_base") == 0, "scanAlwaysManualReview": c("unreviewed") == 0,
+        "falseAutoContinueZero": c("false_auto") == 0, "unsupportedOcrZero": c("unreadable") == 0, "acceptedTextReportedSeparately": c("reported") == c("n"), "semanticMetricNotUsedAsStrictGate": F.lit(True),
+    }
+    gain = F.when(c("scan_without_base") == 0, F.bround(c("scan_exact") - c("scan_base"), 6))
+    stands = F.coalesce((gain >= FALLBACK_GAIN) & (c("scan_regressions") == 0) & (c("schema_errors") == 0) & (c("unreviewed") == 0) & (c("false_auto") == 0) & (c("scans") > 0), F.lit(False))
+    passed = F.array(*(F.struct(F.lit(k).alias("code"), v.alias("passed")) for k, v in checks.items()))
+    rows = m.select(*by, passed.alias("checks"), gain.alias("gain"), (stands if fallback else F.lit(None).cast("boolean")).alias("stands"))
+    good = F.forall("checks", lambda x: x["passed"]) & (F.coalesce("stands", F.lit(True)))
+    state = F.when(F.col("stands").isNull(), "NOT_EVALUATED").when(F.col("stands"), "PASS").otherwise("HOLD")
+    each = rows.select(*by, F.explode("checks").alias("c"), F.when(good, "PASS").otherwise("HOLD").alias("decision"), state.alias("fallback"), "gain")
+    return each.select(*by, "c.code", "c.passed", "decision", "fallback", "gain")

@@ -362,3 +362,25 @@ def corpus_cer(spark, sf_dir):
     """Corpus rates without any normalisation: spacing counts."""
     rows = name_pairs(spark, sf_dir).withColumn("truth", F.concat(F.lit("  "), "truth", F.lit(" ")))
     return metrics.text_errors(rows, by=["p_brand"], fold=lambda x: x)
+
+
+#: Twelve evaluations of one set; each but the first three breaks one thing.
+EVALUATED = """SELECT l_suppkey % 12 AS run, 'C' || (l_linenumber % 3) AS family, l_returnflag AS truth, CASE WHEN l_suppkey % 12 = 3 AND l_orderkey % 3 = 0 OR l_suppkey % 12 = 4 AND l_linenumber % 3 = 1 AND l_orderkey % 4 = 0 OR l_orderkey % 40 = 7 THEN 'x' WHEN l_suppkey % 12 = 5 AND l_orderkey % 10 = 1 THEN '' ELSE l_returnflag END AS pred,
+ CASE WHEN l_suppkey % 12 = 8 AND l_orderkey % 50 = 0 THEN NULL WHEN l_orderkey % 40 = 7 AND l_suppkey % 12 <> 9 OR l_suppkey % 12 <> 1 AND l_orderkey % 5 = 2 THEN 'y' ELSE CASE WHEN l_suppkey % 12 IN (3, 4, 5) AND l_orderkey % 3 > 0 THEN 'y' ELSE l_returnflag END END AS base, l_orderkey % 2 = 0 AS scan, l_linenumber = 1 AS sensitive, NOT (l_orderkey % 40 = 7 AND l_suppkey % 12 <> 7) AS accepted, NOT (l_suppkey % 12 = 10 AND l_orderkey % 8 = 0) AS review,
+ l_suppkey % 12 = 11 AND l_orderkey % 6 = 0 AS auto, NOT (l_suppkey % 12 = 2 AND l_orderkey % 30 = 0) AS readable, NOT (l_suppkey % 12 = 6 AND l_orderkey % 9 = 0) AS typed, l_suppkey % 12 = 6 AND l_orderkey % 90 = 1 AS broken"""
+_DATA = [
+    ("strictOverallAtLeast80", "exact >= 0.8"), ("strictEachFamilyAtLeast80", "fam"), ("applicableCompletenessAtLeast95", "app > 0 AND comp >= 0.95"), ("classificationAtLeast95", "acc >= 0.95"), ("schemaErrorsZero", "br = 0"), ("sensitiveFalseAcceptanceZero", "sf = 0"), ("parserCorrectRegressionZero", "reg = 0"),
+    ("parserRegressionComparisonReady", "nb = 0"), ("scanAlwaysManualReview", "ur = 0"), ("falseAutoContinueZero", "fa = 0"), ("unsupportedOcrZero", "un = 0"), ("acceptedTextReportedSeparately", "true"), ("semanticMetricNotUsedAsStrictGate", "true"),
+]
+
+
+@query(
+    f"""WITH f AS ({EVALUATED} FROM lineitem), m AS (SELECT run, avg((pred = truth)::INT) AS exact, min(fam) >= 0.8 AND count(DISTINCT family) = 3 AS fam, count(*) FILTER (truth <> '') AS app, count(*) FILTER (pred <> '') / count(*)::DOUBLE AS comp, avg(typed::INT) AS acc, count(*) FILTER (broken) AS br, count(*) FILTER (sensitive AND accepted AND pred <> truth) AS sf,
+ count(*) FILTER (base = truth AND pred <> truth) AS reg, count(*) FILTER (base IS NULL) AS nb, count(*) FILTER (scan AND NOT review) AS ur, count(*) FILTER (scan AND auto) AS fa, count(*) FILTER (scan AND NOT readable) AS un, count(*) FILTER (scan AND pred = truth) / count(*) FILTER (scan)::DOUBLE AS sc, count(*) FILTER (scan AND base = truth) / count(*) FILTER (scan)::DOUBLE AS sb,
+ count(*) FILTER (scan AND base = truth AND pred <> truth) AS sr, count(*) FILTER (scan AND base IS NULL) AS snb FROM (SELECT *, avg((pred = truth)::INT) OVER (PARTITION BY run, family) AS fam FROM f) GROUP BY run),
+g AS (SELECT *, CASE WHEN snb = 0 THEN round_even(sc - sb, 6) END AS gain FROM m), h AS (SELECT *, coalesce(gain >= 0.1, false) AND sr = 0 AND br = 0 AND ur = 0 AND fa = 0 AS stands FROM g),
+k AS (SELECT run, stands, gain, {listed_checks(_DATA)} FROM h) SELECT run, code, passed, CASE WHEN bool_and(passed) OVER (PARTITION BY run) AND stands THEN 'PASS' ELSE 'HOLD' END AS decision, CASE WHEN stands THEN 'PASS' ELSE 'HOLD' END AS fallback, gain FROM k"""
+)
+def data_decisions(spark, sf_dir):
+    rows = spark.sql(f"{EVALUATED} FROM {{lineitem}}", lineitem=table(spark, sf_dir, "lineitem"))
+    return reports.data_decisions(rows, ["run"], ["C0", "C1", "C2"])
