@@ -41,17 +41,6 @@ def running(df: DataFrame, by: str, order: list[str], size: Column) -> DataFrame
     return placed.select(*df.columns, (F.col("_start") + F.col("_within")).alias("before"))
 
 
-def nth_values(rows: DataFrame, by: str, value: str, place: Column) -> DataFrame:
-    """(by, value, samples): of each group the value at a place (from 1) that may depend on `samples`, its number of values; nulls do not count.
-
-    Equal values are counted before any shuffle, and the counts are summed up range by range, so a hot group is never gathered.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_k"))
-    sums = counts.groupBy(by).agg(F.sum("_k").alias("samples")).withColumn("_place", place).withColumnRenamed(by, "_by")
-    placed = running(counts, by, [value], F.col("_k")).join(sums, F.col(by).eqNullSafe(F.col("_by")))
-    return placed.where((F.col("before") < F.col("_place")) & (F.col("_place") <= F.col("before") + F.col("_k"))).select(by, value, "samples")
-
-
 def number_cases(rows: DataFrame, category: str, order: str) -> DataFrame:
     """Adds case_id `<category>-<0001...>`, a running number within the category; numbers over 9999 take more digits. Order has no repeats within a category.
 
