@@ -145,16 +145,21 @@ def consensus(candidates: DataFrame, keys: list[str], folded: Column) -> DataFra
     then mean confidence, then the smaller value. It is accepted only if its readers come from two families.
     """
     rows = candidates.where("value IS NOT NULL AND value <> ''").withColumn("_fold", folded)
-    exact = rows.groupBy(*keys, "_fold", "value").agg(F.countDistinct("reader").alias("members"), F.countDistinct("family").alias("families"), F.bround(F.avg("confidence"), 6).alias("confidence"))
-    loose = rows.groupBy(*keys, "_fold").agg(F.countDistinct("reader").alias("fold_members"), F.countDistinct("family").alias("fold_families"))
-    both = exact.join(loose, [*keys, "_fold"])
-    agreed, near = F.col("members") >= 2, F.col("fold_members") >= 2
-    level = F.when(agreed, 2).when(near, 1).otherwise(0)
-    order = F.struct(level.alias("level"), F.when(agreed, F.col("members")).otherwise(F.col("fold_members")).alias("m"), F.when(agreed, F.col("families")).otherwise(F.col("fold_families")).alias("f"), "confidence")
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_order"), "value"))
-    top = both.withColumn("_order", order).withColumn("_place", place).where("_place = 1")
-    rule = F.element_at(F.array(F.lit("SINGLE"), F.lit("FOLDED"), F.lit("EXACT")), F.col("_order.level") + 1)
-    return top.select(*keys, "value", F.col("_order.m").alias("members"), F.col("_order.f").alias("families"), rule.alias("rule"), ((F.col("_order.level") > 0) & (F.col("_order.f") >= 2)).alias("accepted"))
+    exact = rows.groupBy(*keys, "_fold", "value").agg(F.collect_set("reader").alias("r"), F.collect_set("family").alias("f"), F.bround(F.avg("confidence"), 6).alias("confidence"))
+    each = F.collect_list(F.struct("value", F.size("r").alias("members"), F.size("f").alias("families"), "confidence"))
+    near = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    loose = exact.groupBy(*keys, "_fold").agg(each.alias("each"), near("r").alias("members"), near("f").alias("families"))
+
+    def rank(v: Column) -> Column:
+        """What comes first is least."""
+        agreed = v["members"] >= 2
+        level = F.when(agreed, 2).when(F.col("members") >= 2, 1).otherwise(0)
+        members, families = (F.when(agreed, v[c]).otherwise(F.col(c)).cast("long") for c in ("members", "families"))
+        return F.struct((-level).alias("level"), (-members).alias("members"), (-families).alias("families"), (-v["confidence"]).alias("confidence"), v["value"].alias("value"))
+
+    top = loose.groupBy(*keys).agg(F.min(F.array_min(F.transform("each", rank))).alias("t"))
+    rule = F.element_at(F.array(F.lit("SINGLE"), F.lit("FOLDED"), F.lit("EXACT")), 1 - F.col("t.level"))
+    return top.select(*keys, "t.value", (-F.col("t.members")).alias("members"), (-F.col("t.families")).alias("families"), rule.alias("rule"), ((F.col("t.level") < 0) & (F.col("t.families") <= -2)).alias("accepted"))
 
 
 def recover(baseline: DataFrame, agreed: DataFrame, keys: list[str]) -> DataFrame:
