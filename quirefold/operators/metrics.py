@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions.numbers import harmonic, rate
-from quirefold.functions.text import casefold, collapse, mark_count, without_vietnamese_marks, word_edits
+from quirefold.functions.text import casefold, collapse, composed, mark_count, without_vietnamese_marks, word_edits
 from quirefold.operators.quantiles import nearest, order_statistics
 
 
@@ -133,6 +133,34 @@ def text_errors(pairs: DataFrame, truth: str = "truth", pred: str = "pred", by:
     return rows.groupBy(*(by or [])).agg(*aggs)
 
 
+#: Confidence from which a reading counts as accepted (fixed value).
+ACCEPTED_FROM = 0.95
+
+
+def recognition_report(pairs: DataFrame, by: list[str], threshold: float = ACCEPTED_FROM) -> DataFrame:
+    """All counts and rates of recognized texts by `by`: pairs (by, truth, pred, confidence, duration).
+
+    Texts are composed and their spacing folded; a missing prediction counts as empty. Predictions that were not composed are violations. Accepted are
+    those of at least the threshold; percentiles of the durations are narrowed down, all else is one pass of sums.
+    """
+    c, n = F.col, F.count("*")
+    fold = lambda x: collapse(composed(F.coalesce(x, F.lit(""))))
+    rows = pairs.select(*by, fold(c("truth")).alias("t"), fold(c("pred")).alias("p"), (composed(c("pred")) != c("pred")).alias("loose"), (c("confidence") >= threshold).alias("sure"), c("duration").cast("double").alias("duration"))
+    split = lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")
+    plain = lambda x: without_vietnamese_marks(c(x))
+    rows = rows.withColumns({
+        "exact": c("t") == c("p"), "chars": F.length("t"), "edits": F.levenshtein("t", "p"), "base": F.levenshtein(plain("t"), plain("p")), "marks": mark_count(c("t")), "words": F.size(split(c("t"))), "word_edits": word_edits(split(c("t")), split(c("p"))),
+    })
+    total = lambda x: F.sum(x).cast("long")
+    sums = rows.groupBy(*by).agg(
+        n.alias("cases"), F.count_if("exact").alias("exact"), total("chars").alias("chars"), total("edits").alias("char_errors"), total("words").alias("words"), total("word_edits").alias("word_errors"), total("marks").alias("marks"),
+        total(F.greatest(F.lit(0), c("edits") - c("base"))).alias("mark_errors"), F.count_if("loose").alias("nfc_violations"), F.count_if("sure").alias("accepted"), F.count_if(c("sure") & c("exact")).alias("accepted_exact"),
+    )
+    rates = {"exact_rate": ("exact", "cases"), "cer": ("char_errors", "chars"), "wer": ("word_errors", "words"), "der": ("mark_errors", "marks"), "accepted_precision": ("accepted_exact", "accepted")}
+    out = sums.withColumns({k: rate(c(a), c(b)) for k, (a, b) in rates.items()}).withColumn("threshold", F.lit(threshold))
+    return with_ranks(out, rows, by, "duration").drop("samples")
+
+
 def error_class(truth: Column, pred: Column) -> Column:
     """exact, empty, diacritic_only, else missing, extra or substitution by length."""
     t, p = collapse(F.coalesce(truth, F.lit(""))), collapse(F.coalesce(pred, F.lit("")))

@@ -313,3 +313,21 @@ def fuzzy_anti(spark, sf_dir):
 def merged_readings(spark, sf_dir):
     scanned, native = pages_of_names(spark, sf_dir)
     return matching.merged_readings(native, scanned, "page", "text", 0.86)
+
+
+READ = """SELECT p_brand, p_size::DOUBLE AS duration, CASE WHEN p_partkey % 3 = 0 THEN 0.97 ELSE 0.9 END AS confidence, 'Đặng  ' || p_name || ' ế' AS truth, CASE p_partkey % 6 WHEN 0 THEN 'Đặng ' || p_name || ' ế' WHEN 1 THEN ' Dang ' || p_name || ' e' WHEN 2 THEN 'Đặng ' || p_name || ' ế x' WHEN 3 THEN 'Đặng ế' WHEN 4 THEN 'Đ' || loose.a || 'ng ' || p_name || ' ' || loose.e END AS pred, p_partkey % 6 AS m, p_name"""
+
+
+@query(
+    f"""WITH loose(a, e) AS (SELECT 'a' || chr(803) || chr(774), 'e' || chr(770) || chr(769)), r AS ({READ} FROM part, loose),
+s AS (SELECT *, 'Đặng ' || p_name || ' ế' AS t, CASE m WHEN 4 THEN 'Đặng ' || p_name || ' ế' WHEN 5 THEN '' ELSE trim(pred) END AS p, len(string_split(p_name, ' ')) + 2 AS w FROM r),
+e AS (SELECT *, CASE m WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN length(p_name) + 1 WHEN 4 THEN 0 ELSE length(t) END AS ed, CASE m WHEN 1 THEN 3 ELSE 0 END AS md, CASE m WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN w - 2 WHEN 5 THEN w ELSE 0 END AS wd FROM s)
+SELECT p_brand, count(*) AS cases, count(*) FILTER (t = p) AS exact, sum(length(t))::BIGINT AS chars, sum(ed)::BIGINT AS char_errors, sum(w)::BIGINT AS words, sum(wd)::BIGINT AS word_errors, sum(3)::BIGINT AS marks, sum(md)::BIGINT AS mark_errors, count(*) FILTER (m = 4) AS nfc_violations, count(*) FILTER (confidence >= 0.95) AS accepted, count(*) FILTER (confidence >= 0.95 AND t = p) AS accepted_exact,
+ round_even(count(*) FILTER (t = p) / count(*)::DOUBLE, 6) AS exact_rate, round_even(sum(ed) / sum(length(t))::DOUBLE, 6) AS cer, round_even(sum(wd) / sum(w)::DOUBLE, 6) AS wer, round_even(sum(md) / (3 * count(*))::DOUBLE, 6) AS der, coalesce(round_even(count(*) FILTER (confidence >= 0.95 AND t = p) / nullif(count(*) FILTER (confidence >= 0.95), 0)::DOUBLE, 6), 0) AS accepted_precision, 0.95::DOUBLE AS threshold, quantile_disc(duration, 0.5) AS p50, quantile_disc(duration, 0.95) AS p95 FROM e GROUP BY p_brand"""
+)
+def recognition_report(spark, sf_dir):
+    """Readings of six kinds: right, marks lost, a word more, the middle lost, not composed, none."""
+    loose = F.struct(F.lit("a\u0323\u0306").alias("a"), F.lit("e\u0302\u0301").alias("e"))
+    parts = table(spark, sf_dir, "part").withColumn("loose", loose)
+    rows = spark.sql(f"{READ} FROM {{parts}}".replace("p_size::DOUBLE", "CAST(p_size AS DOUBLE)"), parts=parts)
+    return metrics.recognition_report(rows, ["p_brand"])
