@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quirefold.functions.text import fold_strict, label_value
+from quirefold.functions.text import fold_strict, label_value, once
 
 CONFIDENCE = 0.96
 
@@ -113,6 +113,36 @@ def renamed(data: Column, aliases: dict[str, str]) -> Column:
     return F.transform_keys(data, lambda k, _: F.coalesce(F.element_at(table, k), k))
 
 
+def renamed_errors(errors: Column, aliases: dict[str, str]) -> Column:
+    """Error codes `CODE:field` with old field names replaced; codes without a field, and names without an alias, stay."""
+    table = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv))
+    name = lambda e: F.substring_index(e, ":", -1)
+    return F.transform(errors, lambda e: F.when(e.contains(":"), F.concat(F.substring_index(e, ":", 1), F.lit(":"), F.coalesce(F.element_at(table, name(e)), name(e)))).otherwise(e))
+
+
+#: What several candidates of one field are called, and what an absent one (fixed values).
+SEVERAL, ABSENT = "MULTIPLE_CANDIDATES", "REQUIRED_FIELD_MISSING"
+
+
+def revalidated(data: Column, corrections: Column, errors: Column, required: list[str], derived: list[str], checks: dict[str, str]) -> Column:
+    """struct<data, missing, errors, action>: a map with corrections laid over it, checked again.
+
+    Derived keys go. Of the stored errors only conflicts of fields that were not corrected stay; required fields without a value are missing, and filled
+    fields that break their pattern are INVALID_FORMAT. With any of these the action is MANUAL_REVIEW, else AUTO_CONTINUE.
+    """
+    fixed = F.coalesce(corrections, F.create_map().cast("map<string,string>"))
+
+    def of(d: Column) -> Column:
+        value = lambda n: F.coalesce(F.trim(F.element_at(d, n)), F.lit(""))
+        missing = F.array_compact(F.array(*(F.when(value(n) == "", n) for n in required)))
+        conflicts = F.filter(errors, lambda e: e.startswith(f"{SEVERAL}:") & ~F.map_contains_key(fixed, F.substring_index(e, ":", -1)))
+        broken = F.array_compact(F.array(*(F.when((value(n) != "") & ~value(n).rlike(p), f"INVALID_FORMAT:{n}") for n, p in checks.items())))
+        found = F.concat(conflicts, F.transform(missing, lambda n: F.concat(F.lit(f"{ABSENT}:"), n)), broken)
+        return once(found, lambda e: F.struct(d.alias("data"), missing.alias("missing"), e.alias("errors"), F.when(F.size(e) > 0, "MANUAL_REVIEW").otherwise("AUTO_CONTINUE").alias("action")))
+
+    return once(overlay(data, fixed, derived), of)
+
+
 def field_summary(fields: DataFrame, by: list[str]) -> DataFrame:
     """Counts of fields (value, status) by `by`, completeness, accepted coverage and whether all are accepted."""
     status = lambda s: F.count_if(F.col("status") == s)

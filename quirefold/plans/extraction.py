@@ -172,3 +172,24 @@ def pilot_latency(spark, sf_dir):
 def token_folds(spark, sf_dir):
     c = F.concat_ws(" ", "p_name", "p_type")
     return table(spark, sf_dir, "part").select("p_partkey", t.fold_key(c).alias("folded"), F.size(t.tokens(c)).alias("n_tokens"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 6 AS m, o_orderpriority AS p, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders),
+v AS (SELECT *, CASE WHEN m IN (1, 3) THEN 'fixed' WHEN m = 4 THEN NULL ELSE p END AS name, CASE m WHEN 2 THEN '31/12/2024' WHEN 5 THEN ' ' ELSE d END AS day FROM o)
+SELECT k, coalesce(name, '') AS name, trim(day) AS day, concat_ws(',', CASE WHEN name IS NULL THEN 'name' END, CASE WHEN m = 5 THEN 'day' END) AS missing,
+ concat_ws(',', CASE WHEN m IN (0, 2) THEN 'MULTIPLE_CANDIDATES:name' END, CASE WHEN name IS NULL THEN 'REQUIRED_FIELD_MISSING:name' END, CASE WHEN m = 5 THEN 'REQUIRED_FIELD_MISSING:day' END, CASE WHEN m = 2 THEN 'INVALID_FORMAT:day' END) AS errors,
+ CASE WHEN m IN (0, 2, 4, 5) THEN 'MANUAL_REVIEW' ELSE 'AUTO_CONTINUE' END AS action, true AS without_derived FROM v"""
+)
+def revalidated_corrections(spark, sf_dir):
+    """Stored results with old names, conflicts and derived keys, some of them corrected, checked again."""
+    m = F.col("o_orderkey") % 6
+    old = {"fullName": "name", "startDay": "day"}
+    data = F.create_map(F.lit("fullName"), F.when(m != 4, F.col("o_orderpriority")), F.lit("startDay"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("confidence"), F.lit("0.5"))
+    pair = lambda k, v: F.create_map(F.lit(k), F.lit(v))
+    fixes = F.when(m.isin(1, 3), pair("name", "fixed")).when(m == 2, pair("day", "31/12/2024")).when(m == 5, pair("day", " "))
+    stored = F.when(m.isin(0, 1, 2), F.array(F.lit("MULTIPLE_CANDIDATES:fullName"), F.lit("LOW_QUALITY"))).otherwise(F.array(F.lit("REQUIRED_FIELD_MISSING:startDay")))
+    r = extract.revalidated(extract.renamed(data, old), fixes, extract.renamed_errors(stored, old), ["name", "day"], ["confidence", "missingFields"], {"day": r"^\d{4}-\d{2}-\d{2}$"})
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), r.alias("r"))
+    got = lambda n: F.coalesce(F.trim(F.element_at("r.data", n)), F.lit("")).alias(n)
+    return rows.select("k", got("name"), got("day"), F.array_join("r.missing", ",").alias("missing"), F.array_join("r.errors", ",").alias("errors"), "r.action", (~F.map_contains_key("r.data", "confidence")).alias("without_derived"))
