@@ -75,6 +75,13 @@ def split_leaks(rows: DataFrame, split: str, content: Column) -> DataFrame:
     return each.groupBy("digest").agg(F.countDistinct("s").alias("splits"), F.count("*").alias("rows")).where("splits > 1")
 
 
+def split_overlaps(rows: DataFrame, split: str, content: Column, lineage: Column) -> DataFrame:
+    """(kind, key, splits, rows): contents and lineages that occur in more than one split. Rows without a lineage share none; hot keys are counted before the shuffle."""
+    keys = F.array(F.struct(F.lit("content").alias("kind"), F.sha2(content, 256).alias("key")), F.struct(F.lit("lineage").alias("kind"), lineage.cast("string").alias("key")))
+    each = rows.select(F.col(split).alias("s"), F.explode(keys).alias("k")).where("k.key IS NOT NULL").groupBy("k.kind", "k.key", "s").agg(F.count("*").alias("n"))
+    return each.groupBy("kind", "key").agg(F.count("*").alias("splits"), F.sum("n").alias("rows")).where("splits > 1")
+
+
 def stratified_sample(rows: DataFrame, stratum: Column, key: str, sizes: dict[str, int]) -> DataFrame:
     """So many rows of each stratum, in order of the keys' digests. The largest size bounds what each task hands on before the strata meet."""
     place = F.row_number().over(Window.partitionBy("stratum").orderBy("_h", key))

@@ -198,3 +198,12 @@ def correction_events(events):
 @query()
 def stream_history(spark, sf_dir):
     return machines.run(correction_events(replay.read(spark, sf_dir, "events")), "case_id", machines.History())
+
+
+@query(
+    """WITH k AS (SELECT source, unnest([{'kind': 'content', 'key': sha256(text)}, {'kind': 'lineage', 'key': CASE WHEN n_chars % 5 = 0 THEN 'L' || n_chars % 50 END}]) AS k FROM documents WHERE source IS NOT NULL)
+SELECT k.kind AS kind, k.key AS key, count(DISTINCT source) AS splits, count(*) AS rows FROM k WHERE k.key IS NOT NULL GROUP BY ALL HAVING count(DISTINCT source) > 1"""
+)
+def split_overlaps(spark, sf_dir):
+    lineage = F.when(F.col("n_chars") % 5 == 0, F.concat(F.lit("L"), (F.col("n_chars") % 50).cast("string")))
+    return governance.split_overlaps(table(spark, sf_dir, "documents").where("source IS NOT NULL"), "source", F.col("text"), lineage)
