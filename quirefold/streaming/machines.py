@@ -163,7 +163,7 @@ def machine(stream: DataFrame, key: str, processor: Machine, ttl: bool = False)
     return stream.groupBy(key).transformWithStateInPandas(processor, processor.columns, "Append", "ProcessingTime" if ttl else "None")
 
 
-def run(stream: DataFrame, key: str, processor: Machine, ttl: bool = False) -> DataFrame:
-    """The processor's rows over all that a stream has, as a table."""
+def run(stream: DataFrame, key: str, processor: Machine) -> DataFrame:
+    """The processor's rows over all that a stream has, as a table. Processors with a time to live run in streams that go on, as theirs never end."""
     with rocksdb(stream.sparkSession):
-        return collected(machine(stream, key, processor, ttl), "append")
+        return collected(machine(stream, key, processor), "append")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -96,12 +97,27 @@ def test_history_over_batches(spark, tmp_path, batches):
     r = random.Random(4)
     rows = [(r.randrange(3), i, r.choice(["", sha("a"), sha("b"), sha("c")]), r.choice("abc")) for i in range(90)]
     s = stream(spark, tmp_path, rows, "case_id long, seq long, base_hash string, payload string", batches)
-    # A case that is forgotten only after an hour is remembered here.
-    got = [tuple(x) for x in machines.run(s, "case_id", machines.History(ttl=3_600_000 if batches == 1 else None), ttl=batches == 1).collect()]
+    got = [tuple(x) for x in machines.run(s, "case_id", machines.History()).collect()]
     assert sorted(got, key=key) == sorted(history_by_hand(rows), key=key)
     assert {x[3] for x in got} == {"ACCEPTED", "REPLAY", "CONFLICT"} and any(x[5] for x in got)
 
 
+def test_history_with_a_time_to_live(spark, tmp_path):
+    """A stream that goes on: a case that is forgotten only after an hour is remembered in its next batch."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [(1, 0, "", "a"), (1, 1, sha("a"), "b"), (1, 2, sha("b"), "c"), (2, 3, "x", "d")]
+    s = stream(spark, tmp_path, rows, "case_id long, seq long, base_hash string, payload string", 2)
+    with machines.rocksdb(spark):
+        query = machines.machine(s, "case_id", machines.History(ttl=3_600_000), ttl=True).writeStream.format("memory").queryName("history").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").start()
+    try:
+        end = time.time() + 90
+        while spark.table("history").count() < len(rows) and time.time() < end:
+            time.sleep(1)
+        assert sorted(map(tuple, spark.table("history").collect()), key=key) == sorted(history_by_hand(rows), key=key)
+    finally:
+        query.stop()
+
+
 def test_history_query(spark):
     from quirefold.plans import registry, state
 
