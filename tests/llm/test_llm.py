@@ -298,6 +298,45 @@ def test_bpe_lookup_tables_stay_bounded():
     assert [e.encode([t])[0] for t in texts] == bpe.Encoder(bpe.tokenizer_path()).encode(texts)
 
 
+def test_bpe_looks_up_each_word_once_however_it_is_cased_or_punctuated(monkeypatch):
+    asked = []
+    lacks = bpe.Recent.lacks
+    monkeypatch.setattr(bpe.Recent, "lacks", lambda self, keys: asked.extend(keys) or lacks(self, keys))
+    texts = [" ".join(case(w) + sign for w in words(1, 200, 20)) for sign in ".,;:!?" for case in (str.lower, str.upper)]
+    plain = bpe.Encoder(bpe.tokenizer_path())
+    got = plain.encode(texts)
+    # "w" and the ten digits, and the six signs: the stretches between white space are some 240.
+    assert len(asked) <= 17 and got[0] == got[1]
+
+
+def test_bpe_of_parts_and_other_patterns_equals_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = bpe.tokenizer_path()
+    lib = Tokenizer.from_file(path)
+    r = random.Random(11)
+    bits = ["'s", "'T", "'re", "'LL", "''", "'", "a", "The", "ing", "12", "½", "!'", "...", " ", "\n", "\x1c", "\x85", "\u3000", "é", "e\u0301", "\u0301", "ΑΣ", "ß", "日本", "😀", "<|endoftext|>", "<|"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(60))) for _ in range(1500)] + [t for t in HARD if t is not None]
+    ids = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    want = [(np.array(x, "<u4").tobytes(), lib.decode(x, skip_special_tokens=False)) for x in ids]
+    for signs in (7, 500, 1 << 20):
+        monkeypatch.setattr(bpe.Encoder, "SIGNS", signs)
+        assert bpe.Encoder(path).encode(texts) == want
+    monkeypatch.setattr(bpe, "WORDS", "")  # as for a pattern that is not known by its kinds of signs
+    assert bpe.Encoder(path).encode(texts) == want
+
+
+def test_bpe_forgets_steps_and_pairs(monkeypatch):
+    texts = [" ".join(words(i, 40, 10_000)) + " internationalization unbelievably" for i in range(10)]
+    want = bpe.Encoder(bpe.tokenizer_path()).encode(texts)
+    monkeypatch.setattr(bpe, "STEPS_KEPT", 20)
+    monkeypatch.setattr(bpe, "PAIRS_KEPT", 5)
+    e = bpe.Encoder(bpe.tokenizer_path())
+    e.forget()
+    assert [e.encode([t])[0] for t in texts] == want and len(e.v.steps) <= 20 and sum(map(len, e.v.pairs.values())) <= 5
+    e.forget()
+
+
 def test_pairs_that_stand_equal_plain_merging():
     v = bpe.vocabulary(bpe.tokenizer_path())
     inner = [t for t in v.whole if bpe.MARK not in t]
