@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,21 +56,28 @@ def right_of(labels: DataFrame, values: DataFrame, page: str, band: float = 0.5)
 def row_clusters(boxes: DataFrame, page: str, tolerance: float) -> DataFrame:
     """(page, box, row): boxes by y, each joined to the running mean centre of the last row if within the tolerance.
 
-    The mean moves with each member, so rows follow one another; a page is a bounded group.
+    The mean moves with each member, so rows follow one another: pages come sorted, one after the other, and of each only its last row is held.
     """
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, row, centre, n = [], -1, 0.0, 0
-        for box, y in pdf.sort_values(["y", "box"])[["box", "y"]].itertuples(index=False):
-            if row < 0 or abs(y - centre) > tolerance:
-                row, centre, n = row + 1, y, 1
-            else:
-                n += 1
-                centre += (y - centre) / n
-            rows.append((pdf[page].iloc[0], box, row))
-        return pd.DataFrame(rows, columns=[page, "box", "row"])
-
-    return boxes.select(page, "box", "y").groupBy(page).applyInPandas(cluster, f"{page} long, box long, row int")
+    def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, row, centre, n = None, -1, 0.0, 0
+        for batch in batches:
+            rows = []
+            for p, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if row < 0 or p != at:
+                    at, row, centre, n = p, 0, y, 1
+                elif abs(y - centre) > tolerance:
+                    row, centre, n = row + 1, y, 1
+                else:
+                    n += 1
+                    centre += (y - centre) / n
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.int32())], [page, "box", "row"])
+
+    # Boxes without a place come last on their page.
+    rows = boxes.select(page, "box", F.coalesce(F.col("y").cast("double"), F.lit(float("nan"))).alias("y"))
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    return rows.repartition(page).sortWithinPartitions(page, "y", F.col("box").asc_nulls_last()).mapInArrow(cluster, f"{page} {kind(page)}, box {kind('box')}, row int")
 
 
 #: What makes a box a fragment of a larger one (fixed values): the share that lies in it, and the most of its text's length.
