@@ -6,7 +6,9 @@ expressions. A page is bounded by what it is; nothing here groups by more than a
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -254,19 +256,51 @@ def cheapest(costs: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
             v = before
 
 
+#: Stands for an id that is null, and the most answers that a task remembers (fixed values).
+ABSENT, ANSWERS = -(1 << 63), 4096
+
+
 def one_to_one(pairs: DataFrame, page: list[str], label: str, value: str, cost: str) -> DataFrame:
     """(page, label, value): the assignment of values to labels of least cost among those of a page that assign most. Of equally cheap ones any may come."""
 
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        best: dict[tuple[int, int], float] = {}
-        for a, v, c in pdf[["_a", "_v", "_c"]].itertuples(index=False):
-            best[a, v] = min(c, best.get((a, v), float("inf")))
-        got = cheapest(best)
-        return pd.DataFrame({**{p: [pdf[p].iloc[0]] * len(got) for p in page}, "label": [a for a, _ in got], "value": [v for _, v in got]})
-
-    rows = pairs.select(*page, F.col(label).cast("long").alias("_a"), F.col(value).cast("long").alias("_v"), F.col(cost).cast("double").alias("_c"))
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, at, best, seen = len(page), None, {}, {}
+
+        def solved() -> list[tuple]:
+            """The rows of the page that is read. Pages of equal costs, as tables of equal headers are, have one answer."""
+            known = tuple(sorted(best.items()))
+            got = seen.get(known)
+            if got is None:
+                if len(seen) >= ANSWERS:
+                    seen.clear()
+                got = seen[known] = cheapest(best)
+            return [(*at, a, v) for a, v in got]
+
+        def shown(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+            kinds = [*(schema.field(i).type for i in range(n)), pa.int64(), pa.int64()]
+            cols = list(zip(*rows, strict=True)) or [()] * (n + 2)
+            cols[n:] = [[None if x == ABSENT else x for x in c] for c in cols[n:]]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*page, "label", "value"])
+
+        schema = None
+        for batch in batches:
+            schema, out = batch.schema, []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:n] != at:
+                    if best:
+                        out += solved()
+                    at, best = row[:n], {}
+                a, v, c = row[n:]
+                best[a, v] = min(c, best.get((a, v), float("inf")))
+            yield shown(out, schema)
+        if best:
+            yield shown(solved(), schema)
+
+    # Pages come sorted, one after the other, so one page is held at a time.
+    whole = lambda x: F.coalesce(F.col(x).cast("long"), F.lit(ABSENT))
+    rows = pairs.select(*page, whole(label).alias("_a"), whole(value).alias("_v"), F.coalesce(F.col(cost).cast("double"), F.lit(float("nan"))).alias("_c"))
     kinds = ", ".join(f"{p} {rows.schema[p].dataType.simpleString()}" for p in page)
-    return rows.groupBy(*page).applyInPandas(of, f"{kinds}, label long, value long")
+    return rows.repartition(*page).sortWithinPartitions(*page).mapInArrow(of, f"{kinds}, label long, value long")
 
 
 #: What a value of a kind holds (fixed values): a date, an identity number.

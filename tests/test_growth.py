@@ -3,7 +3,9 @@
 import contextlib
 import io
 
-from quirefold.operators import geometry
+from pyspark.sql import functions as F
+
+from quirefold.operators import geometry, tables
 
 
 def plan(df):
@@ -34,3 +36,16 @@ def test_row_clusters_go_on_over_batches(spark):
                 row, members = row + 1, []
             members.append(box * 2)
             assert got[page, box] == row
+
+def test_one_to_one_streams_pages(spark):
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        costs = [(1, 1, 5.0), (1, 2, 1.0), (2, 2, 2.0), (2, 2, 9.0), (3, None, 0.5)]
+        pairs = spark.createDataFrame([(f"p{p}" if p else None, a, v, c) for p in range(4) for a, v, c in costs], "page string, a int, v int, c double").withColumn("n", F.lit(1))
+        found = tables.one_to_one(pairs, ["page", "n"], "a", "v", "c")
+        got = sorted((r.page or "", r.n, r.label, r.value) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert got == [(p, 1, a, v) for p in ("", "p1", "p2", "p3") for a, v in ((1, 1), (2, 2), (3, None))]
+    assert "FlatMapGroups" not in plan(found)
