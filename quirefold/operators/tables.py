@@ -226,7 +226,9 @@ def label_values(lines: DataFrame, page: str, field: str = "field", multiline: s
 def cheapest(costs: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
     """One-to-one (label, value) pairs: as many as can be, and of these at the least cost in all, by cheapest augmenting paths."""
     labels = sorted({a for a, _ in costs})
-    of: dict[int, list[int]] = {a: sorted(v for x, v in costs if x == a) for a in labels}
+    of: dict[int, list[int]] = {a: [] for a in labels}
+    for a, v in sorted(costs):
+        of[a].append(v)
     holder: dict[int, int] = {}
     held: dict[int, int] = {}
     while True:

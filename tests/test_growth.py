@@ -49,3 +49,17 @@ def test_one_to_one_streams_pages(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
     assert got == [(p, 1, a, v) for p in ("", "p1", "p2", "p3") for a, v in ((1, 1), (2, 2), (3, None))]
     assert "FlatMapGroups" not in plan(found)
+
+
+def test_cheapest_reads_each_pair_once():
+    class Counted(dict):
+        read = 0
+
+        def __iter__(self):
+            for x in super().__iter__():
+                self.read += 1
+                yield x
+
+    costs = Counted({(a, v): float((a * 7 + v) % 11) for a in range(60) for v in range(a, a + 3)})
+    got = tables.cheapest(costs)
+    assert len(got) == 60 == len({v for _, v in got}) and costs.read <= 2 * len(costs)
