@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quirefold.functions.text import once
+
 #: Day, month and year in figures, and written out in Vietnamese (fixed values).
 NUMERIC = r"(?<![0-9])([0-9]{1,2})\s*[/.\-]\s*([0-9]{1,2})\s*[/.\-]\s*([0-9]{4})(?![0-9])"
 NAMED = r"(?iu)ngày\s*([0-9]{1,2})\s*tháng\s*([0-9]{1,2})\s*năm\s*([0-9]{4})"
@@ -63,8 +65,8 @@ def weekly_hours(text: Column, days: int = WORK_DAYS) -> Column:
     p = r"(\d{1,2})[hH](\d{2})?"
     at = lambda m: F.regexp_extract(m, p, 1).try_cast("int") * 60 + F.coalesce(F.regexp_extract(m, p, 2).try_cast("int"), F.lit(0))
     times = F.transform(F.regexp_extract_all(text, F.lit(r"(\d{1,2}[hH](?:\d{2})?)"), F.lit(1)), at)
-    span = (F.get(times, F.lit(1)) - F.get(times, F.lit(0)) + F.get(times, F.lit(3)) - F.get(times, F.lit(2))) / F.lit(60.0)
-    return F.when(F.size(times) >= 4, F.bround(span * days, 2))
+    span = lambda ts: (F.get(ts, F.lit(1)) - F.get(ts, F.lit(0)) + F.get(ts, F.lit(3)) - F.get(ts, F.lit(2))) / F.lit(60.0)
+    return once(times, lambda ts: F.when(F.size(ts) >= 4, F.bround(span(ts) * days, 2)))
 
 
 def minutes(text: Column) -> Column:

@@ -6,8 +6,10 @@ apart within the short match. The others are rules over blocks, as in forms.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 
 from quirefold.functions.dates import first_date, named_dates
 from quirefold.functions.text import casefold, collapse, fold_ocr, likest_window, once, strip_terminal
-from quirefold.operators.forms import FLAGS, NO_NAME, PREFIX, Rule, among, edge, folded, hit, is_heading, key_of, letters_of, pattern, section, with_instead, words_of
+from quirefold.operators.forms import FLAGS, NO_NAME, PREFIX, Rule, among, begins_with, edge, filled as filled_text, first_of, folded, hit, is_heading, key_of, leads, letters_of, pattern, section, with_instead, within, words_of
 from quirefold.operators.observe import lines_of
 
 I, S = "(?iu)", "(?ius)"
@@ -25,14 +27,14 @@ I, S = "(?iu)", "(?ius)"
 def only(text: Column, p: str) -> Column:
     """struct<value, conflict>: the one distinct value of the pattern's group, but for case and spacing; null and a conflict if there are several."""
     found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(I + p), F.lit(1)), lambda x: collapse(x)), lambda x: x != "")
-    many = lambda xs: F.size(F.array_distinct(F.transform(xs, casefold))) > 1
-    clean = lambda x: F.nullif(strip_terminal(x), F.lit(""))
-    return once(found, lambda xs: F.struct(F.when((F.size(xs) > 0) & ~many(xs), clean(F.get(xs, F.lit(0)))).alias("value"), many(xs).alias("conflict")))
+    many = lambda xs: F.when(F.size(xs) > 1, F.size(F.array_distinct(F.transform(xs, casefold))) > 1).otherwise(False)
+    one = lambda xs, several: F.struct(F.when((F.size(xs) > 0) & ~several, ended(F.get(xs, F.lit(0)))).alias("value"), several.alias("conflict"))
+    return once(found, lambda xs: once(many(xs), lambda several: one(xs, several)))
 
 
 def groups(text: Column, p: str, n: int) -> Column:
     """array<string> of the n groups of a pattern's first match; null without one. The groups are taken within the match."""
-    return once(F.regexp_extract(text, S + p, 0), lambda m: F.when(m != "", F.array(*(F.nullif(F.trim(F.regexp_extract(m, S + p, i)), F.lit("")) for i in range(1, n + 1)))))
+    return once(F.regexp_extract(text, S + p, 0), lambda m: F.when(m != "", F.array(*(filled_text(F.trim(F.regexp_extract(m, S + p, i))) for i in range(1, n + 1)))))
 
 
 def iso(text: Column) -> Column:
@@ -42,16 +44,16 @@ def iso(text: Column) -> Column:
 def number(text: Column) -> Column:
     """A number as text, whole if it is."""
     d = F.replace(F.trim(text), F.lit(","), F.lit(".")).try_cast("decimal(38,6)")
-    return F.when(d == F.floor(d), F.floor(d).cast("string")).otherwise(d.cast("double").cast("string"))
+    return once(d, lambda d: F.when(d == F.floor(d), F.floor(d).cast("string")).otherwise(d.cast("double").cast("string")))
 
 
 def clock(hour: Column, minute: Column) -> Column:
-    h, m = hour.try_cast("int"), F.coalesce(minute, F.lit("0")).try_cast("int")
-    return F.when(h.between(0, 23) & m.between(0, 59), F.format_string("%02d:%02d", h, m))
+    of = lambda x: F.when(x["h"].between(0, 23) & x["m"].between(0, 59), F.format_string("%02d:%02d", x["h"], x["m"]))
+    return once(F.struct(hour.try_cast("int").alias("h"), F.coalesce(minute, F.lit("0")).try_cast("int").alias("m")), of)
 
 
 def ended(text: Column) -> Column:
-    return F.nullif(strip_terminal(text), F.lit(""))
+    return filled_text(strip_terminal(text))
 
 
 #: Patterns of a leave request and of an overtime request (fixed values).
@@ -96,16 +98,20 @@ OT_ONLY = {
 }
 
 
-def _request(text: Column, once_only: dict[str, str], rest: Callable[[Column, dict[str, Column]], dict[str, Column]]) -> Column:
-    """struct<fields map<string,string>, conflicts array<string>> of a request."""
+Looked = Callable[[Column], dict[str, Column]]
+
+
+def _request(text: Column, once_only: dict[str, str], looked: Looked, rest: Callable[[Column, dict[str, Column], Column], dict[str, Column]]) -> Column:
+    """struct<fields map<string,string>, conflicts array<string>> of a request. What looked gives of the text is computed once, however many fields rest takes from it."""
 
     def of(t: Column) -> Column:
         def built(u: Column) -> Column:
-            fields = rest(t, {n: u[n]["value"] for n in once_only})
+            fields = rest(t, {n: u[n]["value"] for n in once_only}, u["_looked"])
             data = F.create_map(*(x for n, v in sorted(fields.items()) for x in (F.lit(n), v)))
             return F.struct(F.map_filter(data, lambda _, v: v.isNotNull()).alias("fields"), F.array_compact(F.array(*(F.when(u[n]["conflict"], n) for n in sorted(once_only)))).alias("conflicts"))
 
-        return once(F.struct(*(only(t, p).alias(n) for n, p in once_only.items())), built)
+        found = F.struct(*(x.alias(n) for n, x in looked(t).items()))
+        return once(F.struct(*(only(t, p).alias(n) for n, p in once_only.items()), found.alias("_looked")), built)
 
     return once(F.coalesce(text, F.lit("")), of)
 
@@ -114,8 +120,8 @@ def approver(tables: Column) -> Column:
     """The name below the head of department's heading, in the third row of the first table array<array<array<string>>> that has both; signing notes are no name."""
 
     def of(t: Column) -> Column:
-        name = F.nullif(strip_terminal(F.get(F.get(t, F.lit(2)), F.lit(0))), F.lit(""))
-        return F.when((F.size(t) >= 3) & casefold(F.get(F.get(t, F.lit(0)), F.lit(0))).contains(APPROVER[0]) & ~casefold(name).contains(APPROVER[1]), name)
+        head = casefold(F.get(F.get(t, F.lit(0)), F.lit(0))).contains(APPROVER[0])
+        return F.when((F.size(t) >= 3) & head, once(ended(F.get(F.get(t, F.lit(2)), F.lit(0))), lambda name: F.when(~casefold(name).contains(APPROVER[1]), name)))
 
     return F.get(F.filter(F.transform(tables, of), lambda x: x.isNotNull()), F.lit(0))
 
@@ -124,18 +130,21 @@ def leave_request(text: Column, scanned: Column | None = None, tables: Column |
     """Fields of a leave request. Scanned texts, which may lack marks, also take looser patterns and the dates in their order; the approver stands in a table."""
     scan = F.lit(False) if scanned is None else F.coalesce(scanned, F.lit(False))
 
-    def rest(t: Column, u: dict[str, Column]) -> dict[str, Column]:
+    def looked(t: Column) -> dict[str, Column]:
         slack = lambda p, q, n: groups(t, p, n) if scanned is None else F.coalesce(groups(t, p, n), F.when(scan, groups(t, q, n)))
-        period, reason = slack(LEAVE_PERIOD, LEAVE_PERIOD_SCAN, 3), slack(LEAVE_REASON, LEAVE_REASON_SCAN, 2)
-        over, asked = groups(t, HANDOVER, 2), named_dates(t)
-        dates = F.regexp_extract_all(t, F.lit(DAY), F.lit(1))
-        from_scan = lambda i, least: F.when(scan & (F.size(dates) >= least), iso(F.get(dates, F.lit(i))))
+        period = lambda g: F.struct(number(g[0]).alias("days"), iso(g[1]).alias("start"), iso(g[2]).alias("end"))
+        out = {"period": once(slack(LEAVE_PERIOD, LEAVE_PERIOD_SCAN, 3), period), "reason": slack(LEAVE_REASON, LEAVE_REASON_SCAN, 2), "over": groups(t, HANDOVER, 2), "asked": named_dates(t)}
+        return out if scanned is None else out | {"dates": F.regexp_extract_all(t, F.lit(DAY), F.lit(1))}
+
+    def rest(t: Column, u: dict[str, Column], x: Column) -> dict[str, Column]:
+        period, reason, over, asked = (x[n] for n in ("period", "reason", "over", "asked"))
+        from_scan = lambda i, least: F.when(scan & (F.size(x["dates"]) >= least), iso(F.get(x["dates"], F.lit(i))))
         out = {
             **u,
             "requestDate": F.get(asked, F.size(asked) - 1).cast("string"),
-            "leaveDays": number(period[0]),
-            "startDate": iso(period[1]),
-            "endDate": iso(period[2]),
+            "leaveDays": period["days"],
+            "startDate": period["start"],
+            "endDate": period["end"],
             "reason": F.coalesce(ended(reason[0]), only(t, LEAVE_LINE)["value"]),
             "expectedReturnDate": iso(reason[1]),
             "handoverTo": ended(over[0]),
@@ -151,19 +160,34 @@ def leave_request(text: Column, scanned: Column | None = None, tables: Column |
             out["expectedReturnDate"] = F.coalesce(out["expectedReturnDate"], from_scan(2, 3))
         return out
 
-    return _request(text, LEAVE_ONLY, rest)
+    return _request(text, LEAVE_ONLY, looked, rest)
 
 
 def overtime_request(text: Column, scanned: Column | None = None) -> Column:
     """Fields of an overtime request, for a period or a single day. Scanned texts also take looser patterns, figures of their text without marks, and the signature's name."""
     scan = F.lit(False) if scanned is None else F.coalesce(scanned, F.lit(False))
 
-    def rest(t: Column, u: dict[str, Column]) -> dict[str, Column]:
+    def looked(t: Column) -> dict[str, Column]:
         one = once(groups(t, OT_DAY, 7), lambda g: F.when(g.isNotNull(), F.array(g[0], *(g[i] for i in range(7)))))
         loose = lambda found, p, n: found if scanned is None else F.coalesce(found, F.when(scan, groups(t, p, n)))
-        period = loose(F.coalesce(groups(t, OT_PERIOD, 8), one), OT_PERIOD_SCAN, 8)
-        person, reason = loose(groups(t, OT_PERSON, 2), OT_PERSON_SCAN, 2), loose(groups(t, OT_REASON, 2), OT_REASON_SCAN, 2)
-        contract, asked = groups(t, OT_CONTRACT, 2), named_dates(t)
+
+        def period(g: Column) -> Column:
+            return F.struct(iso(g[0]).alias("start"), iso(g[1]).alias("end"), number(g[2]).alias("hours"), clock(g[3], g[4]).alias("from"), clock(g[5], g[6]).alias("to"), number(g[7]).alias("total"))
+
+        out = {
+            "period": once(loose(F.coalesce(groups(t, OT_PERIOD, 8), one), OT_PERIOD_SCAN, 8), period), "person": loose(groups(t, OT_PERSON, 2), OT_PERSON_SCAN, 2),
+            "reason": loose(groups(t, OT_REASON, 2), OT_REASON_SCAN, 2), "contract": groups(t, OT_CONTRACT, 2), "asked": named_dates(t),
+        }
+        return out if scanned is None else out | {"dates": F.regexp_extract_all(t, F.lit(DAY), F.lit(1)), "plain": F.when(scan, fold_ocr(t))}
+
+    def clocks(plain: Column) -> Column:
+        """The first two clock times behind the hours more, as they are shown; null for fewer."""
+        late = F.coalesce(filled_text(F.regexp_extract(plain, S + OT_AFTER, 1)), plain)
+        shown = lambda c: clock(F.regexp_extract(c, r"^(\d+)", 1), F.regexp_extract(c, r"(\d+)\s+phut$", 1))
+        return once(F.regexp_extract_all(late, F.lit(I + OT_CLOCKS), F.lit(1)), lambda cs: F.when(F.size(cs) >= 2, F.transform(F.slice(cs, 1, 2), shown)))
+
+    def rest(t: Column, u: dict[str, Column], x: Column) -> dict[str, Column]:
+        period, person, reason, contract, asked = (x[n] for n in ("period", "person", "reason", "contract", "asked"))
         out = {
             **u,
             "employeeName": ended(person[0]),
@@ -173,20 +197,17 @@ def overtime_request(text: Column, scanned: Column | None = None) -> Column:
             "laborContractDate": iso(contract[1]),
             "standardWorkSchedule": ended(reason[0]),
             "reason": ended(reason[1]),
-            "startDate": iso(period[0]),
-            "endDate": iso(period[1]),
-            "overtimeHoursPerDay": number(period[2]),
-            "overtimeStartTime": clock(period[3], period[4]),
-            "overtimeEndTime": clock(period[5], period[6]),
-            "totalOvertimeHours": number(period[7]),
+            "startDate": period["start"],
+            "endDate": period["end"],
+            "overtimeHoursPerDay": period["hours"],
+            "overtimeStartTime": period["from"],
+            "overtimeEndTime": period["to"],
+            "totalOvertimeHours": period["total"],
         }
         if scanned is not None:
-            plain = fold_ocr(t)
-            dates = F.regexp_extract_all(t, F.lit(DAY), F.lit(1))
-            late = F.coalesce(F.nullif(F.regexp_extract(plain, S + OT_AFTER, 1), F.lit("")), plain)
-            clocks = F.regexp_extract_all(late, F.lit(I + OT_CLOCKS), F.lit(1))
-            at = lambda i: F.when(F.size(clocks) >= 2, clock(F.regexp_extract(F.get(clocks, F.lit(i)), r"^(\d+)", 1), F.regexp_extract(F.get(clocks, F.lit(i)), r"(\d+)\s+phut$", 1)))
-            figure = lambda p: number(F.nullif(F.regexp_extract(plain, S + p, 1), F.lit("")))
+            plain, dates = x["plain"], x["dates"]
+            at = lambda i: F.get(clocks(plain), F.lit(i))
+            figure = lambda p: number(filled_text(F.regexp_extract(plain, S + p, 1)))
             enough = out["startDate"].isNull() & (F.size(dates) >= 3)
             more = {
                 "workContent": ended(F.regexp_extract(t, S + OT_WORK_SCAN, 1)), "startDate": F.when(enough, iso(F.get(dates, F.lit(1)))), "overtimeHoursPerDay": figure(OT_MORE),
@@ -197,7 +218,7 @@ def overtime_request(text: Column, scanned: Column | None = None) -> Column:
             out["employeeName"] = F.coalesce(F.when(scan, ended(F.regexp_extract(t, I + OT_SIGNED, 1))), out["employeeName"])
         return out
 
-    return _request(text, OT_ONLY, rest)
+    return _request(text, OT_ONLY, looked, rest)
 
 
 def filled(fields: Column, second: Column) -> Column:
@@ -297,10 +318,9 @@ DASHES = " :|-–—"
 def stopped(name: str, labels: tuple[str, ...], stops: tuple[str, ...] = (), convert=None, method: str = "label_value") -> Rule:
     """What stands behind a label that begins a block, list marks apart, up to the next label; else the next block unless a label begins it."""
     own, every = [folded(x) for x in labels], [folded(x) for x in dict.fromkeys((*labels, *stops))]
-    begins = lambda key, words: F.exists(F.array(*map(F.lit, words)), lambda w: (key == w) | key.startswith(F.concat(w, F.lit(" "))))
 
     def cut(value: Column) -> Column:
-        parts = F.transform(F.split(value, r"\s+[|;/]\s+|\s{2,}"), lambda s: F.struct(s.alias("s"), begins(key_of(F.regexp_replace(s, PREFIX, "")), every).alias("stop")))
+        parts = F.transform(F.split(value, r"\s+[|;/]\s+|\s{2,}"), lambda s: F.struct(s.alias("s"), begins_with(key_of(F.regexp_replace(s, PREFIX, "")), every).alias("stop")))
 
         def kept(ps: Column) -> Column:
             ends = F.array_min(F.filter(F.transform(ps, lambda p, i: F.when(p["stop"] & (i > 0), i)), lambda i: i.isNotNull()))
@@ -315,51 +335,64 @@ def stopped(name: str, labels: tuple[str, ...], stops: tuple[str, ...] = (), con
             after = F.when(F.instr(raw, ":") > 0, F.regexp_extract(raw, "(?s):(.*)$", 1))
             behind = F.coalesce(after, *(F.when((key == w) | key.startswith(f"{w} "), F.array_join(F.slice(words, len(w.split()) + 1, 1 << 20), " ")) for w in own))
             value, nxt = edge(behind, DASHES), F.trim(F.get(blocks, i + 1)["text"])
-            free = nxt.isNotNull() & (nxt != "") & ~begins(F.get(blocks, i + 1)["key"], every)
+            free = nxt.isNotNull() & (nxt != "") & ~begins_with(F.get(blocks, i + 1)["key"], every)
             return once(value, lambda v: F.when(v != "", hit(cut(v), i)).when(free, hit(cut(nxt), i + 1)))
 
         def one(b: Column, i: Column) -> Column:
-            return F.when(begins(b["bare_key"], own), of({"raw": b["bare"], "key": b["bare_key"], "i": i}))
+            return F.when(leads(b["bare_lead"], own), of({"raw": b["bare"], "key": b["bare_key"], "i": i}))
 
-        usable = (lambda h: F.when(convert(h["value"]).isNotNull(), h)) if convert else (lambda h: h)
-        return F.transform(F.transform(blocks, one), usable)
+        hits = F.filter(F.transform(blocks, one), lambda h: h.isNotNull())
+        return F.filter(hits, lambda h: convert(h["value"]).isNotNull()) if convert else hits
 
     return Rule(name, found, method, convert)
 
 
-def joined(name: str, patterns: tuple[str, ...], convert=None, method: str = "narrative", next_too: bool = True) -> Rule:
-    """The group of a pattern in a block, or in a block and the one that follows it."""
+def near(texts: list[Column], anchors: tuple[str, ...]) -> Column:
+    """Whether one of the small-letter texts holds one of the words."""
+    return reduce(operator.or_, (F.contains(t, F.lit(a)) for t in texts for a in anchors))
+
+
+def joined(name: str, patterns: tuple[str, ...], convert=None, method: str = "narrative", next_too: bool = True, anchors: tuple[str, ...] = ()) -> Rule:
+    """The group of a pattern in a block, or in a block and the one that follows it. anchors: small-letter words, without spaces, of which a text holds one wherever a pattern matches."""
+
+    def tried(text: Column, at: Column, p: str) -> Column:
+        good = (lambda v: (v != "") & convert(v).isNotNull()) if convert else (lambda v: v != "")
+        return once(edge(F.regexp_extract(text, FLAGS + p, 1), " .,:;-–—"), lambda v: F.when(good(v), hit(v, at)))
 
     def found(blocks: Column) -> Column:
         def one(b: Column, i: Column) -> Column:
-            both = F.concat_ws(" ", b["text"], F.get(blocks, i + 1)["text"])
-            tries = [hit(edge(F.regexp_extract(b["text"], FLAGS + p, 1), " .,:;-–—"), i) for p in patterns]
-            if next_too:
-                tries += [hit(edge(F.regexp_extract(both, FLAGS + p, 1), " .,:;-–—"), F.least(i + 1, F.size(blocks) - 1)) for p in patterns]
-            good = (lambda h: (h["value"] != "") & convert(h["value"]).isNotNull()) if convert else (lambda h: h["value"] != "")
-            return F.coalesce(*(F.when(good(h), h) for h in tries))
+            alone = F.coalesce(*(tried(b["text"], i, p) for p in patterns))
+            if anchors:
+                alone = F.when(near([b["low"]], anchors), alone)
+            if not next_too:
+                return alone
+            nxt = F.get(blocks, i + 1)
+            both = once(F.concat_ws(" ", b["text"], nxt["text"]), lambda t: F.coalesce(*(tried(t, F.least(i + 1, F.size(blocks) - 1), p) for p in patterns)))
+            if anchors:
+                both = F.when(near([b["low"], F.coalesce(nxt["low"], F.lit(""))], anchors), both)
+            return F.coalesce(alone, both)
 
         return F.transform(blocks, one)
 
     return Rule(name, found, method, convert)
 
 
-def narrated(name: str, p: str, method: str, convert=None, most: int = 320) -> Rule:
-    """A pattern's group, carried on over the following blocks until a full stop, a numbered clause or so many signs."""
+def narrated(name: str, p: str, method: str, convert=None, most: int = 320, anchors: tuple[str, ...] = ()) -> Rule:
+    """A pattern's group, carried on over the following blocks until a full stop, a numbered clause or so many signs. anchors as in joined."""
 
     def found(blocks: Column) -> Column:
         def one(b: Column, i: Column) -> Column:
-            start = F.trim(F.regexp_extract(b["text"], FLAGS + p, 1))
-            first = F.struct(start.alias("out"), (F.trim(b["text"]).endswith(".") | (F.length(start) >= most)).alias("done"))
+            first = lambda start: F.struct(start.alias("out"), (F.trim(b["text"]).endswith(".") | (F.length(start) >= most)).alias("done"))
 
             def step(acc: Column, x: Column) -> Column:
                 text = F.trim(x["text"])
                 stop = acc["done"] | text.rlike(r"^(?:\d{1,2}[.)]|Điều\s+\d)")
                 out = F.when(stop, acc["out"]).otherwise(F.concat_ws(" ", acc["out"], text))
-                return F.struct(out.alias("out"), (stop | text.endswith(".") | (F.length(out) >= most)).alias("done"))
+                return once(F.struct(stop.alias("stop"), out.alias("out")), lambda y: F.struct(y["out"].alias("out"), (y["stop"] | text.endswith(".") | (F.length(y["out"]) >= most)).alias("done")))
 
-            whole = F.aggregate(F.slice(blocks, i + 2, 8), first, step)["out"]
-            return F.when(start != "", hit(edge(whole, " .;:-"), i))
+            whole = lambda start: F.aggregate(F.slice(blocks, i + 2, 8), first(start), step)["out"]
+            carried = once(F.trim(F.regexp_extract(b["text"], FLAGS + p, 1)), lambda start: F.when(start != "", hit(edge(whole(start), " .;:-"), i)))
+            return F.when(near([b["low"]], anchors), carried) if anchors else carried
 
         return F.transform(blocks, one)
 
@@ -384,19 +417,21 @@ class Within:
 
     def rules(self) -> list[Rule]:
         """The rule and those instead of it, each over the blocks between the markers."""
-        begins = lambda k, ws: F.exists(F.array(*map(F.lit, [folded(w) for w in ws])), lambda w: (k == w) | k.startswith(F.concat(w, F.lit(" "))))
+        # Markers that stand nowhere have no place.
+        places = lambda keys, ws: F.transform(keys, lambda k, i: F.when(leads(k, [folded(w) for w in ws]), i))
 
         def inside(found: Callable[[Column], Column]) -> Callable[[Column], Column]:
             def sliced(blocks: Column, keys: Column) -> Column:
-                places = lambda ws: F.filter(F.transform(keys, lambda k, i: F.when(begins(k, ws), i)), lambda i: i.isNotNull())
-                a = F.array_min(places(self.start))
-                b = F.array_min(F.filter(places(self.end), lambda i: i > a)) if self.end else F.lit(None).cast("int")
-                part = F.when(a.isNull(), blocks).otherwise(F.slice(blocks, a + 1, F.coalesce(b, F.size(blocks)) - a))
-                return F.struct(part.alias("blocks"), F.coalesce(a, F.lit(0)).alias("first"))
+                def of(a: Column) -> Column:
+                    b = F.array_min(F.filter(places(keys, self.end), lambda i: i > a)) if self.end else F.lit(None).cast("int")
+                    part = F.when(a.isNull(), blocks).otherwise(F.slice(blocks, a + 1, F.coalesce(b, F.size(blocks)) - a))
+                    return F.struct(part.alias("blocks"), F.coalesce(a, F.lit(0)).alias("first"))
+
+                return once(F.array_min(places(keys, self.start)), of)
 
             def all_of(blocks: Column) -> Column:
-                part = once(F.transform(blocks, lambda b: b["bare_key"]), lambda keys: sliced(blocks, keys))
-                return once(part, lambda p: F.transform(found(p["blocks"]), lambda h: F.when(h.isNotNull(), hit(h["value"], h["at"] + p["first"]))))
+                part = once(F.transform(blocks, lambda b: b["bare_lead"]), lambda keys: sliced(blocks, keys))
+                return once(part, lambda p: F.transform(F.filter(found(p["blocks"]), lambda h: h.isNotNull()), lambda h: hit(h["value"], h["at"] + p["first"])))
 
             return all_of
 
@@ -417,7 +452,7 @@ def identifier(text: Column) -> Column:
 
 def person(text: Column) -> Column:
     bare = F.regexp_replace(F.trim(text), r"(?iu)^(?:Ông/bà|Ông|Bà)\s+", "")
-    return F.nullif(edge(F.regexp_replace(bare, r"(?iu)\s+(?:Chức vụ|Chức danh|Giới tính|Ngày sinh|CMND/CCCD số|CCCD số)\s*(?::|[-–—])?\s*.*$", ""), " .;:-"), F.lit(""))
+    return filled_text(edge(F.regexp_replace(bare, r"(?iu)\s+(?:Chức vụ|Chức danh|Giới tính|Ngày sinh|CMND/CCCD số|CCCD số)\s*(?::|[-–—])?\s*.*$", ""), " .;:-"))
 
 
 def monthly(text: Column) -> Column:
@@ -436,37 +471,41 @@ PARTY_A, PARTY_B = (("Bên A",), ("Bên B",)), (("Bên B",), ("Hai bên thỏa t
 _stop = lambda name, labels, convert=None: stopped(name, labels, CONTRACT_STOPS, convert)
 
 
-def hours_a_week(text: Column) -> Column:
+def hours_a_week(text: Column, key: Column | None = None) -> Column:
     """`40 giờ/tuần` of a block that says so or names two spans of the working day; null else."""
     from quirefold.functions.dates import weekly_hours
 
-    said = F.regexp_extract(key_of(text), r"\b(\d{1,3}) (?:gio tuan|gioltuan)\b", 1)
-    told = F.when(key_of(text).contains("thoi gio lam viec"), weekly_hours(text))
     shown = lambda x: F.replace(F.regexp_replace(x.cast("string"), r"\.0+$", ""), F.lit("."), F.lit(","))
-    daily = F.when(told / 5 != F.floor(told / 5), F.concat(F.lit(" — "), shown(told / 5), F.lit(" giờ/ngày × 5 ngày"))).otherwise("")
-    return F.when(said != "", F.concat(said.cast("int").cast("string"), F.lit(" giờ/tuần"))).otherwise(F.concat(shown(told), F.lit(" giờ/tuần"), daily))
+    daily = lambda told: once(told / 5, lambda d: F.when(d != F.floor(d), F.concat(F.lit(" — "), shown(d), F.lit(" giờ/ngày × 5 ngày"))).otherwise(""))
+    week = once(weekly_hours(text), lambda told: F.concat(shown(told), F.lit(" giờ/tuần"), daily(told)))
+
+    def of(key: Column) -> Column:
+        said = F.when(key.contains("tuan"), filled_text(F.regexp_extract(key, r"\b(\d{1,3}) (?:gio tuan|gioltuan)\b", 1)))
+        return F.coalesce(once(said, lambda x: F.when(x.isNotNull(), F.concat(x.cast("int").cast("string"), F.lit(" giờ/tuần")))), F.when(key.contains("thoi gio lam viec"), week))
 
+    return once(key_of(text), of) if key is None else F.when(key.contains("tuan") | key.contains("thoi gio lam viec"), of(key))
 
-def each_block(name: str, read: Callable[[Column], Column], method: str) -> Rule:
-    """The first block that gives a value."""
-    return Rule(name, lambda blocks: F.transform(blocks, lambda b, i: once(read(b["text"]), lambda v: F.when(v.isNotNull(), hit(v, i)))), method)
+
+def each_block(name: str, read: Callable[[Column, Column], Column], method: str) -> Rule:
+    """The first block of whose text and key read gives a value."""
+    return Rule(name, lambda blocks: F.transform(blocks, lambda b, i: once(read(b["text"], b["key"]), lambda v: F.when(v.isNotNull(), hit(v, i)))), method)
 
 
 CONTRACT: list = [
     _stop("contract_number", ("Số hợp đồng", "Số", "Contract number")),
-    with_instead(joined("contract_sign_date", (rf"ngày\s+{_DATE}",), spoken_date, next_too=False), _stop("contract_sign_date", ("Ngày ký",), spoken_date)),
-    with_instead(joined("effective_date", (rf"(?:kể\s+)?từ ngày\s+{_DATE}",), spoken_date), _stop("effective_date", ("Hiệu lực từ", "Bắt đầu từ", "Effective Date"), spoken_date)),
-    with_instead(joined("probation_end_date", (rf"đến(?:\s+hết)?\s+ngày\s+{_DATE}",), spoken_date), _stop("probation_end_date", ("Kết thúc thử việc", "Hết hạn thử việc", "Probation End"), spoken_date)),
-    with_instead(joined("employer_name", (r"Tên\s+công\s+ty\s*:\s*(.+)",), next_too=False), _stop("employer_name", ("Đại diện cho", "Employer")), _stop("employer_name", ("Công ty",))),
-    Within(with_instead(joined("employer_representative", (r"Đại\s+diện\s+(?:bởi|cho)\s*:\s*(?:Ông|Bà)\s+(.+?)(?=\s+Chức\s+(?:vụ|danh)\s*(?::|[-–—])|$)",), person, next_too=False), _stop("employer_representative", ("Đại diện bởi", "Đại diện cho", "Đại diện"), person)), *PARTY_A),
-    Within(with_instead(joined("employee_name", (r"Họ\s+và\s+tên\s*:\s*(.+?)(?=\s+Giới\s+tính\s*:|\s+Ngày\s+sinh\s*:|$)",), person, next_too=False), _stop("employee_name", ("Người lao động", "Ông/bà", "Họ và tên", "Employee Name"), person)), *PARTY_B),
-    with_instead(_stop("employee_id_number", ("CCCD số", "CMND số", "Employee ID"), identifier), joined("employee_id_number", (r"(?:CCCD\s+s(?:ố|ỗ|õ|o)|CMND\s+số)\s*[:\-]?\s*((?:[0-9][ \t]*){9,12})(?![ \t]*[0-9])",), identifier, next_too=False)),
-    with_instead(narrated("professional_title", r"Chức\s+danh\s+công\s+việc\s*:\s*(.+?)(?:\.\s*$|$)", "professional_title_narrative"), _stop("professional_title", ("Công việc/Chức danh", "Chức danh chuyên môn", "Chức danh", "Vị trí công việc", "Job Title"))),
+    with_instead(joined("contract_sign_date", (rf"ngày\s+{_DATE}",), spoken_date, next_too=False, anchors=("ngày",)), _stop("contract_sign_date", ("Ngày ký",), spoken_date)),
+    with_instead(joined("effective_date", (rf"(?:kể\s+)?từ ngày\s+{_DATE}",), spoken_date, anchors=("ngày",)), _stop("effective_date", ("Hiệu lực từ", "Bắt đầu từ", "Effective Date"), spoken_date)),
+    with_instead(joined("probation_end_date", (rf"đến(?:\s+hết)?\s+ngày\s+{_DATE}",), spoken_date, anchors=("ngày",)), _stop("probation_end_date", ("Kết thúc thử việc", "Hết hạn thử việc", "Probation End"), spoken_date)),
+    with_instead(joined("employer_name", (r"Tên\s+công\s+ty\s*:\s*(.+)",), next_too=False, anchors=("công",)), _stop("employer_name", ("Đại diện cho", "Employer")), _stop("employer_name", ("Công ty",))),
+    Within(with_instead(joined("employer_representative", (r"Đại\s+diện\s+(?:bởi|cho)\s*:\s*(?:Ông|Bà)\s+(.+?)(?=\s+Chức\s+(?:vụ|danh)\s*(?::|[-–—])|$)",), person, next_too=False, anchors=("đạ",)), _stop("employer_representative", ("Đại diện bởi", "Đại diện cho", "Đại diện"), person)), *PARTY_A),
+    Within(with_instead(joined("employee_name", (r"Họ\s+và\s+tên\s*:\s*(.+?)(?=\s+Giới\s+tính\s*:|\s+Ngày\s+sinh\s*:|$)",), person, next_too=False, anchors=("và",)), _stop("employee_name", ("Người lao động", "Ông/bà", "Họ và tên", "Employee Name"), person)), *PARTY_B),
+    with_instead(_stop("employee_id_number", ("CCCD số", "CMND số", "Employee ID"), identifier), joined("employee_id_number", (r"(?:CCCD\s+s(?:ố|ỗ|õ|o)|CMND\s+số)\s*[:\-]?\s*((?:[0-9][ \t]*){9,12})(?![ \t]*[0-9])",), identifier, next_too=False, anchors=("cccd", "cmnd"))),
+    with_instead(narrated("professional_title", r"Chức\s+danh\s+công\s+việc\s*:\s*(.+?)(?:\.\s*$|$)", "professional_title_narrative", anchors=("công",)), _stop("professional_title", ("Công việc/Chức danh", "Chức danh chuyên môn", "Chức danh", "Vị trí công việc", "Job Title"))),
     Within(_stop("role_title", ("Chức vụ/Vị trí", "Chức vụ", "Vị trí", "Job Title"), lambda x: F.nullif(edge(F.regexp_extract(x, r"^([^;]*)", 1), " .;:-"), F.lit(""))), ("Bên B",), ()),
-    with_instead(narrated("workplace", r"(?:Nơi|Địa\s+điểm)\s+làm\s+việc\s*:\s*(.+?)(?:\.\s*$|$)", "workplace_narrative"), _stop("workplace", ("Địa điểm làm việc",))),
+    with_instead(narrated("workplace", r"(?:Nơi|Địa\s+điểm)\s+làm\s+việc\s*:\s*(.+?)(?:\.\s*$|$)", "workplace_narrative", anchors=("làm",)), _stop("workplace", ("Địa điểm làm việc",))),
     each_block("weekly_hours", hours_a_week, "weekly_hours"),
-    with_instead(joined("probation_salary_monthly", (r"Mức\s+lương\s+thử\s+việc\s*:\s*((?:[0-9][0-9.\s]*[0-9]))\s*đồng\s*/?\s*tháng",), monthly, next_too=False), _stop("probation_salary_monthly", ("Mức lương thử việc", "Lương thử việc", "Salary"))),
-    with_instead(narrated("allowances_summary", r"Phụ\s+c[ấãẩậa]p(?:\s+và\s+hỗ\s+\S+)?\s*:\s*(.+?)(?:\.\s*$|$)", "allowances_narrative"), _stop("allowances_summary", ("Phụ cấp và hỗ trợ", "Phụ cấp"))),
+    with_instead(joined("probation_salary_monthly", (r"Mức\s+lương\s+thử\s+việc\s*:\s*((?:[0-9][0-9.\s]*[0-9]))\s*đồng\s*/?\s*tháng",), monthly, next_too=False, anchors=("lương",)), _stop("probation_salary_monthly", ("Mức lương thử việc", "Lương thử việc", "Salary"))),
+    with_instead(narrated("allowances_summary", r"Phụ\s+c[ấãẩậa]p(?:\s+và\s+hỗ\s+\S+)?\s*:\s*(.+?)(?:\.\s*$|$)", "allowances_narrative", anchors=("phụ",)), _stop("allowances_summary", ("Phụ cấp và hỗ trợ", "Phụ cấp"))),
     _stop("salary_payment_schedule", ("Hình thức trả lương", "Trả lương", "Thanh toán")),
 ]
 
@@ -476,36 +515,42 @@ def top_pair(which: int) -> Callable[[Column], Column]:
 
     def found(blocks: Column) -> Column:
         def one(b: Column, i: Column) -> Column:
-            text = F.trim(b["text"])
-            glued = F.regexp_extract(text, r"^(.*?[a-zà-ỹ])(?=[A-ZĐ])", 1)
-            name = lambda x: words_of(x).between(2, 6) & (letters_of(x) >= 6) & ~is_heading(key_of(x)) & ~among(key_of(x), NO_NAME) & ~x.rlike(r"[@\d]")
-            nxt = F.trim(F.get(blocks, i + 1)["text"])
-            parted = (glued != "") & name(F.trim(glued))
-            if which == 1:
-                return F.when(parted, hit(F.trim(glued), i)).when(name(text), hit(text, i))
-            return F.when(parted, hit(F.trim(F.substr(text, F.length(glued) + 1)), i)).when(name(text) & nxt.isNotNull() & ~is_heading(key_of(nxt)), hit(nxt, i + 1))
+            def name(x: Column) -> Column:
+                return within(words_of(x), 2, 6) & (letters_of(x) >= 6) & once(key_of(x), lambda key: ~is_heading(key) & ~among(key, NO_NAME)) & ~x.rlike(r"[@\d]")
+
+            def of(text: Column) -> Column:
+                nxt = F.get(blocks, i + 1)
+                whole = hit(text, i) if which == 1 else F.when(nxt.isNotNull() & ~is_heading(key_of(F.trim(nxt["text"]))), hit(F.trim(nxt["text"]), i + 1))
+                rest = lambda g: hit(F.trim(g), i) if which == 1 else hit(F.trim(F.substr(text, F.length(g) + 1)), i)
+                parted = once(filled_text(F.regexp_extract(text, r"^(.*?[a-zà-ỹ])(?=[A-ZĐ])", 1)), lambda g: F.when(g.isNotNull() & once(F.trim(g), name), rest(g)))
+                return F.coalesce(parted, F.when(name(text), whole))
+
+            return once(F.trim(b["text"]), of)
 
-        return F.slice(F.transform(blocks, one), 1, 12)
+        return first_of(blocks, 12, one)
 
     return found
 
 
 def skill_line(text: Column) -> Column:
     """A line of skills without its list mark and its short label."""
-    bare = F.trim(F.regexp_replace(text, r"^[\s•·▪–—-]+", ""))
-    label = F.regexp_extract(bare, r"^([^:]*):", 1)
-    return F.when((label != "") & words_of(label).between(1, 5), edge(F.regexp_extract(bare, r"(?s)^[^:]*:(.*)$", 1), " ;")).otherwise(bare)
+
+    def of(bare: Column) -> Column:
+        label = F.regexp_extract(bare, r"^([^:]*):", 1)
+        return F.when(once(label, lambda x: (x != "") & within(words_of(x), 1, 5)), edge(F.regexp_extract(bare, r"(?s)^[^:]*:(.*)$", 1), " ;")).otherwise(bare)
+
+    return once(F.trim(F.regexp_replace(text, r"^[\s•·▪–—-]+", "")), of)
 
 
 OBJECTIVE = (r"\b(?:vị trí|trở thành|theo hướng)\s+(.+?)(?=\s+(?:cho|trong|với|có)\b|[.;]|$)", r"^\s*[•-]?\s*([^,.;]+?)(?=\s+với\b)")
 CV: list = [
     with_instead(stopped("full_name", ("Họ và tên", "Họ tên", "Full name")), Rule("full_name", top_pair(1), "cv_header")),
     with_instead(stopped("headline", ("Vị trí ứng tuyển", "Chức danh", "Vị trí", "Headline"), ("Địa chỉ", "Học vấn", "Kinh nghiệm", "Kỹ năng")), Rule("headline", top_pair(2), "cv_header")),
-    pattern("email", (r"\b([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})\b",), method="email_pattern"),
-    pattern("phone_number", (r"((?:\+?84|0)(?:[\s.-]?\d){8,10})",), method="phone_pattern"),
+    pattern("email", (r"\b([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})\b",), method="email_pattern", anchors=("@",)),
+    pattern("phone_number", (r"((?:\+?84|0)(?:[\s.-]?\d){8,10})",), method="phone_pattern", anchors=("0", "84")),
     stopped("address", ("Địa chỉ", "Address"), ("Mục tiêu nghề nghiệp", "Kinh nghiệm", "Kỹ năng", "Học vấn")),
     Within(joined("desired_role", OBJECTIVE, method="cv_objective_role", next_too=False), ("Mục tiêu nghề nghiệp", "Objective"), ("Học vấn", "Kinh nghiệm", "Kinh nghiệm làm việc", "Kỹ năng", "Chứng chỉ", "Dự án")),
-    joined("years_experience", (r"((?:hơn|trên|ít nhất)\s+\d+\s+năm)", r"(\d+\s+năm\s+kinh\s+nghiệm)", r"(\d+\s+năm)"), method="cv_years_pattern", next_too=False),
+    joined("years_experience", (r"((?:hơn|trên|ít nhất)\s+\d+\s+năm)", r"(\d+\s+năm\s+kinh\s+nghiệm)", r"(\d+\s+năm)"), method="cv_years_pattern", next_too=False, anchors=("năm",)),
     section("experience", ("Kinh nghiệm làm việc", "Kinh nghiệm")),
     Rule("skills", section("skills", ("Kỹ năng",)).found, "cv_skills_section", lambda x: F.array_join(F.filter(F.transform(F.split(x, "\n"), skill_line), lambda s: s != ""), "\n")),
     section("education", ("Học vấn",)),
@@ -542,15 +587,22 @@ CARD_LABELS = {
 
 def noise(text: Column) -> Column:
     """A line of hardly any letters."""
-    f = fold_ocr(text)
-    letters = letters_of(f)
-    return (F.length(f) <= 2) | f.isin(*SHORT_NOISE) | f.rlike(r"^[\d\W_]+$") | (letters < F.greatest(F.lit(2), F.floor(F.length(f) / 3)))
+    return once(fold_ocr(text), folded_noise)
+
+
+def folded_noise(f: Column) -> Column:
+    """noise of a line that is folded already."""
+    return (F.length(f) <= 2) | f.isin(*SHORT_NOISE) | f.rlike(r"^[\d\W_]+$") | (letters_of(f) < F.greatest(F.lit(2), F.floor(F.length(f) / 3)))
 
 
 def card_name(text: Column) -> Column:
     """Two to six words that look like a person's name on a card."""
-    f = fold_ocr(text)
-    return (F.length(text) >= 4) & ~noise(text) & ~among(f, CARD_NOISE) & words_of(text).between(2, 6) & ~text.rlike(r"\p{Nd}") & (letters_of(text, r"[\p{L}\s]") / F.length(text) >= 0.7)
+    return once(fold_ocr(text), lambda f: card_named(text, f, folded_noise(f)))
+
+
+def card_named(text: Column, f: Column, noisy: Column) -> Column:
+    """card_name of a line with its folded text and whether it is noise."""
+    return (F.length(text) >= 4) & ~noisy & ~among(f, CARD_NOISE) & within(words_of(text), 2, 6) & ~text.rlike(r"\p{Nd}") & (letters_of(text, r"[\p{L}\s]") / F.length(text) >= 0.7)
 
 
 def identity_card(text: Column) -> Column:
@@ -560,39 +612,43 @@ def identity_card(text: Column) -> Column:
         first = lambda xs: F.get(F.filter(xs, lambda v: v.isNotNull()), F.lit(0))
         joined_text = F.array_join(F.transform(lines, lambda x: x["raw"]), "\n")
         day = r"(?<![0-9])([0-3]?\d[/.-][01]?\d[/.-](?:19|20)\d{2})(?![0-9])"
-        born = first(F.transform(lines, lambda x: F.when(x["fold"].rlike("sinh|birth|bith"), F.nullif(F.regexp_extract(x["raw"], day, 1), F.lit("")))))
+        born = first(F.transform(lines, lambda x: F.when(x["fold"].rlike("sinh|birth|bith"), filled_text(F.regexp_extract(x["raw"], day, 1)))))
 
         def behind(labels: tuple[str, ...]) -> Column:
             has = lambda f: F.exists(F.array(*map(F.lit, labels)), lambda w: f.contains(w))
 
             def one(x: Column, i: Column) -> Column:
                 right = edge(F.regexp_replace(F.regexp_extract(x["raw"], r"^[^:/]*[:/](.*)$", 1), r"(?i)\s*(?:date of|place of|full name|ful name|nationality).*$", ""), " :\t.-")
-                # The two letters of a sex are no noise.
-                own = F.when((right != "") & (~noise(right) | fold_ocr(right).isin("nu", "nam")) & ~has(fold_ocr(right)), right)
+
+                def usable(r: Column) -> Column:
+                    # The two letters of a sex are no noise.
+                    return once(fold_ocr(r), lambda f: F.when((r != "") & (~folded_noise(f) | f.isin("nu", "nam")) & ~has(f), r))
+
                 later = F.filter(F.slice(lines, i + 2, 8), lambda y: ~y["noise"] & ~has(y["fold"]))
-                return F.when(has(x["fold"]), F.coalesce(own, F.get(later, F.lit(0))["raw"]))
+                return F.when(has(x["fold"]), F.coalesce(once(right, usable), F.get(later, F.lit(0))["raw"]))
 
             return first(F.transform(lines, one))
 
         def named(x: Column, i: Column) -> Column:
-            later = F.filter(F.slice(lines, i + 2, 9), lambda y: card_name(y["raw"]))
+            later = F.filter(F.slice(lines, i + 2, 9), lambda y: card_named(y["raw"], y["fold"], y["noise"]))
             return F.when(x["fold"].rlike("ho va ten|full name|ful name"), F.get(later, F.lit(0))["raw"])
 
-        name = F.coalesce(first(F.transform(lines, named)), first(F.transform(lines, lambda x: F.when(card_name(x["raw"]) & (x["raw"] == F.upper(x["raw"])), x["raw"]))))
-        sex = behind(CARD_LABELS["sex"])
+        name = F.coalesce(first(F.transform(lines, named)), first(F.transform(lines, lambda x: F.when((x["raw"] == F.upper(x["raw"])) & card_named(x["raw"], x["fold"], x["noise"]), x["raw"]))))
+        known_sex = lambda s: once(fold_ocr(s), lambda f: F.when(f.contains("nam"), "Nam").when(f.contains("nu"), "Nữ").otherwise(s))
+        text_has = lambda p: filled_text(F.regexp_extract(joined_text, p, 1))
         found = {
-            "idNumber": F.nullif(F.regexp_extract(joined_text, r"(?<![0-9])([0-9]{12})(?![0-9])", 1), F.lit("")),
+            "idNumber": text_has(r"(?<![0-9])([0-9]{12})(?![0-9])"),
             "fullName": name,
-            "dateOfBirth": F.coalesce(born, F.nullif(F.regexp_extract(joined_text, day, 1), F.lit(""))),
-            "sex": F.when(fold_ocr(sex).contains("nam"), "Nam").when(fold_ocr(sex).contains("nu"), "Nữ").otherwise(sex),
+            "dateOfBirth": F.coalesce(born, text_has(day)),
+            "sex": once(behind(CARD_LABELS["sex"]), known_sex),
             "nationality": behind(CARD_LABELS["nationality"]),
-            "placeOfOrigin": once(behind(CARD_LABELS["placeOfOrigin"]), lambda v: F.when(~fold_ocr(v).contains("place of") & ~noise(v), v)),
+            "placeOfOrigin": once(behind(CARD_LABELS["placeOfOrigin"]), lambda v: once(fold_ocr(v), lambda f: F.when(~f.contains("place of") & ~folded_noise(f), v))),
             "placeOfResidence": once(behind(CARD_LABELS["placeOfResidence"]), lambda v: F.when(~fold_ocr(v).rlike("expir|het han|tiden|date of|place of"), v)),
         }
         return F.map_filter(F.create_map(*(x for n, v in found.items() for x in (F.lit(n), v))), lambda _, v: v.isNotNull())
 
     raw = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: edge(x, " :\t.-")), lambda x: x != "")
-    return once(F.transform(raw, lambda x: F.struct(x.alias("raw"), fold_ocr(x).alias("fold"), noise(x).alias("noise"))), of)
+    return once(F.transform(raw, lambda x: once(fold_ocr(x), lambda f: F.struct(x.alias("raw"), f.alias("fold"), folded_noise(f).alias("noise")))), of)
 
 
 #: A form number, its digits' places, and letters that a reader may take for digits there (fixed values).

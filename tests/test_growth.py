@@ -3,9 +3,11 @@
 import contextlib
 import io
 
+import pytest
 from pyspark.sql import functions as F
 
-from quirefold.operators import geometry, tables
+from quirefold.operators import forms, geometry, tables
+from quirefold.plans import registry
 
 
 def plan(df):
@@ -63,3 +65,26 @@ def test_cheapest_reads_each_pair_once():
     costs = Counted({(a, v): float((a * 7 + v) % 11) for a in range(60) for v in range(a, a + 3)})
     got = tables.cheapest(costs)
     assert len(got) == 60 == len({v for _, v in got}) and costs.read <= 2 * len(costs)
+
+
+#: What a query's plan may call at most: each folded text, match and value is written once, however many fields read it.
+CALLS = {
+    "contract_form": ("regexp_extract(", 100),
+}
+
+
+@pytest.mark.parametrize("name", CALLS)
+def test_plans_name_each_match_once(spark, name):
+    call, most = CALLS[name]
+    text = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < text.count(call) <= most
+
+
+def test_keys_of_blocks_folded_together(spark):
+    texts = ["1. Số HĐ: 5", "\n- Mã\nNV ", "--", " ", "Straße", "", None, "x\n\ny", "İ 5"]
+    df = spark.createDataFrame([([(t, "ocr", 0.9) for t in texts],), ([],), (None,)], "blocks array<struct<text: string, kind: string, confidence: double>>")
+    got = [r.b for r in df.select(forms.keyed_blocks(F.col("blocks")).alias("b")).collect()]
+    want = [r.k for r in df.select(F.transform("blocks", lambda b: forms.key_of(F.coalesce(b["text"], F.lit("")))).alias("k")).collect()]
+    bare = [r.k for r in df.select(F.transform("blocks", lambda b: forms.key_of(F.regexp_replace(b["text"], forms.PREFIX, ""))).alias("k")).collect()]
+    assert [x.key for x in got[0]] == want[0] and [x.bare_key for x in got[0] if x.text is not None] == [k for k in bare[0] if k is not None]
+    assert all(x.lead == f"{x.key} " for x in got[0]) and got[1:] == [[], None]
