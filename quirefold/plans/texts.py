@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import dates, numbers
 from quirefold.functions import text as t
 from quirefold.operators import extract, governance, jsontree, observe, state
-from quirefold.plans.registry import query, table
+from quirefold.plans.registry import query, table, wide
 
 
 def parts(spark, sf_dir):
@@ -222,7 +222,7 @@ _RULES = ", ".join(f"('{s}', {[k for k in kinds if k != '?']}, {'?' not in kinds
 
 def deep_documents(spark, sf_dir):
     """Events as JSON submissions, some broken, with members that are unknown, missing, of another kind or forbidden at several depths."""
-    return table(spark, sf_dir, "events").select("event_id", F.expr(DEEP.replace('\\"', '\\\\"')).alias("json"))
+    return wide(spark, sf_dir, "events").select("event_id", F.expr(DEEP.replace('\\"', '\\\\"')).alias("json"))
 
 
 @query(
@@ -232,7 +232,7 @@ UNION ALL SELECT event_id, '$', 'BROKEN' FROM d WHERE NOT json_valid(j)
 UNION ALL SELECT t.event_id, t.path || '.' || split_part(r.shape, '.', -1), 'MISSING' FROM t JOIN r ON t.shape = r.parent AND r.needed AND t.kind = 'object' WHERE NOT EXISTS (SELECT 1 FROM t c WHERE c.event_id = t.event_id AND c.path = t.path || '.' || split_part(r.shape, '.', -1))"""
 )
 def strict_json(spark, sf_dir):
-    return jsontree.problems(jsontree.nodes(deep_documents(spark, sf_dir), "event_id", "json"), "event_id", SUBMISSION)
+    return jsontree.problems(deep_documents(spark, sf_dir), "event_id", "json", SUBMISSION)
 
 
 @query(f"WITH {_TREE} SELECT event_id, path FROM t WHERE regexp_replace(lower(name), '[^a-z0-9]', '', 'g') IN {tuple(jsontree.UNSEEN)}")

@@ -6,7 +6,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.operators import forms, geometry, tables
+from quirefold.operators import forms, geometry, jsontree, tables
 from quirefold.plans import registry
 
 
@@ -93,3 +93,22 @@ def test_keys_of_blocks_folded_together(spark):
     bare = [r.k for r in df.select(F.transform("blocks", lambda b: forms.key_of(F.regexp_replace(b["text"], forms.PREFIX, ""))).alias("k")).collect()]
     assert [x.key for x in got[0]] == want[0] and [x.bare_key for x in got[0] if x.text is not None] == [k for k in bare[0] if k is not None]
     assert all(x.lead == f"{x.key} " for x in got[0]) and got[1:] == [[], None]
+
+
+def test_strict_json_parses_a_document_once(spark):
+    rules = {"$": ("object",), "$.a": ("number",), "$.b": ("object", "?"), "$.b.c": ("string", "null")}
+    docs = [(1, '{"a": 1, "b": {"c": null}}'), (2, '{"a": "x", "b": {}, "d": [1, {"e": 2}]}'), (3, "{"), (4, None), (5, "[]"), (6, '{"b": {"c": 1}}')]
+    df = lambda rows: spark.createDataFrame(rows, "k int, j string")
+    found = jsontree.problems(df(docs), "k", "j", rules)
+    want = {(2, "$.a", "KIND"), (2, "$.b.c", "MISSING"), (2, "$.d", "UNKNOWN"), (3, "$", "BROKEN"), (5, "$", "KIND"), (6, "$.a", "MISSING"), (6, "$.b.c", "KIND")}
+    assert {tuple(r) for r in found.collect()} == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 1
+    # What one document of a key has is not missing in another.
+    twice = jsontree.problems(df([*docs, (2, '{"a": 2, "b": {"c": "y"}}')]), "k", "j", rules)
+    assert {tuple(r) for r in twice.collect()} == want - {(2, "$.b.c", "MISSING")}
+
+
+def test_json_nesting_apart_from_strings(spark):
+    rows = [('{"a{[": [{"b\\\\": "]}"}]}', 3), ("5", 0), ("[[], {}]", 2)]
+    got = spark.createDataFrame(rows, "j string, n int").select(jsontree.nesting(jsontree.brackets(F.col("j"))).alias("x"), "n").collect()
+    assert all(r.x == r.n for r in got)
