@@ -4,6 +4,7 @@ import hashlib
 import random
 import time
 
+import pandas as pd
 import pytest
 
 from quirefold.streaming import machines
@@ -125,3 +126,36 @@ def test_history_query(spark):
     rows = [tuple(r) for r in state.correction_events(registry.table(spark, sf, "events")).collect()]
     got = [tuple(x) for x in registry.QUERIES["stream_history"](spark, sf).collect()]
     assert sorted(got, key=key) == sorted(history_by_hand(rows), key=key) and any(x[5] for x in got)
+
+
+def test_queue_asks_its_state_once_an_item(monkeypatch):
+    class Held:
+        def __init__(self, held=None):
+            self.held, self.calls = held or {}, 0
+
+        def called(self, fn):
+            self.calls += 1
+            return fn()
+
+        exists = lambda self: self.called(lambda: () in self.held)
+        get = lambda self: self.called(lambda: self.held[()])
+        update = lambda self, x: self.called(lambda: self.held.update({(): x}))
+        containsKey = lambda self, k: self.called(lambda: k in self.held)  # noqa: E731, N815
+        updateValue = lambda self, k, x: self.called(lambda: self.held.update({k: x}))  # noqa: E731, N815
+        removeKey = lambda self, k: self.called(lambda: self.held.pop(k))  # noqa: E731, N815
+
+    monkeypatch.setattr(machines, "FRAME", 7)
+    queue = machines.Queue()
+    queue.size, queue.items = Held(), Held()
+    mine = [(i, u, kind != "purchase") for i, u, kind in EVENTS if u % 2 == 0]
+    out = []
+    for part in (mine[:30], mine[30:]):
+        rows = pd.DataFrame([(0, i, u, r) for i, u, r in reversed(part)], columns=["queue", "seq", "item", "registers"])
+        before = queue.size.calls + queue.items.calls
+        frames = list(queue.handleInputRows((0,), iter([rows]), None))
+        assert all(len(f) <= 7 for f in frames) and queue.size.calls + queue.items.calls - before <= 3 + 2 * 3
+        out += [tuple(r) for f in frames for r in f.itertuples(index=False)]
+    assert out == [r for r in queue_by_hand() if r[0] == 0]
+    last = {u: i for i, u, r in mine if r}
+    gone = {u for u in last if next(r for _, x, r in reversed(mine) if x == u) is False}
+    assert queue.items.held == {(u,): (i,) for u, i in last.items() if u not in gone}
