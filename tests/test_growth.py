@@ -69,6 +69,7 @@ def test_cheapest_reads_each_pair_once():
 
 #: What a query's plan may call at most: each folded text, match and value is written once, however many fields read it.
 CALLS = {
+    "sanitized_summary": ("regexp_extract(", 24),
     "family_fields": ("regexp_extract(", 24),
     "leave_form": ("regexp_extract(", 40),
     "overtime_form": ("regexp_extract(", 60),
